@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorespark.llm import simhash
+from lorespark.llm import repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,3 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    found = repeats.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
