@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that separate words in every contract of this subpackage.
@@ -84,7 +85,7 @@ def byte_values(column: pa.Array) -> list[bytes | None]:
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of text; a longer text is alone."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, size in enumerate(sizes):
             if i > start and total + size > most_bytes:

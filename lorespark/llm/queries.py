@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import repeats, simhash
+from lorespark.llm import quality, repeats, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,3 +31,19 @@ def op10_simhash_near_dedup(spark, sf_dir):
 def op6_substring_dedup(spark, sf_dir):
     found = repeats.remove_repeats(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op2_quality_rules(spark, sf_dir):
+    return quality.judge(spark, table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+ORACLE_SQL["op2_quality_rules"] = quality.SQL
+
+
+@query
+def op4_url_filters(spark, sf_dir):
+    return urls.judge(spark, table(spark, sf_dir, "pages"), urls.RULES)
+
+
+ORACLE_SQL["op4_url_filters"] = urls.SQL
