@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import quality, repeats, simhash, urls
+from lorespark.llm import decontaminate, mixing, quality, repeats, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +47,18 @@ def op4_url_filters(spark, sf_dir):
 
 
 ORACLE_SQL["op4_url_filters"] = urls.SQL
+
+
+@query
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op5_benchmark_decontamination"] = decontaminate.SQL
+
+
+@query
+def op7_source_mixing(spark, sf_dir):
+    mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
+    taken = (F.col("mix_size") * F.col("mix_copies")).alias("taken")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken)
