@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, mixing, quality, repeats, simhash, urls
+from lorespark.llm import decontaminate, mixing, quality, repeats, simhash, sstable, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,3 +62,17 @@ def op7_source_mixing(spark, sf_dir):
     mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
     taken = (F.col("mix_size") * F.col("mix_copies")).alias("taken")
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken)
+
+
+@query
+def op9_token_tables(spark, sf_dir):
+    return tokens(spark, table(spark, sf_dir, "documents"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Writes the shards and digests what is read back from them."""
+    import public_tokenizers
+
+    folder = sstable.Scratch(spark, "tokens").path("shards")
+    found = sstable.read(spark, sstable.write(spark, docs, folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
