@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, mixing, quality, repeats, simhash, sstable, urls
+from lorespark.llm import decontaminate, language, mixing, quality, repeats, simhash, sstable, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,3 +76,8 @@ def tokens(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -
     folder = sstable.Scratch(spark, "tokens").path("shards")
     found = sstable.read(spark, sstable.write(spark, docs, folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    return language.identify(spark, table(spark, sf_dir, "documents"))
