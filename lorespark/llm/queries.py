@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, language, mixing, quality, repeats, simhash, sstable, urls
+from lorespark.llm import chat, decontaminate, language, mixing, pseudonyms, quality, repeats, simhash, sstable, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,3 +81,18 @@ def tokens(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -
 @query
 def op1_language_id(spark, sf_dir):
     return language.identify(spark, table(spark, sf_dir, "documents"))
+
+
+#: Stands in for a secret that a real run passes in.
+PSEUDONYM_KEY = "lorespark-example-key"
+
+
+@query
+def op8_pii_pseudonyms(spark, sf_dir):
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"))
+
+
+@query
+def op3_chat_formatting(spark, sf_dir):
+    return chat.link(spark, table(spark, sf_dir, "conversations"))
