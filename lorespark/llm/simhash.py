@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespark.llm.common import Scratch, byte_values, groups, shuffle_partitions
 from lorespark.llm.components import connected_components
@@ -211,6 +212,17 @@ def links(distinct: DataFrame, partitions: int) -> DataFrame:
     )
 
 
+def _components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and the component of each fingerprint: both written tables."""
+    scratch = Scratch(spark, "simhash")
+    marked = scratch.save(fingerprints(docs), "fingerprints")
+    least = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = connected_components(links(least, shuffle_partitions(spark)), scratch)
+    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked, scratch.save(named, "components")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for every row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -221,11 +233,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     has another id.  Rows with the same ``doc_id`` each keep their own row.  Further
     columns of ``docs`` are not read.  An empty table gives an empty result.
     """
-    scratch = Scratch(spark, "simhash")
-    marked = scratch.save(fingerprints(docs), "fingerprints")
-    least = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = connected_components(links(least, shuffle_partitions(spark)), scratch)
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    named = scratch.save(named, "components")
+    marked, named = _components(spark, docs)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _keyed(batches):
+    for batch in batches:
+        values = np.array([fingerprint(t) for t in byte_values(batch.column("text").cast(pa.string()))], dtype=np.uint64)
+        yield batch.append_column("_fp", pa.array(values.view(np.int64)))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs``, with all its columns, without the near-duplicates: of each component the row that names it stays.
+
+    Of several rows with that ``doc_id`` one stays, and one of a component that has no id.
+    """
+    marked, named = _components(spark, docs)
+    stays = marked.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "root")
+    rows, ids = stays.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs.join(stays.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # repeated or missing ids: find the rows again by id and fingerprint
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    keyed = docs.mapInArrow(_keyed, schema)
+    wanted = stays.distinct().select(F.col("doc_id").alias("_id"), F.col("fp").alias("_key"), F.col("root").alias("_root"))
+    return keyed.join(wanted, (F.col("_fp") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_id", "_root"]).select(docs.columns)

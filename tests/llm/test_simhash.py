@@ -14,7 +14,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(rows):
+def brute_components(rows, named=False):
     prints = [brute_fingerprint(t) for _, t in rows]
     label = list(range(len(rows)))
     changed = True
@@ -25,6 +25,9 @@ def brute_components(rows):
                 if (prints[i] ^ prints[j]).bit_count() <= 4 and label[j] < label[i]:
                     label[i] = label[j]
                     changed = True
+    if named:  # the id of each component
+        ids = [[rows[j][0] for j in range(len(rows)) if label[j] == k and rows[j][0] is not None] for k in set(label)]
+        return sorted((min(x, default=None) for x in ids), key=str)
     out = []
     for i, (doc, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if label[j] == label[i] and rows[j][0] is not None]
@@ -50,7 +53,19 @@ def test_components_match_brute_force(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string").repartition(3)
     got = simhash.near_duplicates(spark, docs)
     assert got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
-    assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows)
+    want = brute_components(rows)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    kept = simhash.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == brute_components(rows, named=True)
+
+
+def test_one_of_a_group_without_ids_stays(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "other words here"), (3, "third text"), (4, "third text")], "doc_id long, text string")
+    got = simhash.keep_one(spark, docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "a b c d e f"), (0, "other words here"), (3, "third text")]
+    plain = simhash.keep_one(spark, docs.where("doc_id is not null"))
+    assert [tuple(r) for r in plain.collect()] == [(3, "third text")]
 
 
 def test_deep_splitting_finds_the_same_links(monkeypatch):
