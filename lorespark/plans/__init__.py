@@ -1 +1,8 @@
+"""Registered queries, each beside the SQL that states the same result."""
 
+
+def load():
+    """The registry, after all query modules have put theirs into it."""
+    from lorespark.plans import q_vectors, registry  # noqa: F401
+
+    return registry
