@@ -83,7 +83,7 @@ class Writer:
         self.before = (0, 0)
         self.index: list[tuple] = []
         self.keys: list[bytes] = []
-        self.zstd = zstandard.ZstdCompressor(level=3)
+        self.zstd = zstandard.ZstdCompressor(level=1)
 
     def add(self, doc_id: int | None, value: bytes) -> None:
         key = key_of(doc_id)
@@ -198,7 +198,7 @@ def _encode(path: str, bounds: list[int]):
     def run(batches):
         tool, edges = encoder(path), np.array(bounds, dtype=np.int64)
         end = np.array([END_ID], dtype=tool.kind).tobytes()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             ids = batch.column("doc_id")
             shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
             shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(edges), shard)

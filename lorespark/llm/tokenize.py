@@ -40,8 +40,10 @@ class Encoder:
         between = self._encode([SEPARATOR])[0]
         self.splits &= len(between) == self.kind.itemsize
         self.between = np.frombuffer(between, dtype=self.kind)[0]
+        #: Ids of a word behind a space, by the word.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self._encode(list(MARKS))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,36 +63,36 @@ class Encoder:
                 out[piece] = ids[a:b]
         return out
 
-    def _resolve(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of every piece; those of a word and of the mark after it are found apart."""
-        marked = {p for p in pieces if p[-1:] in MARKS and p[1:-1].isalpha() and (p[0] == " " or p[0].isalpha())}
-        found = self._known((pieces - marked).union([p[:-1] for p in marked], MARKS))
-        for p in marked:
-            found[p] = found[p[:-1]] + found[p[-1]]
-        return found
-
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        found, fresh = {}, []
-        for p in pieces:
-            ids = self.young.get(p)
+    def _resolve(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word behind a space; those of the mark after a word are found apart."""
+        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha()]
+        words.difference_update(marked)
+        words.update([w[:-1] for w in marked])
+        found, fresh, young, old = {}, [], self.young, self.old
+        for w in words:
+            ids = young.get(w)
             if ids is None:
-                ids = self.old.get(p)
+                ids = old.get(w)
                 if ids is None:
-                    fresh.append(p)
+                    fresh.append(w)
                     continue
-                self.young[p] = ids
-            found[p] = ids
-        new = self._encode_pieces(fresh)
-        found.update(new)
-        self.young.update((p, i) for p, i in new.items() if len(p) <= CACHE_CHARS)
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
+                young[w] = ids
+            found[w] = ids
+        encoded = self._encode_pieces([" " + w for w in fresh])
+        for w in fresh:
+            found[w] = ids = encoded[" " + w]
+            if len(w) <= CACHE_CHARS:
+                young[w] = ids
+        if len(young) > CACHE_PIECES:
+            self.old, self.young = young, {}
+        for w in marked:
+            found[w] = found[w[:-1]] + self.marks[w[-1]]
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
         out: list = [b""] * len(texts)
-        split, pieces, whole = [], set(), []
+        split, words, whole = [], set(), []
         for k, text in enumerate(texts):
             if not text:
                 continue
@@ -98,12 +100,12 @@ class Encoder:
                 whole.append(k)
                 continue
             first, *rest = text.split(" ")
-            parts = [first, *[" " + p for p in rest]]
-            split.append((k, parts))
-            pieces.update(parts)
-        ids_of = self._resolve(pieces)
-        for k, parts in split:
-            out[k] = b"".join([ids_of[p] for p in parts])
+            split.append((k, first, rest))
+            words.update(rest)
+        ids_of = self._resolve(words).__getitem__
+        firsts = self._encode_pieces(list({first for _, first, _ in split}))
+        for k, first, rest in split:
+            out[k] = firsts[first] + b"".join(map(ids_of, rest))
         for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = ids
         return out
