@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,15 @@ def smoothed_cosine(a: Column, b: Column, epsilon: float = 1e-8) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + epsilon)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    size = norm(a)
-    return F.when(size == 0, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / size))
+    scaled = lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
+    return let(doubles(a), scaled)
 
 
 def character_embedding(text: Column, dimensions: int = 64) -> Column:
@@ -40,6 +47,6 @@ def character_embedding(text: Column, dimensions: int = 64) -> Column:
 
     Stands in for a language model wherever one can be plugged in.
     """
-    codes = F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: F.ord(c) % dimensions)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(codes, lambda c: c == d)).cast("double"))
-    return unit(counts)
+    codes = F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: F.ascii(c) % dimensions)
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    return unit(let(codes, lambda own: F.transform(places, lambda d: F.size(F.filter(own, lambda c: c == d)).cast("double"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,23 +82,36 @@ def section_chunks(blocks: DataFrame, most: int, by: str = "article_id", order:
     return out.withColumn("idx", F.row_number().over(Window.partitionBy(by).orderBy("first")) - 1).withColumn("char_count", F.length("text")).drop("first")
 
 
-def hybrid_chunks(docs: DataFrame, most: int = 2000, least: float = 0.6, by: str = "article_id") -> DataFrame:
+def hybrid_chunks(docs: DataFrame, most: int = 2000, least: float = 0.6, by: str = "article_id", embed=None) -> DataFrame:
     """Sentence chunks: cut where neighbours are unlike or the budget is full.
 
-    A text within the budget is one chunk.  Sentences are embedded by the default embedder.
+    A text within the budget is one chunk.  ``embed`` maps a sentence to a vector; the
+    default is the deterministic one.
     """
-    rows = docs.select(by, sentences(F.col("text")).alias("s"))
-    embedded = F.transform("s", lambda x: F.struct(x.alias("t"), vectors.character_embedding(x).alias("v")))
-    marked = rows.withColumn("e", embedded)
-
-    def step(state: Column, x: Column) -> Column:
-        unlike = vectors.cosine(state["v"], x["v"]) < least
-        fits = (state["cur"] != "") & ~unlike & (F.length(state["cur"]) + F.length(x["t"]) + 1 <= most)
-        done = F.when(fits | (state["cur"] == ""), state["done"]).otherwise(F.concat(state["done"], F.array(state["cur"])))
-        return F.struct(done.alias("done"), F.when(fits, F.concat_ws(" ", state["cur"], x["t"])).otherwise(x["t"]).alias("cur"), x["v"].alias("v"))
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.array().cast("array<double>").alias("v"))
-    chunks = F.aggregate("e", start, step, lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
-    cut = F.when(F.length(F.array_join("s", " ")) <= most, F.filter(F.array(F.array_join("s", " ")), lambda t: t != "")).otherwise(chunks)
-    out = marked.select(by, F.posexplode(cut).alias("idx", "text"))
-    return out.withColumns({"chunk_id": F.format_string("%s_chunk_%03d", F.col(by).cast("string"), F.col("idx")), "char_count": F.length("text")})
+    from lorespark.operators.clustering import character_vector
+
+    embed = embed or character_vector
+
+    def cut(pieces: list[str]) -> list[str]:
+        whole = " ".join(pieces)
+        if len(whole) <= most:
+            return [whole] if whole else []
+        vectors_ = np.array([embed(p) for p in pieces])
+        size = np.linalg.norm(vectors_, axis=1)
+        both = size[1:] * size[:-1]
+        alike = np.divide((vectors_[1:] * vectors_[:-1]).sum(1), both, out=np.zeros(len(both)), where=both > 0) >= least
+        out = [pieces[0]]
+        for piece, near in zip(pieces[1:], alike):
+            if near and len(out[-1]) + len(piece) + 1 <= most:
+                out[-1] += " " + piece
+            else:
+                out.append(piece)
+        return out
+
+    def run(frames):
+        for frame in frames:
+            rows = [(a, k, c, f"{a}_chunk_{k:03d}", len(c)) for a, s in zip(frame[by], frame["s"]) for k, c in enumerate(cut(list(s)))]
+            yield pd.DataFrame(rows, columns=[by, "idx", "text", "chunk_id", "char_count"])
+
+    chosen = docs.where("text is not null").select(by, sentences(F.col("text")).alias("s"))
+    return chosen.mapInPandas(run, f"{by} {dict(docs.dtypes)[by]}, idx int, text string, chunk_id string, char_count int")
