@@ -36,7 +36,7 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 256 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: UTF-8 bytes of text that a shard should stand for.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 24 << 20
 END_ID = 0
 
 
@@ -198,7 +198,7 @@ def _encode(path: str, bounds: list[int]):
     def run(batches):
         tool, edges = encoder(path), np.array(bounds, dtype=np.int64)
         end = np.array([END_ID], dtype=tool.kind).tobytes()
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids = batch.column("doc_id")
             shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
             shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(edges), shard)

@@ -15,11 +15,13 @@ import re
 import numpy as np
 
 #: Pieces in each of the cache's two generations.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 160_000
 #: Longer pieces are encoded again each time.
 CACHE_CHARS = 64
 #: New pieces that are encoded as one text.
 TOGETHER = 200
+#: Such texts that are encoded at once.
+AT_ONCE = 32
 SEPARATOR = "\x0b"
 _BESIDE = re.compile(r"\s \s|\s  | \s|^ ")
 #: A mark at the end of a piece of letters is a piece of its own for the tokenizer.
@@ -53,7 +55,9 @@ class Encoder:
         out = dict(zip(alone, self._encode(alone)))
         rest = [p for p in pieces if p not in out]
         parts = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)]
-        for own, ids in zip(parts, self._encode([SEPARATOR.join(p) for p in parts])):
+        # few at a time: an encoding takes many times the memory of its ids
+        encoded = (i for k in range(0, len(parts), AT_ONCE) for i in self._encode([SEPARATOR.join(p) for p in parts[k : k + AT_ONCE]]))
+        for own, ids in zip(parts, encoded):
             cuts = np.flatnonzero(np.frombuffer(ids, dtype=self.kind) == self.between) * self.kind.itemsize
             if len(cuts) != len(own) - 1:
                 out.update(zip(own, self._encode(own)))
