@@ -179,4 +179,5 @@ def cluster_relations(edges: DataFrame, most_predicates: int = 3) -> DataFrame:
 
 def by_chunk(edges: DataFrame, chunks: str = "chunk_ids") -> DataFrame:
     """Number of edges of each source chunk; those without one are together."""
-    return edges.select(F.coalesce(F.explode_outer(chunks), F.lit("(no chunk)")).alias("chunk_id")).groupBy("chunk_id").agg(F.count("*").alias("n"))
+    flat = edges.select(F.explode_outer(chunks).alias("chunk_id")).select(F.coalesce("chunk_id", F.lit("(no chunk)")).alias("chunk_id"))
+    return flat.groupBy("chunk_id").agg(F.count("*").alias("n"))
