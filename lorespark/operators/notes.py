@@ -242,3 +242,89 @@ def change_first_task(marked: DataFrame, part: str, change=None, by: str = "note
     placed = marked.withColumn("_here", F.coalesce(F.col("pos") == first, F.lit(False)))
     rows = placed.where("not _here") if change is None else placed.withColumn("line", F.when(F.col("_here"), change(F.col("line"))).otherwise(F.col("line")))
     return rows.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+# --- kinds of sections ----------------------------------------------------------------
+
+# Stems in headings by grain, tried in this order; all stems of one entry must be there.
+DAILY_SECTIONS = {"focus": [("фокус",)], "main_tasks": [("основные", "дела")], "secondary_tasks": [("второстепенные",)], "gratitude": [("рад",), ("получилось",)], "problems": [("не так",)], "thoughts": [("подумать",)], "notes": [("заметк",)]}
+WEEKLY_SECTIONS = {
+    "tasks": [("список", "задач")], "focus": [("фокус",)], "achievements": [("достижени",)], "insights": [("инсайт",)], "deviations": [("отклонени",), ("причин", "план")], "obstacles": [("тормози",), ("проблем", "блок")], "solutions": [("решени",)],
+    "self_assessment": [("мотивац",), ("самооценк",)], "joys": [("порадовал",)], "findings": [("находк",), ("ресурс",)], "reflection": [("рефлекси",)],
+}
+MONTHLY_SECTIONS = {
+    "dynamics": [("динамик",)], "achievements": [("достижени",)], "insights": [("инсайт",)], "plan_and_fact": [("план", "факт")], "habits": [("навык",), ("привычк",)], "problems": [("проблем",), ("блок",)], "solutions": [("решени",)],
+    "self_assessment": [("самооценк",), ("мотивац",)], "findings": [("находк",), ("ресурс",)], "reflection": [("рефлекси",)],
+}
+# Keys of the measures in front matter.
+SLEEP_TIMES = ("bed-time-start", "sleep-start", "sleep-end", "sleep-duration")
+FLAGS = ("quick-fall-asleep", "night-awakenings", "deep-sleep", "remembered-dreams", "no-nightmare", "no-phone", "physical-exercise", "late-dinner")
+NUMBERS = ("sleep-quality", "morning-mood", "morning-energy", "day-energy", "evening-energy")
+
+
+def section_kind(heading: Column, table: dict[str, list[tuple[str, ...]]]) -> Column:
+    """What a section is about, by the first entry whose stems its heading has; null if none."""
+    h = F.lower(heading)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, choices in table.items():
+        hit = F.lit(False)
+        for stems in choices:
+            every = F.lit(True)
+            for stem in stems:
+                every &= F.contains(h, F.lit(stem))
+            hit |= every
+        out = out.when(hit, name)
+    return out
+
+
+def sections(marked: DataFrame, table: dict[str, list[tuple[str, ...]]], by: str = "note") -> DataFrame:
+    """Text of each kind of section; headings below one that has a kind belong to it until its level is over."""
+    own = section_kind(F.col("section"), table)
+    heads = marked.where("level is not null").select(by, "section_no", "level", own.alias("kind"))
+    run = Window.partitionBy(by).orderBy("section_no")
+    # a heading without a kind, below the last one with a kind, goes with that
+    last = F.last(F.when(F.col("kind").isNotNull(), F.struct("kind", "level")), ignorenulls=True).over(run)
+    kinds = heads.withColumn("_l", last).select(by, "section_no", F.coalesce("kind", F.when(F.col("level") > F.col("_l.level"), F.col("_l.kind"))).alias("kind"))
+    rows = marked.where("level is null and not fenced").join(kinds, [by, "section_no"]).where("kind is not null")
+    lines_ = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    return rows.groupBy(by, "kind").agg(F.trim(F.array_join(lines_, "\n")).alias("text"))
+
+
+def measures(notes_: DataFrame, by: str = "note", body: str = "text") -> DataFrame:
+    """Sleep, mood and energy from the front matter of notes: times, numbers and flags (a flag that isn't there is false)."""
+    import pandas as pd
+
+    def read(frames):
+        for frame in frames:
+            found = [front_matter(t)[0] for t in frame["body"]]
+            yield pd.DataFrame({"k": frame["k"], "m": [{str(k).rstrip(":"): None if v is None else str(v) for k, v in m.items()} for m in found]})
+
+    rows = notes_.select(F.col(by).cast("string").alias("k"), F.col(body).alias("body")).mapInPandas(read, "k string, m map<string,string>")
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    name = lambda k: k.replace("-", "_")
+    columns = [text.sexagesimal(at(k)).alias(name(k)) for k in SLEEP_TIMES] + [at(k).try_cast("int").alias(name(k)) for k in NUMBERS] + [text.truth(at(k)).alias(name(k)) for k in FLAGS]
+    out = rows.select(F.col("k").alias(by), *columns)
+    return out.withColumns({"sleep_minutes": text.minutes(F.col("sleep_duration")), "energy": text.mean_of(F.array(*(F.col(f"{p}_energy") for p in ("morning", "day", "evening"))))})
+
+
+def people_files(files: DataFrame) -> DataFrame:
+    """People and groups from their files (``name``, ``text``): roles, interests, messenger name, members with roles."""
+    import pandas as pd
+
+    def several(v) -> list[str]:
+        out = []
+        for x in v if isinstance(v, list) else [v] if v else []:
+            link = re.fullmatch(r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]", str(x).strip())
+            out.append((link[2] or link[1]) if link else str(x))
+        return out
+
+    def read(frames):
+        for frame in frames:
+            rows = []
+            for name, body in zip(frame["name"], frame["text"]):
+                given, rest = front_matter(body)
+                rows.append((name, name.lower().startswith(GROUP_PREFIX), several(given.get("roles")), several(given.get("interests")), given.get("tg") and str(given["tg"]), rest))
+            yield pd.DataFrame(rows, columns=["name", "is_group", "roles", "interests", "telegram", "body"])
+
+    found = files.select("name", "text").mapInPandas(read, "name string, is_group boolean, roles array<string>, interests array<string>, telegram string, body string")
+    return found.withColumn("members", F.when(F.col("is_group"), F.map_from_entries(F.array_distinct(group_table(F.col("body")))))).drop("body")
