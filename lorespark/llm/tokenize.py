@@ -23,10 +23,20 @@ TOGETHER = 200
 #: Such texts that are encoded at once.
 AT_ONCE = 32
 SEPARATOR = "\x0b"
-_BESIDE = re.compile(r"\s \s|\s  | \s|^ ")
-#: A mark at the end of a piece of letters is a piece of its own for the tokenizer.
+#: A mark at the end of a word of letters is a piece of its own for the tokenizer.
 MARKS = frozenset(",.;:!?")
-_APART = re.compile(rf"{SEPARATOR}|\s$|^[^\S ]|^ $|^$")
+_BESIDE = re.compile(r"\s \s|\s  | \s|^ ")
+
+
+def _plain(text: str) -> bool:
+    """Whether a text can be split at its spaces: quickly so if white space is single and inside, else by pattern."""
+    words = text.split()
+    return len(text) - sum(map(len, words)) == len(words) - 1 or not _BESIDE.search(text)
+
+
+def _apart(piece: str) -> bool:
+    """Whether a piece can't stand between separators."""
+    return not piece or SEPARATOR in piece or piece[-1].isspace() or (piece[0] != " " and piece[0].isspace())
 
 
 class Encoder:
@@ -51,7 +61,7 @@ class Encoder:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        alone = [p for p in pieces if _APART.search(p)]
+        alone = [p for p in pieces if _apart(p)]
         out = dict(zip(alone, self._encode(alone)))
         rest = [p for p in pieces if p not in out]
         parts = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)]
@@ -100,7 +110,7 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if not self.splits or _BESIDE.search(text):
+            if not self.splits or not _plain(text):
                 whole.append(k)
                 continue
             first, *rest = text.split(" ")
