@@ -19,7 +19,7 @@ ROUNDS = 8
 
 #: Patterns of each kind, tried in this order at a place of the text.
 EMAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<=(?i:token|secret|password|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\x22']?)[0-9a-f]{32,128}(?![0-9A-Za-z])"
+SECRET = r"(?<=(?i:token|secret|password|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\x22']?)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+.-])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9A-Za-z.-])(?:\([0-9]{3}\) |[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
@@ -95,7 +95,7 @@ def kind_of(found: Column) -> Column:
     ssn = ~found.rlike("^(?:000|666|9)") & ~found.rlike("-00-|-0000$")
     return (
         F.when(found.contains("@"), "email")
-        .when(found.rlike("^[0-9a-f]{32,}$"), "secret")
+        .when(found.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), "secret")
         .when(found.rlike(f"^(?:{'|'.join(DATE_FORMS)})$"), F.when(_day(found).between(0, DAY_RADIX[0] * DAY_RADIX[1] - 1), "date"))
         .when(found.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), F.when(F.forall(F.split(found, r"\."), octet), "ip"))
         .when(found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(ssn, "ssn"))
@@ -136,7 +136,7 @@ def _numbers(found: Column, kind: Column, moving: Column) -> Column:
     pair = lambda v, r: F.struct(v.cast("int").alias("v"), r.cast("int").alias("r"))
     chars = F.transform(
         _chars(moving),
-        lambda c: F.when(kind == "secret", pair(F.instr(F.lit(HEX), c) - 1, F.lit(16)))
+        lambda c: F.when(kind == "secret", pair(F.instr(F.lit(HEX), F.lower(c)) - 1, F.lit(16)))
         .when(place(c) < 0, pair(F.lit(0), F.lit(1)))
         .when(place(c) < 52, pair(place(c) % 26, F.lit(26)))
         .otherwise(pair(place(c) - 52, F.lit(10))),
@@ -172,6 +172,7 @@ def _written(found: Column, kind: Column, moving: Column, radix: Column, new: Co
         .when(kind == "ip", F.array_join(new.cast("array<string>"), "."))
         .when(kind == "date", date)
         .when(kind == "ssn", ssn)
+        .when(found.rlike("[A-F]"), F.upper(text))
         .otherwise(text)
     )
 

@@ -39,7 +39,7 @@ def luhn(s):
 
 
 def test_values_match_a_plain_version(spark):
-    cases = ["4539578763621486", "4539 5787 6362 1486", "4539578763621487", "192.168.0.1", "300.1.1.1", "an.b-7@mail5.example.com", "2024-02-29", "2023-02-29", "29.02.2024", "01/31/1999", "31/01/1999", "1492-01-01", "123-45-6789", "000-45-6789", "+1 (743) 555-3824", "a" * 8 + "0123" * 8]
+    cases = ["4539578763621486", "4539 5787 6362 1486", "4539578763621487", "192.168.0.1", "300.1.1.1", "an.b-7@mail5.example.com", "2024-02-29", "2023-02-29", "29.02.2024", "01/31/1999", "31/01/1999", "1492-01-01", "123-45-6789", "000-45-6789", "+1 (743) 555-3824", "a" * 8 + "0123" * 8, "A" * 8 + "0123" * 8]
     got = {r.v: r.p for r in spark.createDataFrame([(c,) for c in cases], "v string").select("v", ps.pseudonym(F.col("v"), "k")["pseudonym"].alias("p")).collect()}
     assert [c for c in cases if got[c] is None] == ["4539578763621487", "300.1.1.1", "2023-02-29", "31/01/1999", "1492-01-01", "000-45-6789"]
     body = shaped("453957876362148", "k|card", (DIGITS,))
@@ -54,6 +54,7 @@ def test_values_match_a_plain_version(spark):
     assert re.fullmatch(r"\d\d/\d\d/\d{4}", got["01/31/1999"])
     assert got["+1 (743) 555-3824"] == "+1 " + shaped("(743) 555-3824", "k|phone")
     assert got["a" * 8 + "0123" * 8] == shaped("a" * 8 + "0123" * 8, "k|secret", (ps.HEX,))
+    assert got["A" * 8 + "0123" * 8] == got["a" * 8 + "0123" * 8].upper()
     assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", got["123-45-6789"]) and got["123-45-6789"] != "123-45-6789"
 
 
