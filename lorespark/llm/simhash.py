@@ -27,8 +27,12 @@ from lorespark.llm.components import connected_components
 SEED = 42
 SHINGLE_WORDS = 4
 HALF = 2
-#: Bits whose value is the shuffle key; 12 bits send a fingerprint to 79 of 4,096 keys.
-KEY_BITS = tuple(range(0, 60, 5))
+#: Number of bits whose value is the shuffle key, at least; 12 bits send a fingerprint to 79 of 4,096 keys.
+LEAST_KEY_BITS, MOST_KEY_BITS = 12, 30
+#: Fingerprints that a key should hold; with more of them keys get more bits.
+KEY_FINGERPRINTS = 2_000_000
+#: Copies of fingerprints that are sorted by key at once.
+MOST_SENT = 8_000_000
 #: A task spells out at most about so many variants at once.
 MOST_VARIANTS = 4_000_000
 #: Shingles of a long text that are counted at once.
@@ -92,6 +96,14 @@ def _flips(bits: tuple[int, ...], most: int) -> np.ndarray:
     return np.array([sum(c) for k in range(most + 1) for c in combinations(one, k)], dtype=np.uint64)
 
 
+def key_bits(fingerprints: int) -> tuple[int, ...]:
+    """The bits of the shuffle key: as many as keep a key's share of the fingerprints small."""
+    n = LEAST_KEY_BITS
+    while n < MOST_KEY_BITS and fingerprints * len(_flips(tuple(range(n)), HALF)) > KEY_FINGERPRINTS << n:
+        n += 1
+    return tuple(k * 64 // n for k in range(n))
+
+
 def _key(values: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
     out = np.zeros(len(values), dtype=np.uint64)
     for k, bit in enumerate(bits):
@@ -103,14 +115,12 @@ def _spread(key: int, bits: tuple[int, ...]) -> np.uint64:
     return np.uint64(sum(1 << bit for k, bit in enumerate(bits) if key >> k & 1))
 
 
-def _emit(batches):
+def _emit(bits: tuple[int, ...]):
     """Sends each fingerprint to every key that one of its variants has."""
-    flips = _flips(tuple(range(len(KEY_BITS))), HALF)
-    held: list[np.ndarray] = []
 
-    def packed():
+    def packed(held: list[np.ndarray], flips: np.ndarray) -> pa.RecordBatch:
         values = np.unique(np.concatenate(held))
-        keys = (_key(values, KEY_BITS)[:, None] ^ flips[None, :]).ravel()
+        keys = (_key(values, bits)[:, None] ^ flips[None, :]).ravel()
         order = np.argsort(keys, kind="stable")
         keys, sent = keys[order], values[order // len(flips)]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
@@ -119,16 +129,19 @@ def _emit(batches):
             [pa.array(keys[cuts].astype(np.int32)), pa.array([sent[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "fps"]
         )
 
-    count = 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            count += batch.num_rows
-        if count >= 100_000:
-            yield packed()
-            held, count = [], 0
-    if count:
-        yield packed()
+    def run(batches):
+        flips, held, count = _flips(tuple(range(len(bits))), HALF), [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                count += batch.num_rows
+            if count * len(flips) >= MOST_SENT:
+                yield packed(held, flips)
+                held, count = [], 0
+        if count:
+            yield packed(held, flips)
+
+    return run
 
 
 def _collisions(base: np.ndarray, left: np.ndarray, source: np.ndarray, free: tuple[int, ...]):
@@ -182,33 +195,37 @@ def forest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = after
 
 
-def _links(batches):
-    free = tuple(b for b in range(64) if b not in KEY_BITS)
-    clear = ~_spread(2 ** len(KEY_BITS) - 1, KEY_BITS)
-    for bucket, rows in groups(batches, "bucket"):
-        fps = np.unique(np.frombuffer(b"".join(x for r in rows for x in r.column("fps").to_pylist()), dtype=np.uint64))
-        if len(fps) < 2:
-            continue
-        left = HALF - np.bitwise_count(_key(fps, KEY_BITS) ^ np.uint64(bucket)).astype(np.int64)
-        found = list(_collisions((fps & clear) | _spread(bucket, KEY_BITS), left, np.arange(len(fps)), free))
-        if not found:
-            continue
-        a, b = (np.concatenate(x) for x in zip(*found))
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * HALF
-        label = forest(len(fps), a[near], b[near])
-        moved = np.flatnonzero(label != np.arange(len(fps)))
-        if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(fps[moved].view(np.int64)), pa.array(fps[label[moved]].view(np.int64))], ["u", "v"])
+def _links(bits: tuple[int, ...]):
+    def run(batches):
+        free = tuple(b for b in range(64) if b not in bits)
+        clear = ~_spread(2 ** len(bits) - 1, bits)
+        for bucket, rows in groups(batches, "bucket"):
+            fps = np.unique(np.frombuffer(b"".join(x for r in rows for x in r.column("fps").to_pylist()), dtype=np.uint64))
+            if len(fps) < 2:
+                continue
+            left = HALF - np.bitwise_count(_key(fps, bits) ^ np.uint64(bucket)).astype(np.int64)
+            found = list(_collisions((fps & clear) | _spread(bucket, bits), left, np.arange(len(fps)), free))
+            if not found:
+                continue
+            a, b = (np.concatenate(x) for x in zip(*found))
+            near = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * HALF
+            label = forest(len(fps), a[near], b[near])
+            moved = np.flatnonzero(label != np.arange(len(fps)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[moved].view(np.int64)), pa.array(fps[label[moved]].view(np.int64))], ["u", "v"])
+
+    return run
 
 
 def links(distinct: DataFrame, partitions: int) -> DataFrame:
     """Edges ``u``, ``v`` that connect just the fingerprints within the radius of each other."""
+    bits = key_bits(distinct.count())
     return (
         distinct.select("fp")
-        .mapInArrow(_emit, "bucket int, fps binary")
+        .mapInArrow(_emit(bits), "bucket int, fps binary")
         .repartition(partitions, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_links, "u long, v long")
+        .mapInArrow(_links(bits), "u long, v long")
     )
 
 

@@ -89,5 +89,15 @@ def test_deep_splitting_finds_the_same_links(monkeypatch):
     assert simhash.forest(len(fps), i, j).tolist() == want
 
 
+def test_wider_keys_find_the_same_links(spark, monkeypatch):
+    assert len(simhash.key_bits(0)) == len(simhash.key_bits(10**8)) == 12 and len(simhash.key_bits(10**10)) == 21
+    rows = list(enumerate(texts(random.Random(5))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "KEY_FINGERPRINTS", 1)
+    monkeypatch.setattr(simhash, "MOST_SENT", 3000)
+    assert len(simhash.key_bits(100)) > 12
+    assert sorted(map(tuple, simhash.near_duplicates(spark, docs).collect()), key=str) == brute_components(rows)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
