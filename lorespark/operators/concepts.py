@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lorespark.operators import clustering, graph, keywords, retrieval
 
@@ -165,3 +166,50 @@ def list_concepts(concepts: DataFrame, domain: str | None = None, article: str |
     if article is not None:
         concepts = concepts.where(F.array_contains("source_articles", article))
     return concepts.withColumn("multi", (F.size("keyword_words") > 1) | (F.size("source_articles") > 1))
+
+
+def described(members: DataFrame, by: str = "concept_id") -> DataFrame:
+    """Descriptions put together without a model: the distinct ones of the members, in order of their words."""
+    texts = F.transform(F.sort_array(F.collect_set(F.when(F.trim("description") != "", F.struct("word", "description")))), lambda x: x["description"])
+    return members.groupBy(by).agg(F.array_join(F.array_distinct(texts), "; ").alias("description"))
+
+
+def prompt_batches(entries: DataFrame, by: list[str], order: list[str], tokens: int, share: float = 0.6, chars: float = 2.5) -> DataFrame:
+    """Entries with the number of the batch they are asked in: batches fill up in order to a share of the token budget.
+
+    A group is read in order as a stream, with the size of the open batch as all its
+    state; an entry over the budget is a batch of its own.
+    """
+    most = int(tokens * chars * share)
+
+    def run(frames):
+        last, batch, used = None, 0, 0
+        for frame in frames:
+            numbers = []
+            for key, size in zip(frame[by].itertuples(index=False, name=None), frame["_size"]):
+                if key != last:
+                    last, batch, used = key, 0, 0
+                elif used + size > most:
+                    batch, used = batch + 1, 0
+                used += size
+                numbers.append(batch)
+            yield frame.drop(columns="_size").assign(batch=numbers)
+
+    sized = entries.withColumn("_size", F.length(F.coalesce("text", F.lit(""))) + 1)
+    ordered = sized.repartition(*by).sortWithinPartitions(*by, *order)
+    return ordered.mapInPandas(run, StructType([*entries.schema.fields, StructField("batch", LongType())]))
+
+
+def delete_concepts(concepts: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Concepts and relations without those that go (``concept_id``), at either end."""
+    dead = gone.select("concept_id").distinct()
+    kept = relations
+    for end in ("source_id", "target_id"):
+        kept = kept.join(dead.select(F.col("concept_id").alias(end)), end, "left_anti")
+    return concepts.join(dead, "concept_id", "left_anti"), kept.select(relations.columns)
+
+
+def vector_points(concepts: DataFrame, relations: DataFrame) -> DataFrame:
+    """Points to search: concepts by their id, relations by source, target and predicate."""
+    relation = F.concat_ws(":", "source_id", "target_id", "predicate")
+    return concepts.select(F.col("concept_id").alias("node_id"), F.lit("concept").alias("kind"), "embedding").unionByName(relations.select(relation.alias("node_id"), F.lit("relation").alias("kind"), "embedding"))

@@ -328,3 +328,65 @@ def people_files(files: DataFrame) -> DataFrame:
 
     found = files.select("name", "text").mapInPandas(read, "name string, is_group boolean, roles array<string>, interests array<string>, telegram string, body string")
     return found.withColumn("members", F.when(F.col("is_group"), F.map_from_entries(F.array_distinct(group_table(F.col("body")))))).drop("body")
+
+
+# --- whole notes ----------------------------------------------------------------------
+
+
+def period_labels(day: Column) -> Column:
+    """Names of the day's notes: ``YYYY-MM-DD``, the ISO week ``YYYY-Wnn`` and ``YYYY-MM``."""
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
+    return F.struct(F.date_format(day, "yyyy-MM-dd").alias("daily"), week.alias("weekly"), F.date_format(day, "yyyy-MM").alias("monthly"))
+
+
+def vault_means(days: DataFrame, weeks: DataFrame) -> DataFrame:
+    """Mean minutes of sleep, mean energy and mean week mark, 0 where there is none."""
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias(c)
+    return days.agg(mean("sleep_minutes"), mean("energy")).join(weeks.agg(mean("week_mark")))  # one row beside one row
+
+
+def change_people(rows: DataFrame, add: list[str] = (), remove: list[str] = ()) -> DataFrame:
+    """Tasks with people added behind those they have, and others taken off."""
+    names = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    return rows.withColumn("people", F.array_except(F.array_union(F.coalesce("people", names([])), names(add)), names(remove)))
+
+
+def set_measures(notes_: DataFrame, values: dict, order: list[str] = (*SLEEP_TIMES, *NUMBERS, *FLAGS), by: str = "note", body: str = "text") -> DataFrame:
+    """Notes whose front matter has these values put over its own, keys in a fixed order; it is made where there is none."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            done = []
+            for source in frame["body"]:
+                given, rest = front_matter(source)
+                # a loader reads H:MM as minutes
+                given = {k: f"{v // 60}:{v % 60:02d}" if k in SLEEP_TIMES and type(v) is int else v for k, v in given.items()}
+                done.append(serialise_front_matter(given | values, list(order)) + rest)
+            yield pd.DataFrame({"k": frame["k"], "body": done})
+
+    made = notes_.select(F.col(by).cast("string").alias("k"), F.col(body).alias("body")).mapInPandas(run, "k string, body string")
+    return made.select(F.col("k").alias(by), F.col("body").alias(body))
+
+
+def ensure_notes(existing: DataFrame, wanted: DataFrame, template: str, by: str = "note", body: str = "text") -> DataFrame:
+    """The notes there are, and one from the template (``{{note}}`` is its name) for every wanted one that is missing."""
+    missing = wanted.select(by).distinct().join(existing.select(by), by, "left_anti")
+    made = missing.select(by, F.replace(F.lit(template), F.lit("{{note}}"), F.col(by).cast("string")).alias(body))
+    return existing.select(by, body).unionByName(made)
+
+
+def tasks_between(marked: DataFrame, first: Column, last: Column, by: str = "note") -> DataFrame:
+    """Tasks of the daily notes of a range of days; ``source_date`` is the note's day."""
+    return tasks(marked, by).withColumn("source_date", F.try_to_date(F.col(by).cast("string"))).where(F.col("source_date").between(first, last))
+
+
+def as_markdown(rows: DataFrame, by: list[str], order: list, most: int | None = None) -> DataFrame:
+    """One Markdown list for each group: box, text, people after a dash; after ``most`` items the number of the others."""
+    mark = F.when(F.col("status") == "done", "x").otherwise(" ")
+    item = F.concat(F.lit("- ["), mark, F.lit("] "), "text", F.when(F.size("people") > 0, F.concat(F.lit(" — "), F.array_join("people", ", "))).otherwise(""))
+    numbered = rows.withColumns({"_k": F.row_number().over(Window.partitionBy(*by).orderBy(*order)), "_item": item})
+    shown = F.col("_item") if most is None else F.when(F.col("_k") <= most, F.col("_item"))
+    listed = F.transform(F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("_k", "_item")))), lambda x: x["_item"])
+    left = F.count("*") - F.size(listed)
+    return numbered.groupBy(*by).agg(F.concat(F.array_join(listed, "\n"), F.when(left > 0, F.concat(F.lit("\n… "), left.cast("string"))).otherwise("")).alias("markdown"))

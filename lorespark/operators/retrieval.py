@@ -158,3 +158,9 @@ def match_concepts(spark: SparkSession, words: DataFrame, concepts: DataFrame, n
     found = classify(spark, words, concepts, name, least=-2.0, **columns)
     kind = F.when(F.col("score") >= direct, "direct").when(F.col("score") >= candidate, "candidate").otherwise("unmatched")
     return found.select(found.columns[0], "best", "score", kind.alias("kind"))
+
+
+def variants(answer: Column, most: int = 3, least_chars: int = 5) -> Column:
+    """Rephrased questions out of a model's answer: a line each without its number or mark, short ones dropped."""
+    bare = F.transform(F.split(F.coalesce(answer, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:[0-9]+[.)]|[-*•])\s*", "")))
+    return F.slice(F.filter(bare, lambda x: F.length(x) > least_chars), 1, most)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import text
-from lorespark.operators import keywords
+from lorespark.operators import keywords, retrieval
 
 
 def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarity: float = 0.1, words: int = 3, features: int = 1 << 12) -> DataFrame:
@@ -54,3 +54,16 @@ def labels(docs: DataFrame, assigned: DataFrame, by: str = "doc_id", words: int
 def sizes(assigned: DataFrame) -> DataFrame:
     """Documents of each topic; the outliers are topic -1."""
     return assigned.groupBy("topic").agg(F.count("*").alias("n"))
+
+
+def reassign(spark: SparkSession, assigned: DataFrame, points: DataFrame, least: float = 0.1, by: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """Outliers (topic -1) moved to the topic whose mean vector is nearest, if it is at least so near.
+
+    ``assigned`` has ``by`` and ``topic``, ``points`` has ``by`` and the vector; documents
+    without a vector stay where they are.
+    """
+    joined = assigned.join(points.select(by, vector), by)
+    centres = retrieval.centroids(joined.where("topic >= 0"), "topic", vector)
+    near = retrieval.classify(spark, joined.where("topic = -1").select(by, vector), centres, "topic", least, by, vector)
+    moved = near.select(by, F.col("label").cast("int").alias("_near"))
+    return assigned.join(moved, by, "left").withColumn("topic", F.when(F.col("topic") == -1, F.coalesce("_near", F.lit(-1))).otherwise(F.col("topic"))).drop("_near")
