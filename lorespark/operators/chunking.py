@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lorespark.functions import vectors
 
-CHUNK = "array<struct<start:int,stop:int,size:int>>"
+CHUNKS = ArrayType(StructType([StructField(n, IntegerType()) for n in ("start", "stop", "size")]))
 
 
 def sentences(text: Column) -> Column:
@@ -17,41 +19,62 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+def _lists(sizes: pa.Array):
+    """The lists of an array of integer lists, null ones as empty."""
+    values, offsets = sizes.values.to_numpy(zero_copy_only=False), sizes.offsets.to_pylist()
+    for a, b in zip(offsets, offsets[1:]):
+        yield values[a:b].tolist()
+
+
 def pack(pieces: Column, budget: int, gap: int = 1) -> Column:
     """Greedy packing of an array of texts: runs of pieces whose sizes and gaps fit the budget.
 
-    A piece that is larger than the budget is a run of its own.  Sequential in a row,
-    hence a fold; rows are independent.
+    A piece that is larger than the budget is a run of its own.  A fold that appends to a
+    list copies it at each step in SQL expressions, which long texts can't afford; so the
+    sizes alone go to an Arrow function that is linear.
     """
-    empty = F.array().cast(CHUNK)
-    sizes = F.transform(pieces, lambda s, i: F.struct(i.cast("int").alias("i"), F.length(s).cast("int").alias("n")))
-
-    def step(state: Column, x: Column) -> Column:
-        fits = (state["size"] > 0) & (state["size"] + x["n"] + gap + 1 <= budget)
-        closed = F.when(fits | (state["size"] == 0), state["done"]).otherwise(F.concat(state["done"], F.array(F.struct(state["start"].alias("start"), x["i"].alias("stop"), state["size"].alias("size")))))
-        start = F.when(fits, state["start"]).otherwise(x["i"])
-        size = F.when(fits, state["size"] + x["n"] + gap).otherwise(x["n"] + gap)
-        return F.struct(closed.alias("done"), start.cast("int").alias("start"), size.cast("int").alias("size"))
 
-    def close(state: Column) -> Column:
-        last = F.struct(state["start"].alias("start"), F.size(pieces).cast("int").alias("stop"), state["size"].alias("size"))
-        return F.when(state["size"] > 0, F.concat(state["done"], F.array(last))).otherwise(state["done"])
-
-    start = F.struct(empty.alias("done"), F.lit(0).cast("int").alias("start"), F.lit(0).cast("int").alias("size"))
-    return F.aggregate(sizes, start, step, close)
+    def run(sizes: pa.Array) -> pa.Array:
+        runs, ends = [], [0]
+        for own in _lists(sizes):
+            start = size = 0
+            for i, n in enumerate(own):
+                if size > 0 and size + n + gap + 1 <= budget:
+                    size += n + gap
+                    continue
+                if size > 0:
+                    runs.append((start, i, size))
+                start, size = i, n + gap
+            if size > 0:
+                runs.append((start, len(own), size))
+            ends.append(len(runs))
+        columns = [pa.array(c, pa.int32()) for c in (zip(*runs) if runs else ((), (), ()))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["start", "stop", "size"]), mask=sizes.is_null())
+
+    return F.arrow_udf(run, CHUNKS)(F.transform(pieces, lambda s: F.length(s)))
 
 
 def merge_short(sizes: Column, least: int) -> Column:
     """Group number of each size: sizes are gathered until their sum reaches ``least``; a short tail joins the last group."""
 
-    def step(state: Column, n: Column) -> Column:
-        total = state["total"] + n
-        full = total >= least
-        return F.struct(F.concat(state["out"], F.array(state["group"])).alias("out"), F.when(full, state["group"] + 1).otherwise(state["group"]).alias("group"), F.when(full, 0).otherwise(total).cast("int").alias("total"))
-
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("group"), F.lit(0).alias("total"))
-    done = F.aggregate(F.transform(sizes, lambda n: n.cast("int")), start, step)
-    return F.transform(done["out"], lambda g: F.when((g == done["group"]) & (g > 0) & (done["total"] > 0), g - 1).otherwise(g))
+    def run(sizes: pa.Array) -> pa.Array:
+        out, ends = [], [0]
+        for own in _lists(sizes):
+            group = total = 0
+            for n in own:
+                out.append(group)
+                total += n
+                if total >= least:
+                    group, total = group + 1, 0
+            if group and total > 0:  # the tail
+                k = len(out)
+                while k > ends[-1] and out[k - 1] == group:
+                    k -= 1
+                    out[k] = group - 1
+            ends.append(len(out))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()), mask=sizes.is_null())
+
+    return F.arrow_udf(run, ArrayType(IntegerType()))(sizes.cast("array<int>"))
 
 
 def carry_header(blocks: DataFrame, by: str, order: str, kind: str = "type", text: str = "text") -> DataFrame:

@@ -10,12 +10,14 @@ from lorespark.functions import text
 
 def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int = 4) -> DataFrame:
     """Words of at least ``least`` characters in each document with how often they are there (``word``, ``tf``)."""
-    return docs.select(by, F.explode(text.words(F.col(body))).alias("word")).where(F.length("word") >= least).groupBy(by, "word").agg(F.count("*").alias("tf"))
+    long = F.filter(text.words(F.col(body)), lambda w: F.length(w) >= least)
+    return docs.select(by, F.explode(long).alias("word")).groupBy(by, "word").agg(F.count("*").alias("tf"))
 
 
 def tfidf(tf: DataFrame, documents: int | Column, by: str = "doc_id") -> DataFrame:
     """``score``: frequency times the logarithm of documents per document with the word."""
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    # counted by way of tf, so that both sides of the join need the same shuffle and it is made once
+    df = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return tf.join(df, "word").withColumn("score", F.round(F.col("tf") * F.log((F.lit(documents) + 1) / (F.col("df") + 1)), 6))
 
 

@@ -108,6 +108,10 @@ def test_folds(spark):
     frame = spark.createDataFrame([(["aaaa", "bb", "cccccccccccc", "d"], [3, 3, 5, 1, 9, 2])], "p array<string>, n array<int>")
     assert [tuple(r)[:2] for r in frame.select(chunking.pack(F.col("p"), 10)).first()[0]] == [(0, 2), (2, 3), (3, 4)]
     assert frame.select(chunking.merge_short(F.col("n"), 6)).first()[0] == [0, 0, 1, 1, 2, 2]
+    odd = frame.sparkSession.createDataFrame([(1, None, None), (2, [], []), (3, ["x" * 30], [1]), (4, ["a", "b"], [9, 1])], "k int, p array<string>, n array<int>").coalesce(1)
+    got = odd.orderBy("k").select(chunking.pack(F.col("p"), 10).alias("runs"), chunking.merge_short(F.col("n"), 6).alias("groups")).collect()
+    assert [None if r.runs is None else [tuple(x) for x in r.runs] for r in got] == [None, [], [(0, 1, 31)], [(0, 2, 4)]]
+    assert [r.groups for r in got] == [None, [], [0], [0, 0]]
     long = spark.createDataFrame([(1, "Aaa bbb. Ccc ddd! Zzz?")], "article_id long, text string")
     assert [r.text for r in chunking.hybrid_chunks(long, 12, 0.0).orderBy("idx").collect()] == ["Aaa bbb.", "Ccc ddd!", "Zzz?"]
     segments = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.2, 2.0), ("a", 3.0, 4.0)], "k string, start double, end double")
