@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,6 +14,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lorespark.functions import vectors
 
+#: Characters between blocks of a chunk.
+GAP = 2
+SPANS = ArrayType(StructType([StructField(n, IntegerType()) for n in ("start", "stop")]))
 CHUNKS = ArrayType(StructType([StructField(n, IntegerType()) for n in ("start", "stop", "size")]))
 
 
@@ -90,19 +96,59 @@ def semantic_groups(points: DataFrame, least: float, by: list[str], order: list[
     return points.withColumn("sim", sim).withColumn("grp", F.sum(F.when(F.col("sim") < least, 1).otherwise(0)).over(run).cast("long"))
 
 
-def section_chunks(blocks: DataFrame, most: int, by: str = "article_id", order: str = "pos") -> DataFrame:
-    """Chunks of blocks under one header, packed to ``most`` characters.
+def section_spans(sizes: list[int], heads: list[bool], least: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of blocks that make chunks.
 
-    ``article_id``, ``idx``, ``section``, ``text``, ``block_ids`` and ``char_count``.
+    Sections begin at headers; one shorter than ``least`` runs on into the next, and a
+    short end belongs to the last.  A section over ``most`` is cut between blocks, and
+    each further part begins with the blocks before the cut that fit ``overlap``.
+    """
+    upto = [0, *accumulate(sizes)]
+    bounds, start = [], 0
+    for end in [k for k in range(1, len(sizes)) if heads[k]] + [len(sizes)] * bool(sizes):
+        if upto[end] - upto[start] + GAP * (end - start - 1) >= least:
+            bounds.append((start, end))
+            start = end
+    if start < len(sizes):
+        bounds = [*bounds[:-1], (bounds[-1][0] if bounds else 0, len(sizes))]
+    out = []
+    for start, end in bounds:
+        if upto[end] - upto[start] + GAP * (end - start - 1) <= most:
+            out.append((start, end))
+            continue
+        first, least_stop = start, start + 1
+        while True:
+            stop = min(end, max(least_stop, bisect_right(upto, upto[first] + most) - 1))
+            out.append((first, stop))
+            if stop == end:
+                break
+            first, least_stop = max(first, bisect_left(upto, upto[stop] - overlap)), stop + 1
+    return out
+
+
+def section_chunks(blocks: DataFrame, most: int = 2000, least: int = 200, overlap: int = 100, by: str = "article_id", order: str = "pos") -> DataFrame:
+    """Chunks of whole blocks, by sections.
+
+    ``article_id``, ``idx`` from 0 in reading order, ``section`` (the header at or before
+    the first block), ``text``, ``block_ids`` and ``char_count``.  Blank blocks are left out.
     """
-    held = carry_header(blocks.where("text <> ''"), by, order)
-    gathered = held.groupBy(by, "section").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "id", "text"))).alias("b"))
-    texts = F.transform("b", lambda x: x["text"])
-    runs = gathered.withColumn("run", F.explode(pack(texts, most, 2)))
+    held = carry_header(blocks.where(F.trim("text") != ""), by, order)
+    block = F.struct(F.col(order).alias("o"), "id", F.trim("text").alias("text"), "section", (F.col("type") == "header").alias("head"))
+    gathered = held.groupBy(by).agg(F.sort_array(F.collect_list(block)).alias("b"))
+
+    def run(sizes: pa.Array, heads: pa.Array) -> pa.Array:
+        spans, ends = [], [0]
+        for own, marks in zip(_lists(sizes), _lists(heads)):
+            spans += section_spans(own, marks, least, most, overlap)
+            ends.append(len(spans))
+        columns = [pa.array(c, pa.int32()) for c in (zip(*spans) if spans else ((), ()))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["start", "stop"]))
+
+    spans = F.arrow_udf(run, SPANS)(F.transform("b", lambda x: F.length(x["text"])), F.transform("b", lambda x: x["head"]))
+    runs = gathered.select(by, "b", F.posexplode(spans).alias("idx", "run"))
     part = F.slice(F.col("b"), F.col("run.start") + 1, F.col("run.stop") - F.col("run.start"))
     text = F.array_join(F.transform(part, lambda x: x["text"]), "\n\n")
-    out = runs.select(by, "section", F.get(part, F.lit(0))["o"].alias("first"), text.alias("text"), F.transform(part, lambda x: x["id"]).alias("block_ids"))
-    return out.withColumn("idx", F.row_number().over(Window.partitionBy(by).orderBy("first")) - 1).withColumn("char_count", F.length("text")).drop("first")
+    return runs.select(by, "idx", F.get(part, F.lit(0))["section"].alias("section"), text.alias("text"), F.transform(part, lambda x: x["id"]).alias("block_ids"), F.length(text).alias("char_count"))
 
 
 def hybrid_chunks(docs: DataFrame, most: int = 2000, least: float = 0.6, by: str = "article_id", embed=None) -> DataFrame:

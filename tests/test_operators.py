@@ -104,6 +104,45 @@ def test_blocks(spark):
     assert [b["text"] for b in page] == ["x **y**", "z & *w*"]
 
 
+def test_section_spans():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(0, 30)
+        sizes, heads = [rng.randint(1, 40) for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
+        least, most, overlap = rng.choice([0, 30, 80]), rng.choice([50, 120]), rng.choice([0, 20, 60])
+        length = lambda p: sum(sizes[i] for i in p) + 2 * (len(p) - 1)  # noqa: B023, E731
+        parts, open_ = [], []
+        for i in range(n):
+            if heads[i] and open_ and length(open_) >= least:
+                parts, open_ = [*parts, open_], []
+            open_ = [*open_, i]
+        if open_ and parts and length(open_) < least:
+            parts[-1] = parts[-1] + open_
+        elif open_:
+            parts.append(open_)
+        want = []
+        for p in parts:
+            if length(p) <= most:
+                want.append((p[0], p[-1] + 1))
+                continue
+            now = []
+            for i in p:
+                if now and sum(sizes[j] for j in now) + sizes[i] > most:
+                    want.append((now[0], now[-1] + 1))
+                    now = [j for j in now if sum(sizes[k] for k in now if k >= j) <= overlap]
+                now = [*now, i]
+            want.append((now[0], now[-1] + 1))
+        assert chunking.section_spans(sizes, heads, least, most, overlap) == want
+
+
+def test_section_chunks(spark):
+    rows = [("a", 0, "1", "header", "A"), ("a", 1, "1.1", "paragraph", "x" * 9), ("a", 2, "2", "header", "A"), ("a", 3, "2.1", "paragraph", "y" * 9), ("a", 4, "2.2", "paragraph", " "), ("a", 5, "2.3", "paragraph", "z" * 9), ("b", 0, "1", "paragraph", "p"), ("c", 0, "1", "paragraph", "")]
+    got = chunking.section_chunks(spark.createDataFrame(rows, "article_id string, pos int, id string, type string, text string"), 20, 5, 9).orderBy("article_id", "idx").collect()
+    assert [(r.article_id, r.idx, r.section, r.block_ids, r.char_count) for r in got] == [("a", 0, "A", ["1", "1.1"], 12), ("a", 1, "A", ["2", "2.1", "2.3"], 23), ("b", 0, None, ["1"], 1)]
+
+
 def test_folds(spark):
     frame = spark.createDataFrame([(["aaaa", "bb", "cccccccccccc", "d"], [3, 3, 5, 1, 9, 2])], "p array<string>, n array<int>")
     assert [tuple(r)[:2] for r in frame.select(chunking.pack(F.col("p"), 10)).first()[0]] == [(0, 2), (2, 3), (3, 4)]
