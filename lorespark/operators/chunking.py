@@ -96,7 +96,7 @@ def semantic_groups(points: DataFrame, least: float, by: list[str], order: list[
     return points.withColumn("sim", sim).withColumn("grp", F.sum(F.when(F.col("sim") < least, 1).otherwise(0)).over(run).cast("long"))
 
 
-def section_spans(sizes: list[int], heads: list[bool], least: int, most: int, overlap: int) -> list[tuple[int, int]]:
+def section_spans(sizes: list[int], heads: list[bool], least: int, most: float, overlap: int, gap: int = GAP) -> list[tuple[int, int]]:
     """Ranges of blocks that make chunks.
 
     Sections begin at headers; one shorter than ``least`` runs on into the next, and a
@@ -106,14 +106,14 @@ def section_spans(sizes: list[int], heads: list[bool], least: int, most: int, ov
     upto = [0, *accumulate(sizes)]
     bounds, start = [], 0
     for end in [k for k in range(1, len(sizes)) if heads[k]] + [len(sizes)] * bool(sizes):
-        if upto[end] - upto[start] + GAP * (end - start - 1) >= least:
+        if upto[end] - upto[start] + gap * (end - start - 1) >= least:
             bounds.append((start, end))
             start = end
     if start < len(sizes):
         bounds = [*bounds[:-1], (bounds[-1][0] if bounds else 0, len(sizes))]
     out = []
     for start, end in bounds:
-        if upto[end] - upto[start] + GAP * (end - start - 1) <= most:
+        if upto[end] - upto[start] + gap * (end - start - 1) <= most:
             out.append((start, end))
             continue
         first, least_stop = start, start + 1
@@ -126,20 +126,14 @@ def section_spans(sizes: list[int], heads: list[bool], least: int, most: int, ov
     return out
 
 
-def section_chunks(blocks: DataFrame, most: int = 2000, least: int = 200, overlap: int = 100, by: str = "article_id", order: str = "pos") -> DataFrame:
-    """Chunks of whole blocks, by sections.
-
-    ``article_id``, ``idx`` from 0 in reading order, ``section`` (the header at or before
-    the first block), ``text``, ``block_ids`` and ``char_count``.  Blank blocks are left out.
-    """
-    held = carry_header(blocks.where(F.trim("text") != ""), by, order)
-    block = F.struct(F.col(order).alias("o"), "id", F.trim("text").alias("text"), "section", (F.col("type") == "header").alias("head"))
+def _block_chunks(held: DataFrame, begins: Column, by: str, order: str, **limits) -> DataFrame:
+    block = F.struct(F.col(order).alias("o"), "id", F.trim("text").alias("text"), "section", begins.alias("head"))
     gathered = held.groupBy(by).agg(F.sort_array(F.collect_list(block)).alias("b"))
 
     def run(sizes: pa.Array, heads: pa.Array) -> pa.Array:
         spans, ends = [], [0]
         for own, marks in zip(_lists(sizes), _lists(heads)):
-            spans += section_spans(own, marks, least, most, overlap)
+            spans += section_spans(own, marks, **limits)
             ends.append(len(spans))
         columns = [pa.array(c, pa.int32()) for c in (zip(*spans) if spans else ((), ()))]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["start", "stop"]))
@@ -151,6 +145,28 @@ def section_chunks(blocks: DataFrame, most: int = 2000, least: int = 200, overla
     return runs.select(by, "idx", F.get(part, F.lit(0))["section"].alias("section"), text.alias("text"), F.transform(part, lambda x: x["id"]).alias("block_ids"), F.length(text).alias("char_count"))
 
 
+def section_chunks(blocks: DataFrame, most: int = 2000, least: int = 200, overlap: int = 100, by: str = "article_id", order: str = "pos") -> DataFrame:
+    """Chunks of whole blocks, by sections.
+
+    ``article_id``, ``idx`` from 0 in reading order, ``section`` (the header at or before
+    the first block), ``text``, ``block_ids`` and ``char_count``.  Blank blocks are left out.
+    """
+    held = carry_header(blocks.where(F.trim("text") != ""), by, order)
+    return _block_chunks(held, F.col("type") == "header", by, order, least=least, most=most, overlap=overlap)
+
+
+def semantic_chunks(blocks: DataFrame, similarity: float = 0.5, least: int = 200, by: str = "article_id", order: str = "pos", vector: str | None = None) -> DataFrame:
+    """Chunks of whole blocks, cut where neighbours are less similar than ``similarity``; shorter ones run on.
+
+    Columns are those of ``section_chunks``.  Without a column of vectors the
+    deterministic ones are used.
+    """
+    held = carry_header(blocks.where(F.trim("text") != ""), by, order)
+    held = held.withColumn("_v", vectors.character_embedding(F.col("text")) if vector is None else F.col(vector))
+    grouped = semantic_groups(held, similarity, [by], [order], "_v")
+    return _block_chunks(grouped, F.coalesce(F.col("sim") < similarity, F.lit(False)), by, order, least=least, most=float("inf"), overlap=0, gap=0)
+
+
 def hybrid_chunks(docs: DataFrame, most: int = 2000, least: float = 0.6, by: str = "article_id", embed=None) -> DataFrame:
     """Sentence chunks: cut where neighbours are unlike or the budget is full.
 

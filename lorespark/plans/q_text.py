@@ -95,6 +95,11 @@ def section_chunks(spark, sf_dir):
     return chunking.section_chunks(html_blocks(spark, sf_dir), 2000)
 
 
+@query()
+def semantic_chunks(spark, sf_dir):
+    return chunking.semantic_chunks(html_blocks(spark, sf_dir), 0.8)
+
+
 @query()
 def hybrid_chunks(spark, sf_dir):
     return chunking.hybrid_chunks(_docs(spark, sf_dir).select(F.col("doc_id").alias("article_id"), "text"), 2000, 0.6)

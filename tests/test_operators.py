@@ -143,6 +143,13 @@ def test_section_chunks(spark):
     assert [(r.article_id, r.idx, r.section, r.block_ids, r.char_count) for r in got] == [("a", 0, "A", ["1", "1.1"], 12), ("a", 1, "A", ["2", "2.1", "2.3"], 23), ("b", 0, None, ["1"], 1)]
 
 
+def test_semantic_chunks(spark):
+    rows = [(0, "aaa", [1.0, 0.0]), (1, "bbb", [1.0, 0.1]), (2, "c", [0.0, 1.0]), (3, "dd", [0.0, 0.0]), (4, " ", [1.0, 1.0])]
+    blocks_ = spark.createDataFrame([("a", p, str(p), "paragraph", t, v) for p, t, v in rows], "article_id string, pos int, id string, type string, text string, v array<double>")
+    cut = lambda least: [r.block_ids for r in chunking.semantic_chunks(blocks_, 0.5, least, vector="v").orderBy("idx").collect()]
+    assert cut(1) == [["0", "1"], ["2"], ["3"]] and cut(2) == [["0", "1"], ["2", "3"]] and cut(4) == [["0", "1", "2", "3"]] and cut(99) == [["0", "1", "2", "3"]]
+
+
 def test_folds(spark):
     frame = spark.createDataFrame([(["aaaa", "bb", "cccccccccccc", "d"], [3, 3, 5, 1, 9, 2])], "p array<string>, n array<int>")
     assert [tuple(r)[:2] for r in frame.select(chunking.pack(F.col("p"), 10)).first()[0]] == [(0, 2), (2, 3), (3, 4)]
