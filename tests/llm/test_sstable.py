@@ -28,7 +28,7 @@ def plain():
 def test_cache_changes_no_id(plain, monkeypatch):
     monkeypatch.setattr("lorespark.llm.tokenize.CACHE_PIECES", 20)
     tool, rng = Encoder(PATH), random.Random(1)
-    texts = ODD + ["".join(rng.choice(["a", "b", "É", " ", " ", "\n", ",", ".", "1", "'s", "\t", "-", " "]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts = ODD + ["".join(rng.choice(["a", "b", "É", " ", " ", "\n", ",", ".", "1", "'s", "\t", "-", "b", "\n", "$&", "_", "…", "’", "ß", "!", "²", " "]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     for k in range(0, len(texts), 100):
         for t, got in zip(texts[k : k + 100], tool.encode(texts[k : k + 100])):
             assert np.frombuffer(got, dtype=tool.kind).tolist() == plain(t), repr(t)
