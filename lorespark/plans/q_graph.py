@@ -14,6 +14,14 @@ def _edges(spark, sf_dir):
     return items.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
 
 
+#: The statements above and below state a part of the line items; the queries named ``_whole`` take them all.
+_WHOLE = "WITH e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem) "
+
+
+def _all_edges(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
+
+
 @query(_EDGES + "SELECT a, count(DISTINCT b) AS n FROM e GROUP BY a")
 def article_keyword_counts(spark, sf_dir):
     return _edges(spark, sf_dir).groupBy("a").agg(F.countDistinct("b").alias("n"))
@@ -30,6 +38,22 @@ def relation_union_distinct(spark, sf_dir):
     return graph.undirected(_edges(spark, sf_dir))
 
 
+@query(_WHOLE + "SELECT a, count(DISTINCT b) AS n FROM e GROUP BY a")
+def article_keyword_counts_whole(spark, sf_dir):
+    return _all_edges(spark, sf_dir).groupBy("a").agg(F.countDistinct("b").alias("n"))
+
+
+@query(_WHOLE + "SELECT s_suppkey, s_name, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) ON a = s_suppkey")
+def optional_counts_whole(spark, sf_dir):
+    counts = _all_edges(spark, sf_dir).groupBy(F.col("a").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "supplier").join(counts, "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(_WHOLE + "SELECT a, b FROM e UNION SELECT b, a FROM e")
+def relation_union_distinct_whole(spark, sf_dir):
+    return graph.undirected(_all_edges(spark, sf_dir))
+
+
 @query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
 def undirected_pairs(spark, sf_dir):
     return graph.unordered_pairs(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
@@ -53,6 +77,17 @@ def connected_components(spark, sf_dir):
     return graph.components(spark, graph.undirected(edges).select(F.col("a").alias("node")), edges)
 
 
+@query()
+def bfs_depth_whole(spark, sf_dir):
+    return graph.bfs(spark, _all_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), 3)
+
+
+@query()
+def connected_components_whole(spark, sf_dir):
+    edges = _all_edges(spark, sf_dir)
+    return graph.components(spark, graph.undirected(edges).select(F.col("a").alias("node")), edges)
+
+
 @query("SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def orphans_antijoin(spark, sf_dir):
     return graph.roots(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("child")))

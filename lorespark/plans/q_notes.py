@@ -85,3 +85,12 @@ def relations_after_delete(spark, sf_dir):
     relations = bought.select(F.col("o_custkey").alias("source_id"), F.col("l_suppkey").alias("target_id")).distinct()
     ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("concept_id")).union(table(spark, sf_dir, "supplier").select("s_suppkey"))
     return concepts.delete_concepts(ids, relations, ids.where("concept_id % 7 = 0"))[1]
+
+
+@query("SELECT source_id, target_id FROM (SELECT DISTINCT o_custkey AS source_id, l_suppkey AS target_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE source_id % 7 <> 0 AND target_id % 7 <> 0")
+def relations_after_delete_whole(spark, sf_dir):
+    """Relations of all line items that stay when concepts go."""
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    relations = bought.select(F.col("o_custkey").alias("source_id"), F.col("l_suppkey").alias("target_id")).distinct()
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("concept_id")).union(table(spark, sf_dir, "supplier").select("s_suppkey"))
+    return concepts.delete_concepts(ids, relations, ids.where("concept_id % 7 = 0"))[1]
