@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from lorespark.functions import vectors
 
 MONEY = "decimal(12,2)"
-#: Accounts are a person's or a firm's own; every task holds them.
-MOST_ACCOUNTS = 10_000
 
 
 def select_range(rows: DataFrame, user, start=None, end=None, category: str | None = None, day: str = "day") -> DataFrame:
@@ -34,35 +32,35 @@ def resolve_accounts(queries: DataFrame, accounts: DataFrame, synonyms: DataFram
 
     The first that fits of: a synonym, the very name, the query inside a name (one hit, or
     the shortest of many), the longest name inside the query, the most similar name, and
-    the default.  Accounts and synonyms are a person's own few, so they are broadcast.
+    the default.  Synonyms and very names are joined by equality; only queries without
+    either are set beside every account, by whatever join suits the number of both.
     """
     q = queries.select("query").distinct().withColumn("_q", F.lower(F.trim("query")))
     a = accounts.select(F.col("id").alias("account_id"), "name", F.lower(F.trim("name")).alias("_name"))
-    if a.limit(MOST_ACCOUNTS + 1).count() > MOST_ACCOUNTS:
-        raise ValueError(f"more than {MOST_ACCOUNTS} accounts")
-    a = F.broadcast(a)
-    named = F.broadcast(synonyms.select(F.lower("word").alias("_q"), F.lower("name").alias("_name")).join(a, "_name"))
-    out = ["query", "account_id", "name", "confidence", "how", "_step", "_order"]
+    named = synonyms.select(F.lower("word").alias("_q"), F.lower("name").alias("_name")).join(a, "_name")
+    out = ["query", "account_id", "name", "confidence", "how", "_step", "_order", "_id"]
 
     def found(frame: DataFrame, how: str, confidence, step: int, order) -> DataFrame:
-        return frame.withColumns({"confidence": confidence, "how": F.lit(how), "_step": F.lit(step), "_order": order}).select(out)
+        return frame.withColumns({"confidence": confidence, "how": F.lit(how), "_step": F.lit(step), "_order": order.cast("long"), "_id": by_id}).select(out)
 
     by_id = F.col("account_id").cast("long")
-    inside = q.join(a, F.contains("_name", F.col("_q")) & (F.col("_q") != "")).withColumn("_hits", F.count("*").over(Window.partitionBy("query")))
-    # only what no plainer step finds is embedded, and each name once
-    early = [q.join(named, "_q"), q.join(a, F.contains("_name", F.col("_q")) | F.contains("_q", F.col("_name")))]
-    rest = reduce(lambda left, right: left.join(right.select("query"), "query", "left_anti"), early, q).withColumn("_qv", vectors.character_embedding(F.col("_q")))
-    vectored = F.broadcast(a.withColumn("_nv", vectors.character_embedding(F.col("_name"))))
-    similar = rest.join(vectored).withColumn("_sim", F.round(vectors.dot(F.col("_qv"), F.col("_nv")), 6)).where(F.col("_sim") >= least)
+    none = F.lit(0)
+    without = lambda left, right: left.join(right.select("query"), "query", "left_anti")
+    synonym, exact = q.join(named, "_q"), q.join(a, F.col("_q") == F.col("_name"))
+    left = without(without(q, synonym), exact)
+    inside = left.join(a, F.contains("_name", F.col("_q")) & (F.col("_q") != "")).withColumn("_hits", F.count("*").over(Window.partitionBy("query")))
+    # only what no plainer step finds is embedded
+    rest = without(left, left.join(a, F.contains("_name", F.col("_q")) | F.contains("_q", F.col("_name")))).withColumn("_qv", vectors.character_embedding(F.col("_q")))
+    similar = rest.join(a.withColumn("_nv", vectors.character_embedding(F.col("_name")))).withColumn("_sim", F.round(vectors.dot(F.col("_qv"), F.col("_nv")), 6)).where(F.col("_sim") >= least)
     default_rows = a.where(F.col("_name") == F.lower(F.lit(default))) if default else a.orderBy("account_id").limit(1)
     steps = [
-        found(q.join(named, "_q"), "synonym", F.lit(1.0), 1, by_id),
-        found(q.join(a, F.col("_q") == F.col("_name")), "exact", F.lit(1.0), 2, by_id),
-        found(inside, "part", F.when(F.col("_hits") == 1, 0.8).otherwise(0.6), 3, F.length("name") * 1_000_000 + by_id),
-        found(q.join(a, F.contains("_q", F.col("_name"))), "whole", F.lit(0.5), 4, -F.length("name") * 1_000_000 + by_id),
-        found(similar, "similar", F.col("_sim"), 5, (-F.col("_sim") * 1_000_000).cast("long") * 1000 + by_id),
-        found(q.join(F.broadcast(default_rows)), "default", F.lit(0.3), 6, by_id),
+        found(synonym, "synonym", F.lit(1.0), 1, none),
+        found(exact, "exact", F.lit(1.0), 2, none),
+        found(inside, "part", F.when(F.col("_hits") == 1, 0.8).otherwise(0.6), 3, F.length("name")),
+        found(left.join(a, F.contains("_q", F.col("_name"))), "whole", F.lit(0.5), 4, -F.length("name")),
+        found(similar, "similar", F.col("_sim"), 5, F.round(-F.col("_sim") * 1_000_000)),
+        found(left.join(F.broadcast(default_rows)), "default", F.lit(0.3), 6, none),
     ]
-    every = reduce(DataFrame.union, [s.withColumn("_order", F.col("_order").cast("long")) for s in steps])
-    best = every.groupBy("query").agg(F.min_by(F.struct("account_id", "name", "confidence", "how"), F.struct("_step", "_order")).alias("b"))
+    every = reduce(DataFrame.union, steps)
+    best = every.groupBy("query").agg(F.min_by(F.struct("account_id", "name", "confidence", "how"), F.struct("_step", "_order", "_id")).alias("b"))
     return best.select("query", "b.*")

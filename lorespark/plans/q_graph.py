@@ -302,6 +302,14 @@ def account_cascade(spark, sf_dir):
     return finance.resolve_accounts(wanted, accounts, spark.createDataFrame([("cash", "none")], "word string, name string")).select("query", "account_id", "how")
 
 
+@query("SELECT c_name AS query, c_custkey AS account_id, 'exact' AS how FROM customer")
+def account_cascade_whole(spark, sf_dir):
+    """Every customer asked for among all customers."""
+    customers = table(spark, sf_dir, "customer")
+    accounts = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return finance.resolve_accounts(customers.select(F.col("c_name").alias("query")), accounts, spark.createDataFrame([("cash", "none")], "word string, name string")).select("query", "account_id", "how")
+
+
 @query("SELECT lower(s_name) AS alias, s_name AS name FROM supplier")
 def alias_lookup(spark, sf_dir):
     people = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit(False).alias("is_group"))

@@ -2,8 +2,10 @@
 
 import pytest
 
+from lorespark.operators import finance
 from lorespark.plans import load
 
+SF = "/root/testdata/sf0.001"
 QUERIES = load().QUERIES
 
 #: Two chains of suppliers and parts; only the last rows have the quantity and the discount of the thinned graph.
@@ -47,3 +49,15 @@ def test_counts_and_unions_of_all_items(spark, items):
     near = _near()
     assert {r.a: r.n for r in QUERIES["article_keyword_counts_whole"](spark, items).collect()} == {a: len(b) for a, b in near.items() if a < 1_000_000}
     assert {(r.a, r.b) for r in QUERIES["relation_union_distinct_whole"](spark, items).collect()} == {(a, b) for a, bs in near.items() for b in bs}
+
+
+def test_more_accounts_than_a_task_should_hold(spark):
+    names = [(i, f"account number {i:05d}") for i in range(1, 12_001)] + [(20_001, "abcx"), (20_500, "abcy")]
+    accounts = spark.createDataFrame(names, "id long, name string")
+    asked = ["account number 11999", " ACCOUNT number 00007", "number 10500", "abca", "cash"]
+    got = {r.query: (r.account_id, r.how) for r in finance.resolve_accounts(spark.createDataFrame([(x,) for x in asked], "query string"), accounts, spark.createDataFrame([("cash", "account number 00003")], "word string, name string")).collect()}
+    assert got == {asked[0]: (11_999, "exact"), asked[1]: (7, "exact"), asked[2]: (10_500, "part"), asked[3]: (20_001, "similar"), asked[4]: (3, "synonym")}
+
+
+def test_every_customer_is_asked(spark):
+    assert QUERIES["account_cascade_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
