@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from lorespark.functions import vectors
 BLOCK = 1024
 #: Query vectors or concepts that are held by every task at once.
 MOST_QUERIES = 20_000
+#: Scores that a search holds at once, at least those of 1,024 points.
+MOST_SCORES = 1 << 22
 DIGITS = 6
 
 
@@ -32,7 +36,12 @@ def _collected(spark: SparkSession, queries: DataFrame, key: str, vector: str):
     rows = queries.select(key, vectors.doubles(F.col(vector)).alias("v")).limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} query vectors: search them in parts")
-    rows.sort(key=lambda r: r[0])
+    return _shared(spark, rows)
+
+
+def _shared(spark: SparkSession, rows: list):
+    """The keys and unit vectors of rows (key, ``v``), in order of the keys, broadcast."""
+    rows = sorted(rows, key=lambda r: r[0])
     return spark.sparkContext.broadcast(([r[0] for r in rows], _unit(np.array([r.v for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))))
 
 
@@ -41,28 +50,34 @@ def knn(spark: SparkSession, points: DataFrame, queries: DataFrame, k: int, key:
 
     Scores are rounded before ranking, and ties go to the smaller key.  Filter ``points``
     first to search a part of them.  Every task keeps its own best ``k`` for each query,
-    so what is shuffled doesn't grow with the points.
+    so what is shuffled doesn't grow with the points.  Queries are searched in blocks of
+    ``MOST_QUERIES``, each in its own pass over the points.
     """
-    shared = _collected(spark, queries, key, vector)
+    stream = queries.select(F.col(key).cast("long").alias("id"), vectors.doubles(F.col(vector)).alias("v")).toLocalIterator()
+    blocks = iter(lambda: list(islice(stream, MOST_QUERIES)), [])
+    found = [_search(points, _shared(spark, rows), k, key, vector, skip_self) for rows in blocks]
+    return reduce(DataFrame.union, found) if found else _search(points, _shared(spark, []), k, key, vector, skip_self)
 
+
+def _search(points: DataFrame, shared, k: int, key: str, vector: str, skip_self: bool) -> DataFrame:
     def run(batches):
         names, matrix = shared.value
         best: list[list] = [[] for _ in names]
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = np.round(_unit(_matrix(batch.column(1))) @ matrix.T, DIGITS) + 0.0
-            for q, name in enumerate(names):
-                own = scores[:, q]
-                if skip_self:
-                    own = np.where(ids == name, -np.inf, own)
-                near = np.argpartition(-own, min(k, len(own)) - 1)[:k] if len(own) > k else np.arange(len(own))
-                near = np.flatnonzero(own >= own[near].min()) if len(own) > k else near
-                for i in near:
-                    if own[i] > -np.inf:
-                        item = (own[i], -int(ids[i]))
-                        heapq.heappush(best[q], item) if len(best[q]) < k else heapq.heappushpop(best[q], item)
+        step = max(1024, MOST_SCORES // max(1, len(names)))
+        for whole in batches:
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows if names else 0, step)):
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                scores = np.round(_unit(_matrix(batch.column(1))) @ matrix.T, DIGITS) + 0.0
+                for q, name in enumerate(names):
+                    own = scores[:, q]
+                    if skip_self:
+                        own = np.where(ids == name, -np.inf, own)
+                    near = np.argpartition(-own, min(k, len(own)) - 1)[:k] if len(own) > k else np.arange(len(own))
+                    near = np.flatnonzero(own >= own[near].min()) if len(own) > k else near
+                    for i in near:
+                        if own[i] > -np.inf:
+                            item = (own[i], -int(ids[i]))
+                            heapq.heappush(best[q], item) if len(best[q]) < k else heapq.heappushpop(best[q], item)
         rows = [(name, -i, s) for name, found in zip(names, best) for s, i in found]
         columns = list(zip(*rows)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", key, "score"])

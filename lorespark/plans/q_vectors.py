@@ -15,9 +15,28 @@ t AS (SELECT * FROM r WHERE rank <= 10)
 """
 
 
-def _search(spark, sf_dir, where="true"):
+#: The statement above has three queries; the queries named ``_whole`` take every fiftieth row.
+_KNN_WHOLE = _KNN.replace("vec_id IN (0, 1, 2)", "vec_id % 50 = 0")
+
+
+def _search(spark, sf_dir, where="true", asked="vec_id in (0, 1, 2)"):
     points = table(spark, sf_dir, "embeddings")
-    return retrieval.knn(spark, points.where(where), points.where("vec_id in (0, 1, 2)"), 10)
+    return retrieval.knn(spark, points.where(where), points.where(asked), 10)
+
+
+@query(_KNN_WHOLE.format(where="") + "SELECT query_id, vec_id, score, rank FROM t")
+def knn_topk_whole(spark, sf_dir):
+    return _search(spark, sf_dir, asked="vec_id % 50 = 0")
+
+
+@query(_KNN_WHOLE.format(where="AND label IN (3, 4, 5)") + "SELECT query_id, vec_id, score, rank FROM t")
+def knn_filtered_by_label_whole(spark, sf_dir):
+    return _search(spark, sf_dir, "label in (3, 4, 5)", "vec_id % 50 = 0")
+
+
+@query(_KNN_WHOLE.format(where="") + "SELECT query_id, count(*) AS hits FROM t GROUP BY query_id")
+def retrieval_hits_by_query_whole(spark, sf_dir):
+    return retrieval.hits_by_query(retrieval.fuse(_search(spark, sf_dir, asked="vec_id % 50 = 0")))
 
 
 @query(_KNN.format(where="") + "SELECT query_id, vec_id, score, rank FROM t")

@@ -1,8 +1,9 @@
 """Queries over whole tables, against brute force on small fixtures."""
 
+import numpy as np
 import pytest
 
-from lorespark.operators import finance
+from lorespark.operators import finance, retrieval
 from lorespark.plans import load
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +62,27 @@ def test_more_accounts_than_a_task_should_hold(spark):
 
 def test_every_customer_is_asked(spark):
     assert QUERIES["account_cascade_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+
+
+def _points(spark, n, size=8, seed=1):
+    vectors = np.random.default_rng(seed).normal(size=(n, size))
+    return vectors, spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+
+
+def _cosines(vectors):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.round(unit @ unit.T, 6)
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    vectors, points = _points(spark, 60)
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    scores = _cosines(vectors)
+    got = {(r.query_id, r.rank): r.vec_id for r in retrieval.knn(spark, points, points.where("vec_id % 5 = 0"), 3).collect()}
+    want = {q: sorted((i for i in range(60) if i != q), key=lambda i: (-scores[q, i], i))[:3] for q in range(0, 60, 5)}
+    assert got == {(q, k + 1): i for q, found in want.items() for k, i in enumerate(found)}
+
+
+def test_every_fiftieth_row_is_asked(spark):
+    found = QUERIES["knn_topk_whole"](spark, SF)
+    assert sorted(r.query_id for r in found.select("query_id").distinct().collect()) == list(range(0, 500, 50))
