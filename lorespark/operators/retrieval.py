@@ -103,7 +103,49 @@ def hits_by_query(fused: DataFrame) -> DataFrame:
 
 
 def similar_pairs(points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """All pairs ``a < b`` with a cosine of at least ``least``, as ``a``, ``b``, ``score``.
+    """All pairs ``a < b`` with a cosine of at least ``least``, as ``a``, ``b``, ``score``."""
+
+    def reached(a, b, scores, pairs):
+        i, j = np.nonzero((scores >= least) & pairs)
+        return _pairs(a[i], b[j], scores[i, j])
+
+    return _products(points, reached, "a long, b long, score double", key, vector, block)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> pa.Table:
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": scores})
+
+
+def first_pairs(points: DataFrame, most: int, near: float | None = None, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """The ``most`` pairs with the highest cosines, or with those nearest to ``near``: each pair of blocks sends its own first ones."""
+
+    def first(a, b, scores, pairs):
+        i, j = np.nonzero(pairs)
+        scores = scores[i, j]
+        far = -scores if near is None else np.round(np.abs(scores - near), DIGITS)
+        if len(far) > most:
+            taken = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1])
+            i, j, scores, far = i[taken], j[taken], scores[taken], far[taken]
+        order = np.lexsort((np.maximum(a[i], b[j]), np.minimum(a[i], b[j]), far))[:most]
+        return _pairs(a[i[order]], b[j[order]], scores[order])
+
+    found = _products(points, first, "a long, b long, score double", key, vector, block)
+    far = F.desc("score") if near is None else F.round(F.abs(F.col("score") - near), DIGITS)
+    return found.orderBy(far, "a", "b").limit(most)
+
+
+def score_counts(points: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """How many of all pairs have each rounded cosine: ``score``, ``n``; at most two million rows, however many pairs."""
+
+    def count(a, b, scores, pairs):
+        values, n = np.unique(scores[pairs], return_counts=True)
+        return pa.table({"score": values, "n": n.astype(np.int64)})
+
+    return _products(points, count, "score double, n long", key, vector, block).groupBy("score").agg(F.sum("n").alias("n"))
+
+
+def _products(points: DataFrame, make, schema: str, key: str, vector: str, block: int) -> DataFrame:
+    """What ``make`` takes of each pair of blocks: ids of both sides, their scores, and which of these are pairs of different points.
 
     A blocked matrix product: each pair of blocks is one group, of two bounded blocks.
     The number of pairs grows with the square of the points, as the operation asks for;
@@ -123,13 +165,10 @@ def similar_pairs(points: DataFrame, least: float, key: str = "vec_id", vector:
         x, y = key_[0].as_py(), key_[1].as_py()
         left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
         scores = np.round(m[left] @ m[right].T, DIGITS) + 0.0
-        i, j = np.nonzero(scores >= least)
-        keep = (ids[left][i] < ids[right][j]) if x == y else np.ones(len(i), dtype=bool)
-        i, j = i[keep], j[keep]
-        a, c = ids[left][i], ids[right][j]
-        return pa.table({"a": np.minimum(a, c), "b": np.maximum(a, c), "score": scores[i, j]})
+        pairs = ids[left][:, None] < ids[right] if x == y else np.ones(scores.shape, dtype=bool)
+        return make(ids[left], ids[right], scores, pairs)
 
-    return spread.groupBy("x", "y").applyInArrow(product, "a long, b long, score double")
+    return spread.groupBy("x", "y").applyInArrow(product, schema)
 
 
 def distribution(frame: DataFrame, value: str = "score") -> DataFrame:
@@ -140,6 +179,16 @@ def distribution(frame: DataFrame, value: str = "score") -> DataFrame:
     return frame.agg(F.count(value).alias("n"), *exact, *(F.round(f(value), DIGITS).alias(n) for f, n in rest))
 
 
+def counted_distribution(counts: DataFrame, value: str = "score", n: str = "n") -> DataFrame:
+    """``distribution`` of a column whose distinct values come with their counts."""
+    points = [5, 25, 50, 75, 90, 95, 99]
+    all_, mean = F.sum(n), F.sum(F.col(value) * F.col(n)) / F.sum(n)
+    square = F.sum(F.col(value) * F.col(value) * F.col(n)) / F.sum(n)
+    found = counts.agg(F.coalesce(all_, F.lit(0)).alias("n"), F.percentile(value, F.array(*(F.lit(p / 100) for p in points)), F.col(n)).alias("_p"), F.min(value).alias("lowest"), F.max(value).alias("highest"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("deviation"))
+    exact = [F.round(F.get("_p", F.lit(i)), DIGITS).alias(f"p{p}") for i, p in enumerate(points)]
+    return found.select("n", *exact, *(F.round(c, DIGITS).alias(c) for c in ("lowest", "highest", "mean", "deviation")))
+
+
 def centroids(points: DataFrame, label: str, vector: str = "embedding", weight: Column | None = None) -> DataFrame:
     """Mean vector of each label: averages by place, put together in order."""
     flat = points.where(F.col(vector).isNotNull()).select(label, F.posexplode(vectors.doubles(F.col(vector))).alias("place", "x"))

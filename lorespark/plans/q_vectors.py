@@ -103,7 +103,7 @@ def similar_pairs(spark, sf_dir):
 
 @query(_PAIRS + "SELECT a, b, score FROM p ORDER BY score DESC, a, b LIMIT 10")
 def allpairs_similarity_top10(spark, sf_dir):
-    return retrieval.similar_pairs(table(spark, sf_dir, "embeddings"), 0.2).orderBy(F.desc("score"), "a", "b").limit(10)
+    return retrieval.first_pairs(table(spark, sf_dir, "embeddings"), 10)
 
 
 @query(_PAIRS + "SELECT a, b, score FROM p WHERE score >= 0.2 ORDER BY round(abs(score - 0.3), 6), a, b LIMIT 10")
@@ -122,6 +122,22 @@ def similarity_percentiles(spark, sf_dir):
     return retrieval.distribution(retrieval.similar_pairs(table(spark, sf_dir, "embeddings"), 0.2))
 
 
+@query(_PAIRS + "SELECT a, b, score FROM p ORDER BY round(abs(score - 0.3), 6), a, b LIMIT 10")
+def near_threshold_pairs_whole(spark, sf_dir):
+    return retrieval.first_pairs(table(spark, sf_dir, "embeddings"), 10, 0.3)
+
+
+@query(
+    _PAIRS
+    + "SELECT count(*) AS n, "
+    + ", ".join(f"round(quantile_cont(score, {p / 100}), 6) AS p{p}" for p in (5, 25, 50, 75, 90, 95, 99))
+    + ", round(min(score), 6) AS lowest, round(max(score), 6) AS highest, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation FROM p"
+)
+def similarity_percentiles_whole(spark, sf_dir):
+    """The distribution over all pairs, from the counts of rounded scores."""
+    return retrieval.counted_distribution(retrieval.score_counts(table(spark, sf_dir, "embeddings")))
+
+
 _GROUPS = """
 WITH l AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id)) AS sim FROM embeddings),
 c AS (SELECT vec_id, label, sum(CASE WHEN round(sim, 6) < 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS grp FROM l)

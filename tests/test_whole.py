@@ -86,3 +86,24 @@ def test_more_queries_than_a_block(spark, monkeypatch):
 def test_every_fiftieth_row_is_asked(spark):
     found = QUERIES["knn_topk_whole"](spark, SF)
     assert sorted(r.query_id for r in found.select("query_id").distinct().collect()) == list(range(0, 500, 50))
+
+
+def test_first_pairs_without_a_floor(spark, tmp_path):
+    eye = np.eye(8)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(eye)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = [(a, b, 0.0) for a in range(8) for b in range(a + 1, 8)][:10]
+    for name in ("allpairs_similarity_top10", "near_threshold_pairs_whole"):
+        assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == want
+
+
+def test_statistics_of_all_pairs_over_blocks(spark):
+    vectors, points = _points(spark, 90)
+    a, b = np.triu_indices(90, 1)
+    scores = _cosines(vectors)[a, b]
+    got = retrieval.counted_distribution(retrieval.score_counts(points, block=25)).first()
+    want = [np.percentile(scores, p) for p in (5, 25, 50, 75, 90, 95, 99)] + [scores.min(), scores.max(), scores.mean(), scores.std()]
+    assert got.n == len(scores) and np.allclose(got[1:], want, atol=1.1e-6)
+    for near in (None, 0.3):
+        far = -scores if near is None else np.round(np.abs(scores - near), 6)
+        first = np.lexsort((b, a, far))[:10]
+        assert [(r.a, r.b) for r in retrieval.first_pairs(points, 10, near, block=25).collect()] == list(zip(a[first].tolist(), b[first].tolist()))
