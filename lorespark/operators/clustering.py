@@ -12,44 +12,56 @@ from pyspark.sql import functions as F
 from lorespark.operators import graph, retrieval
 
 
-def _greedy_labels(vectors: np.ndarray, least: float) -> np.ndarray:
-    """Each vector joins the most similar running mean of at least ``least``, or starts a cluster."""
-    means, counts, out = np.zeros((0, vectors.shape[1])), [], []
-    for v in vectors:
-        if len(means):
-            size = np.linalg.norm(means, axis=1) * np.linalg.norm(v)
-            scores = np.divide(means @ v, size, out=np.zeros(len(means)), where=size > 0)
-            best = int(scores.argmax())
-            if scores[best] >= least:
-                counts[best] += 1
-                means[best] += (v - means[best]) / counts[best]
-                out.append(best)
-                continue
-        means, counts = np.vstack([means, v]), [*counts, 1]
-        out.append(len(means) - 1)
-    return np.array(out, dtype=np.int64)
-
-
-def greedy(points: DataFrame, least: float, by: list[str], key: str = "vec_id", vector: str = "embedding", order: str | None = None) -> DataFrame:
-    """Greedy centroid clusters within each group, in the order of ``order``; null vectors are skipped.
-
-    The order makes the method sequential in a group; groups run side by side, so block
-    large collections by a coarse key first.
+class _Centroids:
+    """Running means of greedy clusters, with room to grow."""
+
+    def __init__(self, least: float, size: int):
+        self.least, self.n = least, 0
+        self.means, self.lengths, self.counts = np.zeros((64, size)), np.zeros(64), np.zeros(64, dtype=np.int64)
+
+    def place(self, v: np.ndarray) -> int:
+        """The most similar running mean of at least ``least``, the first of equals, or else a new cluster."""
+        n = self.n
+        if n:
+            size = self.lengths[:n] * np.linalg.norm(v)
+            scores = np.divide(self.means[:n] @ v, size, out=np.zeros(n), where=size > 0)
+            best = int((scores >= scores.max() - 1e-9).argmax())
+            if scores[best] >= self.least:
+                self.counts[best] += 1
+                self.means[best] += (v - self.means[best]) / self.counts[best]
+                self.lengths[best] = np.linalg.norm(self.means[best])
+                return best
+        if n == len(self.means):
+            self.means, self.lengths, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.means, self.lengths, self.counts))
+        self.means[n], self.lengths[n], self.counts[n], self.n = v, np.linalg.norm(v), 1, n + 1
+        return n
+
+
+def greedy(points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", order: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy centroid clusters of all points, in the order of ``order`` in lower case and then of the key; null vectors are skipped.
+
+    Every point is compared with all centroids so far, so the method is one sequential
+    pass: a single task reads the sorted points by batch and holds the centroids only.
+    The columns ``keep`` are carried along.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order or key, key=(lambda s: s.str.lower()) if order else None, kind="stable")
-        labels = _greedy_labels(np.array(frame[vector].tolist(), dtype=np.float64), least)
-        return frame[[*by, key]].assign(cluster=labels)
+    def run(frames):
+        found = None
+        for frame in frames:
+            vectors = np.array(frame[vector].tolist(), dtype=np.float64)
+            if len(vectors):
+                found = found or _Centroids(least, vectors.shape[1])
+                yield frame[[*keep, key]].assign(cluster=[found.place(v) for v in vectors])
 
     kinds = dict(points.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, key]) + ", cluster long"
-    return points.where(F.col(vector).isNotNull()).groupBy(*by).applyInPandas(run, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, key]) + ", cluster long"
+    rows = points.where(F.col(vector).isNotNull()).select(*keep, key, vector, (F.lower(order) if order else F.lit(0)).alias("_order"))
+    return rows.repartition(1).sortWithinPartitions("_order", key).mapInPandas(run, schema)
 
 
-def sweep(points: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
+def sweep(points: DataFrame, thresholds: list[float]) -> DataFrame:
     """Number and sizes of the greedy clusters at each threshold."""
-    sizes = [greedy(points, t, by).groupBy(*by, "cluster").agg(F.count("*").alias("n")).agg(F.lit(t).alias("threshold"), F.count("*").alias("clusters"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singles")) for t in thresholds]
+    sizes = [greedy(points, t).groupBy("cluster").agg(F.count("*").alias("n")).agg(F.lit(t).alias("threshold"), F.count("*").alias("clusters"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singles")) for t in thresholds]
     return reduce(DataFrame.union, sizes)
 
 

@@ -31,19 +31,16 @@ def aggregate_clusters(members: DataFrame) -> DataFrame:
     return name.join(domain, "cluster").join(lists, "cluster").join(versions, "cluster")
 
 
-def build(members: DataFrame, edges: DataFrame, least: float, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def build(members: DataFrame, edges: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Concepts and the relations between them.
 
     ``members`` are keyword contexts (``word``, ``article_id``, ``category``, ``confidence``,
-    ``version``, ``pos``, ``embedding`` and the columns of ``by``, the coarse groups that are
-    clustered side by side); ``edges`` are relations ``subject``, ``predicate``, ``object``,
-    ``confidence``.
+    ``version``, ``pos``, ``embedding``), which are clustered in one pass; ``edges`` are
+    relations ``subject``, ``predicate``, ``object``, ``confidence``.
     """
-    by = by or ["category"]
     rows = members.withColumn("_id", F.concat_ws("\x1f", F.lower("word"), "article_id"))
     first = rows.groupBy("_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "_id"]), "pos").alias("r"), F.max("confidence").alias("_c")).select("_id", "r.*", "_c").withColumn("confidence", F.col("_c")).drop("_c")
-    labels = clustering.greedy(first, least, by, "_id", "embedding", "word")
-    placed = first.join(labels.select("_id", F.concat_ws("#", *by, "cluster").alias("cluster")), "_id")
+    placed = first.join(clustering.greedy(first, least, "_id", "embedding", "word"), "_id")
     # a word in several clusters goes with the last of them
     of_word = placed.groupBy(F.col("word").alias("node")).agg(F.max("cluster").alias("cluster"))
     ends = graph.classify_edges(edges.withColumnsRenamed({"subject": "a", "object": "b"}), of_word)

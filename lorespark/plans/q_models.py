@@ -18,9 +18,9 @@ def summary_tree(spark, sf_dir):
 
 def _members(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    tops = keywords.top_words(keywords.tfidf(keywords.mentions(docs), docs.count()), 2)
+    tops = keywords.top_words(keywords.tfidf(keywords.mentions(docs), docs.count()), 5)
     joined = tops.join(docs.select("doc_id", "lang", "source"), "doc_id")
-    return joined.select("word", F.col("source").alias("article_id"), F.col("lang").alias("category"), F.least(F.lit(1.0), F.col("tf") / 10).alias("confidence"), F.lit("v1").alias("version"), F.col("doc_id").alias("pos"), F.concat_ws("-", "lang", F.substring("word", 1, 1)).alias("block"), vectors.character_embedding(F.col("word")).alias("embedding"))
+    return joined.select("word", F.col("source").alias("article_id"), F.col("lang").alias("category"), F.least(F.lit(1.0), F.col("tf") / 10).alias("confidence"), F.lit("v1").alias("version"), F.col("doc_id").alias("pos"), vectors.character_embedding(F.col("word")).alias("embedding"))
 
 
 @query()
@@ -28,7 +28,7 @@ def concept_build(spark, sf_dir):
     members = _members(spark, sf_dir)
     pairs = keywords.cooccurrence(members.select(F.col("pos").alias("doc_id"), "word"))
     edges = pairs.select("subject", F.lit("with").alias("predicate"), "object", F.least(F.lit(1.0), F.col("n") / 5).alias("confidence"))
-    return concepts.build(members, edges, 0.85, ["category", "block"])[0]
+    return concepts.build(members, edges, 0.85)[0]
 
 
 @query()
@@ -36,7 +36,7 @@ def concept_relations(spark, sf_dir):
     members = _members(spark, sf_dir)
     pairs = keywords.cooccurrence(members.select(F.col("pos").alias("doc_id"), "word"))
     edges = pairs.select("subject", F.lit("with").alias("predicate"), "object", F.least(F.lit(1.0), F.col("n") / 5).alias("confidence"))
-    return concepts.build(members, edges, 0.85, ["category", "block"])[1]
+    return concepts.build(members, edges, 0.85)[1]
 
 
 _CENTRES = """WITH f AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS p FROM embeddings WHERE vec_id % 2 = 0),

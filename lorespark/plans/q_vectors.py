@@ -166,7 +166,7 @@ def density_clusters(spark, sf_dir):
 
 @query()
 def greedy_clusters(spark, sf_dir):
-    return clustering.greedy(table(spark, sf_dir, "embeddings"), 0.3, ["label"])
+    return clustering.greedy(table(spark, sf_dir, "embeddings"), 0.3, keep=("label",))
 
 
 @query("SELECT vec_id, text_norm FROM (SELECT vec_id, round(sqrt(list_sum([x * x for x in embedding::DOUBLE[]])), 4) AS text_norm FROM embeddings)")
@@ -176,4 +176,4 @@ def vector_norms(spark, sf_dir):
 
 @query()
 def threshold_sweep(spark, sf_dir):
-    return clustering.sweep(table(spark, sf_dir, "embeddings"), [0.2, 0.3, 0.4, 0.5], ["label"])
+    return clustering.sweep(table(spark, sf_dir, "embeddings"), [0.2, 0.3, 0.4, 0.5])

@@ -1,10 +1,12 @@
 """Queries over whole tables, against brute force on small fixtures."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from lorespark.operators import finance, retrieval
-from lorespark.plans import load
+from lorespark.plans import load, q_models
 
 SF = "/root/testdata/sf0.001"
 QUERIES = load().QUERIES
@@ -107,3 +109,53 @@ def test_statistics_of_all_pairs_over_blocks(spark):
         far = -scores if near is None else np.round(np.abs(scores - near), 6)
         first = np.lexsort((b, a, far))[:10]
         assert [(r.a, r.b) for r in retrieval.first_pairs(points, 10, near, block=25).collect()] == list(zip(a[first].tolist(), b[first].tolist()))
+
+
+def _greedy(vectors, least):
+    """Clusters as the reference makes them: the first of the most similar running means, in a loop."""
+    means, members = [], []
+    for i, v in enumerate(vectors):
+        best, at = -1.0, -1
+        for k, m in enumerate(means):
+            size = np.linalg.norm(m) * np.linalg.norm(v)
+            score = float(m @ v / size) if size else 0.0
+            if score > best + 1e-9:
+                best, at = score, k
+        if at >= 0 and best >= least:
+            members[at].append(i)
+            means[at] = (means[at] * (len(members[at]) - 1) + v) / len(members[at])
+        else:
+            means.append(v.copy())
+            members.append([i])
+    return members
+
+
+def test_greedy_clusters_cross_labels(spark):
+    rows = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").collect(), key=lambda r: r.vec_id)
+    vectors = np.array([r.embedding for r in rows], dtype=np.float64)
+    of = {}
+    for r in QUERIES["greedy_clusters"](spark, SF).collect():
+        of.setdefault(r.cluster, []).append(r.vec_id)
+    want = [[rows[i].vec_id for i in m] for m in _greedy(vectors, 0.3)]
+    assert sorted(sorted(x) for x in of.values()) == sorted(want) and any(len({rows[i].label for i in m}) > 1 for m in _greedy(vectors, 0.3))
+    for r in QUERIES["threshold_sweep"](spark, SF).collect():
+        sizes = [len(m) for m in _greedy(vectors, r.threshold)]
+        assert (r.clusters, r.largest, r.singles) == (len(sizes), max(sizes), sizes.count(1))
+
+
+def test_concepts_cross_first_letters(spark):
+    first = {}
+    for r in sorted(q_models._members(spark, SF).collect(), key=lambda r: r.pos):
+        first.setdefault(f"{r.word.lower()}\x1f{r.article_id}", r)
+    ids = sorted(first, key=lambda i: (first[i].word.lower(), i))
+    found = _greedy(np.array([first[i].embedding for i in ids]), 0.85)
+    want = sorted(sorted({first[ids[i]].word for i in m}) for m in found)
+    assert sorted(r.keyword_words for r in QUERIES["concept_build"](spark, SF).collect()) == want
+    assert any(len({w[0] for w in words}) > 1 for words in want)
+    cluster = {first[ids[i]].word: k for k, m in enumerate(found) for i in m}
+    docs = {}
+    for r in q_models._members(spark, SF).collect():
+        docs.setdefault(r.pos, set()).add(r.word)
+    pairs = {(a, b) for words in docs.values() for a in words for b in words if a < b}
+    between = Counter(tuple(sorted((cluster[a], cluster[b]))) for a, b in pairs if cluster[a] != cluster[b])
+    assert {(r.x, r.y): r.n_edges for r in QUERIES["concept_relations"](spark, SF).collect()} == between
