@@ -134,6 +134,6 @@ def sleep_durations(spark, sf_dir):
 @query()
 def note_sections(spark, sf_dir):
     """Sections of notes made from conversations, a heading for each turn."""
-    line = F.concat(F.lit("## "), "role", F.lit("\n- [ ] "), F.substring("text", 1, 40), F.lit(" #t"), F.col("turn").cast("string"))
+    line = F.concat(F.lit("## "), "role", F.lit("\n- [ ] "), F.coalesce("text", F.lit("")), F.lit(" #t"), F.col("turn").cast("string"))
     made = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("note")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     return notes.tasks(notes.lines(made)).select("note", "pos", "text", "section", F.array_join("tags", ",").alias("tags"))

@@ -159,3 +159,11 @@ def test_concepts_cross_first_letters(spark):
     pairs = {(a, b) for words in docs.values() for a in words for b in words if a < b}
     between = Counter(tuple(sorted((cluster[a], cluster[b]))) for a, b in pairs if cluster[a] != cluster[b])
     assert {(r.x, r.y): r.n_edges for r in QUERIES["concept_relations"](spark, SF).collect()} == between
+
+
+def test_whole_turns_are_parsed(spark, tmp_path):
+    said = "a task that is longer than forty characters by far #late\n- [x] second one #more\nclosing words"
+    spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", None)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.pos, r.text, r.section, r.tags) for r in QUERIES["note_sections"](spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got[:2] == [(1, "a task that is longer than forty characters by far", "user", "late"), (2, "second one", "user", "more")]
+    assert [(p, s, t) for p, _, s, t in got[2:]] == [(5, "assistant", "t1")]
