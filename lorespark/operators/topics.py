@@ -15,17 +15,19 @@ def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarit
     """``doc_id``, ``topic`` (-1 for outliers), ``similarity`` and ``label``, the topic's first words.
 
     Hashed word weights are clustered by cosine; a document that is less similar than
-    ``least_similarity`` to its centre is an outlier.
+    ``least_similarity`` to its centre is an outlier, and so is one without words of any
+    weight, which takes no part in the clustering.
     """
-    if docs.limit(3).count() < 3:
-        raise ValueError("topics need three texts")
-    rows = docs.select(by, text.words(F.col("text")).alias("w"))
+    from pyspark.ml.functions import vector_to_array
+
+    rows = docs.select(by, F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
     counted = HashingTF(inputCol="w", outputCol="tf", numFeatures=features).transform(rows)
     weighted = IDF(inputCol="tf", outputCol="idf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="idf", outputCol="v").transform(weighted).select(by, "w", "v")
+    marked = Normalizer(inputCol="idf", outputCol="v").transform(weighted).select(by, "v", F.exists(vector_to_array("idf"), lambda x: x > 0).alias("_usable"))
+    unit = marked.where("_usable").drop("_usable")
+    if unit.limit(3).count() < 3:
+        raise ValueError("topics need three texts")
     fitted = KMeans(k=topics, seed=42, featuresCol="v", predictionCol="topic", distanceMeasure="cosine", maxIter=10).fit(unit)
-    from pyspark.ml.functions import vector_to_array
-
     centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in fitted.clusterCenters())) if topics * features <= 1 << 12 else None
     found = fitted.transform(unit)
     if centres is None:  # a table of centres is joined: small, and bounded by topics and features
@@ -40,7 +42,8 @@ def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarit
     size = F.sqrt(F.aggregate(centre, F.lit(0.0), lambda s, x: s + x * x))
     scored = found.withColumn("similarity", F.round(F.when(size == 0, 0.0).otherwise(dot / size), 6))
     topic = F.when(F.col("similarity") >= least_similarity, F.col("topic")).otherwise(-1)
-    assigned = scored.select(by, topic.alias("topic"), "similarity")
+    without = marked.where("not _usable").select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"))
+    assigned = scored.select(by, topic.alias("topic"), "similarity").union(without)
     return assigned.join(F.broadcast(labels(docs, assigned, by, words)), "topic", "left").select(by, "topic", "similarity", "label")
 
 

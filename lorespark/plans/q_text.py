@@ -204,4 +204,4 @@ def most_frequent_language(spark, sf_dir):
 
 @query()
 def topic_model(spark, sf_dir):
-    return topics.model(_docs(spark, sf_dir).where("length(text) >= 200"), topics=8)
+    return topics.model(_docs(spark, sf_dir), topics=8)

@@ -167,3 +167,12 @@ def test_whole_turns_are_parsed(spark, tmp_path):
     got = [(r.pos, r.text, r.section, r.tags) for r in QUERIES["note_sections"](spark, str(tmp_path)).orderBy("pos").collect()]
     assert got[:2] == [(1, "a task that is longer than forty characters by far", "user", "late"), (2, "second one", "user", "more")]
     assert [(p, s, t) for p, _, s, t in got[2:]] == [(5, "assistant", "t1")]
+
+
+def test_every_document_has_a_topic_row(spark, tmp_path):
+    texts = ["apples pears fruit", "pears fruit garden", "apples garden fruit tree", "engine wheel motor", "wheel motor road", "engine road car", "motor car", "fruit tree", "wheel car engine", "", None, "?! --"]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.topic, r.label) for r in QUERIES["topic_model"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    assert all(got[i] == (-1, None) for i in (9, 10, 11)) and all(got[i][0] >= 0 for i in range(9))
