@@ -267,7 +267,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     marked, named = _components(spark, docs)
     stays = marked.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "root")
-    rows, ids = stays.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    rows, ids = marked.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows == ids:
         return docs.join(stays.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     # repeated or missing ids: find the rows again by id and fingerprint

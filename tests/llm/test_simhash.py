@@ -101,3 +101,9 @@ def test_wider_keys_find_the_same_links(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_id_on_texts_of_different_groups(spark):
+    a, b = "first words of one text", "quite other words in another text"
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(spark, docs).collect()) == [(3, b), (5, a)]
