@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,52 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of intermediate tables that are still there, with the session that wrote them.
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _forget(folders: list[str]) -> None:
+    for folder in folders:
+        _delete(_FOLDERS.pop(folder), folder)
+
+
+@contextmanager
+def scratch_scope():
+    """Deletes the intermediate tables that were begun inside, once the result that reads them has been written."""
+    before = set(_FOLDERS)
+    try:
+        yield
+    finally:
+        _forget([f for f in _FOLDERS if f not in before])
+
+
+@atexit.register
+def _forget_all() -> None:
+    """A result that is read without a scope keeps its tables until the driver ends."""
+    try:
+        _forget(list(_FOLDERS))
+    except Exception:  # the session is gone, and with it the way to the folder
+        _FOLDERS.clear()
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives the loss of any executor and is computed only once,
     which ``checkpoint()`` would do twice.  ``drop`` frees those that later steps no
-    longer read.
+    longer read; the rest go with ``scratch_scope`` or with the driver.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        _FOLDERS[self.root] = spark
 
     def save(self, frame: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
         self.count += 1
@@ -59,12 +95,7 @@ class Scratch:
 
     def drop(self, *frames: DataFrame | str) -> None:
         for frame in frames:
-            self._remove(frame if isinstance(frame, str) else frame.scratch_path)
-
-    def _remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(self.spark, frame if isinstance(frame, str) else frame.scratch_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

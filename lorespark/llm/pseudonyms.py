@@ -15,10 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.functions.names import spare
+
 ROUNDS = 8
 
-#: Patterns of each kind, tried in this order at a place of the text.
-EMAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Patterns of each kind, tried in this order at a place of the text.  Each takes a bounded number of steps from a
+#: place, but for the name of an e-mail address, which is tried only where a run of its signs begins.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?<=[A-Za-z0-9])@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,30}\.[A-Za-z]{2,63}"
 SECRET = r"(?<=(?i:token|secret|password|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\x22']?)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
@@ -197,22 +200,24 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the personal values of ``text`` replaced, and a column ``pii`` of what was replaced.
 
     ``pii`` lists ``kind`` and ``pseudonym`` of each value in the order of the text (a
-    column of that name is replaced).  E-mail addresses keep their domain; values that
-    fail validation stay.  A null text stays null, with an empty list.  Row by row, with
-    SQL expressions only: no shuffle, and all other columns and repeated rows are kept.
+    column of that name is replaced).  E-mail addresses keep their domain, of up to 32
+    labels; values that fail validation stay.  A null text stays null, with an empty list.
+    Row by row, with SQL expressions only: no shuffle, steps in proportion to the text,
+    and all other columns, whatever their names, and repeated rows are kept.
     """
+    found, gaps, new = spare(docs.columns, "_found", "_gaps", "_new")
     whole = F.col(text)
     none = F.array().cast("array<string>")
     may = whole.rlike("[0-9@]")
     marked = docs.withColumns(
         {
-            "_found": F.when(may, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(none),
-            "_gaps": F.when(may, F.split(whole, ANY, -1)).otherwise(F.array(whole)),
+            found: F.when(may, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(none),
+            gaps: F.when(may, F.split(whole, ANY, -1)).otherwise(F.array(whole)),
         }
     )
     empty = F.array().cast("array<struct<kind:string,pseudonym:string>>")
-    marked = marked.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))).otherwise(empty))
-    texts = F.zip_with("_found", "_new", lambda f, n: F.coalesce(n["pseudonym"], f))
-    joined = F.array_join(F.flatten(F.zip_with("_gaps", texts, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
-    listed = F.filter("_new", lambda n: n["kind"].isNotNull())
-    return marked.withColumns({text: F.when(F.size("_found") > 0, joined).otherwise(whole), "pii": listed}).drop("_found", "_gaps", "_new")
+    marked = marked.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))).otherwise(empty))
+    texts = F.zip_with(found, new, lambda old, n: F.coalesce(n["pseudonym"], old))
+    joined = F.array_join(F.flatten(F.zip_with(gaps, texts, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
+    listed = F.filter(new, lambda n: n["kind"].isNotNull())
+    return marked.withColumns({text: F.when(F.size(found) > 0, joined).otherwise(whole), "pii": listed}).drop(found, gaps, new)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -84,3 +85,21 @@ def test_whole_texts(spark):
         if r.doc_id in (3, 4, None):
             assert r.pii == [] and r.text == {3: None, 4: "", None: "plain É text"}[r.doc_id]
     assert ps.pseudonymise(docs.limit(0), "k").collect() == []
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "pay 4539578763621486", "a", "b", "c", "d")], "doc_id long, text string, _found string, _gaps string, _NEW string, __found string")
+    got = ps.pseudonymise(docs, "k")
+    assert got.columns == [*docs.columns, "pii"] and tuple(got.first())[2:6] == ("a", "b", "c", "d") and len(got.first().pii) == 1
+
+
+def test_long_runs_take_linear_time(spark):
+    card = "4539578763621486"
+    runs = ["0a" * 500_000, "a.1-" * 250_000, "x@" + "a.1." * 250_000, "a@b" * 330_000, "1" * 1_000_000, "1.1.1.1." * 125_000, "token=" * 160_000, "+1 22 333 " * 5_000, "#" * 1_000_000]
+    docs = spark.createDataFrame([(i, f"{r} {card} {r}") for i, r in enumerate(runs)], "doc_id long, text string").repartition(len(runs))
+    assert docs.count() == len(runs)
+    began = time.monotonic()
+    got = ps.pseudonymise(docs, "k").collect()
+    assert time.monotonic() - began < 30
+    new = ps.pseudonymise(spark.createDataFrame([(card,)], "text string"), "k").first().text
+    assert all(new in r.text and card not in r.text for r in got)
