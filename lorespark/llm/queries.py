@@ -95,4 +95,7 @@ def op8_pii_pseudonyms(spark, sf_dir):
 
 @query
 def op3_chat_formatting(spark, sf_dir):
-    return chat.link(spark, table(spark, sf_dir, "conversations"))
+    return chat.link(spark, chat.with_tools(table(spark, sf_dir, "conversations")))
+
+
+ORACLE_SQL["op3_chat_formatting"] = chat.SQL

@@ -1,7 +1,10 @@
 import json
 import random
 
-from lorespark.llm import chat
+import duckdb
+import pytest
+
+from lorespark.llm import chat, queries
 
 SEARCH = lambda i, q, *deps, **k: {"id": i, "name": "search", "arguments": {"query": q, **k}, **({"depends_on": list(deps)} if deps else {})}
 CALL = lambda *c, content=None: json.dumps({"tool_calls": list(c), **({"content": content} if content else {})})
@@ -80,6 +83,43 @@ def test_matches_brute_force(spark):
     assert next(r.json for r in got if r.call_id == "c" and r.kind == "result") == '{"content":{"a":[1,null],"z":1},"role":"tool","tool_call_id":"c"}'
 
 
+def test_hostile_messages_are_plain(spark):
+    deep = '{"tool_calls":' + "[" * 100_000 + "]" * 100_000 + "}"
+    texts = ['{"tool_calls": [], "x": 1e999}', '{"tool_calls": [], "x": -1e999}', '{"tool_calls": [], "x": NaN}', '{"tool_calls": [], "content": "\\ud800"}', '{"\\udc00": 1, "tool_calls": []}', deep, '{"tool_calls": [{"id": ' + "9" * 5000 + "}]}"]
+    frame = spark.createDataFrame([(1, k, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = sorted(chat.link(spark, frame).collect(), key=lambda r: r.turn)
+    assert [r.kind for r in got] == ["message"] * len(texts) and [json.loads(r.json)["content"] for r in got] == texts
+    big = CALL({"id": "i", "name": "search", "arguments": {"query": "q", "limit": int("9" * 400)}}, {"id": "j", "name": "search", "arguments": {"query": "q", "limit": 1e300}}, {"id": "k", "name": "search", "arguments": '{"query": "q", "limit": 1e999}'})
+    rows = [(2, 0, "assistant", big), (2, 1, "tool", RESULT("i", 1e300))]
+    got = {(r.kind, r.call_id): r.problem for r in chat.link(spark, spark.createDataFrame(rows, frame.schema)).collect()}
+    assert got == {("call", "i"): "$.limit: range", ("call", "j"): "$.limit: range", ("call", "k"): "no arguments", ("result", "i"): None}
+
+
+@pytest.mark.parametrize("block", [200_000, 3000])
+def test_long_chains_take_few_rounds(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK_CALLS", block)
+    chain = [SEARCH(f"k{i}", "q", *([f"k{i - 1}"] if i else [])) for i in range(5000)]
+    back = [SEARCH(f"k{i}", "q", *([f"k{i + 1}"] if i < 2000 else [])) for i in range(2001)]
+    rows = [(1, 0, "assistant", CALL(*reversed(chain)))] + [(2, t, "assistant", CALL(c)) for t, c in enumerate(back)] + [(3, 0, "assistant", CALL(SEARCH("a", "q", "b"), SEARCH("b", "q", "a")))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.call_id): r.level for r in chat.link(spark, frame).collect() if r.kind == "call"}
+    assert got == {**{(1, f"k{i}"): i for i in range(5000)}, **{(2, f"k{i}"): 2000 - i for i in range(2001)}, (3, "a"): None, (3, "b"): None}
+
+
+def test_query_equals_sql(spark, tmp_path):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()]
+    rows += [(7000 + c, t, "assistant" if t % 2 else "user", 'say "x"\t\\ é\n/' * (t % 4)) for c in range(12) for t in range(9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.QUERIES["op3_chat_formatting"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op3_chat_formatting"])
+    assert want.columns == found.columns
+    got = sorted(map(str, map(tuple, found.collect())))
+    assert got == sorted(map(str, want.fetchall()))
+    assert {r.status for r in found.collect()} == {"ok", "invalid", "cycle", "no_result", "duplicate", "early", "orphan"}
+
+
 def test_plain_tables(spark):
     frame = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
     assert [r.json for r in chat.link(spark, frame).collect()] == ['{"content":"hi","role":"user"}']
