@@ -4,54 +4,21 @@ Every document has a hash.  A source's budget is met by all documents below a th
 of that hash: sizes are summed by source and hash bucket, the bucket in which the budget
 runs out is found from the running sum, and only that bucket is summed again at a finer
 grain.  Thresholds of growing budgets are nested.  The mix is then a filter: documents
-are never sorted.
+are never sorted.  The plan is a table of one row for each source, however many.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import Scratch
+from lorespark.functions.names import spare
+from lorespark.llm.common import Scratch, shuffle_partitions
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 #: Bits of the hash that a pass resolves, and of the whole hash.
 STEP_BITS, HASH_BITS = 12, 48
-#: The plan, a few numbers for each source, is held on the driver and broadcast.
-MOST_SOURCES = 200_000
-
-
-@dataclass
-class Share:
-    source: str | None
-    size: int
-    target: float = 0.0
-    copies: int = 0
-    rest: float = 0.0
-    low: int = 0
-    below: int = 0
-    done: bool = True
-    threshold: int = 0
-
-
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> list[float]:
-    """Shares of the total by weight, stopped at ``most`` times a size and the excess reshared by weight."""
-    left, out = set(range(len(sizes))), [0.0] * len(sizes)
-    total = float(sum(sizes))
-    while left:
-        weight = sum(weights[k % len(weights)] for k in left)
-        given = {k: total * weights[k % len(weights)] / weight for k in left}
-        above = [k for k in left if given[k] > most * sizes[k]]
-        for k in above or left:
-            out[k] = float(most * sizes[k]) if above else given[k]
-        if not above:
-            break
-        total -= sum(most * sizes[k] for k in above)
-        left -= set(above)
-    return out
 
 
 def words(text: Column) -> Column:
@@ -63,64 +30,85 @@ def _hash() -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), 64 - HASH_BITS)
 
 
-def _frame(spark: SparkSession, shares: list[Share]) -> DataFrame:
-    rows = [(s.source, s.size, s.target, s.copies, s.threshold, s.low) for s in shares]
-    return F.broadcast(spark.createDataFrame(rows, "mix_source string, source_size long, target double, whole long, threshold long, low long"))
+def _weighed(scratch: Scratch, sized: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """``source``, ``size`` and ``weight``: sources by code point, null last, get the weights in turn.
 
+    Ranks are places within ranges of sources behind the number of sources in the ranges before.
+    """
+    sums = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    ranges = scratch.save(sums.repartitionByRange(shuffle_partitions(scratch.spark), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    before = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(rank, F.lit(len(weights))).cast("int"))
+    return scratch.save(ranges.join(before, "part").select("source", "size", weight.cast("double").alias("weight")), "weights")
+
+
+def _with_targets(weighed: DataFrame, most: int) -> DataFrame:
+    """Adds ``target``: shares of the total by weight, stopped at ``most`` times a size and the excess reshared by weight."""
+    total, weight = weighed.agg(F.sum("size"), F.sum("weight")).first()
+    limit, above, left, seen = F.col("size") * most, F.lit(False), float(total or 0), 0
+    share = F.lit(0.0)
+    while weight:
+        share = F.lit(left) * F.col("weight") / F.lit(weight)
+        above = above | (share > limit)
+        n, given, used = weighed.where(above).agg(F.count("*"), F.sum(limit), F.sum("weight")).first()
+        if n == seen:
+            break
+        seen, left, weight = n, float((total or 0) - given), weighed.agg(F.sum("weight")).first()[0] - used
+    return weighed.withColumn("target", F.when(above, limit.cast("double")).otherwise(share))
 
-def plan(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> list[Share]:
-    """Target, whole copies and hash threshold of every source."""
+
+def plan(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """A row for each source: ``source``, ``size``, ``target``, ``copies`` of the whole source and hash ``threshold``."""
     scratch = Scratch(spark, "mixing")
     sized = scratch.save(docs.select(F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), _hash().alias("h")), "sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: their plan would not fit the driver")
-    # code points sort as UTF-8 bytes do
-    found = sorted(found, key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
-    shares = [Share(r.source, r.size) for r in found]
-    for share, target in zip(shares, targets([s.size for s in shares], weights, most)):
-        share.target = target
-        if share.size:
-            share.copies = int(target // share.size)
-            share.rest = target - share.copies * share.size
-            share.done = share.rest <= 0
+    shares = _with_targets(_weighed(scratch, sized, weights), most)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int")
+    shares = shares.withColumn("copies", copies).withColumn("rest", F.when(F.col("size") > 0, F.col("target") - F.col("copies") * F.col("size")).otherwise(0.0))
+    none = F.lit(0).cast("long")
+    shares = scratch.save(shares.select("source", "size", "target", "copies", "rest", none.alias("low"), none.alias("below"), (F.col("rest") <= 0).alias("done"), none.alias("threshold")), "shares")
     for bits in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
-        open_shares = [s for s in shares if not s.done]
-        if not open_shares:
+        if shares.where("not done").isEmpty():
             break
-        _refine(spark, sized, open_shares, bits)
+        shares = scratch.save(_refined(sized, shares, bits), "shares")
     scratch.drop(sized)
-    return shares
+    return shares.select("source", "size", "target", "copies", "threshold")
 
 
-def _refine(spark: SparkSession, sized: DataFrame, shares: list[Share], bits: int) -> None:
-    """Sums the boundary range of each source by the next bits and moves into the bucket where its budget runs out."""
-    rows = [(s.source, s.low, s.rest - s.below) for s in shares]
-    edge = F.broadcast(spark.createDataFrame(rows, "mix_source string, low long, budget double"))
+def _refined(sized: DataFrame, shares: DataFrame, bits: int) -> DataFrame:
+    """Sums the boundary range of each open source by the next bits and moves into the bucket where its budget runs out."""
     wide = bits + STEP_BITS
-    inside = sized.join(edge, F.col("source").eqNullSafe(F.col("mix_source")) & (F.shiftright("h", wide) == F.shiftright("low", wide)))
-    sums = inside.groupBy("mix_source", "budget", F.shiftright("h", bits).alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
-    run = Window.partitionBy("mix_source").orderBy("bucket")
-    ended = (
-        sums.withColumn("upto", F.sum("size").over(run))
-        .where("upto > budget")
-        .groupBy("mix_source")
-        .agg(F.min(F.struct("bucket", "upto", "size", "docs")).alias("b"))
-        .collect()
-    )
-    by = {s.source: s for s in shares}
-    missing = set(by)
-    for row in ended:
-        share, b = by[row.mix_source], row.b
-        missing.discard(row.mix_source)
-        start, share.below = b.bucket << bits, share.below + b.upto - b.size
-        share.low = share.threshold = start
-        if b.docs == 1 or bits == 0:  # one document, or documents with one hash: whichever end is nearer
-            share.done = True
-            if abs(share.below + b.size - share.rest) < abs(share.below - share.rest):
-                share.threshold = start + (1 << bits)
-    for source in missing:  # the whole source fits
-        by[source].done, by[source].threshold = True, 1 << HASH_BITS
+    edge = shares.where("not done").select(F.col("source").alias("at"), "low", (F.col("rest") - F.col("below")).alias("budget"))
+    inside = sized.join(edge, F.col("source").eqNullSafe(F.col("at")) & (F.shiftright("h", wide) == F.shiftright("low", wide)))
+    sums = inside.groupBy("at", "budget", F.shiftright("h", bits).alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
+    upto = F.sum("n").over(Window.partitionBy("at").orderBy("bucket"))
+    ended = sums.withColumn("upto", upto).where("upto > budget").groupBy("at").agg(F.min(F.struct("bucket", "upto", "n", "docs")).alias("b"))
+    start = F.shiftleft(F.col("b.bucket"), bits)
+    below = F.col("below") + F.col("b.upto") - F.col("b.n")
+    # one document, or documents with one hash: whichever end is nearer
+    last = (F.col("b.docs") == 1) | F.lit(bits == 0)
+    nearer = F.abs(below + F.col("b.n") - F.col("rest")) < F.abs(below - F.col("rest"))
+    found = F.col("b").isNotNull()
+    moved = shares.join(ended, F.col("source").eqNullSafe(F.col("at")), "left")
+    # an open source that ends nowhere fits whole
+    return moved.select(
+        "source", "size", "target", "copies", "rest",
+        F.when(found, start).otherwise(F.col("low")).alias("low"),
+        F.when(found, below).otherwise(F.col("below")).alias("below"),
+        (F.col("done") | ~found | last).alias("done"),
+        F.when(F.col("done"), F.col("threshold")).when(~found, F.lit(1 << HASH_BITS)).when(last & nearer, start + (1 << bits)).otherwise(start).alias("threshold"),
+    )
+
+
+def _mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with size, source size, target and copies in columns of the names that are returned."""
+    names = spare(docs.columns, "mix_source", "mix_source_size", "mix_target", "mix_whole", "mix_threshold", "mix_size", "mix_copies")
+    source, source_size, target, whole, threshold, size, copies = names
+    shares = plan(spark, docs, weights, most).toDF(source, source_size, target, whole, threshold)
+    joined = docs.join(shares, F.col("source").cast("string").eqNullSafe(F.col(source)))
+    more = F.when((F.col(whole) < most) & (_hash() < F.col(threshold)), 1).otherwise(0)
+    counted = joined.withColumn(size, words(F.col("text").cast("string"))).withColumn(copies, F.col(whole) + more)
+    return counted.drop(source, whole, threshold), [size, source_size, target, copies]
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -131,18 +119,23 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     ``mix_copies`` times, 0 to ``most``: as often as its whole source fits the target, and
     once more if its hash is below the source's threshold.  The hash is of ``doc_id`` and
     text, so reruns agree and rows that are equal in both are taken alike; they are the
-    one case in which a source can miss its target by more than half a document.  Empty
-    texts and sources without words have size 0.  Clashing columns keep their names.
+    one case in which a source can miss its target by more than half a document.  Null and
+    empty texts and sources without words have size 0; a null source is one like any
+    other, and rows without a ``doc_id`` go by their text.  Columns of ``docs`` with one of
+    the four names are replaced, all others are kept.  An empty table gives an empty one.
     """
-    shares = _frame(spark, plan(spark, docs, weights, most)).drop("low")
-    names = {"source_size": "mix_source_size", "target": "mix_target", "whole": "mix_whole", "threshold": "mix_threshold"}
-    shares = F.broadcast(shares.withColumnsRenamed(names))
-    joined = docs.join(shares, docs["source"].cast("string").eqNullSafe(shares["mix_source"]))
-    copies = F.col("mix_whole") + F.when((F.col("mix_whole") < most) & (_hash() < F.col("mix_threshold")), 1).otherwise(0)
-    return joined.withColumn("mix_size", words(F.col("text").cast("string"))).withColumn("mix_copies", copies).drop("mix_source", "mix_whole", "mix_threshold")
+    wanted = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    mixed, names = _mixed(spark, docs, weights, most)
+    kept = [c for c in docs.columns if c.lower() not in wanted]
+    return mixed.select(*kept, *(F.col(n).alias(w) for n, w in zip(names, wanted)))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them."""
-    mixed = mix(spark, docs, weights, most).where("mix_copies > 0")
-    return mixed.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+    """The documents that the mix takes, each as often as it takes them, with the very columns of ``docs``.
+
+    Nulls, empty texts, repeated rows and ties of hashes count as in ``mix``; a source
+    without words gives no row, and no column of ``docs`` is replaced, whatever its name.
+    """
+    mixed, (*_, copies) = _mixed(spark, docs, weights, most)
+    taken = mixed.where(F.col(copies) > 0)
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
