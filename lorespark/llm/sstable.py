@@ -17,7 +17,6 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +24,20 @@ import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import Scratch, groups, slices
+from lorespark.llm.common import Scratch, slices
 from lorespark.llm.tokenize import encoder
 
 MAGIC = b"LSTABLE1"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 256 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: UTF-8 bytes of text that a shard should stand for.
-SHARD_BYTES = 24 << 20
+#: UTF-8 bytes of text that a task should sort and encode; beyond so many tasks each gets more.
+TASK_BYTES, MOST_TASKS = 24 << 20, 100_000
+#: Bytes and documents at which a task begins another shard.
+SHARD_BYTES, SHARD_DOCS = 64 << 20, 250_000
 END_ID = 0
 
 
@@ -177,90 +178,75 @@ class Reader:
         return out
 
 
-@dataclass(frozen=True)
-class Shard:
-    number: int
-    path: str
-    docs: int
-    ids: int
-    width: int
-    first_key: bytes
-    last_key: bytes
-    start: int = 0
-
-
 def _open(path: str):
     system, inner = fs.FileSystem.from_uri(path)
     return system.open_input_file(inner)
 
 
-def _encode(path: str, bounds: list[int]):
-    def run(batches):
-        tool, edges = encoder(path), np.array(bounds, dtype=np.int64)
-        end = np.array([END_ID], dtype=tool.kind).tobytes()
-        for batch in slices(batches, "text", 4 << 20):
-            ids = batch.column("doc_id")
-            shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
-            shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(edges), shard)
-            values = [v + end for v in tool.encode([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), ids, pa.array(values, pa.binary())], ["shard", "doc_id", "value"])
-
-    return run
+_MANIFEST = [("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())]
 
 
-def _write(folder: str, width: int):
+def _write(folder: str, tokenizer: str):
     def run(batches):
+        task, tool, seq, writer, stream = TaskContext.get(), encoder(tokenizer), 0, None, None
         system, inner = fs.FileSystem.from_uri(folder)
         system.create_dir(inner, recursive=True)
-        for number, rows in groups(batches, "shard"):
-            name = f"{inner}/shard-{number:06d}.sst"
-            # a task that is tried again, or runs twice, writes a file of its own and moves it into place whole
-            part = f"{inner}/_part-{number:06d}-{TaskContext.get().taskAttemptId()}"
-            with system.open_output_stream(part) as stream:
-                writer = Writer(stream, width)
-                for batch in rows:
-                    for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("value").to_pylist()):
-                        writer.add(doc, value)
-                writer.close()
-            if system.get_file_info(name).type != fs.FileType.NotFound:
-                system.delete_file(name)
-            system.move(part, name)
-            row = [number, f"{folder}/shard-{number:06d}.sst", writer.docs, writer.ids, width, writer.keys[0], writer.keys[-1]]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _MANIFEST)], ["number", "path", "docs", "ids", "width", "first_key", "last_key"])
+        end = np.array([END_ID], dtype=tool.kind).tobytes()
 
-    return run
+        def closed():
+            writer.close()
+            stream.close()
+            row = [task.partitionId(), seq, f"{folder}/{name}", writer.docs, writer.ids, writer.keys[0], writer.keys[-1]]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _MANIFEST)], [n for n, _ in _MANIFEST])
 
+        for batch in slices(batches, "text", 4 << 20):
+            values = tool.encode([t or "" for t in batch.column("text").to_pylist()])
+            for doc, value in zip(batch.column("doc_id").to_pylist(), values):
+                if writer is None:
+                    # a task that runs again writes files of its own; the manifest names those that count
+                    name = f"shard-{task.partitionId():06d}-{seq:06d}-{task.taskAttemptId()}.sst"
+                    stream = system.open_output_stream(f"{inner}/{name}")
+                    writer = Writer(stream, tool.kind.itemsize)
+                writer.add(doc, value + end)
+                if writer.docs >= SHARD_DOCS or writer.place + len(writer.block) >= SHARD_BYTES:
+                    yield closed()
+                    writer, seq = None, seq + 1
+        if writer is not None:
+            yield closed()
 
-_MANIFEST = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return run
 
 
-def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str) -> list[Shard]:
+def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Encodes every row's whole text, with the end id after it, into shards in ``doc_id`` order.
 
-    ``folder`` is one that all executors share.  Null texts are empty.  Rows without a
-    ``doc_id`` come last; rows with the same ``doc_id`` are all kept, ordered by their
-    ids.  Further columns are not read.  Returns the shards in order, with the number of
-    ids before each.  An empty table gives no shard.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    total, known = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    shards = max(1, min(-(-(total or 0) // SHARD_BYTES), known))
-    bounds: list[int] = []
-    if shards > 1:
-        cuts = [k / shards for k in range(1, shards)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * shards))).first()[0]))
-    width = encoder(tokenizer).kind.itemsize
-    encoded = rows.mapInArrow(_encode(tokenizer, bounds), "shard int, doc_id long, value binary")
-    ordered = encoded.repartition(max(1, shards), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "value")
-    written = ordered.mapInArrow(_write(folder, width), "number int, path string, docs long, ids long, width int, first_key binary, last_key binary")
-    out, start = [], 0
-    for r in sorted(Scratch(spark, "shards").save(written, "manifest").collect(), key=lambda r: r.number):
-        out.append(Shard(r.number, r.path, r.docs, r.ids, r.width, bytes(r.first_key), bytes(r.last_key), start))
-        start += r.ids
-    return out
-
+    ``folder`` is one that all executors share.  Rows are partitioned by ranges of
+    ``doc_id``; a task sorts its range, encodes it and writes one shard after another as
+    they fill, so that no shard is held in memory.  Null and empty texts are the end id
+    alone.  Rows without a ``doc_id`` come last; rows with the same ``doc_id`` are all
+    kept, in the order of a hash of their text, by which a hot id is split.  Further
+    columns, whatever their names, are not read.
 
-def read(spark: SparkSession, shards: list[Shard]) -> DataFrame:
+    Returns the manifest, which is written to ``folder`` too: a row for each shard with
+    ``part`` and ``seq`` (their order), ``path``, ``docs``, ``ids``, ``first_key``,
+    ``last_key`` and ``start`` (ids before it).  An empty table gives no shard.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
+    ranged = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(min(MOST_TASKS, total // TASK_BYTES + 1), *order)
+    written = ranged.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(_write(folder, tokenizer), "part int, seq int, path string, docs long, ids long, first_key binary, last_key binary")
+    scratch = Scratch(spark, "shards")
+    shards = scratch.save(written, "written")
+    # running sums in two steps: over the tasks, of which there are few, and over the shards of each
+    before = shards.groupBy("part").agg(F.sum("ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = F.sum("ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("ids")
+    shards.join(before, "part").withColumn("start", F.col("before") + own).drop("before").write.parquet(f"{folder}/manifest")
+    scratch.drop(shards)
+    return spark.read.parquet(f"{folder}/manifest")
+
+
+def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every document in the shards: ``doc_id``, ``start``, ``n_tokens``, and ``ids`` as little-endian 32-bit integers."""
 
     def run(batches):
@@ -278,10 +264,8 @@ def read(spark: SparkSession, shards: list[Shard]) -> DataFrame:
                     if out:
                         yield _read_rows(out)
 
-    if not shards:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    places = spark.createDataFrame([(s.path, s.start) for s in shards], "path string, start long")
-    return places.repartition(len(shards), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    places = manifest.select("path", "start")
+    return places.repartition(min(MOST_TASKS, max(1, manifest.count()))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _read_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -289,11 +273,13 @@ def _read_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "start", "n_tokens", "ids"])
 
 
-def lookup(shards: list[Shard], doc_id: int | None) -> list[list[int]]:
-    """Ids of every entry of one document, read from the block that holds it."""
+def lookup(manifest: DataFrame, doc_id: int | None) -> list[list[int]]:
+    """Ids of every entry of one document, read from the blocks that hold it in the shards whose keys are around it."""
     key = key_of(doc_id)
+    near = manifest.where((F.col("first_key") <= F.lit(bytearray(key))) & (F.col("last_key") >= F.lit(bytearray(key))))
     out = []
-    for shard in shards[bisect_left([s.last_key for s in shards], key) : bisect_right([s.first_key for s in shards], key)]:
-        with _open(shard.path) as stream:
-            out += [np.frombuffer(v, dtype=f"<u{shard.width}").tolist() for v in Reader(stream).lookup(doc_id)]
+    for path in near.orderBy("part", "seq").select("path").toLocalIterator():
+        with _open(path[0]) as stream:
+            reader = Reader(stream)
+            out += [np.frombuffer(v, dtype=f"<u{reader.width}").tolist() for v in reader.lookup(doc_id)]
     return out

@@ -4,7 +4,8 @@ Byte-level BPE with this family's splitting rule never joins across a space that
 follows and precedes other characters than white space, so a text is split there and
 each piece is encoded once by the tokenizers library.  New pieces are encoded many at a
 time, held apart by a separator with an id of its own.  Texts with a space beside other
-white space, and tokenizers of another family, are encoded whole.
+white space, texts that hold the string of an added token, and texts for tokenizers of
+another family are encoded whole.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         rule = str(self.tokenizer.pre_tokenizer)
         self.splits = rule.startswith("ByteLevel(") and "add_prefix_space=False" in rule and "use_regex=True" in rule and self.tokenizer.normalizer is None
@@ -139,7 +141,7 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            parts = _divided(text) if self.splits else None
+            parts = _divided(text) if self.splits and not self.added.search(text) else None
             if parts is None:
                 whole.append(k)
             else:

@@ -7,11 +7,12 @@ import numpy as np
 import public_tokenizers
 import xxhash
 from test_decontaminate import brute as matches
+from test_mixing import targets
 from test_simhash import brute_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lorespark.llm import language, mixing
+from lorespark.llm import language
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -38,7 +39,7 @@ def test_matches_brute_force(spark, tmp_path):
     sources = sorted(by)
     sizes = [sum(n for _, n, _ in by[s]) for s in sources]
     mixed = []
-    for s, size, target in zip(sources, sizes, mixing.targets(sizes)):
+    for s, size, target in zip(sources, sizes, targets(sizes)):
         whole, sofar = int(target // size), 0
         rest = target - whole * size
         for h, n, r in sorted(by[s]):
@@ -46,7 +47,6 @@ def test_matches_brute_force(spark, tmp_path):
             sofar = sofar + n if more else float("inf")
             mixed += [r] * (whole + more)
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     want, start = [], 0
     for r in sorted(mixed, key=lambda r: r[0]):
         ids = [*tool.encode(r[1], add_special_tokens=False).ids, 0]
