@@ -2,8 +2,8 @@
 
 Linear support vector machines first tell language families apart; one-versus-one
 machines then separate the languages within the family that was predicted.  Features
-are hashed runs of two and three characters over the whole text.  The machines are
-fitted on a bounded sample of labelled documents and are a few hundred kilobytes.
+are hashed runs of two and three characters over the whole text.  Each machine is a
+task, fitted on a bounded sample of labelled documents that holds every language.
 """
 
 from __future__ import annotations
@@ -16,15 +16,20 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lorespark.functions.names import spare
 from lorespark.llm.common import slices
 
 FEATURES = 1 << 13
-#: Bounds of the sample: documents of a language, of all languages, and characters of a document.
-PER_LANGUAGE, ALL_DOCS, MOST_CHARS = 250, 1500, 20_000
+#: Bounds of the sample: documents of a language at most and (where it has them) at least, of all languages beyond
+#: that least number, and characters of a document.
+PER_LANGUAGE, LEAST_DOCS, ALL_DOCS, MOST_CHARS = 250, 10, 1500, 20_000
 #: Characters of a long text whose features are counted at once.
 CHUNK = 1 << 18
 UNKNOWN = "und"
+#: Texts with a lower score are in no language that was learned.
+LEAST_SCORE = 0.1
 
 #: Families of closely related languages by ISO 639-1 code.  Others are families of their own.
 FAMILIES = {
@@ -96,6 +101,38 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 30, strength: float
     return mean / max(1, step - len(x) * (rounds // 2))
 
 
+@dataclass(frozen=True)
+class Sample:
+    """Features, language and family of each document that is learned from."""
+
+    x: np.ndarray
+    langs: np.ndarray
+    kin: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[str, str]]) -> Sample:
+        rows = [(t, lang) for t, lang in rows if _LETTER.search(t)]
+        x = np.array([features(t) for t, _ in rows], dtype=np.float32).reshape(len(rows), FEATURES)
+        langs = np.array([lang for _, lang in rows], dtype=object)
+        return Sample(x, langs, np.array([family_of(lang) for lang in langs], dtype=object))
+
+    def languages(self) -> dict[str, list[str]]:
+        return {f: sorted(set(self.langs[self.kin == f])) for f in sorted(set(self.kin))}
+
+    def machines(self) -> list[tuple[str, str | None]]:
+        """A family against all others, or two languages of one family, in the order of the model."""
+        found = self.languages()
+        whole = [(f, None) for f in found] if len(found) > 1 else []
+        return whole + [pair for own in found.values() for pair in combinations(own, 2)]
+
+    def machine(self, names: tuple[str, str | None]) -> np.ndarray:
+        a, b = names
+        if b is None:
+            return fit_machine(self.x, np.where(self.kin == a, 1, -1)).astype(np.float32)
+        chosen = (self.langs == a) | (self.langs == b)
+        return fit_machine(self.x[chosen], np.where(self.langs[chosen] == a, 1, -1)).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Model:
     families: list[str]
@@ -104,23 +141,14 @@ class Model:
     pair_weights: dict[str, np.ndarray]
 
     @staticmethod
-    def fit(rows: list[tuple[str, str]]) -> Model:
-        """From ``(text, language)`` pairs."""
-        rows = [(t, lang) for t, lang in rows if _LETTER.search(t)]
-        langs = np.array([lang for _, lang in rows], dtype=object)
-        x = np.array([features(t) for t, _ in rows], dtype=np.float32).reshape(len(rows), FEATURES)
-        kin = np.array([family_of(lang) for lang in langs], dtype=object)
-        families = sorted(set(kin))
-        whole = [fit_machine(x, np.where(kin == f, 1, -1)) for f in families] if len(families) > 1 else [np.zeros(FEATURES + 1)] * len(families)
-        languages = {f: sorted(set(langs[kin == f])) for f in families}
-        pairs = {}
-        for f, own in languages.items():
-            fitted = []
-            for a, b in combinations(own, 2):
-                chosen = (langs == a) | (langs == b)
-                fitted.append(fit_machine(x[chosen], np.where(langs[chosen] == a, 1, -1)))
-            pairs[f] = np.array(fitted).reshape(len(fitted), FEATURES + 1)
-        return Model(families, np.array(whole).reshape(len(families), FEATURES + 1), languages, pairs)
+    def fit(rows: list[tuple[str, str]], fitted=None) -> Model:
+        """From ``(text, language)`` pairs; ``fitted`` gives the weights of the machines of a sample, here one after another."""
+        sample = Sample.of(rows)
+        weights = iter((fitted or (lambda s: map(s.machine, s.machines())))(sample))
+        families = sorted(set(sample.kin))
+        whole = [next(weights) for _ in families] if len(families) > 1 else [np.zeros(FEATURES + 1)] * len(families)
+        pairs = {f: np.array([next(weights) for _ in combinations(own, 2)]).reshape(-1, FEATURES + 1) for f, own in sample.languages().items()}
+        return Model(families, np.array(whole).reshape(len(families), FEATURES + 1), sample.languages(), pairs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score of a whole text; ``und`` and 0 without a letter, or without a model."""
@@ -152,54 +180,83 @@ def fold() -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The training sample: of each language the documents that come first by a hash of their id, outside the held-out fold."""
+    """The training sample: of each language the documents that come first by a hash of their id, outside the held-out fold.
+
+    Documents of up to ``MOST_CHARS`` characters come before longer ones, whose first
+    characters are learned from only where a language has too few short ones.
+    """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    usable = usable.where((fold() != 1) & (F.length("text") <= MOST_CHARS)).withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    langs = counts.count()
-    each = max(10, min(PER_LANGUAGE, ALL_DOCS // max(1, langs)))
+    usable = usable.where(fold() != 1).select("*", (F.length("text") > MOST_CHARS).alias("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)).alias("h"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short"))
+    each = max(LEAST_DOCS, min(PER_LANGUAGE, ALL_DOCS // max(1, counts.count())))
     # about three times as many as needed pass the first cut, so that no task ranks a whole language
-    cut = F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(ALL_DOCS // 10).withColumn("most", F.least(F.lit(1.0), F.lit(3.0 * each) / F.col("n")) * (1 << 30)))
-    near = usable.join(cut, "lang").where("h < most")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    return near.withColumn("k", rank).where(F.col("k") <= each).select("text", "lang")
+    some = lambda n: F.lit(3.0 * each) / F.greatest(n, F.lit(1)) * (1 << 30)
+    cut = counts.select("lang", some(F.col("short")).alias("most"), F.when(F.col("short") < each, some(F.col("n") - F.col("short"))).otherwise(0).alias("most_long"))
+    near = usable.join(cut, "lang").where("h < if(long, most_long, most)")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id", "text"))
+    return near.withColumn("k", rank).where(F.col("k") <= each).select(F.substring("text", 1, MOST_CHARS).alias("text"), "lang")
 
 
 def train(spark: SparkSession, docs: DataFrame) -> Model:
+    """The machines of all languages in ``docs``, each fitted by a task of its own on the shared sample.
+
+    The sample holds at most ``max(ALL_DOCS, LEAST_DOCS * languages)`` documents.
+    """
     rows = sorted((r.lang, r.text) for r in sample(docs).collect())
-    return Model.fit([(t, lang) for lang, t in rows])
 
+    def fitted(own: Sample) -> list[np.ndarray]:
+        shared, names = spark.sparkContext.broadcast(own), own.machines()
+        if not names:
+            return []
 
-def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of every row, in one pass without a shuffle.
+        def run(batches):
+            for batch in batches:
+                for k in batch.column("id").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([shared.value.machine(names[k]).tobytes()], pa.binary())], ["id", "weights"])
 
-    ``lang_pred`` is a language of the sample, or ``und`` if the text is null or has no
-    letter.  The model is fitted on ``docs`` unless one is given; without any labelled
-    document every row is ``und``.  A row without a ``doc_id`` is neither learned from nor
-    held out.  Repeated rows are judged one by one; further columns are not read.
-    """
+        jobs = spark.range(0, len(names), 1, min(len(names), 4096)).mapInArrow(run, "id long, weights binary")
+        return [np.frombuffer(bytes(r.weights), dtype=np.float32) for r in sorted(jobs.collect(), key=lambda r: r.id)]
+
+    return Model.fit([(t, lang) for lang, t in rows], fitted)
+
+
+def _judged(spark: SparkSession, docs: DataFrame, model: Model | None, names: tuple[str, str]) -> DataFrame:
+    """``docs`` with the language and score of every row's ``text`` in two more columns."""
     shared = spark.sparkContext.broadcast(model or train(spark, docs))
 
     def run(batches):
         tool = shared.value
         for batch in slices(batches, "text"):
             found = [tool.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
-            )
+            columns = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    held = F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), held, F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
-def accept(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language."""
-    shared = spark.sparkContext.broadcast(model or train(spark, docs))
+def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of every row, in one pass without a shuffle.
+
+    ``lang_pred`` is a language of the sample, or ``und`` if the text is null or has no
+    letter.  The model is fitted on ``docs`` unless one is given; every labelled language
+    is learned, and without any labelled document every row is ``und``.  A row without a
+    ``doc_id`` is neither learned from nor held out.  Repeated rows are judged one by one;
+    further columns, whatever their names, are not read.
+    """
+    shared = model or train(spark, docs)
+    held = F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
+    return _judged(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text")), shared, ("lang_pred", "score")).drop("text")
 
-    def run(batches):
-        tool = shared.value
-        for batch in slices(batches, "text"):
-            yield batch.filter(pa.array([tool.predict(t)[0] != UNKNOWN for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def accept(spark: SparkSession, docs: DataFrame, model: Model | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that was learned, with ``lang_pred`` and ``score``.
+
+    A row goes if its text is null or without a letter, or if the machines are so unsure
+    of it that ``score`` is below ``least``.  Columns of ``docs`` named ``lang_pred`` or
+    ``score`` are replaced, all others are kept; repeated rows are judged one by one.
+    Without any labelled document every row goes; an empty table gives an empty one.
+    """
+    pred, score = spare(docs.columns, "lang_pred", "score")
+    judged = _judged(spark, docs, model, (pred, score)).where((F.col(pred) != UNKNOWN) & (F.col(score) >= least))
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return judged.select(*kept, F.col(pred).alias("lang_pred"), F.col(score).alias("score"))

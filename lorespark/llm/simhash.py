@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorespark.llm.common import Scratch, byte_values, groups, shuffle_partitions
+from lorespark.functions.names import spare
+from lorespark.llm.common import Scratch, byte_values, groups, shuffle_partitions, slices
 from lorespark.llm.components import connected_components
 
 SEED = 42
@@ -76,7 +77,7 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches, "text"):
         values = np.array([fingerprint(t) for t in byte_values(batch.column("text"))], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
@@ -179,9 +180,8 @@ def _collisions(base: np.ndarray, left: np.ndarray, source: np.ndarray, free: tu
         yield links >> 32, links & 0xFFFFFFFF
 
 
-def forest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each node's component."""
-    label = np.arange(count, dtype=np.int64)
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each node's component, from that of each before the edges ``a``, ``b``."""
     while True:
         low = np.minimum(label[a], label[b])
         after = label.copy()
@@ -204,12 +204,14 @@ def _links(bits: tuple[int, ...]):
             if len(fps) < 2:
                 continue
             left = HALF - np.bitwise_count(_key(fps, bits) ^ np.uint64(bucket)).astype(np.int64)
-            found = list(_collisions((fps & clear) | _spread(bucket, bits), left, np.arange(len(fps)), free))
-            if not found:
-                continue
-            a, b = (np.concatenate(x) for x in zip(*found))
-            near = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * HALF
-            label = forest(len(fps), a[near], b[near])
+            label = np.arange(len(fps), dtype=np.int64)
+            # the stars of each part join the forest as they come, so that a dense key holds one label a member
+            for a, b in _collisions((fps & clear) | _spread(bucket, bits), left, np.arange(len(fps)), free):
+                if (np.bitwise_count(fps[a] ^ fps[b]) > 2 * HALF).any():
+                    raise AssertionError("two fingerprints share a variant that neither is near to")
+                new = label[a] != label[b]
+                if new.any():
+                    label = forest(label, a[new], b[new])
             moved = np.flatnonzero(label != np.arange(len(fps)))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(fps[moved].view(np.int64)), pa.array(fps[label[moved]].view(np.int64))], ["u", "v"])
@@ -236,8 +238,9 @@ def _components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     least = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = connected_components(links(least, shuffle_partitions(spark)), scratch)
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
-    return marked, scratch.save(named, "components")
+    named = scratch.save(rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id"), "components")
+    scratch.drop(least)
+    return marked, named
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -254,16 +257,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _keyed(batches):
-    for batch in batches:
-        values = np.array([fingerprint(t) for t in byte_values(batch.column("text").cast(pa.string()))], dtype=np.uint64)
-        yield batch.append_column("_fp", pa.array(values.view(np.int64)))
-
-
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs``, with all its columns, without the near-duplicates: of each component the row that names it stays.
 
     Of several rows with that ``doc_id`` one stays, and one of a component that has no id.
+    Null and empty texts have fingerprint zero, so one row of them all stays.  Columns may
+    have any names; an empty table gives an empty one.
     """
     marked, named = _components(spark, docs)
     stays = marked.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "root")
@@ -271,7 +270,14 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if rows == ids:
         return docs.join(stays.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     # repeated or missing ids: find the rows again by id and fingerprint
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    keyed = docs.mapInArrow(_keyed, schema)
-    wanted = stays.distinct().select(F.col("doc_id").alias("_id"), F.col("fp").alias("_key"), F.col("root").alias("_root"))
-    return keyed.join(wanted, (F.col("_fp") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_id", "_root"]).select(docs.columns)
+    key, own_id, own_fp, root = spare(docs.columns, "_fp", "_id", "_key", "_root")
+
+    def keyed(batches):
+        for batch in slices(batches, "text"):
+            values = np.array([fingerprint(t) for t in byte_values(batch.column("text").cast(pa.string()))], dtype=np.uint64)
+            yield batch.append_column(key, pa.array(values.view(np.int64)))
+
+    marked_docs = docs.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
+    wanted = stays.distinct().select(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp), F.col("root").alias(root))
+    found = marked_docs.join(wanted, (F.col(key) == F.col(own_fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)))
+    return found.dropDuplicates([own_id, root]).select(docs.columns)

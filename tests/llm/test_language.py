@@ -1,5 +1,8 @@
+import random
 import zlib
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from lorespark.llm import language
@@ -34,7 +37,8 @@ def test_hierarchy_and_odd_texts(spark, model):
     got = language.identify(spark, docs, model).collect()
     assert sorted((r.doc_id or 0, r.lang_pred) for r in got) == [(0, "fr"), (1, "en"), (1, "en"), (2, "und"), (3, "und")]
     kept = language.accept(spark, docs, model)
-    assert kept.columns == docs.columns and kept.count() == 3
+    assert kept.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and sorted(r.lang_pred for r in kept.collect()) == ["en", "en", "fr"]
+    assert language.accept(spark, docs, model, least=2.0).count() == 0
 
 
 def test_without_labels(spark):
@@ -43,6 +47,36 @@ def test_without_labels(spark):
     assert language.identify(spark, docs.limit(0)).collect() == []
 
 
+def test_every_one_of_two_hundred_languages_is_learned(spark):
+    rng = random.Random(1)
+    signs = "abcdefghijklmnopqrstuvwxyzäöüßéèñçøåλπσдж"
+    rows, truth = [], {}
+    for k in range(200):
+        own = rng.sample(signs, 6)
+        words = ["".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(30)]
+        for _ in range(18):
+            text = " ".join(rng.choice(words) for _ in range(60)) * (400 if k == 7 else 1)
+            rows.append((len(rows), text, f"l{k:03d}"))
+            truth[len(rows) - 1] = f"l{k:03d}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.sample(docs).select("lang").distinct().count() == 200 and language.sample(docs).count() <= 2000
+    got = language.identify(spark, docs).collect()
+    held = [r for r in got if r.held_out]
+    assert {r.lang_pred for r in got} == set(truth.values())
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
+
+
+def test_votes_match_a_plain_version(model):
+    """Family by the largest margin, then the most duels won, then the sum of margins."""
+    for text in ("the and of", "der und die le", "el y que con the", "kwq und", "mit avec dans"):
+        x = np.append(language.features(text), 1.0)
+        family = max(range(3), key=lambda k: float(model.family_weights[k] @ x))
+        own = model.languages[model.families[family]]
+        duels = {pair: float(w @ x) for pair, w in zip(combinations(own, 2), model.pair_weights[model.families[family]])}
+        wins = lambda lang: (sum((m >= 0) == (a == lang) for (a, b), m in duels.items() if lang in (a, b)), sum(m if a == lang else -m for (a, b), m in duels.items() if lang in (a, b)))
+        assert model.predict(text)[0] == max(own, key=wins)
+
+
 def test_sample_is_bounded_and_never_held_out(spark, monkeypatch):
     monkeypatch.setattr(language, "PER_LANGUAGE", 20)
     docs = spark.read.parquet(TABLE)

@@ -81,12 +81,12 @@ def test_deep_splitting_finds_the_same_links(monkeypatch):
         monkeypatch.setattr(simhash, "MOST_VARIANTS", most)
         found = list(simhash._collisions(fps, np.full(len(fps), 2), np.arange(len(fps)), free))
         a, b = (np.concatenate(x) for x in zip(*found))
-        label = simhash.forest(len(fps), a, b).tolist()
+        label = simhash.forest(np.arange(len(fps)), a, b).tolist()
         want = want or label
         assert label == want
     brute = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
     i, j = np.nonzero(brute)
-    assert simhash.forest(len(fps), i, j).tolist() == want
+    assert simhash.forest(np.arange(len(fps)), i, j).tolist() == want
 
 
 def test_wider_keys_find_the_same_links(spark, monkeypatch):
@@ -99,6 +99,18 @@ def test_wider_keys_find_the_same_links(spark, monkeypatch):
     assert sorted(map(tuple, simhash.near_duplicates(spark, docs).collect()), key=str) == brute_components(rows)
 
 
+def test_very_long_text():
+    rng = random.Random(9)
+    text = " ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(simhash.MOST_SHINGLES + 5000))
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+def test_names_of_helper_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "same text", "a", 1, "b", "c"), (1, "same text", "a", 1, "b", "c"), (2, "same text", "d", 2, "e", "f"), (None, "quite another one", None, 3, None, None)], "doc_id long, text string, _fp string, _id int, _key string, _ROOT string")
+    kept = simhash.keep_one(spark, docs)
+    assert kept.columns == docs.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(["(1, 'same text', 'a', 1, 'b', 'c')", "(None, 'quite another one', None, 3, None, None)"])
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
