@@ -28,8 +28,8 @@ PER_LANGUAGE, LEAST_DOCS, ALL_DOCS, MOST_CHARS = 250, 10, 1500, 20_000
 #: Characters of a long text whose features are counted at once.
 CHUNK = 1 << 18
 UNKNOWN = "und"
-#: Texts with a lower score are in no language that was learned.
-LEAST_SCORE = 0.1
+#: Texts with a lower score are in no language that was learned.  Two machines that know nothing of a text give 0.25.
+LEAST_SCORE = 0.3
 
 #: Families of closely related languages by ISO 639-1 code.  Others are families of their own.
 FAMILIES = {
@@ -248,15 +248,15 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -
     return _judged(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text")), shared, ("lang_pred", "score")).drop("text")
 
 
-def accept(spark: SparkSession, docs: DataFrame, model: Model | None = None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text is in a language that was learned, with ``lang_pred`` and ``score``.
+def accept(spark: SparkSession, docs: DataFrame, model: Model | None = None, least: float = LEAST_SCORE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that was learned, with the language and score in columns ``names``.
 
     A row goes if its text is null or without a letter, or if the machines are so unsure
-    of it that ``score`` is below ``least``.  Columns of ``docs`` named ``lang_pred`` or
-    ``score`` are replaced, all others are kept; repeated rows are judged one by one.
+    of it that the score is below ``least``.  Columns of ``docs`` that are named so are
+    replaced, all others are kept; repeated rows are judged one by one.
     Without any labelled document every row goes; an empty table gives an empty one.
     """
     pred, score = spare(docs.columns, "lang_pred", "score")
     judged = _judged(spark, docs, model, (pred, score)).where((F.col(pred) != UNKNOWN) & (F.col(score) >= least))
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return judged.select(*kept, F.col(pred).alias("lang_pred"), F.col(score).alias("score"))
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    return judged.select(*kept, F.col(pred).alias(names[0]), F.col(score).alias(names[1]))
