@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from functools import reduce
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions.names import spare
+
 # Permission bits, and what ranks of rules mean.
 BITS = {"READ": 1, "WRITE": 2, "DELETE": 4, "CREATE": 8}
 ALL = 15
 INLINE_PRIORITY, GRANT_PRIORITY = 200, 250
-#: Rules are a policy, held by every task.
-MOST_RULES = 100_000
+#: Globs that a task tries at once.
+MOST_GLOBS = 10_000
 RULES = "rule_id long, pattern string, perms int, deny boolean, priority int, roles array<string>, users array<string>"
 
 
@@ -41,20 +46,15 @@ def normal_path(path: Column) -> Column:
     return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
 
 
-def glob_regex(pattern: Column) -> Column:
-    """Regular expression of a glob in which a star crosses slashes, in lower case.
-
-    A leading ``**/`` may stand for nothing.
-    """
-    quoted = F.regexp_replace(F.lower(pattern), r"([.+^$(){}|\\])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+def is_exact(pattern: Column) -> Column:
+    """Whether a pattern has no sign of a glob."""
+    return ~pattern.rlike(r"[*?\[]")
 
 
 def specificity(pattern: Column) -> Column:
     """1000 and ten for each slash of an exact path, else ten for each slash less ten for each star and each pair of stars."""
     count = lambda s: F.floor((F.length(pattern) - F.length(F.replace(pattern, F.lit(s), F.lit("")))) / len(s)).cast("int")
-    exact = ~pattern.rlike(r"[*?\[]")
-    return F.when(exact, 1000 + 10 * count("/")).otherwise(10 * count("/") - 10 * count("*") - 10 * count("**"))
+    return F.when(is_exact(pattern), 1000 + 10 * count("/")).otherwise(10 * count("/") - 10 * count("*") - 10 * count("**"))
 
 
 def roles_of(policy: DataFrame) -> DataFrame:
@@ -62,32 +62,63 @@ def roles_of(policy: DataFrame) -> DataFrame:
     return policy.select("role", F.explode("users").alias("user")).select("user", "role").distinct()
 
 
+def _fits(globs: list[tuple[int, str]]):
+    """Numbers of the globs that each path fits, as the standard library's ``fnmatch`` reads them."""
+
+    def run(batches):
+        tests = [(k, re.compile(fnmatch.translate(g.lower())).match) for k, g in globs]
+        for batch in batches:
+            found = [[k for k, test in tests if test(p)] for p in batch.column("normal").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.list_(pa.int64()))], ["path", "fits"])
+
+    return run
+
+
+def matched(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """``path`` and ``pattern`` of every distinct path and pattern that fit, whatever the case and the kind of slash.
+
+    Patterns without a sign of a glob, of which notes and grants give many, are joined by
+    equality.  Globs are a policy: they are tried in blocks of ``MOST_GLOBS``, each
+    distinct glob once on each distinct path.
+    """
+    asked = paths.select("path").distinct().where("path is not null").withColumn("normal", normal_path(F.col("path")))
+    given = rules.select("pattern").distinct().where("pattern is not null")
+    exact = given.where(is_exact(F.col("pattern"))).withColumn("normal", F.lower("pattern"))
+    parts = [asked.join(exact, "normal").select("path", "pattern")]
+    stream = given.where(~is_exact(F.col("pattern"))).toLocalIterator()
+    for block in iter(lambda: [r.pattern for r in islice(stream, MOST_GLOBS)], []):
+        names = paths.sparkSession.createDataFrame(list(enumerate(block)), "fit long, pattern string")
+        fits = asked.mapInArrow(_fits(list(enumerate(block))), "path string, fits array<long>").select("path", F.explode("fits").alias("fit"))
+        parts.append(fits.join(names, "fit").select("path", "pattern"))
+    return reduce(DataFrame.union, parts)
+
+
 def resolve(checks: DataFrame, rules: DataFrame, user_roles: DataFrame, default_deny: bool = True) -> DataFrame:
     """``allowed`` bits of every distinct (``user``, ``path``).
 
     For each bit the rule with the highest priority, then specificity, then denial, then
-    smallest id decides; without a rule the default does.  The rules are broadcast, up to
-    a bound; paths are matched once for each distinct path.
+    smallest id decides; without a rule the default does.  A null path fits no rule.
     """
-    if rules.count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     asked = checks.select("user", "path").distinct()
-    known = asked.join(user_roles.groupBy("user").agg(F.collect_set("role").alias("_roles")), "user", "left").withColumn("_roles", F.coalesce("_roles", F.array().cast("array<string>")))
-    told = rules.select("*", glob_regex(F.col("pattern")).alias("_regex"), specificity(F.col("pattern")).alias("_spec"))
-    fits = F.expr("_path rlike _regex") & (F.arrays_overlap("_roles", "roles") | F.array_contains("users", F.col("user")))
-    found = known.withColumn("_path", normal_path(F.col("path"))).join(F.broadcast(told), fits, "left")
-    bits = F.array(*(F.lit(b) for b in BITS.values()))
-    each = found.withColumn("bit", F.explode(bits))
-    rank = F.when(F.col("perms").bitwiseAND(F.col("bit")) != 0, F.struct("priority", "_spec", "deny", (-F.col("rule_id")).alias("n")))
+    roles = user_roles.groupBy("user").agg(F.collect_set("role").alias("own"))
+    told = rules.select("rule_id", "pattern", "perms", "deny", "priority", "roles", "users", specificity(F.col("pattern")).alias("spec"))
+    near = asked.join(matched(asked, rules), "path").join(roles, "user", "left").join(told, "pattern")
+    mine = F.arrays_overlap(F.coalesce("own", F.array().cast("array<string>")), "roles") | F.array_contains("users", F.col("user"))
+    each = near.where(mine).withColumn("bit", F.explode(F.array(*(F.lit(b) for b in BITS.values())))).where(F.col("perms").bitwiseAND(F.col("bit")) != 0)
+    rank = F.struct("priority", "spec", "deny", (-F.col("rule_id")).alias("n"))
     won = each.groupBy("user", "path", "bit").agg(F.max_by("deny", rank).alias("deny"))
-    given = F.when(F.coalesce("deny", F.lit(default_deny)), 0).otherwise(F.col("bit"))
-    return won.groupBy("user", "path").agg(F.bit_or(given).alias("allowed"))
+    told_bits = won.groupBy("user", "path").agg(F.bit_or("bit").alias("told"), F.bit_or(F.when(F.col("deny"), 0).otherwise(F.col("bit"))).alias("given"))
+    otherwise = F.lit(0 if default_deny else ALL)
+    told_, given = F.coalesce("told", F.lit(0)), F.coalesce("given", F.lit(0))
+    joined = asked.join(told_bits.withColumnsRenamed({"user": "u", "path": "p"}), F.col("user").eqNullSafe(F.col("u")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    return joined.select("user", "path", given.bitwiseOR(otherwise.bitwiseAND(F.bitwise_not(told_))).alias("allowed"))
 
 
 def can(checks: DataFrame, rules: DataFrame, user_roles: DataFrame, default_deny: bool = True) -> DataFrame:
     """``checks`` (``user``, ``path``, ``perms``) with ``granted``: whether all bits are allowed."""
-    found = resolve(checks, rules, user_roles, default_deny)
-    return checks.join(found, ["user", "path"]).withColumn("granted", F.col("allowed").bitwiseAND(F.col("perms")) == F.col("perms")).drop("allowed")
+    (allowed,) = spare(checks.columns, "allowed")
+    found = resolve(checks, rules, user_roles, default_deny).withColumnRenamed("allowed", allowed)
+    return checks.join(found, ["user", "path"]).withColumn("granted", F.col(allowed).bitwiseAND(F.col("perms")) == F.col("perms")).drop(allowed)
 
 
 def accessible(paths: DataFrame, user: str, rules: DataFrame, user_roles: DataFrame, bit: str = "READ") -> DataFrame:
@@ -98,8 +129,8 @@ def accessible(paths: DataFrame, user: str, rules: DataFrame, user_roles: DataFr
 
 def inline_rules(notes: DataFrame, first_id: int = 1_000_000) -> DataFrame:
     """Rules of notes for their own exact path (``path``, ``perms``, ``deny``, ``users``, ``roles``), above those of the policy."""
-    order = F.row_number().over(Window.orderBy("path", "perms", "deny"))
-    return notes.select((order + first_id).cast("long").alias("rule_id"), normal_path(F.col("path")).alias("pattern"), "perms", "deny", F.lit(INLINE_PRIORITY).alias("priority"), "roles", "users")
+    number = F.pmod(F.xxhash64("path", "perms", "deny"), F.lit(1 << 40)) + first_id
+    return notes.select(number.alias("rule_id"), normal_path(F.col("path")).alias("pattern"), "perms", "deny", F.lit(INLINE_PRIORITY).alias("priority"), "roles", "users")
 
 
 def expires_at(kind: Column, start: Column, ttl_minutes: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lorespark.functions.names import spare
 from lorespark.operators import clustering, graph, keywords, retrieval
 
 #: Prompts that describing and verifying take, in keywords of a batch.
@@ -72,8 +73,9 @@ def similarities(members: DataFrame, concepts: DataFrame) -> DataFrame:
     """Similarity of each keyword to the vector of its concept, to four places."""
     from lorespark.functions import vectors
 
-    joined = members.join(concepts.select("cluster", F.col("embedding").alias("_c")), "cluster")
-    return joined.withColumn("similarity", F.round(vectors.cosine(F.col("embedding"), F.col("_c")), 4)).drop("_c")
+    (centre,) = spare(members.columns, "_c")
+    joined = members.join(concepts.select("cluster", F.col("embedding").alias(centre)), "cluster")
+    return joined.withColumn("similarity", F.round(vectors.cosine(F.col("embedding"), F.col(centre)), 4)).drop(centre)
 
 
 def instance_edges(scored: DataFrame) -> DataFrame:
@@ -140,7 +142,8 @@ def contexts(chunks: DataFrame, by: list[str]) -> DataFrame:
 def within_budget(entries: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     """Entries whose lengths and line ends, added up in order, fit the budget."""
     run = Window.partitionBy(*by).orderBy(*order)
-    return entries.withColumn("_upto", F.sum(F.length("text") + 1).over(run)).where(F.col("_upto") <= most).drop("_upto")
+    (upto,) = spare(entries.columns, "_upto")
+    return entries.withColumn(upto, F.sum(F.length("text") + 1).over(run)).where(F.col(upto) <= most).drop(upto)
 
 
 def dry_run(rows: DataFrame) -> DataFrame:
@@ -178,21 +181,22 @@ def prompt_batches(entries: DataFrame, by: list[str], order: list[str], tokens:
     state; an entry over the budget is a batch of its own.
     """
     most = int(tokens * chars * share)
+    (length,) = spare(entries.columns, "_size")
 
     def run(frames):
         last, batch, used = None, 0, 0
         for frame in frames:
             numbers = []
-            for key, size in zip(frame[by].itertuples(index=False, name=None), frame["_size"]):
+            for key, size in zip(frame[by].itertuples(index=False, name=None), frame[length]):
                 if key != last:
                     last, batch, used = key, 0, 0
                 elif used + size > most:
                     batch, used = batch + 1, 0
                 used += size
                 numbers.append(batch)
-            yield frame.drop(columns="_size").assign(batch=numbers)
+            yield frame.drop(columns=length).assign(batch=numbers)
 
-    sized = entries.withColumn("_size", F.length(F.coalesce("text", F.lit(""))) + 1)
+    sized = entries.withColumn(length, F.length(F.coalesce("text", F.lit(""))) + 1)
     ordered = sized.repartition(*by).sortWithinPartitions(*by, *order)
     return ordered.mapInPandas(run, StructType([*entries.schema.fields, StructField("batch", LongType())]))
 

@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _saved(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """The frame written to the folder of checkpoints, to cut the lineage of a loop."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lorespark-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+from lorespark.operators.tables import saved
 
 
 def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,12 +23,12 @@ def bfs(spark: SparkSession, edges: DataFrame, start: DataFrame, most_hops: int,
 
     With ``most_nodes`` the first ones by hop, then by node, are kept.
     """
-    both = _saved(spark, undirected(edges))
-    seen = _saved(spark, start.select("node").distinct().withColumn("hop", F.lit(0)))
+    both = saved(spark, undirected(edges))
+    seen = saved(spark, start.select("node").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
     for hop in range(1, most_hops + 1):
         near = both.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        frontier = _saved(spark, near.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = saved(spark, near.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -51,17 +37,31 @@ def bfs(spark: SparkSession, edges: DataFrame, start: DataFrame, most_hops: int,
     return seen if most_nodes is None else seen.orderBy("hop", "node").limit(most_nodes)
 
 
+class _Looked:
+    """Neighbours of one node at a time, out of a table that is sorted by node."""
+
+    def __init__(self, both: DataFrame):
+        self.both = both
+
+    def get(self, node, _) -> list:
+        return [r.b for r in self.both.where(F.col("a") == node).select("b").collect()]
+
+
 def dfs(edges: DataFrame, start, most_nodes: int, most_edges: int = 1_000_000) -> list:
     """Depth-first order from one node, smaller neighbours first, marked when visited.
 
-    Sequential by its nature: the edges are collected, up to a bound.
+    Sequential by its nature.  Up to ``most_edges`` edges are collected; of a larger graph
+    the neighbours of each visited node are looked up as it is reached, ``most_nodes`` times.
     """
-    rows = undirected(edges).limit(most_edges + 1).collect()
+    both = undirected(edges)
+    rows = both.limit(most_edges + 1).collect()
     if len(rows) > most_edges:
-        raise ValueError(f"more than {most_edges} edges: use bfs")
-    near: dict = {}
-    for a, b in rows:
-        near.setdefault(a, []).append(b)
+        both = saved(edges.sparkSession, both.repartitionByRange("a").sortWithinPartitions("a"))
+        near = _Looked(both)
+    else:
+        near = {}
+        for a, b in rows:
+            near.setdefault(a, []).append(b)
     out, seen, stack = [], set(), [start]
     while stack and len(out) < most_nodes:
         node = stack.pop()
@@ -73,17 +73,28 @@ def dfs(edges: DataFrame, start, most_nodes: int, most_edges: int = 1_000_000) -
 
 
 def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (its smallest node): minimum labels with pointer jumping until nothing changes."""
-    both = _saved(spark, undirected(edges))
-    labels = _saved(spark, nodes.select("node").distinct().withColumn("component", F.col("node")))
-    while True:
-        offered = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("offer"))
-        lower = labels.join(offered, "node", "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("low"), "component")
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("beyond"))
-        after = _saved(spark, lower.join(jump, "low", "left").select("node", F.coalesce("beyond", "low").alias("component"), (F.coalesce("beyond", "low") != F.col("component")).alias("moved")))
-        labels = after.select("node", "component")
-        if after.where("moved").isEmpty():
-            return labels
+    """``node`` and ``component``, its smallest node; a node without an edge is its own.
+
+    Alternating star rounds: every node's neighbours are tied to the least around it, above
+    it first and then below it, until nothing changes.  The rounds are few (logarithmic in
+    the longest path), and each writes at most one edge a node.
+    """
+    now = saved(spark, unordered_pairs(edges).select(F.col("b").alias("u"), F.col("a").alias("v")))
+    mark = lambda frame: tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1_000_003)), F.max(F.xxhash64("u", "v"))).first())
+    before = mark(now)
+    while before[0]:
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = saved(spark, tied.union(low.select("u", "m")).distinct())
+        after = mark(now)
+        if after == before:
+            break
+        before = after
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def is_connected(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> bool:
@@ -156,7 +167,7 @@ def tree_paths(spark: SparkSession, edges: DataFrame, start: DataFrame, most_dep
     level = start.select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
     out = level
     for depth in range(1, most_depth + 1):
-        level = _saved(spark, level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat_ws("/", "path", F.col("child").cast("string")).alias("path")))
+        level = saved(spark, level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat_ws("/", "path", F.col("child").cast("string")).alias("path")))
         if level.isEmpty():
             break
         out = out.union(level)
@@ -177,6 +188,19 @@ def cluster_relations(edges: DataFrame, most_predicates: int = 3) -> DataFrame:
     )
 
 
+def counts_of(edges: DataFrame, a: str = "a") -> DataFrame:
+    """Number of distinct nodes at the other end of each node ``a`` (``a``, ``n``)."""
+    return edges.distinct().groupBy(a).agg(F.count("*").alias("n"))
+
+
+def with_counts(nodes: DataFrame, key: str, edges: dict[str, DataFrame]) -> DataFrame:
+    """Every node with the number of its edges of each kind, 0 where it has none; ``edges`` have the column ``key``."""
+    for name, own in edges.items():
+        counts = own.groupBy(key).agg(F.count("*").alias(name))
+        nodes = nodes.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return nodes
+
+
 def by_chunk(edges: DataFrame, chunks: str = "chunk_ids") -> DataFrame:
     """Number of edges of each source chunk; those without one are together."""
     flat = edges.select(F.explode_outer(chunks).alias("chunk_id")).select(F.coalesce("chunk_id", F.lit("(no chunk)")).alias("chunk_id"))

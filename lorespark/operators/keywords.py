@@ -2,25 +2,104 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespark.functions import text
+from lorespark.functions.names import spare
+from lorespark.operators.tables import saved
+
+
+#: Words whose weights are broadcast; with more of them weights are joined.
+MOST_WORDS = 1_000_000
+
+
+def _long_words(body: str, least: int) -> Column:
+    return F.filter(text.words(F.col(body)), lambda w: F.length(w) >= least)
+
+
+def _counted(batch: pa.RecordBatch, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Group, word and number of each distinct pair in a batch with a list column ``w``; ``groups`` numbers the rows."""
+    lists = batch.column("w")
+    coded = lists.flatten().dictionary_encode()
+    k = max(1, len(coded.dictionary))
+    pairs, counts = np.unique(groups[pc.list_parent_indices(lists).to_numpy()] * k + coded.indices.to_numpy(), return_counts=True)
+    return pairs // k, coded.dictionary.take(pa.array(pairs % k)), counts
 
 
 def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int = 4) -> DataFrame:
-    """Words of at least ``least`` characters in each document with how often they are there (``word``, ``tf``)."""
-    long = F.filter(text.words(F.col(body)), lambda w: F.length(w) >= least)
-    return docs.select(by, F.explode(long).alias("word")).groupBy(by, "word").agg(F.count("*").alias("tf"))
+    """Words of at least ``least`` characters in each document with how often they are there (``word``, ``tf``).
+
+    Words are counted within each batch of rows before they are shuffled.
+    """
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(by).dictionary_encode(null_encoding="encode")
+            group, word, n = _counted(batch, own.indices.to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([own.dictionary.take(pa.array(group)), word, pa.array(n, pa.int64())], [by, "word", "tf"])
+
+    lists = docs.select(by, _long_words(body, least).alias("w")).where("w is not null")
+    counted = lists.mapInArrow(run, T.StructType([docs.schema[by], T.StructField("word", T.StringType()), T.StructField("tf", T.LongType())]))
+    return counted.groupBy(by, "word").agg(F.sum("tf").alias("tf"))
 
 
 def tfidf(tf: DataFrame, documents: int | Column, by: str = "doc_id") -> DataFrame:
     """``score``: frequency times the logarithm of documents per document with the word."""
-    # counted by way of tf, so that both sides of the join need the same shuffle and it is made once
     df = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return tf.join(df, "word").withColumn("score", F.round(F.col("tf") * F.log((F.lit(documents) + 1) / (F.col("df") + 1)), 6))
 
 
+def top_tfidf(docs: DataFrame, most: int, by: str = "doc_id", body: str = "text", least: int = 4) -> DataFrame:
+    """The ``most`` words of the highest ``tfidf`` of every row: ``word``, ``tf``, ``score``, ``rank``; each row is a document of its own.
+
+    Only the number of rows of each word is shuffled.  The weights of up to ``MOST_WORDS``
+    words are broadcast, and every row ranks its own words where it is; more weights are
+    joined with the words.
+    """
+    spark, documents = docs.sparkSession, docs.count()
+    lists = docs.select(by, _long_words(body, least).alias("w")).where("w is not null")
+
+    def rows_of(batches):
+        for batch in batches:
+            _, word, _ = _counted(batch, np.arange(batch.num_rows, dtype=np.int64))
+            counts = word.value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "df"])
+
+    df = lists.mapInArrow(rows_of, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    weights = saved(spark, df.select("word", F.log((F.lit(documents) + 1) / (F.col("df") + 1)).alias("idf")))
+    if weights.count() > MOST_WORDS:
+        numbered = lists.withColumn("row", F.monotonically_increasing_id())
+        rows = numbered.select("row", by, F.explode("w").alias("word")).groupBy("row", by, "word").agg(F.count("*").alias("tf"))
+        scored = rows.join(weights, "word").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
+        return top_words(scored, most, "row").select(by, "word", "tf", "score", "rank")
+    table = weights.toArrow()
+    shared = spark.sparkContext.broadcast((table.column("word").combine_chunks(), table.column("idf").to_numpy()))
+
+    def ranked(batches):
+        known, idf = shared.value
+        for batch in batches:
+            row, word, tf = _counted(batch, np.arange(batch.num_rows, dtype=np.int64))
+            coded = word.dictionary_encode()
+            weight = idf[pc.index_in(coded.dictionary, value_set=known).to_numpy()][coded.indices.to_numpy()] if len(word) else np.zeros(0)
+            score = np.round(tf * weight, 6) + 0.0
+            place = np.empty(len(coded.dictionary), dtype=np.int64)
+            place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+            order = np.lexsort((place[coded.indices.to_numpy()], -score, row))
+            start = np.searchsorted(row[order], row[order])
+            rank = np.arange(len(order)) - start + 1
+            kept, rank = order[rank <= most], rank[rank <= most]
+            at = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(row[kept])), word.take(at), pa.array(tf[kept], pa.int64()), pa.array(score[kept]), pa.array(rank, pa.int32())], [by, "word", "tf", "score", "rank"])
+
+    fields = [("word", T.StringType()), ("tf", T.LongType()), ("score", T.DoubleType()), ("rank", T.IntegerType())]
+    return lists.mapInArrow(ranked, T.StructType([docs.schema[by], *(T.StructField(n, t) for n, t in fields)]))
+
+
 def top_words(scored: DataFrame, most: int, by: str = "doc_id", score: str = "score") -> DataFrame:
     """The ``most`` best words of each document, ties in order of the word."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), "word"))
@@ -36,19 +115,22 @@ def class_tfidf(tf: DataFrame, by: str) -> DataFrame:
 
 def refine(raw: DataFrame, refined: DataFrame) -> DataFrame:
     """Raw mentions with their refined word; those without one stay as they are (``raw``, ``word``)."""
-    table = refined.select(F.lower("raw").alias("_key"), F.col("word").alias("_word")).dropDuplicates(["_key"])
-    return raw.join(table, F.lower(F.col("word")) == F.col("_key"), "left").withColumn("word", F.coalesce("_word", "word")).drop("_key", "_word")
+    key, new = spare(raw.columns, "_key", "_word")
+    table = refined.groupBy(F.lower("raw").alias(key)).agg(F.min("word").alias(new))
+    return raw.join(table, F.lower(F.col("word")) == F.col(key), "left").withColumn("word", F.coalesce(new, "word")).drop(key, new)
 
 
 def unprotected(words: DataFrame, protected: DataFrame) -> DataFrame:
     """Words without those that are protected, in any case."""
-    return words.join(protected.select(F.lower("word").alias("_key")).distinct(), F.lower(F.col("word")) == F.col("_key"), "left_anti")
+    (key,) = spare(words.columns, "_key")
+    return words.join(protected.select(F.lower("word").alias(key)).distinct(), F.lower(F.col("word")) == F.col(key), "left_anti")
 
 
 def confident(rows: DataFrame, least: float, most: int, by: list[str], order: list) -> DataFrame:
     """Rows with a word and enough confidence (null is 0), the first ``most`` of each group."""
     kept = rows.where((F.coalesce("confidence", F.lit(0.0)) >= least) & (F.trim("word") != ""))
-    return kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    (n,) = spare(rows.columns, "_n")
+    return kept.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(n) <= most).drop(n)
 
 
 def dedup(rows: DataFrame, order: Column) -> DataFrame:
@@ -63,7 +145,7 @@ def histogram(rows: DataFrame, value: str = "confidence") -> DataFrame:
 
 
 def cooccurrence(tops: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Pairs of top words that share documents: ``subject``, ``object``, ``n``.
+    """Unordered pairs of top words that share documents: ``subject``, ``object``, ``n``.
 
     The top words of a document are a bounded list, so pairs are made inside its row.
     """

@@ -8,6 +8,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from lorespark.functions import vectors
 
 #: Rows of a block of the all-pairs product; a task holds two blocks and their product.
 BLOCK = 1024
-#: Query vectors or concepts that are held by every task at once.
+#: Query vectors or classes that are held by every task at once; more are taken in blocks.
 MOST_QUERIES = 20_000
 #: Scores that a search holds at once, at least those of 1,024 points.
 MOST_SCORES = 1 << 22
@@ -24,7 +25,17 @@ DIGITS = 6
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    if not len(column):
+        return flat.reshape(0, 0)
+    sizes = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(sizes)[:5]}")
+    return flat.reshape(len(column), -1)
+
+
+def usable(points: DataFrame, key: str, vector: str) -> DataFrame:
+    """Points with a key and a vector; null vectors, and those with a null number, are skipped by every search."""
+    return points.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -32,16 +43,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _collected(spark: SparkSession, queries: DataFrame, key: str, vector: str):
-    rows = queries.select(key, vectors.doubles(F.col(vector)).alias("v")).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors: search them in parts")
-    return _shared(spark, rows)
-
-
 def _shared(spark: SparkSession, rows: list):
     """The keys and unit vectors of rows (key, ``v``), in order of the keys, broadcast."""
     rows = sorted(rows, key=lambda r: r[0])
+    if len(sizes := {len(r.v) for r in rows}) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(sizes)[:5]}")
     return spark.sparkContext.broadcast(([r[0] for r in rows], _unit(np.array([r.v for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))))
 
 
@@ -51,9 +57,11 @@ def knn(spark: SparkSession, points: DataFrame, queries: DataFrame, k: int, key:
     Scores are rounded before ranking, and ties go to the smaller key.  Filter ``points``
     first to search a part of them.  Every task keeps its own best ``k`` for each query,
     so what is shuffled doesn't grow with the points.  Queries are searched in blocks of
-    ``MOST_QUERIES``, each in its own pass over the points.
+    ``MOST_QUERIES``, each in its own pass over the points.  Null vectors are skipped, and
+    vectors of different lengths are an error.
     """
-    stream = queries.select(F.col(key).cast("long").alias("id"), vectors.doubles(F.col(vector)).alias("v")).toLocalIterator()
+    points = usable(points, key, vector)
+    stream = usable(queries, key, vector).select(F.col(key).cast("long").alias("id"), vectors.doubles(F.col(vector)).alias("v")).toLocalIterator()
     blocks = iter(lambda: list(islice(stream, MOST_QUERIES)), [])
     found = [_search(points, _shared(spark, rows), k, key, vector, skip_self) for rows in blocks]
     return reduce(DataFrame.union, found) if found else _search(points, _shared(spark, []), k, key, vector, skip_self)
@@ -151,6 +159,7 @@ def _products(points: DataFrame, make, schema: str, key: str, vector: str, block
     The number of pairs grows with the square of the points, as the operation asks for;
     restrict ``points`` to a candidate set for large collections.
     """
+    points = usable(points, key, vector)
     count = points.count()
     blocks = max(1, -(-count // block))
     rows = points.select(F.col(key).cast("long").alias("id"), vectors.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
@@ -196,30 +205,47 @@ def centroids(points: DataFrame, label: str, vector: str = "embedding", weight:
     return means.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def classify(spark: SparkSession, points: DataFrame, classes: DataFrame, name: str, least: float = 0.35, key: str = "vec_id", vector: str = "embedding", class_vector: str = "centroid") -> DataFrame:
+def classify(spark: SparkSession, points: DataFrame, classes: DataFrame, name: str, least: float = 0.35, key: str = "vec_id", vector: str = "embedding", class_vector: str = "centroid", epsilon: float = 0.0) -> DataFrame:
     """Most similar class of every point: ``best``, ``score``, ``label`` (null under ``least``) and ``confidence``.
 
-    Under the threshold the confidence is one less the best score.
+    Under the threshold the confidence is one less the best score.  Of equally near classes
+    the first by name is best.  ``epsilon`` is added to the product of the lengths.  Null
+    vectors are skipped; without classes no point has a row.
     """
-    shared = _collected(spark, classes, name, class_vector)
+    stream = usable(classes, name, class_vector).select(F.col(name).alias("id"), vectors.doubles(F.col(class_vector)).alias("v")).orderBy("id").toLocalIterator()
+    blocks = iter(lambda: list(islice(stream, MOST_QUERIES)), [])
 
-    def run(batches):
-        names, matrix = shared.value
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            scores = np.round(_unit(_matrix(batch.column(1))) @ matrix.T, DIGITS) + 0.0
-            at = scores.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([str(names[i]) for i in at]), pa.array(scores[np.arange(len(at)), at])], [key, "best", "score"])
-
-    found = points.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vectors.doubles(F.col(vector))).mapInArrow(run, f"{key} long, best string, score double")
+    def nearer(shared, lengths):
+        def run(batches):
+            names, matrix = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    own = _matrix(batch.column("v"))
+                    scores = _unit(own) @ matrix.T
+                    if epsilon:
+                        size = np.linalg.norm(own, axis=1)[:, None] * lengths
+                        scores *= size / (size + epsilon)
+                    scores = np.round(scores, DIGITS) + 0.0
+                    at = scores.argmax(axis=1)
+                    own = scores[np.arange(len(at)), at]
+                    before = batch.column("score").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    best = [str(names[i]) if s > b else old for i, s, b, old in zip(at, own, before, batch.column("best").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("v"), pa.array(best, pa.string()), pa.array(np.maximum(own, before))], [key, "v", "best", "score"])
+
+        return run
+
+    found = usable(points, key, vector).select(F.col(key).cast("long"), vectors.doubles(F.col(vector)).alias("v"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("score"))
+    for rows in blocks:  # in the order of the names, and only a higher score is nearer
+        lengths = np.array([float(np.linalg.norm(r.v)) for r in rows])
+        found = found.mapInArrow(nearer(_shared(spark, rows), lengths), f"{key} long, v array<double>, best string, score double")
+    found = found.drop("v").where("best is not null")
     sure = F.col("score") >= least
     return found.withColumn("label", F.when(sure, F.col("best"))).withColumn("confidence", F.when(sure, F.col("score")).otherwise(F.round(1 - F.col("score"), DIGITS)))
 
 
 def match_concepts(spark: SparkSession, words: DataFrame, concepts: DataFrame, name: str, direct: float, candidate: float, **columns) -> DataFrame:
-    """Direct, candidate or unmatched by the similarity to the nearest concept."""
-    found = classify(spark, words, concepts, name, least=-2.0, **columns)
+    """Direct, candidate or unmatched by the similarity to the nearest concept, which has a small number in its denominator."""
+    found = classify(spark, words, concepts, name, least=-2.0, epsilon=1e-8, **columns)
     kind = F.when(F.col("score") >= direct, "direct").when(F.col("score") >= candidate, "candidate").otherwise("unmatched")
     return found.select(found.columns[0], "best", "score", kind.alias("kind"))
 

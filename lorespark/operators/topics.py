@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import text
+from lorespark.functions.names import spare
 from lorespark.operators import keywords, retrieval
 
 
@@ -68,5 +69,6 @@ def reassign(spark: SparkSession, assigned: DataFrame, points: DataFrame, least:
     joined = assigned.join(points.select(by, vector), by)
     centres = retrieval.centroids(joined.where("topic >= 0"), "topic", vector)
     near = retrieval.classify(spark, joined.where("topic = -1").select(by, vector), centres, "topic", least, by, vector)
-    moved = near.select(by, F.col("label").cast("int").alias("_near"))
-    return assigned.join(moved, by, "left").withColumn("topic", F.when(F.col("topic") == -1, F.coalesce("_near", F.lit(-1))).otherwise(F.col("topic"))).drop("_near")
+    (new,) = spare(assigned.columns, "_near")
+    moved = near.select(by, F.col("label").cast("int").alias(new))
+    return assigned.join(moved, by, "left").withColumn("topic", F.when(F.col("topic") == -1, F.coalesce(new, F.lit(-1))).otherwise(F.col("topic"))).drop(new)

@@ -6,31 +6,22 @@ from lorespark.functions import recurrence, text
 from lorespark.operators import acl, finance, graph, notes
 from lorespark.plans.registry import query, table
 
-_EDGES = "WITH e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_quantity >= 45) "
+_EDGES = "WITH e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem) "
 
 
 def _edges(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
-    return items.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
-
-
-#: The statements above and below state a part of the line items; the queries named ``_whole`` take them all.
-_WHOLE = "WITH e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem) "
-
-
-def _all_edges(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
 
 
 @query(_EDGES + "SELECT a, count(DISTINCT b) AS n FROM e GROUP BY a")
 def article_keyword_counts(spark, sf_dir):
-    return _edges(spark, sf_dir).groupBy("a").agg(F.countDistinct("b").alias("n"))
+    return graph.counts_of(_edges(spark, sf_dir), "a")
 
 
 @query(_EDGES + "SELECT s_suppkey, s_name, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) ON a = s_suppkey")
 def optional_counts(spark, sf_dir):
-    counts = _edges(spark, sf_dir).groupBy(F.col("a").alias("s_suppkey")).agg(F.count("*").alias("n"))
-    return table(spark, sf_dir, "supplier").join(counts, "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("n"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return graph.with_counts(suppliers, "s_suppkey", {"n": _edges(spark, sf_dir).withColumnRenamed("a", "s_suppkey")})
 
 
 @query(_EDGES + "SELECT a, b FROM e UNION SELECT b, a FROM e")
@@ -38,27 +29,12 @@ def relation_union_distinct(spark, sf_dir):
     return graph.undirected(_edges(spark, sf_dir))
 
 
-@query(_WHOLE + "SELECT a, count(DISTINCT b) AS n FROM e GROUP BY a")
-def article_keyword_counts_whole(spark, sf_dir):
-    return _all_edges(spark, sf_dir).groupBy("a").agg(F.countDistinct("b").alias("n"))
-
-
-@query(_WHOLE + "SELECT s_suppkey, s_name, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) ON a = s_suppkey")
-def optional_counts_whole(spark, sf_dir):
-    counts = _all_edges(spark, sf_dir).groupBy(F.col("a").alias("s_suppkey")).agg(F.count("*").alias("n"))
-    return table(spark, sf_dir, "supplier").join(counts, "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query(_WHOLE + "SELECT a, b FROM e UNION SELECT b, a FROM e")
-def relation_union_distinct_whole(spark, sf_dir):
-    return graph.undirected(_all_edges(spark, sf_dir))
-
-
 @query("SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
 def undirected_pairs(spark, sf_dir):
     return graph.unordered_pairs(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 
 
+#: Every edge twice; the walk by hops is recursive, and over the whole table it takes DuckDB a few seconds.
 _BOTH = _EDGES.replace("WITH", "WITH RECURSIVE", 1) + ", u AS (SELECT a, b FROM e UNION SELECT b, a FROM e) "
 
 
@@ -67,24 +43,15 @@ def bfs_depth(spark, sf_dir):
     return graph.bfs(spark, _edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), 3)
 
 
-_SPARSE = "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e) "
+_COMPONENTS = """WITH RECURSIVE u AS MATERIALIZED (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem UNION SELECT DISTINCT 1000000 + l_partkey, l_suppkey FROM lineitem),
+cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION
+  (SELECT u.b, min(cc.component) FROM cc JOIN u ON u.a = cc.node JOIN recurring.cc AS old ON old.node = u.b GROUP BY u.b HAVING min(cc.component) < min(old.component)))
+SELECT node, component FROM cc"""
 
 
-@query(_SPARSE + ", w AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, w.root FROM w JOIN u ON u.a = w.node) SELECT node, min(root) AS component FROM w GROUP BY node")
+@query(_COMPONENTS)
 def connected_components(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0.1")
-    edges = items.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
-    return graph.components(spark, graph.undirected(edges).select(F.col("a").alias("node")), edges)
-
-
-@query()
-def bfs_depth_whole(spark, sf_dir):
-    return graph.bfs(spark, _all_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), 3)
-
-
-@query()
-def connected_components_whole(spark, sf_dir):
-    edges = _all_edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir)
     return graph.components(spark, graph.undirected(edges).select(F.col("a").alias("node")), edges)
 
 
@@ -294,16 +261,8 @@ def expense_by_category_range(spark, sf_dir):
     return found.select("id", "category", F.round(F.col("amount").cast("double"), 2).alias("amount"), "day")
 
 
-@query("SELECT c_name AS query, c_custkey AS account_id, 'exact' AS how FROM customer WHERE c_custkey % 10 = 0")
-def account_cascade(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer")
-    wanted = customers.where("c_custkey % 10 = 0").select(F.col("c_name").alias("query"))
-    accounts = customers.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return finance.resolve_accounts(wanted, accounts, spark.createDataFrame([("cash", "none")], "word string, name string")).select("query", "account_id", "how")
-
-
 @query("SELECT c_name AS query, c_custkey AS account_id, 'exact' AS how FROM customer")
-def account_cascade_whole(spark, sf_dir):
+def account_cascade(spark, sf_dir):
     """Every customer asked for among all customers."""
     customers = table(spark, sf_dir, "customer")
     accounts = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))

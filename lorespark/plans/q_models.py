@@ -18,7 +18,7 @@ def summary_tree(spark, sf_dir):
 
 def _members(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    tops = keywords.top_words(keywords.tfidf(keywords.mentions(docs), docs.count()), 5)
+    tops = keywords.top_tfidf(docs, 5)
     joined = tops.join(docs.select("doc_id", "lang", "source"), "doc_id")
     return joined.select("word", F.col("source").alias("article_id"), F.col("lang").alias("category"), F.least(F.lit(1.0), F.col("tf") / 10).alias("confidence"), F.lit("v1").alias("version"), F.col("doc_id").alias("pos"), vectors.character_embedding(F.col("word")).alias("embedding"))
 
@@ -41,7 +41,7 @@ def concept_relations(spark, sf_dir):
 
 _CENTRES = """WITH f AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS p FROM embeddings WHERE vec_id % 2 = 0),
 m AS (SELECT label, p, avg(x) AS x FROM f GROUP BY label, p), c AS (SELECT label, list(x ORDER BY p) AS v FROM m GROUP BY label),
-s AS (SELECT vec_id, c.label, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, c WHERE vec_id % 2 = 1),
+s AS (SELECT vec_id, c.label, round(list_dot_product(embedding::DOUBLE[], v) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v, v)) + 1e-8), 6) AS score FROM embeddings, c WHERE vec_id % 2 = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k FROM s) """
 
 

@@ -140,8 +140,7 @@ _MENTIONS = _SCORED + ", m AS (SELECT doc_id, doc_id % 50 AS article_id, word, l
 
 
 def _tops(spark, sf_dir, most=5):
-    docs = _docs(spark, sf_dir)
-    return keywords.top_words(keywords.tfidf(keywords.mentions(docs), docs.count()), most)
+    return keywords.top_tfidf(_docs(spark, sf_dir), most)
 
 
 def _mentions(spark, sf_dir):

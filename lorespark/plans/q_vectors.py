@@ -6,56 +6,41 @@ from lorespark.functions import vectors
 from lorespark.operators import clustering, retrieval
 from lorespark.plans.registry import query, table
 
+#: Every fiftieth row is a query.
 _KNN = """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (0, 1, 2)),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE {asked}),
 s AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS score
       FROM embeddings, q WHERE vec_id <> query_id {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
 t AS (SELECT * FROM r WHERE rank <= 10)
 """
+_ASKED = "vec_id % 50 = 0"
+#: Fusion is of the variants of one question, of which there are three.
+_VARIANTS = "vec_id IN (0, 1, 2)"
 
 
-#: The statement above has three queries; the queries named ``_whole`` take every fiftieth row.
-_KNN_WHOLE = _KNN.replace("vec_id IN (0, 1, 2)", "vec_id % 50 = 0")
-
-
-def _search(spark, sf_dir, where="true", asked="vec_id in (0, 1, 2)"):
+def _search(spark, sf_dir, where="true", asked=_ASKED):
     points = table(spark, sf_dir, "embeddings")
     return retrieval.knn(spark, points.where(where), points.where(asked), 10)
 
 
-@query(_KNN_WHOLE.format(where="") + "SELECT query_id, vec_id, score, rank FROM t")
-def knn_topk_whole(spark, sf_dir):
-    return _search(spark, sf_dir, asked="vec_id % 50 = 0")
-
-
-@query(_KNN_WHOLE.format(where="AND label IN (3, 4, 5)") + "SELECT query_id, vec_id, score, rank FROM t")
-def knn_filtered_by_label_whole(spark, sf_dir):
-    return _search(spark, sf_dir, "label in (3, 4, 5)", "vec_id % 50 = 0")
-
-
-@query(_KNN_WHOLE.format(where="") + "SELECT query_id, count(*) AS hits FROM t GROUP BY query_id")
-def retrieval_hits_by_query_whole(spark, sf_dir):
-    return retrieval.hits_by_query(retrieval.fuse(_search(spark, sf_dir, asked="vec_id % 50 = 0")))
-
-
-@query(_KNN.format(where="") + "SELECT query_id, vec_id, score, rank FROM t")
+@query(_KNN.format(asked=_ASKED, where="") + "SELECT query_id, vec_id, score, rank FROM t")
 def knn_topk(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
-@query(_KNN.format(where="AND label IN (3, 4, 5)") + "SELECT query_id, vec_id, score, rank FROM t")
+@query(_KNN.format(asked=_ASKED, where="AND label IN (3, 4, 5)") + "SELECT query_id, vec_id, score, rank FROM t")
 def knn_filtered_by_label(spark, sf_dir):
     return _search(spark, sf_dir, "label in (3, 4, 5)")
 
 
-@query(_KNN.format(where="") + "SELECT vec_id, any_value(label) AS label, max(score) AS score, count(*) AS hit_count, round(max(score) * count(*), 6) AS weighted FROM t GROUP BY vec_id")
+@query(_KNN.format(asked=_VARIANTS, where="") + "SELECT vec_id, any_value(label) AS label, max(score) AS score, count(*) AS hit_count, round(max(score) * count(*), 6) AS weighted FROM t GROUP BY vec_id")
 def retrieval_fusion(spark, sf_dir):
-    fused = retrieval.fuse(_search(spark, sf_dir)).drop("scores_by_query")
+    fused = retrieval.fuse(_search(spark, sf_dir, asked=_VARIANTS)).drop("scores_by_query")
     return fused.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").select("vec_id", "label", "score", "hit_count", "weighted")
 
 
-@query(_KNN.format(where="") + "SELECT query_id, count(*) AS hits FROM t GROUP BY query_id")
+@query(_KNN.format(asked=_ASKED, where="") + "SELECT query_id, count(*) AS hits FROM t GROUP BY query_id")
 def retrieval_hits_by_query(spark, sf_dir):
     return retrieval.hits_by_query(retrieval.fuse(_search(spark, sf_dir)))
 
@@ -87,7 +72,14 @@ def nearest_centroid_classify(spark, sf_dir):
     return retrieval.classify(spark, points, retrieval.centroids(points, "label"), "label")
 
 
-@query(_NEAREST + "SELECT vec_id, best, score, CASE WHEN score >= 0.5 THEN 'direct' WHEN score >= 0.3 THEN 'candidate' ELSE 'unmatched' END AS kind FROM r WHERE n = 1")
+#: Matching to concepts has a small number in the denominator.
+_MATCHED = _NEAREST.replace(
+    "list_cosine_similarity(embedding::DOUBLE[], centroid)",
+    "list_dot_product(embedding::DOUBLE[], centroid) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(centroid, centroid)) + 1e-8)",
+)
+
+
+@query(_MATCHED + "SELECT vec_id, best, score, CASE WHEN score >= 0.5 THEN 'direct' WHEN score >= 0.3 THEN 'candidate' ELSE 'unmatched' END AS kind FROM r WHERE n = 1")
 def match_direct_candidate_unmatched(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings")
     return retrieval.match_concepts(spark, points, retrieval.centroids(points, "label"), "label", 0.5, 0.3)
@@ -106,24 +98,8 @@ def allpairs_similarity_top10(spark, sf_dir):
     return retrieval.first_pairs(table(spark, sf_dir, "embeddings"), 10)
 
 
-@query(_PAIRS + "SELECT a, b, score FROM p WHERE score >= 0.2 ORDER BY round(abs(score - 0.3), 6), a, b LIMIT 10")
-def near_threshold_pairs(spark, sf_dir):
-    pairs = retrieval.similar_pairs(table(spark, sf_dir, "embeddings"), 0.2)
-    return pairs.orderBy(F.round(F.abs(F.col("score") - 0.3), 6), "a", "b").limit(10)
-
-
-@query(
-    _PAIRS
-    + "SELECT count(*) AS n, "
-    + ", ".join(f"round(quantile_cont(score, {p / 100}), 6) AS p{p}" for p in (5, 25, 50, 75, 90, 95, 99))
-    + ", round(min(score), 6) AS lowest, round(max(score), 6) AS highest, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation FROM p WHERE score >= 0.2"
-)
-def similarity_percentiles(spark, sf_dir):
-    return retrieval.distribution(retrieval.similar_pairs(table(spark, sf_dir, "embeddings"), 0.2))
-
-
 @query(_PAIRS + "SELECT a, b, score FROM p ORDER BY round(abs(score - 0.3), 6), a, b LIMIT 10")
-def near_threshold_pairs_whole(spark, sf_dir):
+def near_threshold_pairs(spark, sf_dir):
     return retrieval.first_pairs(table(spark, sf_dir, "embeddings"), 10, 0.3)
 
 
@@ -133,7 +109,7 @@ def near_threshold_pairs_whole(spark, sf_dir):
     + ", ".join(f"round(quantile_cont(score, {p / 100}), 6) AS p{p}" for p in (5, 25, 50, 75, 90, 95, 99))
     + ", round(min(score), 6) AS lowest, round(max(score), 6) AS highest, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation FROM p"
 )
-def similarity_percentiles_whole(spark, sf_dir):
+def similarity_percentiles(spark, sf_dir):
     """The distribution over all pairs, from the counts of rounded scores."""
     return retrieval.counted_distribution(retrieval.score_counts(table(spark, sf_dir, "embeddings")))
 

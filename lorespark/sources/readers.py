@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text
+from lorespark.functions.names import spare
 from lorespark.operators import blocks
 
 # Name patterns of notes by grain.
@@ -93,8 +94,8 @@ def write_versions(frame: DataFrame, path: str, version: str, by: str = "article
 
 def latest(frame: DataFrame, by: str = "article_id", version: str = "version") -> DataFrame:
     """Rows of the last version of each article."""
-    last = F.max(version).over(Window.partitionBy(by))
-    return frame.withColumn("_last", last).where(F.col(version) == F.col("_last")).drop("_last")
+    (last,) = spare(frame.columns, "_last")
+    return frame.withColumn(last, F.max(version).over(Window.partitionBy(by))).where(F.col(version) == F.col(last)).drop(last)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:

@@ -1,10 +1,13 @@
+import fnmatch
+import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import text
-from lorespark.operators import acl, blocks, chunking, clustering, concepts, finance, graph, keywords, notes, sessions
+from lorespark.operators import acl, blocks, chunking, clustering, concepts, finance, graph, keywords, notes, retrieval, sessions
 from lorespark.sources import readers
 from lorespark.streaming import streams
 
@@ -274,3 +277,73 @@ def test_grant_stream(spark, tmp_path):
 def test_token_totals(spark):
     usage = spark.createDataFrame([("a", '{"usage":{"prompt_tokens":1,"completion_tokens":2}}'), ("b", "x")], "component string, answer string").select("component", text.token_usage(F.col("answer")).alias("u")).select("component", "u.*")
     assert {r.component: (r.total, r.calls) for r in readers.token_totals(usage).collect()} == {"a": (3, 1), "b": (0, 1), None: (3, 2)}
+
+
+def test_globs_as_the_standard_library_reads_them(spark):
+    globs = ["*", "**/*", "**/a.md", "[!x]bc", "[a-c]?.md", "[!a-c]*", "a[", "[]]", "n*/[!.]*", "x.md", "A/B*.MD", "a^b", "(a|b)", "{a,b}", "a\\b", "[[]x]"]
+    paths = ["abc", "xbc", "a.md", "d/a.md", "bc.md", "a[", "]", "n/x.md", "n/.x", "x.md", "a/b1.md", "a/b\n.md", "a^b", "(a|b)", "{a,b}", "a/b", "[x]", "", "Ünï.md"]
+    rules = spark.createDataFrame([acl.rule(k, g, allow=["READ"], users=["u"]) for k, g in enumerate(globs)], acl.RULES)
+    got = {(r.path, r.pattern) for r in acl.matched(spark.createDataFrame([(p,) for p in paths], "path string"), rules).collect()}
+    exact = lambda g: not set(g) & set("*?[")
+    want = {(p, g) for p in paths for g in globs if (p.lower().replace("\\", "/") == g.lower() if exact(g) else re.match(fnmatch.translate(g.lower()), p.lower().replace("\\", "/")))}
+    assert got == want
+
+
+def test_policies_beyond_a_block(spark, monkeypatch):
+    monkeypatch.setattr(acl, "MOST_GLOBS", 3)
+    rules = spark.createDataFrame([acl.rule(k, f"d{k}/*", allow=["READ"], roles=["r"]) for k in range(10)] + [acl.rule(20, "d3/x", deny=["READ"], priority=5, users=["ann"])], acl.RULES)
+    asked = spark.createDataFrame([("ann", f"d{k}/x", 1, k) for k in range(12)] + [("bob", "d1/x", 1, 1), (None, "d1/x", 1, 1), ("ann", None, 1, 1)], "user string, path string, perms int, allowed int")
+    roles = spark.createDataFrame([("ann", "r")], "user string, role string")
+    got = acl.can(asked, rules, roles)
+    assert got.columns == ["user", "path", "perms", "allowed", "granted"]
+    assert {(r.user, r.path) for r in got.collect() if r.granted} == {("ann", f"d{k}/x") for k in range(10) if k != 3}
+    assert {r.allowed for r in acl.resolve(asked.where("user = 'bob' or path is null"), rules, roles, default_deny=False).collect()} == {15}
+
+
+def test_null_and_ragged_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.6, 0.8]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [0.0, 0.0])]
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in retrieval.knn(spark, points, points, 5).collect()} == {(a, b) for a in (1, 3, 5) for b in (1, 3, 5) if a != b}
+    assert [(r.a, r.b, r.score) for r in retrieval.similar_pairs(points, 0.5).collect()] == [(1, 3, 0.6)]
+    found = retrieval.classify(spark, points, spark.createDataFrame([("x", [1.0, 0.0]), ("y", None), ("z", [0.0, 1.0])], "name string, centroid array<double>"), "name")
+    assert sorted((r.vec_id, r.best) for r in found.collect()) == [(1, "x"), (3, "z"), (5, "x")]
+    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "vec_id long, embedding array<double>").coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        retrieval.knn(spark, ragged, ragged, 1).collect()
+
+
+def test_classes_beyond_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = spark.createDataFrame([(i % 30, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 6)))], "vec_id long, embedding array<double>")
+    classes = spark.createDataFrame([(f"c{i:02d}", v.tolist()) for i, v in enumerate(np.repeat(rng.normal(size=(9, 6)), 2, axis=0))], "name string, centroid array<double>")
+    want = sorted(map(tuple, retrieval.classify(spark, points, classes, "name").collect()))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    assert sorted(map(tuple, retrieval.classify(spark, points, classes, "name").collect())) == want and len(want) == 40
+
+
+def test_matching_has_a_small_number_in_its_denominator(spark):
+    tiny = spark.createDataFrame([(1, [1e-9, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    found = retrieval.match_concepts(spark, tiny, spark.createDataFrame([("x", [1.0, 0.0])], "name string, centroid array<double>"), "name", 0.9, 0.5)
+    assert {r.vec_id: (r.score, r.kind) for r in found.collect()} == {1: (0.090909, "unmatched"), 2: (1.0, "direct")}
+
+
+def test_depth_first_in_a_graph_that_is_not_collected(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (9, 10)], "a long, b long")
+    assert graph.dfs(edges, 1, 10) == graph.dfs(edges, 1, 10, most_edges=2) == [1, 2, 4, 3, 5]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_top_words_of_each_row(spark, monkeypatch, most):
+    monkeypatch.setattr(keywords, "MOST_WORDS", most)
+    texts = ["alpha beta beta gamma Alpha delta", "beta gamma gamma", None, "", "an it", "zeta zeta über über alpha", "beta gamma gamma"]
+    docs = spark.createDataFrame([(f"d{min(i, 5)}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(2)
+    got = sorted((r.doc_id, r.rank, r.word, r.tf, round(r.score, 6)) for r in keywords.top_tfidf(docs, 2).collect())
+    rows = [[w for w in (t or "").lower().split() if len(w) >= 4] for t in texts]
+    want = []
+    for i, own in enumerate(rows):
+        score = lambda w: round(own.count(w) * np.log((len(texts) + 1) / (sum(w in r for r in rows) + 1)), 6)  # noqa: B023, E731
+        first = sorted(set(own), key=lambda w: (-score(w), w))[:2]
+        want += [(f"d{min(i, 5)}", k + 1, w, own.count(w), score(w)) for k, w in enumerate(first)]
+    assert got == sorted(want)
+    counted = {(r.doc_id, r.word): r.tf for r in keywords.mentions(docs).collect()}
+    assert counted[("d5", "gamma")] == 2 and counted[("d5", "zeta")] == 2 and counted[("d0", "beta")] == 2

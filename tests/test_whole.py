@@ -39,19 +39,19 @@ def _hops(start, most=99):
 
 
 def test_components_of_all_items(spark, items):
-    got = {r.node: r.component for r in QUERIES["connected_components_whole"](spark, items).collect()}
+    got = {r.node: r.component for r in QUERIES["connected_components"](spark, items).collect()}
     assert got == {n: min(_hops(n)) for n in _near()}
 
 
 def test_hops_of_all_items(spark, items):
-    got = {r.node: r.hop for r in QUERIES["bfs_depth_whole"](spark, items).collect()}
+    got = {r.node: r.hop for r in QUERIES["bfs_depth"](spark, items).collect()}
     assert got == _hops(1, 3) and len(got) == 5
 
 
 def test_counts_and_unions_of_all_items(spark, items):
     near = _near()
-    assert {r.a: r.n for r in QUERIES["article_keyword_counts_whole"](spark, items).collect()} == {a: len(b) for a, b in near.items() if a < 1_000_000}
-    assert {(r.a, r.b) for r in QUERIES["relation_union_distinct_whole"](spark, items).collect()} == {(a, b) for a, bs in near.items() for b in bs}
+    assert {r.a: r.n for r in QUERIES["article_keyword_counts"](spark, items).collect()} == {a: len(b) for a, b in near.items() if a < 1_000_000}
+    assert {(r.a, r.b) for r in QUERIES["relation_union_distinct"](spark, items).collect()} == {(a, b) for a, bs in near.items() for b in bs}
 
 
 def test_more_accounts_than_a_task_should_hold(spark):
@@ -63,7 +63,7 @@ def test_more_accounts_than_a_task_should_hold(spark):
 
 
 def test_every_customer_is_asked(spark):
-    assert QUERIES["account_cascade_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert QUERIES["account_cascade"](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
 
 
 def _points(spark, n, size=8, seed=1):
@@ -86,7 +86,7 @@ def test_more_queries_than_a_block(spark, monkeypatch):
 
 
 def test_every_fiftieth_row_is_asked(spark):
-    found = QUERIES["knn_topk_whole"](spark, SF)
+    found = QUERIES["knn_topk"](spark, SF)
     assert sorted(r.query_id for r in found.select("query_id").distinct().collect()) == list(range(0, 500, 50))
 
 
@@ -94,7 +94,7 @@ def test_first_pairs_without_a_floor(spark, tmp_path):
     eye = np.eye(8)
     spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(eye)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     want = [(a, b, 0.0) for a in range(8) for b in range(a + 1, 8)][:10]
-    for name in ("allpairs_similarity_top10", "near_threshold_pairs_whole"):
+    for name in ("allpairs_similarity_top10", "near_threshold_pairs"):
         assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == want
 
 
