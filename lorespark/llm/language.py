@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespark.functions.names import spare
-from lorespark.llm.common import slices
+from lorespark.llm.common import Scratch, slices
 
 FEATURES = 1 << 13
 #: Bounds of the sample: documents of a language at most and (where it has them) at least, of all languages beyond
@@ -187,7 +187,8 @@ def sample(docs: DataFrame) -> DataFrame:
     """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
     usable = usable.where(fold() != 1).select("*", (F.length("text") > MOST_CHARS).alias("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)).alias("h"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short"))
+    # a written table has a known size, so a small one is broadcast and no text is shuffled
+    counts = Scratch(docs.sparkSession, "languages").save(usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short")), "counts")
     each = max(LEAST_DOCS, min(PER_LANGUAGE, ALL_DOCS // max(1, counts.count())))
     # about three times as many as needed pass the first cut, so that no task ranks a whole language
     some = lambda n: F.lit(3.0 * each) / F.greatest(n, F.lit(1)) * (1 << 30)
