@@ -72,29 +72,47 @@ def neighbour_clusters(spark: SparkSession, points: DataFrame, least: float, key
     return found.select(F.col("node").alias(key), F.col("component").alias("cluster"))
 
 
-def fit_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Labels and Bayesian information criterion of a Gaussian mixture with diagonal covariances."""
-    rng = np.random.default_rng(seed)
+def _starts(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """Labels of k-means from spread starts."""
+    means = x[[rng.integers(len(x))]]
+    far = ((x - means[0]) ** 2).sum(1)
+    while len(means) < k:
+        means = np.vstack([means, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
+        far = np.minimum(far, ((x - means[-1]) ** 2).sum(1))
+    labels = None
+    for _ in range(20):
+        # squared distances by the product, so that no array holds points, means and places at once
+        near = ((means**2).sum(1) - 2 * x @ means.T).argmin(1)
+        if labels is not None and (near == labels).all():
+            break
+        labels = near
+        for c in np.unique(labels):
+            means[c] = x[labels == c].mean(0)
+    return labels
+
+
+def fit_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Labels and Bayesian information criterion of a Gaussian mixture with full covariances."""
     n, d = x.shape
-    means = x[[rng.integers(n)]]
-    while len(means) < k:  # spread starts
-        far = ((x[:, None, :] - means[None]) ** 2).sum(-1).min(1)
-        means = np.vstack([means, x[rng.choice(n, p=far / far.sum()) if far.sum() > 0 else rng.integers(n)]])
-    floor = 1e-6 + 1e-3 * x.var(axis=0).mean()
-    var, share, last = np.tile(x.var(axis=0) + floor, (k, 1)), np.full(k, 1 / k), -np.inf
+    resp = np.zeros((n, k))
+    resp[np.arange(n), _starts(x, k, np.random.default_rng(seed))] = 1.0
+    last = -np.inf
     for _ in range(rounds):
-        log = np.log(share) - 0.5 * (np.log(2 * np.pi * var).sum(1) + (((x[:, None, :] - means) ** 2) / var).sum(-1))
+        weight = resp.sum(0) + 10 * np.finfo(float).eps
+        means, log = (resp.T @ x) / weight[:, None], np.empty((n, k))
+        for c in range(k):
+            apart = x - means[c]
+            low = np.linalg.cholesky((resp[:, c, None] * apart).T @ apart / weight[c] + ridge * np.eye(d))
+            scaled = np.linalg.solve(low, apart.T)
+            log[:, c] = np.log(weight[c] / n) - 0.5 * (d * np.log(2 * np.pi) + (scaled**2).sum(0)) - np.log(np.diag(low)).sum()
         top = log.max(1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(log - top).sum(1))
         resp = np.exp(log - total[:, None])
-        if abs(total.sum() - last) < 1e-6 * abs(last):
+        mean, before, last = total.mean(), last, total.mean()
+        if abs(mean - before) < 1e-3:
             break
-        last = total.sum()
-        weight = resp.sum(0) + 1e-9
-        means, share = (resp.T @ x) / weight[:, None], weight / weight.sum()
-        var = (resp.T @ (x * x)) / weight[:, None] - means**2
-        var = np.maximum(var, 0) + floor
-    return resp.argmax(1), float(-2 * last + (k * 2 * d + k - 1) * np.log(n))
+    numbers = k * d * (d + 1) / 2 + k * d + k - 1
+    return resp.argmax(1), float(-2 * n * last + numbers * np.log(n))
 
 
 def mixture_clusters(x: np.ndarray, reduction: float = 0.5) -> list[list[int]]:
@@ -121,6 +139,61 @@ def first_sentences(texts: list[str], budget: int) -> str:
     return " ".join(out) or texts[0][:budget]
 
 
+SEPARATOR = "\n---\n"
+
+
+def token_aware(texts: list[str], summarise=first_sentences, tokens: int = 3500, chars: float = 2.5, overflow: str = "multi_stage") -> str | None:
+    """Summary of texts that fit a token budget together; else by stages, or null with ``levels_only``.
+
+    A stage packs the texts in order into groups that fit, summarises each, and goes on
+    with the summaries until they fit or one is left.  Summaries that don't get fewer are
+    cut to the budget.
+    """
+    most = int(tokens * chars)
+    while True:
+        if not texts:
+            return ""
+        if np.ceil(len(SEPARATOR.join(texts)) / chars) <= tokens:
+            return summarise(texts, most)
+        if overflow == "levels_only":
+            return None
+        groups: list[list[str]] = []
+        used = 0
+        for text in texts:
+            added = len(text) + len(SEPARATOR)
+            if groups and used + added <= most:
+                groups[-1].append(text)
+                used += added
+            else:
+                groups.append([text])
+                used = len(text)
+        made = [summarise(g, most) for g in groups]
+        if len(made) == 1:
+            return made[0]
+        texts = made if len(made) < len(texts) or sum(map(len, made)) < sum(map(len, texts)) else [SEPARATOR.join(made)[:most]]
+
+
+def article_summary(summaries: list[str], orphans: list[str], summarise=first_sentences, tokens: int = 3500, chars: float = 2.5, overflow: str = "multi_stage") -> str:
+    """Summary of a tree's higher nodes and of the leaves in none; without the leaves if both don't fit and ``levels_only`` is asked for."""
+    found = token_aware([*summaries, *orphans], summarise, tokens, chars, overflow)
+    if found is None and summaries:
+        found = token_aware(summaries, summarise, tokens, chars)
+    return "\n\n".join(summaries) if found is None else found
+
+
+def summarise_articles(tree: DataFrame, summarise=first_sentences, tokens: int = 3500, chars: float = 2.5, overflow: str = "multi_stage") -> DataFrame:
+    """``article_id`` and ``summary`` of every tree (``TREE``), each article in one group."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values(["level", "node_id"])
+        held = {c for children in rows["children_ids"] for c in children}
+        upper = rows[rows["level"] > 0]["text"].tolist()
+        orphans = rows[(rows["level"] == 0) & ~rows["node_id"].isin(held)]["text"].tolist()
+        return pd.DataFrame({"article_id": [rows["article_id"].iloc[0]], "summary": [article_summary(upper, orphans, summarise, tokens, chars, overflow)]})
+
+    return tree.select("article_id", "node_id", "level", "text", "children_ids").groupBy("article_id").applyInPandas(run, "article_id string, summary string")
+
+
 TREE = "article_id string, node_id string, level int, text string, embedding array<double>, children_ids array<string>"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -214,3 +216,79 @@ def vector_points(concepts: DataFrame, relations: DataFrame) -> DataFrame:
     """Points to search: concepts by their id, relations by source, target and predicate."""
     relation = F.concat_ws(":", "source_id", "target_id", "predicate")
     return concepts.select(F.col("concept_id").alias("node_id"), F.lit("concept").alias("kind"), "embedding").unionByName(relations.select(relation.alias("node_id"), F.lit("relation").alias("kind"), "embedding"))
+
+
+def finalize_expand(state: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Concept versions after the choice, and EVOLVED_TO edges.
+
+    ``state`` has ``concept_group_id``, ``version``, ``is_active``, ``keyword_words`` and
+    ``source_articles``; ``offers`` has ``concept_group_id``, ``original_version``,
+    ``chosen_version`` and the versions on offer, ``v_direct`` and ``v_llm``, each a
+    structure of ``version``, ``keyword_words`` and ``source_articles`` or null.  Where
+    another version than the original is chosen, the old one ends and every offer is
+    stored, the chosen one active.  Edges lead from the original to the direct version,
+    where a choice was made, and from the direct one, or else the original, to the model's.
+    """
+    made = offers.where("chosen_version is not null and chosen_version <> original_version")
+    ended = made.select("concept_group_id", F.col("original_version").alias("version")).distinct().withColumn("ended", F.lit(True))
+    old = state.join(ended, ["concept_group_id", "version"], "left").withColumn("is_active", F.col("is_active") & F.col("ended").isNull()).select(state.columns)
+    several = F.filter(F.array("v_direct", "v_llm"), lambda v: v.isNotNull())
+    new = made.select("concept_group_id", "chosen_version", F.explode(several).alias("v")).select("concept_group_id", "v.version", (F.col("v.version") == F.col("chosen_version")).alias("is_active"), "v.keyword_words", "v.source_articles")
+    edge = lambda a, b: F.struct(a.alias("from_version"), b.alias("to_version"))
+    original, direct, model = F.col("original_version"), F.col("v_direct.version"), F.col("v_llm.version")
+    edges = F.array(F.when(direct.isNotNull() & F.col("chosen_version").isNotNull(), edge(original, direct)), F.when(model.isNotNull(), edge(F.coalesce(direct, original), model)))
+    changed = offers.join(made.select("concept_group_id").distinct().withColumn("stored", F.lit(True)), "concept_group_id", "left").where("stored")
+    evolved = changed.select("concept_group_id", F.explode(F.filter(edges, lambda e: e.isNotNull())).alias("e")).select("concept_group_id", "e.*")
+    return old.unionByName(new.select(state.columns)), evolved
+
+
+def from_unmatched(unmatched: DataFrame, least: float) -> DataFrame:
+    """New concepts out of keywords that no concept took: greedy clusters of them, put together."""
+    rows = unmatched.withColumn("member", F.concat_ws("\x1f", F.lower("word"), "article_id"))
+    first = rows.groupBy("member").agg(F.min_by(F.struct(*unmatched.columns), "pos").alias("r")).select("member", "r.*")
+    return aggregate_clusters(first.join(clustering.greedy(first, least, "member", "embedding", "word"), "member"))
+
+
+def add_concept(state: DataFrame, name: str, words: DataFrame, edges: DataFrame) -> DataFrame:
+    """State with a concept of its own version 1 from chosen words and the articles that have them; an error if no word is known."""
+    known = graph.select_explicit(words, edges, "word")
+    lists = edges.join(known, "word", "left_semi").agg(F.array_sort(F.collect_set("word")).alias("keyword_words"), F.array_sort(F.collect_set("article_id")).alias("source_articles"))
+    new = lists.select(F.lit(name).alias("concept_group_id"), F.lit(1).alias("version"), F.lit(True).alias("is_active"), "keyword_words", "source_articles")
+    return state.unionByName(new.select(state.columns))
+
+
+def upsert_relations(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """Relations by source, target and predicate with the delta's over them; ``created_at`` stays as it was first set."""
+    key = ["source_id", "target_id", "predicate"]
+    first = state.select(*key, F.col("created_at").alias("first"))
+    kept = delta.join(first, key, "left").withColumn("created_at", F.coalesce("first", "created_at")).select(state.columns)
+    return state.join(delta.select(*key), key, "left_anti").unionByName(kept)
+
+
+def reset(*tables: DataFrame) -> list[DataFrame]:
+    """The tables without any row."""
+    return [t.limit(0) for t in tables]
+
+
+def dual_context(chunks: DataFrame, by: list[str], tokens: int, chars: float = 2.5, share: float = 0.4) -> DataFrame:
+    """Broad and detailed context, each cut to its share of the token budget."""
+    most = int(tokens * chars * share)
+    return contexts(chunks, by).withColumns({c: F.substring(c, 1, most) for c in ("broad", "detail")})
+
+
+def concept_prompt(entries: DataFrame, by: list[str], order: list, tokens: int, chars: float = 2.5, share: float = 0.7) -> DataFrame:
+    """Entries one to a line up to a share of the token budget; the first that doesn't fit is cut, the others are left out."""
+    most = int(tokens * chars * share)
+    before, size = spare(entries.columns, "_before", "_size")
+    length = F.length(F.coalesce("text", F.lit(""))) + 1
+    run = Window.partitionBy(*by).orderBy(*order)
+    marked = entries.withColumn(size, length).withColumn(before, F.sum(size).over(run) - F.col(size)).where(F.col(before) < most)
+    return marked.withColumn("text", F.substr(F.col("text"), F.lit(1), (F.lit(most) - F.col(before)).cast("int"))).drop(before, size)
+
+
+def hit_counts(found: dict[str, DataFrame]) -> DataFrame:
+    """Hits by query over several kinds of points (``kind``, ``query_id``, ``hits``), and under the kind ``total`` the distinct points."""
+    hits = reduce(DataFrame.unionByName, [f.select(F.lit(k).alias("kind"), "query_id", F.col(f.columns[1]).cast("string").alias("point")) for k, f in found.items()])
+    each = hits.groupBy("kind", "query_id").agg(F.count("*").alias("hits"))
+    whole = hits.agg(F.count_distinct("kind", "point").alias("hits")).select(F.lit("total").alias("kind"), F.lit(None).cast("long").alias("query_id"), "hits")
+    return each.unionByName(whole)

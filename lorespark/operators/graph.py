@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.operators.tables import saved
@@ -205,3 +205,35 @@ def by_chunk(edges: DataFrame, chunks: str = "chunk_ids") -> DataFrame:
     """Number of edges of each source chunk; those without one are together."""
     flat = edges.select(F.explode_outer(chunks).alias("chunk_id")).select(F.coalesce("chunk_id", F.lit("(no chunk)")).alias("chunk_id"))
     return flat.groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+def edges_of_clusters(classified: DataFrame) -> DataFrame:
+    """Edges by ``cluster``: one inside a cluster is its own, one between two is listed with both."""
+    ends = F.when(F.col("kind") == "intra", F.array("cluster_a")).otherwise(F.array("cluster_a", "cluster_b"))
+    return classified.withColumn("cluster", F.explode(ends))
+
+
+def cross_relations(classified: DataFrame, order: list[str], articles: str = "article_id", most_predicates: int = 3, most_triples: int = 5) -> DataFrame:
+    """One relation for each unordered pair of clusters, as its edges come in the order given.
+
+    ``source`` and ``target`` are the clusters of the first edge; ``predicate`` has the
+    first distinct predicates and ``description`` the first triples; ``confidence`` is the
+    highest, ``articles`` are put together, and ``n_edges`` counts the edges.
+    """
+    inter = classified.where("kind = 'inter'").withColumns({"x": F.least("cluster_a", "cluster_b"), "y": F.greatest("cluster_a", "cluster_b"), "o": F.struct(*order)})
+    first = inter.groupBy("x", "y").agg(F.min_by(F.struct("cluster_a", "cluster_b"), "o").alias("d"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(articles)).alias("articles"), F.count("*").alias("n_edges"))
+    run = Window.partitionBy("x", "y").orderBy("o")
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("o", c))), lambda r: r["v"])
+    named = inter.groupBy("x", "y", F.col("predicate").alias("v")).agg(F.min("o").alias("o")).withColumn("k", F.row_number().over(run)).where(F.col("k") <= most_predicates)
+    predicates = named.groupBy("x", "y").agg(F.array_join(ordered("v"), ", ").alias("predicate"))
+    triple = F.concat_ws(" ", F.col("a").cast("string"), "predicate", F.col("b").cast("string")).alias("v")
+    triples = inter.withColumn("k", F.row_number().over(run)).where(F.col("k") <= most_triples).select("x", "y", "o", triple)
+    described = triples.groupBy("x", "y").agg(F.array_join(ordered("v"), "; ").alias("description"))
+    joined = first.join(predicates, ["x", "y"]).join(described, ["x", "y"])
+    return joined.select(F.col("d.cluster_a").alias("source"), F.col("d.cluster_b").alias("target"), "predicate", "description", "confidence", "articles", "n_edges")
+
+
+def reached_of(seen: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Wanted nodes that were reached, and those that weren't (columns ``node``)."""
+    ids = wanted.select("node")
+    return ids.intersect(seen.select("node")), ids.subtract(seen.select("node"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -165,3 +166,58 @@ def listing(keywords: DataFrame, edges: DataFrame) -> DataFrame:
     """Every keyword with its highest confidence and number of edges."""
     found = edges.groupBy("word").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_edges"))
     return keywords.join(found, "word", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+
+
+#: Keywords that a refiner is asked about at once, and in the second pass if there are more than that.
+REFINE_BATCH, SECOND_BATCH = 50, 100
+
+
+def plain_refiner(batch: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
+    """Stands in for a language model: words in one spelling of case and space, with their category."""
+    return [(word, " ".join(word.lower().split()), category) for word, category in batch]
+
+
+def _asked(words: DataFrame, by: str, size: Column, model) -> DataFrame:
+    """``by``, ``raw``, ``word``, ``category`` that a model gives for batches of words in their order (``pos``)."""
+
+    def run(frame):
+        rows = frame.sort_values("pos")
+        try:
+            found = model(list(zip(rows["raw"], rows["category"])))
+        except Exception:  # a batch that fails gives nothing, and its words stay
+            found = []
+        return pd.DataFrame({by: [frame[by].iloc[0]] * len(found), "raw": [f[0] for f in found], "word": [f[1] for f in found], "category": [f[2] for f in found]})
+
+    number = F.floor((F.row_number().over(Window.partitionBy(by).orderBy("pos")) - 1) / size).alias("batch")
+    numbered = words.select(by, "raw", "category", "pos", number)
+    return numbered.groupBy(by, "batch").applyInPandas(run, T.StructType([words.schema[by], *(T.StructField(n, T.StringType()) for n in ("raw", "word", "category"))]))
+
+
+def refine_batches(raw: DataFrame, by: str, model=plain_refiner) -> DataFrame:
+    """Refined keyword of each raw one (``by``, ``raw``, ``word``, ``category``), in two passes of bounded batches.
+
+    ``raw`` has ``by``, ``word``, ``category`` and ``pos``.  The first pass asks ``model``
+    about the distinct words of each ``by``, ``REFINE_BATCH`` at once; the second about
+    the distinct refined words, all at once or ``SECOND_BATCH`` at once if they are more.
+    What the second pass makes of a word is written back to the raw words it came from.
+    ``model`` maps a list of words with categories to raw word, refined word, category.
+    """
+    words = raw.where(F.trim("word") != "").groupBy(by, F.lower("word").alias("key")).agg(F.min_by(F.struct(F.col("word").alias("raw"), F.coalesce("category", F.lit("other")).alias("category")), "pos").alias("r"), F.min("pos").alias("pos"))
+    first = saved(raw.sparkSession, _asked(words.select(by, "r.raw", "r.category", "pos"), by, F.lit(REFINE_BATCH), model))
+    again = first.where(F.trim("word") != "").groupBy(by, F.lower("word").alias("key")).agg(F.min_by(F.struct(F.col("word").alias("raw"), "category"), "raw").alias("r"))
+    again = again.select(by, "r.raw", "r.category", F.col("key").alias("pos"), F.count("*").over(Window.partitionBy(by)).alias("n"))
+    few = _asked(again.where(F.col("n") <= REFINE_BATCH), by, F.lit(REFINE_BATCH), model)
+    many = _asked(again.where(F.col("n") > REFINE_BATCH), by, F.lit(SECOND_BATCH), model)
+    second = few.unionByName(many).groupBy(by, F.lower("raw").alias("key")).agg(F.min(F.struct("word", "category")).alias("s"))
+    joined = first.join(second, (first[by] == second[by]) & (F.lower(first["word"]) == second["key"]), "left")
+    return joined.select(first[by], first["raw"], F.coalesce("s.word", first["word"]).alias("word"), F.coalesce("s.category", first["category"]).alias("category"))
+
+
+def duplicates(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one row has, with how many."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def sampled(rows: DataFrame, fraction: float, needed: list[str], seed: int = 42) -> DataFrame:
+    """A share of the rows that have all the needed columns."""
+    return rows.dropna(subset=needed).sample(fraction=fraction, seed=seed)

@@ -390,3 +390,11 @@ def as_markdown(rows: DataFrame, by: list[str], order: list, most: int | None =
     listed = F.transform(F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("_k", "_item")))), lambda x: x["_item"])
     left = F.count("*") - F.size(listed)
     return numbered.groupBy(*by).agg(F.concat(F.array_join(listed, "\n"), F.when(left > 0, F.concat(F.lit("\n… "), left.cast("string"))).otherwise("")).alias("markdown"))
+
+
+def all_tasks(*kinds: DataFrame) -> DataFrame:
+    """Tasks of notes of several kinds, one behind the other; columns that one hasn't are null."""
+    out = kinds[0]
+    for more in kinds[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

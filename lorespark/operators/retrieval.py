@@ -198,11 +198,23 @@ def counted_distribution(counts: DataFrame, value: str = "score", n: str = "n")
     return found.select("n", *exact, *(F.round(c, DIGITS).alias(c) for c in ("lowest", "highest", "mean", "deviation")))
 
 
-def centroids(points: DataFrame, label: str, vector: str = "embedding", weight: Column | None = None) -> DataFrame:
-    """Mean vector of each label: averages by place, put together in order."""
+def centroids(points: DataFrame, label: str, vector: str = "embedding", unit: bool = False) -> DataFrame:
+    """Mean vector of each label: averages by place, put together in order, at length 1 with ``unit``."""
     flat = points.where(F.col(vector).isNotNull()).select(label, F.posexplode(vectors.doubles(F.col(vector))).alias("place", "x"))
     means = flat.groupBy(label, "place").agg(F.avg("x").alias("x"))
-    return means.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("centroid"))
+    whole = means.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("centroid"))
+    return whole.withColumn("centroid", vectors.unit(F.col("centroid"))) if unit else whole
+
+
+def rank_to_mean(spark: SparkSession, points: DataFrame, queries: DataFrame, most: int = 200, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The ``most`` points most similar to the mean of the queries: ``key``, ``score``, ``rank``."""
+    mean = centroids(queries.withColumn("all", F.lit(0)), "all", vector, unit=True).select(F.lit(-1).alias(key), F.col("centroid").alias(vector))
+    return knn(spark, points, mean, most, key, vector, skip_self=False).drop("query_id")
+
+
+def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
+    """One page of the rows in order; pages are numbered from 0."""
+    return rows.orderBy(*order).offset(number * size).limit(size)
 
 
 def classify(spark: SparkSession, points: DataFrame, classes: DataFrame, name: str, least: float = 0.35, key: str = "vec_id", vector: str = "embedding", class_vector: str = "centroid", epsilon: float = 0.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text
 from lorespark.functions.names import spare
-from lorespark.operators import keywords, retrieval
+from lorespark.operators import graph, keywords, retrieval
 
 
 def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarity: float = 0.1, words: int = 3, features: int = 1 << 12) -> DataFrame:
@@ -72,3 +72,13 @@ def reassign(spark: SparkSession, assigned: DataFrame, points: DataFrame, least:
     (new,) = spare(assigned.columns, "_near")
     moved = near.select(by, F.col("label").cast("int").alias(new))
     return assigned.join(moved, by, "left").withColumn("topic", F.when(F.col("topic") == -1, F.coalesce(new, F.lit(-1))).otherwise(F.col("topic"))).drop(new)
+
+
+def upsert(state: DataFrame, found: DataFrame) -> DataFrame:
+    """Topics by their number with the found ones over them (``topic``, ``label``)."""
+    return graph.upsert(state, found.select(state.columns), ["topic"], "overwrite")
+
+
+def links(assigned: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Edges of documents to their topic; an outlier has none."""
+    return assigned.where("topic >= 0").select(by, "topic").distinct()

@@ -3,6 +3,6 @@
 
 def load():
     """The registry, after all query modules have put theirs into it."""
-    from lorespark.plans import q_graph, q_models, q_notes, q_text, q_vectors, registry  # noqa: F401
+    from lorespark.plans import q_graph, q_models, q_notes, q_small, q_text, q_vectors, registry  # noqa: F401
 
     return registry

@@ -68,8 +68,8 @@ def run_history(spark, sf_dir):
 @query("SELECT conv_id, arg_max(text, turn) AS broad, coalesce(arg_max(text, len(text) * 1000 + turn) FILTER (role = 'user'), arg_min(text, turn)) AS detail FROM conversations GROUP BY conv_id")
 def broad_and_detail(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chunk_id"), "text", F.when(F.col("role") == "user", 0).otherwise(F.col("turn") + 1).alias("level"), "turn", "role")
-    leaf = F.when(F.col("role") == "user", F.struct(F.length("text"), "turn"))
-    return rows.groupBy("conv_id").agg(F.max_by("text", "turn").alias("broad"), F.coalesce(F.max_by("text", leaf), F.min_by("text", "turn")).alias("detail"))
+    broad = concepts.contexts(rows.withColumn("level", F.col("turn")), ["conv_id"]).select("conv_id", "broad")
+    return broad.join(concepts.contexts(rows, ["conv_id"]).select("conv_id", "detail"), "conv_id")
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(len(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations) WHERE upto <= 1000")
@@ -105,18 +105,14 @@ def wiki_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", found).select("page_id", "l.target", "l.section", "l.display")
 
 
-@query("SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY conv_id")
-def metadata_last_wins(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    return rows.groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max("turn").alias("turn"))
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)")
 def induced_edges(spark, sf_dir):
     """Edges with both ends among chosen nodes."""
     edges = table(spark, sf_dir, "orders").where("o_orderdate >= '1997-01-01'").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
-    inside = edges.join(table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("a")), "a", "left_semi").join(table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("b")), "b", "left_semi")
-    return inside.select(F.col("a").alias("o_orderkey"), F.col("b").alias("o_custkey"))
+    orders = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select((-F.col("l_orderkey")).alias("node"))
+    nodes = orders.union(table(spark, sf_dir, "customer").where("c_acctbal > 5000").select("c_custkey"))
+    inside = graph.semi_both(edges.withColumn("a", -F.col("a")), nodes)
+    return inside.select((-F.col("a")).alias("o_orderkey"), F.col("b").alias("o_custkey"))
 
 
 @query("SELECT chunk_id, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'N' THEN '(no chunk)' ELSE l_returnflag || l_linestatus END AS chunk_id FROM lineitem) GROUP BY chunk_id")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text
 from lorespark.operators import blocks, chunking, keywords, sessions, topics
 from lorespark.plans.registry import query, table
+from lorespark.sources import readers
 
 
 def _docs(spark, sf_dir):
@@ -44,7 +45,9 @@ def pack_sentences_budget(spark, sf_dir):
 
 @query("SELECT text_hash, n, first_id FROM (SELECT md5(text) AS text_hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text) WHERE n > 1")
 def duplicate_documents(spark, sf_dir):
-    return _docs(spark, sf_dir).where("text is not null").groupBy(F.md5(F.col("text").cast("binary")).alias("text_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    rows = _docs(spark, sf_dir).select(F.md5(F.col("text").cast("binary")).alias("text_hash"), "doc_id")
+    firsts = readers.first_of(rows, "text_hash", ["doc_id"], "text_hash").withColumnRenamed("doc_id", "first_id")
+    return keywords.duplicates(rows, "text_hash").join(firsts, "text_hash").select("text_hash", "n", "first_id")
 
 
 @query("SELECT source, count(*) AS n, sum(len(text))::BIGINT AS chars, round(avg(len(text)), 6) AS mean, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
@@ -55,9 +58,9 @@ def doc_stats_by_source(spark, sf_dir):
 
 @query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents WHERE trim(text) <> '') WHERE k = 1")
 def first_article_wins(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where("trim(text) <> ''")
-    first = rows.groupBy(F.xxhash64("text").alias("h"), F.md5(F.col("text").cast("binary")).alias("m")).agg(F.min(F.struct("doc_id", "source", "lang")).alias("f"))
-    return first.select("f.doc_id", "f.source", "f.lang")
+    # a text by its digest, so that no text is shuffled
+    rows = _docs(spark, sf_dir).select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("article_id"), F.substring(F.trim("text"), 1, 1).alias("sign"))
+    return readers.first_of(rows, "article_id", ["doc_id"], "sign").select("doc_id", "source", "lang")
 
 
 @query("SELECT page_id, pos, href, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS label, unnest(range(len(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1))))::INTEGER AS pos FROM pages)")

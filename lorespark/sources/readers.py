@@ -75,9 +75,7 @@ def metadata(spark: SparkSession, paths: list[str], ident: str = "id") -> DataFr
     whole = frames[0]
     for f in frames[1:]:
         whole = whole.unionByName(f, allowMissingColumns=True)
-    columns = [c for c in whole.columns if c[0] != "_"]
-    last = whole.groupBy(ident).agg(F.max_by(F.struct(*columns), F.struct("_file", "_row")).alias("r"))
-    return last.select("r.*")
+    return last_of(whole, ident, ["_file", "_row"]).drop("_file", "_row")
 
 
 def upsert_vectors(state: DataFrame, delta: DataFrame, dimensions: int, key: str = "node_id", vector: str = "embedding") -> DataFrame:
@@ -112,3 +110,44 @@ def to_json(frame: DataFrame) -> DataFrame:
 def token_totals(usage: DataFrame) -> DataFrame:
     """Token usage by component, and of all together as a row without one."""
     return usage.rollup("component").agg(F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.sum("total").alias("total"), F.sum("calls").alias("calls"))
+
+
+def first_of(rows: DataFrame, key: str, order: list[str], body: str = "text") -> DataFrame:
+    """The first row in order of each key, among rows whose text isn't blank."""
+    shown = rows.where(F.trim(body) != "")
+    first = shown.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("r"))
+    return first.select(key, "r.*").select(rows.columns)
+
+
+def last_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row in order of each key."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("r"))
+    return last.select(key, "r.*").select(rows.columns)
+
+
+def with_metadata(articles: DataFrame, found: DataFrame, key: str = "article_id", ident: str = "id") -> DataFrame:
+    """Every article with its metadata, nulls where there is none; columns that both have keep the article's."""
+    extra = [c for c in found.columns if c != ident and c not in articles.columns]
+    return articles.join(found.select(F.col(ident).alias(key), *extra), key, "left")
+
+
+def upsert_points(state: DataFrame, delta: DataFrame, key: str = "node_id", lists: str = "keywords") -> DataFrame:
+    """Points with the delta's over them by key; their keywords are put to the old ones, each once and in order."""
+    old = state.select(key, F.col(lists).alias("held"))
+    none = F.array().cast("array<string>")
+    fresh = delta.join(old, key, "left").withColumn(lists, F.array_sort(F.array_union(F.coalesce("held", none), F.coalesce(lists, none)))).select(state.columns)
+    return state.join(delta.select(key), key, "left_anti").unionByName(fresh)
+
+
+def write_table(frame: DataFrame, url: str, name: str, **options) -> None:
+    """Appends to a table of a database over JDBC, which is made where it is missing."""
+    frame.write.mode("append").options(**options).jdbc(url, name)
+
+
+def read_table(spark: SparkSession, url: str, name: str, split: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    """A table of a database over JDBC; ``split`` is a column with its bounds and a number of partitions to read side by side."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
+    if split:
+        column, low, high, parts = split
+        reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.load()
