@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,14 +185,15 @@ def article_summary(summaries: list[str], orphans: list[str], summarise=first_se
 def summarise_articles(tree: DataFrame, summarise=first_sentences, tokens: int = 3500, chars: float = 2.5, overflow: str = "multi_stage") -> DataFrame:
     """``article_id`` and ``summary`` of every tree (``TREE``), each article in one group."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["level", "node_id"])
-        held = {c for children in rows["children_ids"] for c in children}
-        upper = rows[rows["level"] > 0]["text"].tolist()
-        orphans = rows[(rows["level"] == 0) & ~rows["node_id"].isin(held)]["text"].tolist()
-        return pd.DataFrame({"article_id": [rows["article_id"].iloc[0]], "summary": [article_summary(upper, orphans, summarise, tokens, chars, overflow)]})
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("level", "ascending"), ("node_id", "ascending")]).to_pylist()
+        held = {c for r in rows for c in r["children_ids"] or ()}
+        upper = [r["text"] for r in rows if r["level"] > 0]
+        orphans = [r["text"] for r in rows if r["level"] == 0 and r["node_id"] not in held]
+        whole = article_summary(upper, orphans, summarise, tokens, chars, overflow)
+        return pa.table({"article_id": pa.array([rows[0]["article_id"]], pa.string()), "summary": pa.array([whole], pa.string())})
 
-    return tree.select("article_id", "node_id", "level", "text", "children_ids").groupBy("article_id").applyInPandas(run, "article_id string, summary string")
+    return tree.select("article_id", "node_id", "level", "text", "children_ids").groupBy("article_id").applyInArrow(run, "article_id string, summary string")
 
 
 TREE = "article_id string, node_id string, level int, text string, embedding array<double>, children_ids array<string>"

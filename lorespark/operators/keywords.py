@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -180,17 +179,18 @@ def plain_refiner(batch: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
 def _asked(words: DataFrame, by: str, size: Column, model) -> DataFrame:
     """``by``, ``raw``, ``word``, ``category`` that a model gives for batches of words in their order (``pos``)."""
 
-    def run(frame):
-        rows = frame.sort_values("pos")
+    def run(table):
+        rows = table.sort_by("pos")
         try:
-            found = model(list(zip(rows["raw"], rows["category"])))
+            found = model(list(zip(rows.column("raw").to_pylist(), rows.column("category").to_pylist())))
         except Exception:  # a batch that fails gives nothing, and its words stay
             found = []
-        return pd.DataFrame({by: [frame[by].iloc[0]] * len(found), "raw": [f[0] for f in found], "word": [f[1] for f in found], "category": [f[2] for f in found]})
+        names = pa.array([rows.column(by)[0].as_py()] * len(found), rows.schema.field(by).type)
+        return pa.table([names, *(pa.array([f[k] for f in found], pa.string()) for k in range(3))], [by, "raw", "word", "category"])
 
     number = F.floor((F.row_number().over(Window.partitionBy(by).orderBy("pos")) - 1) / size).alias("batch")
     numbered = words.select(by, "raw", "category", "pos", number)
-    return numbered.groupBy(by, "batch").applyInPandas(run, T.StructType([words.schema[by], *(T.StructField(n, T.StringType()) for n in ("raw", "word", "category"))]))
+    return numbered.groupBy(by, "batch").applyInArrow(run, T.StructType([words.schema[by], *(T.StructField(n, T.StringType()) for n in ("raw", "word", "category"))]))
 
 
 def refine_batches(raw: DataFrame, by: str, model=plain_refiner) -> DataFrame:
