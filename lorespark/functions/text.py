@@ -228,6 +228,12 @@ def repaired_json(text: Column) -> Column:
     return F.coalesce(*forms)
 
 
+def flat_json(text: Column) -> Column:
+    """The first object without inner braces in an answer that can be read; null if none."""
+    first = F.regexp_extract(without_thoughts(text), r"\{[^{}]*\}", 0)
+    return F.when((first != "") & F.try_parse_json(first).isNotNull(), first)
+
+
 def token_usage(answer: Column) -> Column:
     """Prompt and completion tokens of an answer's JSON, whichever way its maker names them; zeros if none."""
     v = F.try_parse_json(answer)

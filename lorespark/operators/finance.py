@@ -64,3 +64,8 @@ def resolve_accounts(queries: DataFrame, accounts: DataFrame, synonyms: DataFram
     every = reduce(DataFrame.union, steps)
     best = every.groupBy("query").agg(F.min_by(F.struct("account_id", "name", "confidence", "how"), F.struct("_step", "_order", "_id")).alias("b"))
     return best.select("query", "b.*")
+
+
+def account_vectors(accounts: DataFrame) -> DataFrame:
+    """``id``, ``name`` and ``embedding`` of every account's name, as similar names are searched by."""
+    return accounts.select("id", "name", vectors.character_embedding(F.lower(F.trim("name"))).alias("embedding"))

@@ -118,6 +118,18 @@ def select_explicit(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return found
 
 
+def find_or_make(wanted: DataFrame, articles: DataFrame) -> DataFrame:
+    """The article of each wanted ``name``, by its name or else its id in any case: ``name``, ``article_id``, ``placeholder``.
+
+    Of several the first id counts; a name without any gets a placeholder whose id is the name.
+    """
+    asked = wanted.select("name").distinct().withColumn("key", F.lower(F.trim("name")))
+    known = articles.select(F.lower("name").alias("key"), "article_id", F.lit(0).alias("way")).unionByName(articles.select(F.lower("article_id").alias("key"), "article_id", F.lit(1).alias("way")))
+    best = known.groupBy("key").agg(F.min(F.struct("way", "article_id")).alias("b"))
+    found = asked.join(best, "key", "left")
+    return found.select("name", F.coalesce("b.article_id", "name").alias("article_id"), F.col("b").isNull().alias("placeholder"))
+
+
 def upsert(state: DataFrame, delta: DataFrame, key: list[str], merge: str = "fill") -> DataFrame:
     """State with the delta's rows put over it by key.
 

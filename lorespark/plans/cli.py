@@ -16,6 +16,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--rows", type=int, default=20)
     for name in ("validate", "describe"):
         sub.add_parser(name).add_argument("file")
+    sub.add_parser("list-steps")
+    sub.add_parser("config").add_argument("files", nargs="+", help="YAML files, later ones over earlier ones")
     given = parser.parse_args(argv)
 
     from lorespark.plans import dag, load
@@ -30,6 +32,16 @@ def main(argv: list[str] | None = None) -> int:
         queries[given.query](SparkSession.builder.getOrCreate(), given.sf_dir).show(given.rows, truncate=80)
         return 0
     dag._register_operators()
+    if given.command == "list-steps":
+        print("\n".join(dag.STEPS.names()))
+        return 0
+    if given.command == "config":
+        import yaml
+
+        layers = {name: yaml.safe_load(Path(name).read_text()) or {} for name in given.files}
+        for key, (value, source) in sorted(dag.effective(layers).items()):
+            print(f"{key} = {value!r}  [{source}]")
+        return 0
     pipeline = dag.load(Path(given.file).read_text())
     wrong = pipeline.validate()
     print("\n".join(wrong) if wrong else pipeline.describe() if given.command == "describe" else "valid")

@@ -208,13 +208,21 @@ class Pipeline:
     def describe(self) -> str:
         return "\n".join(f"{k}: {self.steps[k].module}" + (f" after {', '.join(sorted(self.steps[k].depends_on))}" if self.steps[k].depends_on else "") for k in self.order())
 
-    def run(self, steps: Registry = STEPS, callbacks: Registry = CALLBACKS, sleep=time.sleep) -> dict[str, dict]:
-        """Outputs of every step.  A step function takes its merged configuration and its inputs."""
+    def run(self, steps: Registry = STEPS, callbacks: Registry = CALLBACKS, sleep=time.sleep, mocks: Mapping[str, Mapping] | None = None) -> dict[str, dict]:
+        """Outputs of every step.  A step function takes its merged configuration and its inputs.
+
+        A step with an entry in ``mocks`` isn't run: these are its outputs, and must be all it declares.
+        """
         if wrong := self.validate(steps):
             raise ValueError("; ".join(wrong))
         results: dict[str, dict] = {}
         for key in self.order():
             s = self.steps[key]
+            if key in (mocks or {}):
+                if missing := sorted(set(s.outputs) - set(mocks[key])):
+                    raise ValueError(f"the mock of {key!r} lacks {', '.join(missing)}")
+                results[key] = dict(mocks[key])
+                continue
             given = {**s.inputs, **{name: results[other][output] for name, other, output in s.references()}}
             config = deep_merge(self.config, s.config)
             attempts = int(s.retry.get("attempts", 3 if s.retry else 1))
@@ -266,8 +274,26 @@ def load(source: str) -> Pipeline:
 
 
 def _register_operators() -> None:
-    """The registered queries as steps, so that a pipeline can name them."""
+    """The registered queries and the tools as steps, so that a pipeline can name them.
+
+    A query takes ``sf_dir`` from its configuration and the session from the context.  A
+    tool takes the context's ``tables``, its arguments from ``args`` in its configuration,
+    and its inputs.
+    """
+    import inspect
+
     from lorespark.plans import load as load_queries
+    from lorespark.plans.tools import TOOLS
+
+    for name, tool in TOOLS.items.items():
+        asks = "spark" in inspect.signature(tool).parameters
+
+        def step(config, f=tool, asks=asks, **inputs):
+            session = {"spark": require("spark")} if asks else {}
+            return f(require("tables"), **session, **config.get("args", {}), **inputs)
+
+        if not STEPS.has(name):
+            STEPS.register(name, step)
 
     for name, function in load_queries().QUERIES.items():
         if not STEPS.has(name):

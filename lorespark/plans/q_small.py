@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lorespark.functions import recurrence, text, vectors
-from lorespark.operators import acl, chunking, concepts, graph, keywords, notes, retrieval, sessions, topics
+from lorespark.operators import acl, chunking, concepts, finance, graph, keywords, notes, retrieval, sessions, topics
 from lorespark.operators.tables import shared_dir
 from lorespark.plans.q_graph import _TASKS, _tasks
 from lorespark.plans.registry import query, table
@@ -542,3 +542,47 @@ def concept_points(spark, sf_dir):
     own = table(spark, sf_dir, "customer").select(_s("c_custkey").alias("concept_id"), v)
     relations = table(spark, sf_dir, "supplier").select(_s("s_suppkey").alias("source_id"), _s("s_nationkey").alias("target_id"), F.lit("in").alias("predicate"), v)
     return concepts.vector_points(own, relations).select("node_id", "kind")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{"amount": ' || page_id || '}' WHEN page_id % 3 = 1 THEN '{"n": {"amount": 1}}'[7:19] END AS json FROM pages""")
+def flat_objects(spark, sf_dir):
+    """The first flat object of an answer."""
+    kinds = F.array(F.concat(F.lit('so {"amount": '), _s("page_id"), F.lit('} and {"b": 2}')), F.lit('{"n": {"amount": 1}}'), F.lit("{not json}"))
+    return _pages(spark, sf_dir, text.flat_json(F.get(kinds, (F.col("page_id") % 3).cast("int"))).alias("json"))
+
+
+@query("SELECT DISTINCT 'SUPPLIER ' || (l_suppkey * 2) AS name, CASE WHEN l_suppkey * 2 IN (SELECT s_suppkey FROM supplier) THEN 's' || l_suppkey * 2 ELSE 'SUPPLIER ' || (l_suppkey * 2) END AS article_id, l_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier) AS placeholder FROM lineitem UNION ALL SELECT 'S' || s_suppkey, 's' || s_suppkey, false FROM supplier")
+def articles_found_or_made(spark, sf_dir):
+    """Articles by name or id in any case, with placeholders for the others."""
+    suppliers = table(spark, sf_dir, "supplier")
+    articles = suppliers.select(F.concat(F.lit("s"), _s("s_suppkey")).alias("article_id"), F.concat(F.lit("supplier "), _s("s_suppkey")).alias("name"))
+    wanted = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("SUPPLIER "), (F.col("l_suppkey") * 2).cast("string")).alias("name"))
+    return graph.find_or_make(wanted.union(suppliers.select(F.concat(F.lit("S"), _s("s_suppkey")))), articles)
+
+
+_VECTORS = """WITH c AS (SELECT s_suppkey AS id, ord(unnest(regexp_extract_all(lower(s_name), '.'))) % 64 AS place FROM supplier), n AS (SELECT id, place, count(*) AS n FROM c GROUP BY ALL)
+SELECT id, place::INTEGER AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS x FROM n"""
+
+
+@query(_VECTORS)
+def account_vectors(spark, sf_dir):
+    accounts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return finance.account_vectors(accounts).select("id", F.posexplode("embedding").alias("place", "x")).where("x <> 0").withColumn("x", F.round("x", 6))
+
+
+@query("SELECT source AS article_id, count(*) AS keywords, count(DISTINCT lang) AS refs, min(doc_id) % 2 = 0 AS has_summary FROM documents GROUP BY source")
+def articles_listed(spark, sf_dir):
+    """Articles with the number of their keywords and references, and whether they have a summary."""
+    from lorespark.plans.tools import TOOLS
+
+    docs = table(spark, sf_dir, "documents")
+    summary = F.when(F.min("doc_id") % 2 == 0, "told").otherwise(" ")
+    tables = {"articles": docs.groupBy(F.col("source").alias("article_id")).agg(summary.alias("summary")), "has_keyword": docs.select(F.col("source").alias("article_id"), F.col("doc_id").alias("word")), "references": docs.select(F.col("source").alias("article_id"), "lang").distinct()}
+    return TOOLS.get("list_articles")(tables).select("article_id", "keywords", "refs", "has_summary")
+
+
+@query("SELECT s_suppkey AS article_id FROM supplier WHERE contains(lower(s_name), '7') ORDER BY s_suppkey::VARCHAR LIMIT 5".replace("SELECT s_suppkey AS", "SELECT s_suppkey::VARCHAR AS"))
+def articles_alike(spark, sf_dir):
+    from lorespark.plans.tools import TOOLS
+
+    return TOOLS.get("similar_articles")({"articles": table(spark, sf_dir, "supplier").select(F.lit("x").alias("hidden"), _s("s_suppkey").alias("article_id"), F.col("s_name").alias("name")).drop("hidden")}, "7").select("article_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +28,27 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of Markdown and HTML files, by their suffix."""
+    """Blocks of Markdown, HTML and CSV files, by their suffix; of a CSV file the last article is taken.
+
+    YAML files are documents already: ``yaml_documents`` reads them.  Other files are left out.
+    """
+
+    def last_article(batches):
+        import csv
+        import io
+
+        for batch in batches:
+            out = []
+            for body in batch.column("html").to_pylist():
+                rows = [r for r in csv.DictReader(io.StringIO(body or "")) if (r.get("content_html") or "").strip()]
+                out += [(rows[-1].get("id") or "", rows[-1]["content_html"])] if rows else []
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(2)], ["article_id", "html"])
+
     found = files(spark, path)
     named = found.select(F.regexp_replace("name", r"\.[^.]+$", "").alias("article_id"), F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("suffix"), F.col("text").alias("html"))
-    return blocks.html_blocks(named.where("suffix in ('html', 'htm')")).unionByName(blocks.html_blocks(named.where("suffix = 'md'"), markdown=True))
+    tables = named.where("suffix = 'csv'").select("html").mapInArrow(last_article, "article_id string, html string")
+    pages = named.where("suffix in ('html', 'htm')").select("article_id", "html").unionByName(tables)
+    return blocks.html_blocks(pages).unionByName(blocks.html_blocks(named.where("suffix = 'md'"), markdown=True))
 
 
 def yaml_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -96,3 +96,30 @@ def test_queries_as_steps(spark):
     with dag.context(spark=spark):
         out = dag.Pipeline("p", {"sf_dir": "/root/testdata/sf0.001"}).step("n", "status_counts", outputs={"frame": "frame"}).run()
     assert out["n"]["frame"].first().total == 1500
+
+
+def test_mocks_stand_in_for_steps():
+    p = dag.Pipeline("p").step("x", "make", outputs={"rows": "int"}).step("z", "add", inputs={"a": "${{ steps.x.rows }}"}, outputs={"rows": "int"}, depends_on=["x"])
+    assert p.run(registry(), mocks={"x": {"rows": 4}}) == {"x": {"rows": 4}, "z": {"rows": 4}}
+    with pytest.raises(ValueError, match="lacks rows"):
+        p.run(registry(), mocks={"x": {}})
+
+
+def test_tools_are_steps(spark):
+    dag._register_operators()
+    rows = spark.createDataFrame([("a", "One"), ("b", "Two")], "article_id string, name string")
+    p = dag.Pipeline("p").step("near", "similar_articles", config={"args": {"part": "tw"}}, outputs={"rows": "frame"})
+    with dag.context(spark=spark, tables={"articles": rows}):
+        assert [r.article_id for r in p.run()["near"]["rows"].collect()] == ["b"]
+
+
+def test_command_line_lists_steps_and_shows_configuration(tmp_path, capsys):
+    from lorespark.plans import cli
+
+    (tmp_path / "a.yaml").write_text("x: {y: 1, z: 2}")
+    (tmp_path / "b.yaml").write_text("x: {z: 3}")
+    assert cli.main(["config", f"{tmp_path}/a.yaml", f"{tmp_path}/b.yaml"]) == 0
+    assert capsys.readouterr().out.splitlines() == [f"x.y = 1  [{tmp_path}/a.yaml]", f"x.z = 3  [{tmp_path}/b.yaml]"]
+    assert cli.main(["list-steps"]) == 0
+    shown = capsys.readouterr().out.split()
+    assert {"search", "vault_tasks", "check_access", "knn_topk"} <= set(shown)
