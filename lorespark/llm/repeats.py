@@ -13,8 +13,16 @@ later passes see the very same batches.
 3. Overlapping repeated windows join to maximal repeats, which are removed.
 
 Hashes are pre-aggregated in a batch before they move, so a passage that a third of
-all documents share is one entry of each batch.  Answers travel as one bit for each
-entry sent.
+all documents share is one entry of each batch.  They are compared range by range of
+their values; batches are put together before they are cut into ranges, and a corpus
+with more ranges than a shuffle should have partitions is cut twice, so that the pieces
+grow with the corpus and not with its square.  Answers travel as one bit for each entry
+of a range in which a batch has any hit.
+
+Whole windows are compared by 96 bits that are mixed from the 64-bit hashes of their
+words.  Two different windows are taken for equal if these bits are the same, by a
+chance of about 2**-96 for a pair, or if they differ just in words whose 64-bit hashes
+are the same, by one of 2**-64 for a pair of words.
 """
 
 from __future__ import annotations
@@ -35,10 +43,12 @@ WINDOW = 50
 #: Words and bytes at which a batch is closed; a longer text is a batch of its own.
 BATCH_WORDS = 600_000
 BATCH_BYTES = 6 << 20
-#: Half-window hashes are sent with so many bits; the whole windows decide exactly.
+#: Half-window hashes are sent with so many bits; equal ones of different words cost a comparison of whole windows.
 ANCHOR_BITS = 44
-#: Half-windows that one key should hold at most.
-KEY_WINDOWS = 6_000_000
+#: Entries that one range should hold at most, and that are put together before they are cut into ranges.
+KEY_WINDOWS, MERGED_ENTRIES = 6_000_000, 2_000_000
+#: Partitions of a shuffle; more ranges are cut again where they arrive.
+MOST_PARTS = 20_000
 #: Stands for a null id, which is after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -154,10 +164,54 @@ def _unpacked(batches, window):
             yield row, Batch(row, window)
 
 
-def _cuts(values: np.ndarray, bits: int, keys: int) -> np.ndarray:
-    """Where each of ``keys`` equal ranges begins in sorted values of ``bits`` bits."""
-    edges = np.array([(k << bits) // keys for k in range(1, keys)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+class Ranges:
+    """Equal ranges of values of ``bits`` bits, ``subs`` of them to each of ``parts`` partitions."""
+
+    def __init__(self, bits: int, parts: int, subs: int):
+        self.bits, self.parts, self.subs, self.merged = bits, parts, subs, MERGED_ENTRIES
+
+    @staticmethod
+    def of(bits: int, words: int, least: int) -> Ranges:
+        wanted = max(least, -(-words // KEY_WINDOWS))
+        parts = min(wanted, max(least, MOST_PARTS))
+        return Ranges(bits, parts, -(-wanted // parts))
+
+    def edges(self, keys) -> np.ndarray:
+        """The least value of each range."""
+        most = (1 << self.bits) - 1
+        return np.array([min(most, (k << self.bits) // (self.parts * self.subs)) for k in keys], dtype=np.uint64)
+
+    def cut(self, values: np.ndarray, keys) -> np.ndarray:
+        """Where each of the ranges begins in sorted values."""
+        return np.searchsorted(values, self.edges(keys))
+
+
+class Fragments:
+    """Entries of several batches, each sorted by value, that are cut into ranges together."""
+
+    def __init__(self, ranges: Ranges, make, fields, keys, edges: np.ndarray):
+        self.merged, self.make, self.fields, self.keys, self.edges = ranges.merged, make, fields, keys, edges
+        self.held, self.count = [], 0
+
+    def add(self, batch: int, *columns: np.ndarray):
+        """Keeps a batch's entries, the values first; gives rows when there are many."""
+        if len(columns[0]):
+            self.held.append((batch, columns))
+            self.count += len(columns[0])
+        if self.count >= self.merged:
+            yield from self.rows()
+
+    def rows(self):
+        cuts = [np.concatenate([[0], np.searchsorted(c[0], self.edges), [len(c[0])]]) for _, c in self.held]
+        out = []
+        for k, key in enumerate(self.keys):
+            own = [(batch, [c[at[k] : at[k + 1]] for c in columns]) for (batch, columns), at in zip(self.held, cuts) if at[k] < at[k + 1]]
+            if own:
+                numbers, sizes = np.array([b for b, _ in own], dtype=np.int64), np.array([len(c[0]) for _, c in own], dtype=np.int64)
+                out.append((key, numbers.tobytes(), sizes.tobytes(), *self.make(*(np.concatenate(x) for x in zip(*(c for _, c in own))))))
+        self.held, self.count = [], 0
+        if out:
+            yield _rows(out, self.fields)
 
 
 def _planes(deltas: np.ndarray) -> bytes:
@@ -169,24 +223,66 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _send_anchors(window, keys):
+def _anchor_bytes(values: np.ndarray, twice: np.ndarray, marked: np.ndarray) -> tuple:
+    """Values as differences of 48 bits, and the flags."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    high = ((steps >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2")
+    return _planes(steps & np.uint64(0xFFFFFFFF)), high.tobytes() if high.any() else None, np.packbits(twice).tobytes(), np.packbits(marked).tobytes()
+
+
+def _anchor_columns(row: dict) -> tuple[np.ndarray, ...]:
+    steps = _from_planes(row["low"]).astype(np.uint64)
+    if row["high"] is not None:
+        steps |= np.frombuffer(row["high"], dtype="<u2").astype(np.uint64) << np.uint64(32)
+    values = np.cumsum(steps, dtype=np.uint64) & np.uint64((1 << 48) - 1)
+    return values, _flags(row["twice"], len(values)), _flags(row["marked"], len(values))
+
+
+def _window_bytes(one: np.ndarray, two: np.ndarray, least: np.ndarray) -> tuple:
+    ids, pick = np.unique(least, return_inverse=True)
+    return one.tobytes(), two.tobytes(), pick.astype("<u4").tobytes(), ids.tobytes()
+
+
+def _window_columns(row: dict) -> tuple[np.ndarray, ...]:
+    ids, pick = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["pick"], dtype="<u4")
+    return np.frombuffer(row["one"], dtype=np.uint64), np.frombuffer(row["two"], dtype=np.uint32), ids[pick]
+
+
+def _send_anchors(window, ranges):
     def run(batches):
+        parts = range(ranges.parts)
+        sent = Fragments(ranges, _anchor_bytes, SENT_ANCHORS, parts, ranges.edges(range(ranges.subs, ranges.parts * ranges.subs, ranges.subs)))
         for _, batch in _unpacked(batches, window):
             values, twice, marked, _, _ = batch.anchors()
-            cuts = _cuts(values, ANCHOR_BITS, keys)
-            rows = []
-            for key, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    part, wide = values[a:b], np.diff(values[a:b], prepend=np.uint64(0)) >> np.uint64(32)
-                    deltas = _planes(np.diff(part, prepend=np.uint64(0)) & np.uint64(0xFFFFFFFF))
-                    rows.append((key, batch.number, deltas, wide.astype("<u2").tobytes() if wide.any() else None, np.packbits(twice[a:b]).tobytes(), np.packbits(marked[a:b]).tobytes()))
-            yield _rows(rows, SENT_ANCHORS)
+            yield from sent.add(batch.number, values, twice, marked)
+        yield from sent.rows()
+
+    return run
+
+
+def _cut_again(ranges, make, columns, fields):
+    """Rows of a partition's whole range as rows of the ranges in it."""
+
+    def run(batches):
+        for part, rows in groups(batches, "key"):
+            keys = range(part * ranges.subs, (part + 1) * ranges.subs)
+            sent = Fragments(ranges, make, fields, keys, ranges.edges(keys[1:]))
+            for row in (r for x in rows for r in x.to_pylist()):
+                whole, ends = columns(row), np.cumsum(_integers(row["sizes"]))
+                for batch, end, size in zip(_integers(row["batches"]), ends, _integers(row["sizes"])):
+                    yield from sent.add(int(batch), *(c[end - size : end] for c in whole))
+            yield from sent.rows()
 
     return run
 
 
-SENT_ANCHORS = [("key", pa.int32()), ("batch", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("twice", pa.binary()), ("marked", pa.binary())]
-SENT_WINDOWS = [("key", pa.int32()), ("batch", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("pick", pa.binary()), ("ids", pa.binary())]
+def _integers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.int64)
+
+
+_OF = [("key", pa.int32()), ("batches", pa.binary()), ("sizes", pa.binary())]
+SENT_ANCHORS = [*_OF, ("low", pa.binary()), ("high", pa.binary()), ("twice", pa.binary()), ("marked", pa.binary())]
+SENT_WINDOWS = [*_OF, ("one", pa.binary()), ("two", pa.binary()), ("pick", pa.binary()), ("ids", pa.binary())]
 ANSWERS = [("batch", pa.int64()), ("key", pa.int32()), ("bits", pa.binary())]
 
 
@@ -199,25 +295,22 @@ def _flags(data: bytes, count: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=count).astype(bool)
 
 
-def _answer(numbers: list[int], key: int, sizes: list[int], bits: np.ndarray) -> pa.RecordBatch:
+def _answer(rows: list[dict], key: int, bits: np.ndarray) -> pa.RecordBatch:
+    """The flags of each batch that has any set."""
+    numbers, sizes = (np.concatenate([_integers(r[c]) for r in rows]).tolist() for c in ("batches", "sizes"))
     ends = np.cumsum(sizes)
     return _rows([(n, key, np.packbits(bits[e - s : e]).tobytes()) for n, s, e in zip(numbers, sizes, ends) if bits[e - s : e].any()], ANSWERS)
 
 
-def _join_anchors(batches):
+def _joined(batches, columns):
+    """One range after another: its rows, and its entries put together."""
     for key, parts in groups(batches, "key"):
         rows = [r for p in parts for r in p.to_pylist()]
-        values = []
-        for r in rows:
-            deltas = _from_planes(r["low"]).astype(np.uint64)
-            if r["high"] is not None:
-                deltas |= np.frombuffer(r["high"], dtype="<u2").astype(np.uint64) << np.uint64(32)
-            values.append(np.cumsum(deltas, dtype=np.uint64))
-        sizes = list(map(len, values))
-        every = np.concatenate(values)
-        twice = np.concatenate([_flags(r["twice"], n) for r, n in zip(rows, sizes)])
-        marked = np.concatenate([_flags(r["marked"], n) for r, n in zip(rows, sizes)])
-        del values
+        yield key, rows, *(np.concatenate(c) for c in zip(*map(columns, rows)))
+
+
+def _join_anchors(batches):
+    for key, rows, every, twice, marked in _joined(batches, _anchor_columns):
         order = np.argsort(every, kind="stable")
         ordered = every[order]
         run = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
@@ -226,62 +319,56 @@ def _join_anchors(batches):
         many &= np.bincount(run, weights=marked[order]) > 0
         bits = np.empty(len(every), dtype=bool)
         bits[order] = many[run]
-        yield _answer([r["batch"] for r in rows], key, sizes, bits)
+        yield _answer(rows, key, bits)
 
 
-def _collected(answer, values: np.ndarray, bits: int, keys: int) -> np.ndarray:
-    """The answers of all keys as one flag for each of a batch's sorted values."""
-    out, cuts = np.zeros(len(values), dtype=bool), _cuts(values, bits, keys)
-    for part in answer or []:
-        a, b = cuts[part["key"]], cuts[part["key"] + 1]
-        out[a:b] = _flags(part["bits"], b - a)
+def _collected(answer, values: np.ndarray, ranges: Ranges) -> np.ndarray:
+    """The answers of all ranges as one flag for each of a batch's sorted values."""
+    out = np.zeros(len(values), dtype=bool)
+    if answer:
+        keys = [part["key"] for part in answer]
+        for part, a, b in zip(answer, ranges.cut(values, keys), ranges.cut(values, [k + 1 for k in keys]) if keys else ()):
+            b = len(values) if part["key"] + 1 == ranges.parts * ranges.subs else b
+            out[a:b] = _flags(part["bits"], b - a)
     return out
 
 
-def _hits(row, batch: Batch, keys: int) -> np.ndarray:
-    return _collected(row["anchors"], batch.anchors()[0], ANCHOR_BITS, keys)
+def _hits(row, batch: Batch, ranges: Ranges) -> np.ndarray:
+    return _collected(row["anchors"], batch.anchors()[0], ranges)
 
 
-def _send_windows(window, keys):
+def _send_windows(window, anchors, ranges):
     def run(batches):
+        sent = Fragments(ranges, _window_bytes, SENT_WINDOWS, range(ranges.parts), ranges.edges(range(ranges.subs, ranges.parts * ranges.subs, ranges.subs)))
         for row, batch in _unpacked(batches, window):
-            hits = _hits(row, batch, keys)
-            if not hits.any():
-                continue
-            _, _, _, one, two, least = batch.candidates(hits)
-            cuts, rows = _cuts(one, 64, keys), []
-            for key, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    ids, pick = np.unique(least[a:b], return_inverse=True)
-                    rows.append((key, batch.number, one[a:b].tobytes(), two[a:b].tobytes(), pick.astype("<u4").tobytes(), ids.tobytes()))
-            yield _rows(rows, SENT_WINDOWS)
+            hits = _hits(row, batch, anchors)
+            if hits.any():
+                _, _, _, one, two, least = batch.candidates(hits)
+                yield from sent.add(batch.number, one, two, least)
+        yield from sent.rows()
 
     return run
 
 
 def _join_windows(batches):
-    for key, parts in groups(batches, "key"):
-        rows = [r for p in parts for r in p.to_pylist()]
-        one = np.concatenate([np.frombuffer(r["one"], dtype=np.uint64) for r in rows])
-        two = np.concatenate([np.frombuffer(r["two"], dtype=np.uint32) for r in rows])
-        least = np.concatenate([np.frombuffer(r["ids"], dtype=np.int64)[np.frombuffer(r["pick"], dtype="<u4")] for r in rows])
+    for key, rows, one, two, least in _joined(batches, _window_columns):
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
         starts = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         first = np.minimum.reduceat(least[order], np.flatnonzero(starts))
         bits = np.empty(len(one), dtype=bool)
         bits[order] = first[np.cumsum(starts) - 1] < least[order]
-        yield _answer([r["batch"] for r in rows], key, [len(r["one"]) // 8 for r in rows], bits)
+        yield _answer(rows, key, bits)
 
 
-def _finish(window, keys):
+def _finish(window, anchors, ranges):
     def run(batches):
         for row, batch in _unpacked(batches, window):
             covered = np.zeros(len(batch.hashes) + 1, dtype=np.int32)
-            hits = _hits(row, batch, keys)
+            hits = _hits(row, batch, anchors)
             if hits.any():
                 places, doc, entry, one, _, least = batch.candidates(hits)
-                older = _collected(row["windows"], one, 64, keys)
+                older = _collected(row["windows"], one, ranges)
                 gone = places[older[entry] | (batch.rank_ids[doc] > least[entry])]
                 np.add.at(covered, gone, 1)
                 np.add.at(covered, gone + window, -1)
@@ -312,8 +399,12 @@ def _schema(fields) -> str:
     return ", ".join(f"{n} {names[t]}" for n, t in fields)
 
 
-def _asked(sent: DataFrame, keys: int, answer) -> DataFrame:
-    return sent.repartition(keys, "key").sortWithinPartitions("key").mapInArrow(answer, _schema(ANSWERS))
+def _asked(sent: DataFrame, ranges: Ranges, answer, make, columns, fields) -> DataFrame:
+    """The answers to what was sent, by batch and range."""
+    here = sent.repartition(ranges.parts, "key").sortWithinPartitions("key")
+    if ranges.subs > 1:
+        here = here.mapInArrow(_cut_again(ranges, make, columns, fields), _schema(fields)).sortWithinPartitions("key")
+    return here.mapInArrow(answer, _schema(ANSWERS))
 
 
 def _by_batch(answers: DataFrame, name: str) -> DataFrame:
@@ -331,7 +422,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, b
     ``kept_text`` (kept words joined by one space) and ``removed`` (maximal spans of word
     places).  A null text has no words.  A row without a ``doc_id`` comes after all ids:
     it may lose words and takes none from others.  Rows with an equal ``doc_id`` take
-    nothing from each other.  Further columns are not read; an empty table gives none.
+    nothing from each other.  Further columns, whatever their names, are not read; an
+    empty table gives none.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words, for two blocks of half its size")
@@ -341,11 +433,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, b
         "packed",
         "none",
     )
-    words = packed.agg(F.sum("words")).first()[0] or 0
-    keys = max(shuffle_partitions(spark), -(-words // KEY_WINDOWS))
-    anchors = scratch.save(_by_batch(_asked(packed.mapInArrow(_send_anchors(window, keys), _schema(SENT_ANCHORS)), keys, _join_anchors), "anchors"), "anchors")
+    words, least = packed.agg(F.sum("words")).first()[0] or 0, shuffle_partitions(spark)
+    short, whole = Ranges.of(ANCHOR_BITS, words, least), Ranges.of(64, words, least)
+    sent = packed.mapInArrow(_send_anchors(window, short), _schema(SENT_ANCHORS))
+    anchors = scratch.save(_by_batch(_asked(sent, short, _join_anchors, _anchor_bytes, _anchor_columns, SENT_ANCHORS), "anchors"), "anchors")
     # the answers are the small side: no sort of the packed texts
     hit = packed.join(anchors.hint("shuffle_hash"), "batch")
-    windows = scratch.save(_by_batch(_asked(hit.mapInArrow(_send_windows(window, keys), _schema(SENT_WINDOWS)), keys, _join_windows), "windows"), "windows")
+    sent = hit.mapInArrow(_send_windows(window, short, whole), _schema(SENT_WINDOWS))
+    windows = scratch.save(_by_batch(_asked(sent, whole, _join_windows, _window_bytes, _window_columns, SENT_WINDOWS), "windows"), "windows")
     answers = anchors.join(windows, "batch", "left")
-    return packed.join(answers.hint("shuffle_hash"), "batch", "left").mapInArrow(_finish(window, keys), OUT)
+    return packed.join(answers.hint("shuffle_hash"), "batch", "left").mapInArrow(_finish(window, short, whole), OUT)

@@ -23,8 +23,12 @@ def brute(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("batch_words", [150, 600_000])
-def test_matches_brute_force(spark, batch_words):
+@pytest.mark.parametrize("batch_words,limits", [(150, {}), (600_000, {}), (150, {"KEY_WINDOWS": 40, "MOST_PARTS": 5, "MERGED_ENTRIES": 400})])
+def test_matches_brute_force(spark, monkeypatch, batch_words, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(repeats, name, value)
+    if limits:
+        assert repeats.Ranges.of(44, 10_000, 4).subs == 50
     rng = random.Random(5)
     make = lambda n: [rng.choice("abc") + str(rng.randrange(30)) for _ in range(n)]
     shared = [make(rng.randint(8, 30)) for _ in range(6)]
