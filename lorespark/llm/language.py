@@ -216,7 +216,9 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([shared.value.machine(names[k]).tobytes()], pa.binary())], ["id", "weights"])
 
         jobs = spark.range(0, len(names), 1, min(len(names), 4096)).mapInArrow(run, "id long, weights binary")
-        return [np.frombuffer(bytes(r.weights), dtype=np.float32) for r in sorted(jobs.collect(), key=lambda r: r.id)]
+        found = [np.frombuffer(bytes(r.weights), dtype=np.float32) for r in sorted(jobs.collect(), key=lambda r: r.id)]
+        shared.unpersist()  # tens of megabytes that no later task needs
+        return found
 
     return Model.fit([(t, lang) for lang, t in rows], fitted)
 

@@ -116,9 +116,12 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Columns: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``kept`` and ``rejected_by`` (``base``, the rule
     that ended the cascade, or null).  A null or empty text has no words and fails the
-    base.  Repeated rows are judged one by one; further columns are not read.
+    base.  Repeated rows are judged one by one; further columns, whatever their names, are
+    not read; an empty table gives none.
     """
-    sample = docs.select(F.col("text").cast("string")).where(F.length("text") <= SAMPLE_CHARS).limit(SAMPLE_DOCS)
+    # the documents that come first by a hash, wherever they are stored
+    short = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")).where(F.length("text") <= SAMPLE_CHARS)
+    sample = short.orderBy("h", F.length("text")).limit(SAMPLE_DOCS)
     names, _ = ordered_rules([r.text for r in sample.collect()])
 
     def run(batches):
