@@ -11,10 +11,13 @@ PRIORITY_SIGNS = {"⏫": "critical", "🔺": "high", "🔼": "medium", "🔽": "
 PRIORITY_SECTIONS = {"фокус": "high", "основные": "medium", "второстепенные": "low", "подумать": "low"}
 DATE_SIGNS = {"completion_date": "✅", "scheduled_date": "⏳", "start_date": "🛫", "due_date": "📅"}
 TRUE_WORDS = ("true", "yes", "1", "да")
-DAY_WORDS = {"позавчера": -2, "вчера": -1, "сегодня": 0, "послезавтра": 2, "завтра": 1}
-NUMBER_WORDS = {"один": 1, "одну": 1, "два": 2, "две": 2, "три": 3, "четыре": 4, "пять": 5, "шесть": 6, "семь": 7, "восемь": 8, "девять": 9, "десять": 10}
-WEEKDAY_STEMS = {"понедельник": 0, "вторник": 1, "сред": 2, "четверг": 3, "пятниц": 4, "суббот": 5, "воскресень": 6}
-UNIT_DAYS = {"д(?:ень|ня|ней)": 1, "недел": 7, "месяц": 30}
+DAY_WORDS = {"позавчера": -2, "вчера": -1, "сегодня": 0, "завтра": 1, "послезавтра": 2}
+NUMBER_WORDS = {
+    "один": 1, "одну": 1, "одного": 1, "два": 2, "две": 2, "двух": 2, "три": 3, "трёх": 3, "трех": 3, "четыре": 4, "четырёх": 4, "четырех": 4, "пять": 5, "пяти": 5,
+    "шесть": 6, "шести": 6, "семь": 7, "семи": 7, "восемь": 8, "восьми": 8, "девять": 9, "девяти": 9, "десять": 10, "десяти": 10,
+}
+WEEKDAYS = {"понедельник": 0, "вторник": 1, "среда": 2, "среду": 2, "четверг": 3, "пятница": 4, "пятницу": 4, "суббота": 5, "субботу": 5, "воскресенье": 6, "воскресение": 6}
+UNIT_DAYS = {"день": 1, "дня": 1, "дней": 1, "неделю": 7, "недели": 7, "недель": 7, "месяц": 30, "месяца": 30, "месяцев": 30}
 
 
 def strip(text: Column) -> Column:
@@ -185,26 +188,36 @@ def first_name(name: Column) -> Column:
 
 
 def relative_date(text: Column, reference: Column) -> Column:
-    """Date that a Russian phrase means, seen from a reference date; the reference if none is understood."""
+    """Date that a Russian phrase means, seen from a reference date; the reference if none is understood.
+
+    A word for a day is the whole phrase; numbers of days, weeks or months ago, weekdays
+    of this week, the last or the one before, and written dates may be inside one.
+    """
     t = F.lower(F.trim(text))
-    weekday = F.weekday(reference)
-    stem = None
-    for word, n in WEEKDAY_STEMS.items():
-        stem = F.when(F.contains(t, F.lit(word)), n) if stem is None else stem.when(F.contains(t, F.lit(word)), n)
-    last = F.date_sub(reference, F.pmod(weekday - stem, F.lit(7)).cast("int"))
-    monday = F.date_sub(reference, weekday)
-    back = lambda weeks: F.date_add(monday, F.coalesce(stem, F.lit(0)) - 7 * weeks)
-    out = F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(t, "yyyy-MM-dd")).when(t.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"), F.try_to_date(t, "d.M.yyyy"))
-    for word, days in DAY_WORDS.items():
-        out = out.when(F.contains(t, F.lit(word)), F.date_add(reference, days))
-    number = F.regexp_extract(t, r"([0-9]+)\s", 1).try_cast("int")
-    for word, n in NUMBER_WORDS.items():
-        number = F.coalesce(number, F.when(t.rlike(rf"(?U)(?:^|\s){word}\s"), n))
-    for pattern, days in UNIT_DAYS.items():
-        out = out.when(t.rlike(rf"(?U){pattern}\w*\s+назад"), F.date_sub(reference, F.coalesce(number, F.lit(1)) * days))
-    # the longer word is tried first: it holds the shorter one
-    out = out.when(F.contains(t, F.lit("позапрошл")), back(2)).when(F.contains(t, F.lit("прошл")), F.when(stem.isNotNull() & ~F.contains(t, F.lit("недел")), last).otherwise(back(1)))
-    return F.coalesce(out.when(stem.isNotNull(), last), reference)
+    table = lambda values: F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    listed = lambda values: "|".join(sorted(values, key=lambda w: (-len(w), w)))
+    ago = rf"([0-9]+|{listed(NUMBER_WORDS)})\s+({listed(UNIT_DAYS)})\s+назад"
+    amount, unit = F.regexp_extract(t, ago, 1), F.regexp_extract(t, ago, 2)
+    days = F.coalesce(amount.try_cast("int"), F.try_element_at(table(NUMBER_WORDS), amount)) * F.try_element_at(table(UNIT_DAYS), unit)
+    single = F.regexp_extract(t, r"(день|неделю|месяц)\s+назад", 1)
+    weekday = F.try_element_at(table(WEEKDAYS), F.regexp_extract(t, rf"({listed(WEEKDAYS)})", 1))
+    own = F.weekday(reference)
+    monday = F.date_sub(reference, own)
+    week = lambda back: F.date_add(monday, F.coalesce(weekday, F.lit(0)) - 7 * back)
+    weeks_ago = lambda word: t.rlike(rf"(?U)\b{word}\w*\s+недел")
+    iso, dotted = F.regexp_extract(t, "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0), F.regexp_extract(t, r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", 0)
+    found = (
+        F.when(F.try_element_at(table(DAY_WORDS), t).isNotNull(), F.date_add(reference, F.try_element_at(table(DAY_WORDS), t)))
+        .when(unit != "", F.date_sub(reference, days.cast("int")))
+        .when((single != "") & weekday.isNull(), F.date_sub(reference, F.try_element_at(table(UNIT_DAYS), single)))
+        .when(weeks_ago("позапрошл") & weekday.isNotNull(), week(2))
+        .when(weeks_ago("прошл"), week(1))
+        .when(weekday.isNotNull(), F.date_sub(reference, F.pmod(own - weekday, F.lit(7)).cast("int")))
+        .when(weeks_ago("позапрошл"), week(2))
+        .when(iso != "", F.try_to_date(iso, "yyyy-MM-dd"))
+        .when(dotted != "", F.try_to_date(dotted, "d.M.yyyy"))
+    )
+    return F.coalesce(found, reference)
 
 
 # --- answers of language models -------------------------------------------------------

@@ -26,11 +26,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
-def smoothed_cosine(a: Column, b: Column, epsilon: float = 1e-8) -> Column:
-    """Cosine with a small number added to the denominator, as matching to concepts has it."""
-    return dot(a, b) / (norm(a) * norm(b) + epsilon)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

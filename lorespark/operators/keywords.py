@@ -18,8 +18,13 @@ from lorespark.operators.tables import saved
 MOST_WORDS = 1_000_000
 
 
-def _long_words(body: str, least: int) -> Column:
-    return F.filter(text.words(F.col(body)), lambda w: F.length(w) >= least)
+def _long_words(body: str, least: int, grams: int = 1) -> Column:
+    """Words of at least ``least`` characters, and with ``grams`` of two each with the one behind it."""
+    long = F.filter(text.words(F.col(body)), lambda w: F.length(w) >= least)
+    if grams == 1:
+        return long
+    pairs = F.zip_with(long, F.slice(long, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(long, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def _counted(batch: pa.RecordBatch, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -31,7 +36,7 @@ def _counted(batch: pa.RecordBatch, groups: np.ndarray) -> tuple[np.ndarray, pa.
     return pairs // k, coded.dictionary.take(pa.array(pairs % k)), counts
 
 
-def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int = 4) -> DataFrame:
+def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int = 4, grams: int = 1) -> DataFrame:
     """Words of at least ``least`` characters in each document with how often they are there (``word``, ``tf``).
 
     Words are counted within each batch of rows before they are shuffled.
@@ -43,11 +48,36 @@ def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int
             group, word, n = _counted(batch, own.indices.to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([own.dictionary.take(pa.array(group)), word, pa.array(n, pa.int64())], [by, "word", "tf"])
 
-    lists = docs.select(by, _long_words(body, least).alias("w")).where("w is not null")
+    lists = docs.select(by, _long_words(body, least, grams).alias("w")).where("w is not null")
     counted = lists.mapInArrow(run, T.StructType([docs.schema[by], T.StructField("word", T.StringType()), T.StructField("tf", T.LongType())]))
     return counted.groupBy(by, "word").agg(F.sum("tf").alias("tf"))
 
 
+def document_counts(docs: DataFrame, body: str = "text", least: int = 4, grams: int = 1) -> DataFrame:
+    """``df`` of each ``word``: the number of rows that have it, counted within each batch before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            _, word, _ = _counted(batch, np.arange(batch.num_rows, dtype=np.int64))
+            counts = word.value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "df"])
+
+    lists = docs.select(_long_words(body, least, grams).alias("w")).where("w is not null")
+    return lists.mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+
+
+def diverse(vectors: np.ndarray, relevance: np.ndarray, most: int, diversity: float) -> list[int]:
+    """Places of the first candidate and of those that follow by maximal marginal relevance."""
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+    alike, chosen = unit @ unit.T, [int(relevance.argmax())] if len(relevance) else []
+    while len(chosen) < min(most, len(relevance)):
+        gain = (1 - diversity) * relevance - diversity * alike[:, chosen].max(axis=1)
+        gain[chosen] = -np.inf
+        chosen.append(int(gain.argmax()))
+    return chosen
+
+
 def tfidf(tf: DataFrame, documents: int | Column, by: str = "doc_id") -> DataFrame:
     """``score``: frequency times the logarithm of documents per document with the word."""
     df = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
@@ -63,14 +93,7 @@ def top_tfidf(docs: DataFrame, most: int, by: str = "doc_id", body: str = "text"
     """
     spark, documents = docs.sparkSession, docs.count()
     lists = docs.select(by, _long_words(body, least).alias("w")).where("w is not null")
-
-    def rows_of(batches):
-        for batch in batches:
-            _, word, _ = _counted(batch, np.arange(batch.num_rows, dtype=np.int64))
-            counts = word.value_counts()
-            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "df"])
-
-    df = lists.mapInArrow(rows_of, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    df = document_counts(docs, body, least)
     weights = saved(spark, df.select("word", F.log((F.lit(documents) + 1) / (F.col("df") + 1)).alias("idf")))
     if weights.count() > MOST_WORDS:
         numbered = lists.withColumn("row", F.monotonically_increasing_id())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text
 from lorespark.functions.names import spare
-from lorespark.operators import graph, keywords, retrieval
+from lorespark.operators import clustering, graph, keywords, retrieval
 
 
 def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarity: float = 0.1, words: int = 3, features: int = 1 << 12) -> DataFrame:
@@ -48,11 +50,37 @@ def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarit
     return assigned.join(F.broadcast(labels(docs, assigned, by, words)), "topic", "left").select(by, "topic", "similarity", "label")
 
 
-def labels(docs: DataFrame, assigned: DataFrame, by: str = "doc_id", words: int = 3) -> DataFrame:
-    """The first words of each topic by class-based weight, joined by a bar; topic -1 has none."""
+#: Words and pairs of words a label is chosen from.
+CANDIDATES = 20
+
+
+def labels(docs: DataFrame, assigned: DataFrame, by: str = "doc_id", words: int = 3, least_documents: int = 2, diversity: float = 0.3, embed=None) -> DataFrame:
+    """The label of each topic: its first words or pairs of words, joined by a bar; topic -1 has none.
+
+    Candidates are those in at least ``least_documents`` documents with the highest
+    class-based weight; of them the first is taken, and then those that add most beside
+    the ones before (maximal marginal relevance).  ``embed`` maps a text to a vector.
+    """
+    embed = embed or clustering.character_vector
     members = docs.select(by, "text").join(assigned.where("topic >= 0").select(by, "topic"), by)
-    best = keywords.top_words(keywords.class_tfidf(keywords.mentions(members, "topic"), "topic"), words, "topic")
-    return best.groupBy("topic").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " | ").alias("label"))
+    common = keywords.document_counts(docs, grams=2).where(F.col("df") >= least_documents).select("word")
+    counted = keywords.mentions(members, "topic", grams=2).join(common, "word", "left_semi")
+    best = keywords.top_words(keywords.class_tfidf(counted, "topic"), CANDIDATES, "topic")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("rank").to_pylist()
+        score = np.array([r["score"] for r in rows])
+        chosen = keywords.diverse(np.array([embed(r["word"]) for r in rows]), score / (score.max() or 1.0), words, diversity)
+        return pa.table({"topic": pa.array([rows[0]["topic"]], pa.int32()), "label": pa.array([" | ".join(rows[k]["word"] for k in chosen)], pa.string())})
+
+    chosen = best.select(F.col("topic").cast("int").alias("topic"), "word", "score", "rank")
+    return chosen.groupBy("topic").applyInArrow(run, "topic int, label string")
+
+
+def infer(spark: SparkSession, points: DataFrame, centres: DataFrame, least: float = 0.1, by: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """``by``, ``topic`` and ``score`` of new points: the topic with the nearest centre (``topic``, ``centroid``), -1 if none is near."""
+    near = retrieval.classify(spark, points, centres, "topic", least, by, vector)
+    return near.select(by, F.coalesce(F.col("label").cast("int"), F.lit(-1)).alias("topic"), "score")
 
 
 def sizes(assigned: DataFrame) -> DataFrame:

@@ -586,3 +586,47 @@ def articles_alike(spark, sf_dir):
     from lorespark.plans.tools import TOOLS
 
     return TOOLS.get("similar_articles")({"articles": table(spark, sf_dir, "supplier").select(F.lit("x").alias("hidden"), _s("s_suppkey").alias("article_id"), F.col("s_name").alias("name")).drop("hidden")}, "7").select("article_id")
+
+
+_STEPS = """WITH a AS (SELECT n_nationkey AS id, n_name AS name, lower(trim(n_name)) AS nm, n_nationkey % 4 AS k FROM nation),
+q AS (SELECT DISTINCT CASE k WHEN 0 THEN ' ' || upper(name) || ' ' WHEN 1 THEN 'zq' || id WHEN 2 THEN name[2:] ELSE 'pay ' || name || ' now' END AS query FROM a),
+n AS (SELECT query, lower(trim(query)) AS qn FROM q),
+s AS (SELECT query, id, 1.0 AS confidence, 'synonym' AS how, 1 AS step, 0 AS o FROM n JOIN a ON qn = 'zq' || id AND k = 1
+UNION ALL SELECT query, id, 1.0, 'exact', 2, 0 FROM n JOIN a ON nm = qn
+UNION ALL SELECT query, id, CASE WHEN count(*) OVER (PARTITION BY query) = 1 THEN 0.8 ELSE 0.6 END, 'part', 3, len(name) FROM n JOIN a ON contains(nm, qn)
+UNION ALL SELECT query, id, 0.5, 'whole', 4, -len(name) FROM n JOIN a ON contains(qn, nm)
+UNION ALL SELECT query, (SELECT min(id) FROM a), 0.3, 'default', 6, 0 FROM n)
+SELECT query, id AS account_id, confidence, how FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY step, o, id) AS r FROM s) WHERE r = 1"""
+
+
+@query(_STEPS)
+def account_cascade_steps(spark, sf_dir):
+    """Phrases that every step but the likeness of names finds an account for."""
+    nations = table(spark, sf_dir, "nation")
+    k, name, ident = F.col("n_nationkey") % 4, F.col("n_name"), _s("n_nationkey")
+    phrase = F.when(k == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).when(k == 1, F.concat(F.lit("zq"), ident)).when(k == 2, F.substring(name, 2, 1000)).otherwise(F.concat(F.lit("pay "), name, F.lit(" now")))
+    synonyms = nations.where(k == 1).select(F.concat(F.lit("ZQ"), ident).alias("word"), name.alias("name"))
+    accounts = nations.select(F.col("n_nationkey").alias("id"), name.alias("name"))
+    return finance.resolve_accounts(nations.select(phrase.alias("query")), accounts, synonyms, least=9.9).select("query", "account_id", "confidence", "how")
+
+
+@query("WITH f AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS p FROM embeddings WHERE vec_id % 2 = 0), m AS (SELECT label, p, avg(x) AS x FROM f GROUP BY label, p), c AS (SELECT label, list(x ORDER BY p) AS v FROM m GROUP BY label), s AS (SELECT vec_id, c.label AS l, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, c WHERE vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, l) AS k FROM s) SELECT vec_id, CASE WHEN score >= 0.4 THEN l ELSE -1 END::INTEGER AS topic, score FROM r WHERE k = 1")
+def topics_inferred(spark, sf_dir):
+    """Topics of new points by the nearest centre of the old ones."""
+    points = table(spark, sf_dir, "embeddings")
+    centres = retrieval.centroids(points.where("vec_id % 2 = 0").withColumnRenamed("label", "topic"), "topic")
+    return topics.infer(spark, points.where("vec_id % 2 = 1"), centres, 0.4, "vec_id")
+
+
+@query("WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: len(x) >= 4) AS l FROM documents), g AS (SELECT DISTINCT doc_id, unnest(list_concat(l, [l[i] || ' ' || l[i + 1] for i in range(1, len(l))])) AS word FROM w) SELECT word, count(*) AS df FROM g GROUP BY word HAVING count(*) >= 20")
+def common_pairs(spark, sf_dir):
+    """Words and pairs of words with the number of documents that have them."""
+    return keywords.document_counts(table(spark, sf_dir, "documents"), grams=2).where("df >= 20")
+
+
+@query("WITH x AS (SELECT o_custkey AS user_id, o_orderkey AS id, c_mktsegment AS category, round(o_totalprice::DECIMAL(12,2)::DOUBLE, 2) AS amount, o_orderdate::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey) SELECT id, amount, day FROM x WHERE user_id = 7 AND category = (SELECT c_mktsegment FROM customer WHERE c_custkey = 7) AND day >= DATE '1993-01-01'")
+def expenses_of_category(spark, sf_dir):
+    from lorespark.plans.q_graph import _expenses
+
+    category = table(spark, sf_dir, "customer").where("c_custkey = 7").first()["c_mktsegment"]
+    return finance.select_range(_expenses(spark, sf_dir), 7, "1993-01-01", category=category).select("id", F.round(F.col("amount").cast("double"), 2).alias("amount"), "day")

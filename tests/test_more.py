@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.operators import clustering, concepts, keywords
+from lorespark.operators import clustering, concepts, keywords, topics
 from lorespark.sources import readers
 
 
@@ -106,3 +106,15 @@ def test_concepts_from_unmatched_words(spark):
     with pytest.raises(ValueError):
         concepts.add_concept(state, "n", spark.createDataFrame([("none",)], "word string"), spark.createDataFrame([("w", "a")], "word string, article_id string"))
     assert concepts.add_concept(state, "n", spark.createDataFrame([("w",), ("none",)], "word string"), spark.createDataFrame([("w", "a"), ("w", "b")], "word string, article_id string")).where(F.col("concept_group_id") == "n").first().source_articles == ["a", "b"]
+
+
+def test_labels_are_diverse(spark):
+    assert keywords.diverse(np.array([[1.0, 0.0], [1.0, 0.1], [0.0, 1.0]]), np.array([1.0, 0.95, 0.6]), 2, 0.3) == [0, 2]
+    assert keywords.diverse(np.array([[1.0, 0.0], [1.0, 0.1], [0.0, 1.0]]), np.array([1.0, 0.95, 0.6]), 2, 0.0) == [0, 1]
+    texts = ["green apple pie", "green apple tart", "green apple juice once", "steel bridge span", "steel bridge tower", "steel bridge cable twice"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assigned = spark.createDataFrame([(i, i // 3) for i in range(6)], "doc_id long, topic int")
+    found = {r.topic: r.label.split(" | ") for r in topics.labels(docs, assigned).collect()}
+    # only what two documents share may label a topic
+    assert {w for x in found[0] for w in x.split()} == {"green", "apple"} and {w for x in found[1] for w in x.split()} == {"steel", "bridge"}
+    assert len(found[0]) == 3 and any(" " in x for x in found[0])

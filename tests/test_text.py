@@ -9,6 +9,8 @@ PHRASES = [
     ("сегодня", "2026-03-22"), ("вчера", "2026-03-21"), ("позавчера", "2026-03-20"), ("завтра", "2026-03-23"), ("послезавтра", "2026-03-24"), ("3 дня назад", "2026-03-19"), ("неделю назад", "2026-03-15"),
     ("2 недели назад", "2026-03-08"), ("пять дней назад", "2026-03-17"), ("в четверг", "2026-03-19"), ("в понедельник", "2026-03-16"), ("в субботу", "2026-03-21"), ("на прошлой неделе в четверг", "2026-03-12"),
     ("на прошлой неделе", "2026-03-09"), ("на позапрошлой неделе", "2026-03-02"), ("2026-01-15", "2026-01-15"), ("15.01.2026", "2026-01-15"), ("когда-нибудь", "2026-03-22"), ("месяц назад", "2026-02-20"),
+    ("двух дней назад", "2026-03-20"), ("десяти дней назад", "2026-03-12"), ("на посредине", "2026-03-22"), ("было вчера", "2026-03-22"), ("это 2026-01-15 вечером", "2026-01-15"), ("к 5.1.2026", "2026-01-05"),
+    ("в среду", "2026-03-18"), ("на позапрошлой неделе в среду", "2026-03-04"), ("неделю назад в четверг", "2026-03-19"), ("", "2026-03-22"),
 ]
 
 
