@@ -18,22 +18,30 @@ from lorespark.operators.tables import saved
 MOST_WORDS = 1_000_000
 
 
-def _long_words(body: str, least: int, grams: int = 1) -> Column:
-    """Words of at least ``least`` characters, and with ``grams`` of two each with the one behind it."""
-    long = F.filter(text.words(F.col(body)), lambda w: F.length(w) >= least)
-    if grams == 1:
-        return long
-    pairs = F.zip_with(long, F.slice(long, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(long, F.filter(pairs, lambda p: p.isNotNull()))
-
-
-def _counted(batch: pa.RecordBatch, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Group, word and number of each distinct pair in a batch with a list column ``w``; ``groups`` numbers the rows."""
-    lists = batch.column("w")
-    coded = lists.flatten().dictionary_encode()
+def _word_lists(texts: pa.Array, least: int, grams: int) -> tuple[np.ndarray, pa.Array]:
+    """Row and word of each lower-cased run of at least ``least`` letters and digits; with ``grams`` of two each with the one behind it too."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\pL\pN]+")
+    rows, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+    long = pc.greater_equal(pc.utf8_length(flat), least)
+    rows, flat = rows[long.to_numpy(zero_copy_only=False)], flat.filter(long)
+    if grams > 1 and len(flat) > 1:
+        same = pa.array(rows[1:] == rows[:-1])
+        pairs = pc.binary_join_element_wise(flat[:-1].filter(same), flat[1:].filter(same), pa.scalar(" ", pa.large_string()))
+        rows, flat = np.concatenate([rows, rows[:-1][rows[1:] == rows[:-1]]]), pa.concat_arrays([flat, pairs])
+    return rows.astype(np.int64), flat
+
+
+def _counted(batch: pa.RecordBatch, groups: np.ndarray, least: int, grams: int = 1) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Group, word and number of each distinct pair in a batch with a column ``body``; ``groups`` numbers the rows."""
+    rows, flat = _word_lists(batch.column("body"), least, grams)
+    coded = flat.dictionary_encode()
     k = max(1, len(coded.dictionary))
-    pairs, counts = np.unique(groups[pc.list_parent_indices(lists).to_numpy()] * k + coded.indices.to_numpy(), return_counts=True)
-    return pairs // k, coded.dictionary.take(pa.array(pairs % k)), counts
+    pairs, counts = np.unique(groups[rows] * k + coded.indices.to_numpy(), return_counts=True)
+    return pairs // k, coded.dictionary.cast(pa.string()).take(pa.array(pairs % k)), counts
+
+
+def _texts(docs: DataFrame, body: str, *by: str) -> DataFrame:
+    return docs.select(*by, F.col(body).cast("string").alias("body")).where("body is not null")
 
 
 def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int = 4, grams: int = 1) -> DataFrame:
@@ -45,10 +53,10 @@ def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int
     def run(batches):
         for batch in batches:
             own = batch.column(by).dictionary_encode(null_encoding="encode")
-            group, word, n = _counted(batch, own.indices.to_numpy().astype(np.int64))
+            group, word, n = _counted(batch, own.indices.to_numpy().astype(np.int64), least, grams)
             yield pa.RecordBatch.from_arrays([own.dictionary.take(pa.array(group)), word, pa.array(n, pa.int64())], [by, "word", "tf"])
 
-    lists = docs.select(by, _long_words(body, least, grams).alias("w")).where("w is not null")
+    lists = _texts(docs, body, by)
     counted = lists.mapInArrow(run, T.StructType([docs.schema[by], T.StructField("word", T.StringType()), T.StructField("tf", T.LongType())]))
     return counted.groupBy(by, "word").agg(F.sum("tf").alias("tf"))
 
@@ -58,12 +66,11 @@ def document_counts(docs: DataFrame, body: str = "text", least: int = 4, grams:
 
     def run(batches):
         for batch in batches:
-            _, word, _ = _counted(batch, np.arange(batch.num_rows, dtype=np.int64))
+            _, word, _ = _counted(batch, np.arange(batch.num_rows, dtype=np.int64), least, grams)
             counts = word.value_counts()
             yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "df"])
 
-    lists = docs.select(_long_words(body, least, grams).alias("w")).where("w is not null")
-    return lists.mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    return _texts(docs, body).mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
 
 def diverse(vectors: np.ndarray, relevance: np.ndarray, most: int, diversity: float) -> list[int]:
@@ -92,12 +99,13 @@ def top_tfidf(docs: DataFrame, most: int, by: str = "doc_id", body: str = "text"
     joined with the words.
     """
     spark, documents = docs.sparkSession, docs.count()
-    lists = docs.select(by, _long_words(body, least).alias("w")).where("w is not null")
+    lists = _texts(docs, body, by)
     df = document_counts(docs, body, least)
     weights = saved(spark, df.select("word", F.log((F.lit(documents) + 1) / (F.col("df") + 1)).alias("idf")))
     if weights.count() > MOST_WORDS:
         numbered = lists.withColumn("row", F.monotonically_increasing_id())
-        rows = numbered.select("row", by, F.explode("w").alias("word")).groupBy("row", by, "word").agg(F.count("*").alias("tf"))
+        long = F.filter(text.words(F.col("body")), lambda w: F.length(w) >= least)
+        rows = numbered.select("row", by, F.explode(long).alias("word")).groupBy("row", by, "word").agg(F.count("*").alias("tf"))
         scored = rows.join(weights, "word").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
         return top_words(scored, most, "row").select(by, "word", "tf", "score", "rank")
     table = weights.toArrow()
@@ -106,7 +114,7 @@ def top_tfidf(docs: DataFrame, most: int, by: str = "doc_id", body: str = "text"
     def ranked(batches):
         known, idf = shared.value
         for batch in batches:
-            row, word, tf = _counted(batch, np.arange(batch.num_rows, dtype=np.int64))
+            row, word, tf = _counted(batch, np.arange(batch.num_rows, dtype=np.int64), least)
             coded = word.dictionary_encode()
             weight = idf[pc.index_in(coded.dictionary, value_set=known).to_numpy()][coded.indices.to_numpy()] if len(word) else np.zeros(0)
             score = np.round(tf * weight, 6) + 0.0
