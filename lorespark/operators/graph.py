@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.operators.tables import saved
+from lorespark.operators.tables import drop, saved
 
 
 def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -88,7 +88,8 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataF
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(spark, tied.union(low.select("u", "m")).distinct())
+        last, now = now, saved(spark, tied.union(low.select("u", "m")).distinct())
+        drop(last)
         after = mark(now)
         if after == before:
             break

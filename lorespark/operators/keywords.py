@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lorespark.functions import text
 from lorespark.functions.names import spare
-from lorespark.operators.tables import saved
+from lorespark.operators.tables import drop, saved
 
 
 #: Words whose weights are broadcast; with more of them weights are joined.
@@ -109,6 +109,7 @@ def top_tfidf(docs: DataFrame, most: int, by: str = "doc_id", body: str = "text"
         scored = rows.join(weights, "word").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
         return top_words(scored, most, "row").select(by, "word", "tf", "score", "rank")
     table = weights.toArrow()
+    drop(weights)
     shared = spark.sparkContext.broadcast((table.column("word").combine_chunks(), table.column("idf").to_numpy()))
 
     def ranked(batches):

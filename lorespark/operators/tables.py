@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,8 +21,37 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Written tables that are still there, with their session.
+_TABLES: dict[str, SparkSession] = {}
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for frame in frames:
+        _delete(frame.table_path)
+
+
+def _delete(path: str) -> None:
+    context = _TABLES.pop(path).sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """What a result may still read stays until the driver ends."""
+    try:
+        for path in list(_TABLES):
+            _delete(path)
+    except Exception:  # the session is gone, and with it the way to the folder
+        _TABLES.clear()
+
+
 def saved(spark: SparkSession, frame: DataFrame) -> DataFrame:
     """The frame written to the shared folder, to cut the lineage of a loop and to compute it once."""
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _TABLES[path] = spark
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.table_path = path
+    return out
