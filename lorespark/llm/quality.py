@@ -11,6 +11,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ class Facts:
 
     text: str
     words: list[bytes]
-    n_symbols: int
+    kinds: np.ndarray
+    counts: list[int]
     n_dup_lines: int
 
 
@@ -44,8 +47,31 @@ class Rule:
     rejects: Callable[[Facts], bool]
 
 
-_LETTERS, _UPPER, _LOUD = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}"), regex.compile(r"(?:!!|\?\?|\.\.\.\.)")
-_LETTER_WORD = regex.compile(r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*")
+#: Kinds of characters.
+OTHER, SEPARATOR, SYMBOL, LETTER, UPPER = range(5)
+
+
+@lru_cache(1)
+def _kind_table() -> np.ndarray:
+    """The kind of every code point."""
+    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    table = np.zeros(len(every), dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (UPPER, r"\p{Lu}")):
+        table[[m.start() for m in regex.finditer(pattern, every)]] = kind
+    table[[ord(c) for c in SEPARATORS]], table[[ord(c) for c in SYMBOLS]] = SEPARATOR, SYMBOL
+    return table
+
+
+_LOUD = regex.compile(r"(?:!!|\?\?|\.\.\.\.)")
+
+
+def _letter_words(kinds: np.ndarray) -> int:
+    """Words with a letter, out of the kinds of a text's characters."""
+    word = kinds != SEPARATOR
+    starts = word.copy()
+    starts[1:] &= ~word[:-1]
+    own = np.cumsum(starts)[kinds >= LETTER]
+    return int((np.diff(own) != 0).sum()) + 1 if len(own) else 0
 
 
 def _lines(text: str) -> int:
@@ -53,12 +79,12 @@ def _lines(text: str) -> int:
 
 
 RULES = (
-    Rule("symbols", lambda f: 10 * f.n_symbols > len(f.words)),
+    Rule("symbols", lambda f: 10 * f.counts[SYMBOL] > len(f.words)),
     Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 4 * _lines(f.text)),
-    Rule("shouting", lambda f: 10 * len(_UPPER.findall(f.text)) > 3 * len(_LETTERS.findall(f.text))),
+    Rule("shouting", lambda f: 10 * f.counts[UPPER] > 3 * (f.counts[LETTER] + f.counts[UPPER])),
     Rule("loud_marks", lambda f: 10 * len(_LOUD.findall(f.text)) > len(f.words)),
-    Rule("few_letter_words", lambda f: 10 * len(_LETTER_WORD.findall(f.text)) < 7 * len(f.words)),
-    Rule("word_length", lambda f: not 2 * len(f.words) <= sum(len(w.decode("utf-8", "surrogatepass")) for w in f.words) <= 14 * len(f.words)),
+    Rule("few_letter_words", lambda f: 10 * _letter_words(f.kinds) < 7 * len(f.words)),
+    Rule("word_length", lambda f: not 2 * len(f.words) <= len(f.kinds) - f.counts[SEPARATOR] <= 14 * len(f.words)),
 )
 
 
@@ -68,12 +94,18 @@ def repeated_words(words: list[bytes]) -> int:
     if n < 2:
         return 0
     numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.uint64, count=len(words))
-    k = np.uint64(len(numbers))
-    pairs = np.unique(ids[:-1] * k + ids[1:], return_inverse=True)[1].astype(np.uint64)  # renumbered, so that three always fit
-    _, at, times = np.unique(pairs[:n] * k + ids[2:], return_inverse=True, return_counts=True)
+    # a word's number is the place where it is first seen
+    ids = np.fromiter(map(numbers.setdefault, words, count()), dtype=np.uint64, count=len(words))
+    k = np.uint64(len(words))
+    pairs = ids[:-1] * k + ids[1:]
+    if len(words) > 2_000_000:  # three would not fit: renumber the pairs
+        pairs = np.unique(pairs, return_inverse=True)[1].astype(np.uint64)
+    triples = pairs[:n] * k + ids[2:]
+    order = np.argsort(triples)
+    same = np.diff(triples[order]) == 0
+    found = np.zeros(n, dtype=np.int64)
+    found[order] = np.append(same, False) | np.concatenate([[False], same])
     edge = np.zeros(len(words) + 1, dtype=np.int64)
-    found = (times[at] > 1).astype(np.int64)
     edge[:n] += found
     edge[3 : n + 3] -= found
     return int((np.cumsum(edge[:-1]) > 0).sum())
@@ -83,8 +115,8 @@ def base(text: str | None) -> tuple[Facts, int, int, bool]:
     """The facts, characters in words, repeated words, and whether the base counts fail."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
-    chars = len(text) - sum(text.count(c) for c in SEPARATORS)
-    symbols = sum(text.count(c) for c in SYMBOLS)
+    kinds = _kind_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    counts = np.bincount(kinds, minlength=5).tolist()
     seen, repeats = set(), 0
     for line in text.split("\n"):
         if line in seen:
@@ -93,7 +125,7 @@ def base(text: str | None) -> tuple[Facts, int, int, bool]:
             seen.add(line)
     again = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * again > 50 * len(words)
-    return Facts(text, words, symbols, repeats), chars, again, failed
+    return Facts(text, words, kinds, counts, repeats), len(text) - counts[SEPARATOR], again, failed
 
 
 def ordered_rules(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[list[str], dict[str, dict[str, float]]]:
@@ -132,7 +164,7 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 facts, chars, again, failed = base(text)
                 by = "base" if failed else next((r.name for r in cascade if r.rejects(facts)), None)
-                rows.append((len(facts.words), chars, facts.n_symbols, facts.n_dup_lines, again, failed, by is None, by))
+                rows.append((len(facts.words), chars, facts.counts[SYMBOL], facts.n_dup_lines, again, failed, by is None, by))
             columns = list(zip(*rows))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], NAMES)

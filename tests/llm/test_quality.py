@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import duckdb
 import pandas as pd
 
@@ -30,6 +33,12 @@ def test_repeated_words():
     assert quality.repeated_words(b"a b c x a b c".split()) == 6
     assert quality.repeated_words(b"a a a a".split()) == 4
     assert quality.repeated_words(b"a b".split()) == 0
+    rng = random.Random(2)
+    for size in (3, 4, 10, 200, 5000):
+        words = [b"w%d" % rng.randrange(max(2, size // 8)) for _ in range(size)]
+        seen = Counter(zip(words, words[1:], words[2:]))
+        want = {p for i in range(size - 2) if seen[tuple(words[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+        assert quality.repeated_words(words) == len(want)
 
 
 def test_order_is_by_rejection_per_cost():
