@@ -25,7 +25,7 @@ from lorespark.llm.common import slices
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Documents of the sample and the longest text in it; both bound what reaches the driver.
+#: Documents of the sample, about (twice as many at most), and the longest text in it; both bound what reaches the driver.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 50_000
 
@@ -151,9 +151,9 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base.  Repeated rows are judged one by one; further columns, whatever their names, are
     not read; an empty table gives none.
     """
-    # the documents that come first by a hash, wherever they are stored
-    short = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")).where(F.length("text") <= SAMPLE_CHARS)
-    sample = short.orderBy("h", F.length("text")).limit(SAMPLE_DOCS)
+    fraction = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    short = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    sample = short.sample(fraction=fraction, seed=7).limit(2 * SAMPLE_DOCS)
     names, _ = ordered_rules([r.text for r in sample.collect()])
 
     def run(batches):
