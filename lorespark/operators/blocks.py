@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.operators.tables import spread
+
 INLINE = "struct<type:string,order:int,text:string,href:string,src:string,alt:string,marks:array<string>>"
 BLOCKS = f"article_id string, pos int, id string, type string, level int, text string, code string, lang string, inlines array<{INLINE}>"
 _MARKS = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code"}
@@ -211,7 +213,7 @@ def html_blocks(pages: DataFrame, source: str = "html", markdown: bool = False)
             yield pd.DataFrame(rows, columns=["article_id", "pos", "id", "type", "level", "text", "code", "lang", "inlines"])
 
     chosen = pages.select(F.regexp_replace(F.col("article_id").cast("string"), "/", "_").alias("article_id"), F.col(source).alias("body")).where("body is not null and trim(body) <> ''")
-    return chosen.mapInPandas(run, BLOCKS)
+    return spread(chosen).mapInPandas(run, BLOCKS)
 
 
 def page_links(pages: DataFrame, by: str, source: str = "html") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lorespark.functions import text
 from lorespark.functions.names import spare
-from lorespark.operators.tables import drop, saved
+from lorespark.operators.tables import drop, saved, spread
 
 
 #: Words whose weights are broadcast; with more of them weights are joined.
@@ -41,7 +41,7 @@ def _counted(batch: pa.RecordBatch, groups: np.ndarray, least: int, grams: int =
 
 
 def _texts(docs: DataFrame, body: str, *by: str) -> DataFrame:
-    return docs.select(*by, F.col(body).cast("string").alias("body")).where("body is not null")
+    return spread(docs.select(*by, F.col(body).cast("string").alias("body")).where("body is not null"))
 
 
 def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int = 4, grams: int = 1) -> DataFrame:

@@ -55,3 +55,17 @@ def saved(spark: SparkSession, frame: DataFrame) -> DataFrame:
     out = spark.read.schema(frame.schema).parquet(path)
     out.table_path = path
     return out
+
+
+#: Bytes up to which a table is spread over all cores.
+SMALL_BYTES = 256 << 20
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows of a small table, by Catalyst's estimate, over all cores; a larger one as it is read.
+
+    A file of one row group is read by one task, which would leave the other cores idle
+    where rows cost much; tables of many row groups are spread by being read.
+    """
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else frame
