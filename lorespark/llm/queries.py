@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import chat, decontaminate, language, mixing, pseudonyms, quality, repeats, simhash, sstable, urls
+from lorespark.llm import chat, decontaminate, language, mixing, pseudonyms, quality, repeats, resampling, simhash, sstable, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,6 +93,14 @@ def op8_pii_pseudonyms(spark, sf_dir):
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"))
 
 
+@query
+def op12_importance_resampling(spark, sf_dir):
+    return resampling.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_importance_resampling"] = resampling.SQL
+
+
 @query
 def op3_chat_formatting(spark, sf_dir):
     return chat.link(spark, chat.with_tools(table(spark, sf_dir, "conversations")))
