@@ -39,7 +39,6 @@ def brute(rows, target, settings):
 @pytest.mark.parametrize("runs", [1, 2, 3])
 def test_equals_brute_force(spark, runs, monkeypatch):
     monkeypatch.setattr(resampling, "COPIES", 3)
-    monkeypatch.setattr(words, "PIECE_BYTES", 40)  # runs of words go over the borders of pieces
     rng = random.Random(runs)
     text = lambda: " ".join(rng.choice(["Ab", "é", "x9", "lorem", "ipsum", "42", "-", "a_b", "\tQ"]) for _ in range(rng.randint(0, 60)))
     rows = [(i, text()) for i in range(150)] + [(None, text()), (None, None), (900, None), (901, ""), (-(2**63), text() * 9), (2**63 - 1, text() * 9)]
@@ -83,3 +82,11 @@ def test_ranks_are_those_of_one_sort(spark):
     frame = spark.range(0, 500).select((F.col("id") % 37).alias("a"), F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("b"))
     found = resampling.ranked(frame, ["a", "b"], Scratch(spark, "test")).orderBy("rank").collect()
     assert [(r.a, r.b) for r in found] == sorted((r.a, r.b) for r in frame.collect()) and [r["rank"] for r in found] == list(range(1, 501))
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_features_do_not_depend_on_pieces(size, monkeypatch):
+    text = " ".join(random.Random(size).choice(["Ab", "é", "x9", "longer_words,and", "42"]) for _ in range(200))
+    monkeypatch.setattr(words, "PIECE_BYTES", size)
+    found = [h for _, part in resampling._buckets(text.encode(), Settings(buckets=997, runs=3)) for h in part.tolist()]
+    assert sorted(found) == sorted(h % 997 for h in brute_features(text, 3)[1])
