@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import chat, decontaminate, divergence, language, mixing, pseudonyms, quality, repeats, resampling, simhash, sstable, urls
+from lorespark.llm import chat, decontaminate, divergence, language, minhash, mixing, pseudonyms, quality, repeats, resampling, simhash, sstable, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,6 +93,11 @@ def op8_pii_pseudonyms(spark, sf_dir):
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"))
 
 
+@query
+def op13_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op11_source_divergence(spark, sf_dir):
     return divergence.audit(spark, table(spark, sf_dir, "documents"))
