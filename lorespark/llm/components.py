@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import Scratch
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*"),
-        F.sum(F.xxhash64("u", "v") % F.lit(1_000_003)),
-        F.max(F.xxhash64("u", "v")),
-    ).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or tied to just one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("tied"), F.lit(0).alias("centre"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("tied"), F.lit(1).alias("centre")))
+    return ends.groupBy("x").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre")).where("tied + centre > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -32,8 +30,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "edges",
     )
-    before = _fingerprint(now)
-    while before[0]:
+    while not _stars(now):
         # large star: every neighbour above a node is tied to the least one around it
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -49,10 +46,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         )
         after = scratch.save(small, "edges")
         scratch.drop(now)
-        now, seen = after, _fingerprint(after)
-        if seen == before:
-            break
-        before = seen
+        now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
