@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import vectors
+from lorespark.operators.vector_index import VectorIndex
 
 #: Rows of a block of the all-pairs product; a task holds two blocks and their product.
 BLOCK = 1024
+#: Blocks of points up to which all pairs are multiplied without an index.
+PRODUCT_BLOCKS = 16
 #: Query vectors or classes that are held by every task at once; more are taken in blocks.
 MOST_QUERIES = 20_000
 #: Scores that a search holds at once, at least those of 1,024 points.
@@ -110,8 +113,15 @@ def hits_by_query(fused: DataFrame) -> DataFrame:
     return fused.select(F.explode(F.map_keys("scores_by_query")).alias("query_id")).groupBy("query_id").agg(F.count("*").alias("hits"))
 
 
-def similar_pairs(points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """All pairs ``a < b`` with a cosine of at least ``least``, as ``a``, ``b``, ``score``."""
+def similar_pairs(points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, indexed: bool | None = None) -> DataFrame:
+    """All pairs ``a < b`` with a cosine of at least ``least``, as ``a``, ``b``, ``score``.
+
+    Points of more than ``PRODUCT_BLOCKS`` blocks are compared within the cells of an exact
+    index that the threshold leaves open to them; fewer are multiplied block by block,
+    which costs less than the index does.  The rows are the same; ``indexed`` chooses.
+    """
+    if indexed or (indexed is None and usable(points, key, vector).limit(PRODUCT_BLOCKS * block + 1).count() > PRODUCT_BLOCKS * block):
+        return VectorIndex.build(points.sparkSession, points, key, vector).pairs(least)
 
     def reached(a, b, scores, pairs):
         i, j = np.nonzero((scores >= least) & pairs)

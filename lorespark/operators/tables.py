@@ -47,11 +47,11 @@ def _delete_all() -> None:
         _TABLES.clear()
 
 
-def saved(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """The frame written to the shared folder, to cut the lineage of a loop and to compute it once."""
+def saved(spark: SparkSession, frame: DataFrame, *by: str) -> DataFrame:
+    """The frame written to the shared folder, to cut the lineage of a loop and to compute it once; in folders ``by`` columns."""
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     _TABLES[path] = spark
-    frame.write.parquet(path)
+    frame.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out.table_path = path
     return out

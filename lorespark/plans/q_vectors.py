@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import vectors
 from lorespark.operators import clustering, retrieval
+from lorespark.operators.vector_index import VectorIndex
 from lorespark.plans.registry import query, table
 
 #: Every fiftieth row is a query.
@@ -29,6 +30,14 @@ def knn_topk(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
+@query(_KNN.format(asked=_ASKED, where="") + "SELECT query_id, vec_id, score, rank FROM t")
+def knn_indexed(spark, sf_dir):
+    """The same search through the exact index: only cells that can hold one of the ten are opened."""
+    points = table(spark, sf_dir, "embeddings")
+    hits, _ = VectorIndex.build(spark, points).nearest(points.where(_ASKED), 10)
+    return hits.withColumnRenamed("id", "vec_id")
+
+
 @query(_KNN.format(asked=_ASKED, where="AND label IN (3, 4, 5)") + "SELECT query_id, vec_id, score, rank FROM t")
 def knn_filtered_by_label(spark, sf_dir):
     return _search(spark, sf_dir, "label in (3, 4, 5)")
@@ -93,6 +102,12 @@ def similar_pairs(spark, sf_dir):
     return retrieval.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3)
 
 
+@query(_PAIRS + "SELECT a, b, score FROM p WHERE score >= 0.3")
+def similar_pairs_indexed(spark, sf_dir):
+    """The same join through the exact index, which larger tables take by themselves."""
+    return retrieval.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3, indexed=True)
+
+
 @query(_PAIRS + "SELECT a, b, score FROM p ORDER BY score DESC, a, b LIMIT 10")
 def allpairs_similarity_top10(spark, sf_dir):
     return retrieval.first_pairs(table(spark, sf_dir, "embeddings"), 10)
