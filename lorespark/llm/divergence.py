@@ -32,8 +32,8 @@ EXACT_COUNTS = 1024
 FIRST_TERMS, GROWTH = 2 * TOP, 8
 #: Sources of a language that one tile compares with as many others.
 TILE = 256
-#: Parts of a tile's terms, which are tasks of their own.
-SLICES = 64
+#: Parts of a tile's terms; a task adds up all parts of a tile that it gets, so that more of them only deal more evenly.
+SLICES = 1024
 
 
 def _tally(batches):
