@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lorespark.functions import vectors
-from lorespark.operators import clustering, retrieval
+from lorespark.operators import clustering, density, retrieval
 from lorespark.operators.vector_index import VectorIndex
 from lorespark.plans.registry import query, table
 
@@ -155,6 +155,24 @@ def density_clusters(spark, sf_dir):
     return clustering.neighbour_clusters(spark, table(spark, sf_dir, "embeddings"), 0.35)
 
 
+#: Distances at length 1, from rounded cosines.
+_CORES = """WITH d AS (SELECT a.vec_id, round(sqrt(greatest(0, 2 - 2 * round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6))), 6) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM d)
+SELECT vec_id, d AS core FROM r WHERE k = 3"""
+
+
+@query(_CORES)
+def core_distances(spark, sf_dir):
+    return density.core_distances(spark, table(spark, sf_dir, "embeddings"), 3)
+
+
+@query()
+def density_tree(spark, sf_dir):
+    """Hierarchical density clusters with noise; a plain version is in the tests."""
+    return density.density_tree(spark, table(spark, sf_dir, "embeddings"), density.Settings(least_size=5, neighbours=3))[0]
+
+
 @query()
 def greedy_clusters(spark, sf_dir):
     return clustering.greedy(table(spark, sf_dir, "embeddings"), 0.3, keep=("label",))
