@@ -52,7 +52,9 @@ def near_copies(rng, base, n, most):
 def test_equals_brute_force(spark, monkeypatch):
     """Hot groups, chains of copies of copies, false candidates, short, repeated and null rows."""
     monkeypatch.setattr(minhash, "CENTRE_TEXTS", 4)  # a centre's pairs go to several tasks
-    monkeypatch.setattr(minhash, "GROWTH", 2)
+    blocks = dict(zip(("block", "block_shingles"), (3, 300)))  # buckets and groups go to several tiles
+    whole = minhash._components
+    monkeypatch.setattr(minhash, "_components", lambda *a: whole(*a, **blocks))
     rng = random.Random(4)
     text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
     base, texts = text(120), []
