@@ -5,8 +5,10 @@ sketch is its ``k`` smallest shingle hashes under a permutation, where ``k`` is
 its size partition: one more than the shingles that may be missing at the threshold.  A
 document that contains enough of the item must then hold one of the ``k``, however long
 it is, so the search loses nothing; plain MinHash of long documents would.  A document
-is probed only against size partitions whose items it is long enough to contain.
-Candidates are verified by exact containment of the shingles' words.
+is probed only against size partitions whose items it is long enough to contain.  An item
+of fewer words than a shingle has is one shingle of just its words, which is looked for at
+every place of a document as any other.  Candidates are verified by exact containment of
+the shingles' words.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def sketch_size(level: int, threshold: float) -> int:
 def item_parts(text: str | None, threshold: float) -> tuple[int, list[str], list[bool], np.ndarray] | None:
     """Size partition, distinct shingles, whether each is of the sketch, and their hashes; null without words.
 
-    An item too short for a shingle is one part: all its words.
+    An item of fewer words than a shingle is one shingle of its own length.
     """
     words = words_of(text)
     if not words:
@@ -93,7 +95,9 @@ class Index:
     def __init__(self, rows: list[tuple[int, str | None]], threshold: float = THRESHOLD):
         self.threshold = threshold
         self.ids, self.sizes = [], []
-        self.whole: dict[str, list[int]] = defaultdict(list)
+        #: Items of fewer words than a shingle: for each number of words the items of each hash.
+        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.words: dict[int, str] = {}
         self.holders: dict[str, list[int]] = defaultdict(list)
         grouped: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         known = [np.zeros(0, dtype=np.uint64)]
@@ -105,15 +109,18 @@ class Index:
             number = len(self.ids)
             self.ids.append(item_id)
             self.sizes.append(len(shingles))
-            if shingles[0].count(" ") < SHINGLE_WORDS - 1:
-                self.whole[shingles[0]].append(number)
+            length = shingles[0].count(" ") + 1
+            if length < SHINGLE_WORDS:
+                short[length][int(hashes[0])].append(number)
+                self.words[number] = shingles[0]
                 continue
             known.append(hashes)
             for shingle, chosen, key in zip(shingles, own, hashes.tolist()):
                 self.holders[shingle].append(number)
                 if chosen:
                     grouped[level][key].append(number)
-        self.whole, self.holders = dict(self.whole), dict(self.holders)
+        self.holders = dict(self.holders)
+        self.short = {n: (np.array(sorted(found), dtype=np.uint64), dict(found)) for n, found in sorted(short.items())}
         #: For each size partition its level, sorted keys, and the items of each key.
         self.partitions = []
         for level, found in sorted(grouped.items()):
@@ -124,11 +131,24 @@ class Index:
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """``(item number, its shingles, those found)`` of every item that the text contains."""
         words = words_of(text)
-        if len(words) < SHINGLE_WORDS:
-            return [(n, 1, 1) for n in self.whole.get(" ".join(words), ())]
-        if not self.partitions:
+        if not words or not (self.short or self.partitions):
             return []
-        own, candidates = _rolled(word_hashes(words), SHINGLE_WORDS), set()
+        hashes = word_hashes(words)
+        return sorted(self._short(words, hashes) + self._long(words, hashes))
+
+    def _short(self, words: list[str], hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        found = set()
+        for length, (keys, items) in self.short.items():
+            own = _rolled(hashes, length)
+            for i in np.flatnonzero(np.isin(own, keys)).tolist():
+                shingle = " ".join(words[i : i + length])
+                found.update(n for n in items[int(own[i])] if n not in found and self.words[n] == shingle)
+        return [(n, 1, 1) for n in found]
+
+    def _long(self, words: list[str], hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        if not self.partitions or len(words) < SHINGLE_WORDS:
+            return []
+        own, candidates = _rolled(hashes, SHINGLE_WORDS), set()
         for level, keys, items in self.partitions:
             if len(words) < least_words(level, self.threshold):
                 continue
@@ -198,8 +218,8 @@ def _filter(spark: SparkSession, shingles: DataFrame):
     return spark.sparkContext.broadcast(whole)
 
 
-def _probes(shared):
-    """The distinct shingles of each document that the filter lets pass; all the words of one too short for a shingle."""
+def _probes(shared, lengths: list[int]):
+    """The distinct shingles of each document, of the lengths that the items have, that the filter lets pass."""
 
     def run(batches):
         bits = shared.value
@@ -208,11 +228,12 @@ def _probes(shared):
                 words = words_of(text)
                 if not words:
                     continue
-                length = min(SHINGLE_WORDS, len(words))
-                hashes = _rolled(word_hashes(words), length)
-                first = hashes >> np.uint64(64 - FILTER_BITS)
-                at = np.flatnonzero(bits[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8) & 1)
-                found = sorted({" ".join(words[i : i + length]) for i in at})
+                own, found = word_hashes(words), set()
+                for length in lengths:
+                    first = _rolled(own, length) >> np.uint64(64 - FILTER_BITS)
+                    at = np.flatnonzero(bits[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8) & 1)
+                    found.update(" ".join(words[i : i + length]) for i in at)
+                found = sorted(found)
                 if found:
                     n = len(found)
                     columns = [[row] * n, [doc_id] * n, [key] * n, [len(words)] * n, found]
@@ -234,8 +255,10 @@ def _joined(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshol
     asked = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = scratch.save(asked.mapInArrow(_items(threshold), "item long, item_id long, size long, level int, shingle string, chosen boolean, hash long"), "items")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("key"), F.col("text").cast("string").alias("text"))
-    probes = scratch.save(texts.mapInArrow(_probes(_filter(spark, items)), "row long, doc_id long, key string, n_words long, shingle string"), "probes")
-    long_enough = (F.col("n_words") < SHINGLE_WORDS) | (F.col("n_words") >= F.ceil(F.lit(threshold) * F.pow(F.lit(2.0), "level") - _EPS) + SHINGLE_WORDS - 1)
+    lengths = sorted(r.n for r in items.select(F.size(F.split("shingle", " ")).alias("n")).distinct().collect())  # SHINGLE_WORDS at most
+    probes = scratch.save(texts.mapInArrow(_probes(_filter(spark, items), lengths), "row long, doc_id long, key string, n_words long, shingle string"), "probes")
+    # an item of one shingle may be shorter than a shingle
+    long_enough = (F.col("level") == 0) | (F.col("n_words") >= F.ceil(F.lit(threshold) * F.pow(F.lit(2.0), "level") - _EPS) + SHINGLE_WORDS - 1)
     candidates = probes.join(items.where("chosen"), "shingle").where(long_enough).select("row", "item").distinct()
     found = candidates.join(probes, "row").join(items.select("item", "item_id", "size", "shingle"), ["item", "shingle"])
     counted = found.groupBy("row", "doc_id", "key", "item", "item_id", "size").agg(F.count("*").alias("n_found"))
@@ -247,7 +270,8 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshol
 
     Columns: ``doc_id``, ``item_id``, ``n_shingles`` and ``n_found`` (distinct shingles of
     the item, and those in the document) and ``containment``.  Shingles are five words; an
-    item of fewer words has none and is found only in a document of just these words.
+    item of fewer words is one shingle of all its words, found anywhere in a document, so
+    that an item of one frequent word is in many.  Documents of any length are read whole.
     Null and wordless texts match nothing.  Repeated documents and items give a row each;
     further columns, whatever their names, are not read; an empty table gives no match.
     A benchmark of up to ``BLOCK_BYTES`` is broadcast, a larger one joined: the result is
@@ -294,15 +318,13 @@ SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark),
 ig AS (
-  SELECT DISTINCT item_id, array_to_string(ws[k : k + 4], ' ') AS g
-  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM i WHERE len(ws) >= 5)),
+  SELECT DISTINCT item_id, n, array_to_string(ws[k : k + n - 1], ' ') AS g
+  FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM (SELECT *, least(5, len(ws)) AS n FROM i WHERE len(ws) > 0))),
 dg AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[k : k + 4], ' ') AS g
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM d WHERE len(ws) >= 5)),
+  SELECT DISTINCT doc_id, n, array_to_string(ws[k : k + n - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d JOIN (SELECT DISTINCT n FROM ig) ON len(ws) >= n)),
 size AS (SELECT item_id, count(*) AS n_shingles FROM ig GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
-FROM dg JOIN ig USING (g) JOIN size USING (item_id)
+FROM dg JOIN ig USING (n, g) JOIN size USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
-UNION ALL
-SELECT doc_id, item_id, 1, 1, 1.0 FROM d JOIN i ON d.ws = i.ws WHERE len(i.ws) BETWEEN 1 AND 4
 """

@@ -3,7 +3,8 @@
 Linear support vector machines first tell language families apart; one-versus-one
 machines then separate the languages within the family that was predicted.  Features
 are hashed runs of two and three characters over the whole text.  Each machine is a
-task, fitted on a bounded sample of labelled documents that holds every language.
+task, fitted on a sample of labelled documents that one parameter bounds, whatever the
+labels; only the features of the sample leave the executors.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from lorespark.functions.names import spare
 from lorespark.llm.common import Scratch, slices
 
 FEATURES = 1 << 13
-#: Bounds of the sample: documents of a language at most and (where it has them) at least, of all languages beyond
-#: that least number, and characters of a document.
-PER_LANGUAGE, LEAST_DOCS, ALL_DOCS, MOST_CHARS = 250, 10, 1500, 20_000
+#: The sample's bound: documents of all languages together, and of each language at most and at least.  Beyond
+#: ``ALL_DOCS // LEAST_DOCS`` languages only those with the most labelled documents are learned.
+ALL_DOCS, PER_LANGUAGE, LEAST_DOCS = 1500, 250, 10
 #: Characters of a long text whose features are counted at once.
 CHUNK = 1 << 18
 UNKNOWN = "und"
@@ -58,14 +59,15 @@ def features(text: str) -> np.ndarray:
     counts = np.zeros(FEATURES, dtype=np.float64)
     table = _letters()
     for at in range(0, len(text), CHUNK):
-        part = text[max(0, at - 2) : at + CHUNK].lower()
+        before = text[max(0, at - 2) : at].lower()  # where runs of three begin that end in this part
+        part = before + text[at : at + CHUNK].lower()
         codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         codes = np.where(table[np.minimum(codes, len(table) - 1)], codes, 32).astype(np.uint32)
         if len(codes) < 2:
             continue
         two = codes[:-1] * np.uint32(0x9E3779B1) + codes[1:]
         keys = two * np.uint32(0x85EBCA77)
-        counts += np.bincount(keys >> np.uint32(19), minlength=FEATURES)
+        counts += np.bincount(keys[max(0, len(before) - 1) :] >> np.uint32(19), minlength=FEATURES)
         keys = (two[:-1] * np.uint32(0xC2B2AE3D) + codes[2:]) * np.uint32(0x27D4EB2F)
         counts += np.bincount(keys >> np.uint32(19), minlength=FEATURES)
     counts = np.sqrt(counts)
@@ -112,9 +114,12 @@ class Sample:
     @staticmethod
     def of(rows: list[tuple[str, str]]) -> Sample:
         rows = [(t, lang) for t, lang in rows if _LETTER.search(t)]
-        x = np.array([features(t) for t, _ in rows], dtype=np.float32).reshape(len(rows), FEATURES)
-        langs = np.array([lang for _, lang in rows], dtype=object)
-        return Sample(x, langs, np.array([family_of(lang) for lang in langs], dtype=object))
+        return Sample.made([features(t) for t, _ in rows], [lang for _, lang in rows])
+
+    @staticmethod
+    def made(found: list[np.ndarray], langs: list[str]) -> Sample:
+        x = np.array(found, dtype=np.float32).reshape(len(found), FEATURES)
+        return Sample(x, np.array(langs, dtype=object), np.array([family_of(lang) for lang in langs], dtype=object))
 
     def languages(self) -> dict[str, list[str]]:
         return {f: sorted(set(self.langs[self.kin == f])) for f in sorted(set(self.kin))}
@@ -141,9 +146,9 @@ class Model:
     pair_weights: dict[str, np.ndarray]
 
     @staticmethod
-    def fit(rows: list[tuple[str, str]], fitted=None) -> Model:
-        """From ``(text, language)`` pairs; ``fitted`` gives the weights of the machines of a sample, here one after another."""
-        sample = Sample.of(rows)
+    def fit(rows: list[tuple[str, str]] | Sample, fitted=None) -> Model:
+        """From ``(text, language)`` pairs or their features; ``fitted`` gives the weights of the machines of a sample, here one after another."""
+        sample = rows if isinstance(rows, Sample) else Sample.of(rows)
         weights = iter((fitted or (lambda s: map(s.machine, s.machines())))(sample))
         families = sorted(set(sample.kin))
         whole = [next(weights) for _ in families] if len(families) > 1 else [np.zeros(FEATURES + 1)] * len(families)
@@ -179,31 +184,43 @@ def fold() -> Column:
     return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3
 
 
+def _featured(batches):
+    """The features that a whole text has, as places and values; rows without a letter go."""
+    for batch in batches:
+        for part in slices([batch], "text"):
+            kept = [k for k, t in enumerate(part.column("text").to_pylist()) if _LETTER.search(t)]
+            part = part.take(pa.array(kept, pa.int64()))
+            found = [features(t).astype(np.float32) for t in part.column("text").to_pylist()]
+            places = [np.flatnonzero(x).astype(np.int32) for x in found]
+            columns = [pa.array(places, pa.list_(pa.int32())), pa.array([x[p] for x, p in zip(found, places)], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("lang", "h", "doc_id")] + columns, ["lang", "h", "doc_id", "places", "x"])
+
+
 def sample(docs: DataFrame) -> DataFrame:
-    """The training sample: of each language the documents that come first by a hash of their id, outside the held-out fold.
+    """Features of the training sample: ``lang``, ``places`` and ``x``.
 
-    Documents of up to ``MOST_CHARS`` characters come before longer ones, whose first
-    characters are learned from only where a language has too few short ones.
+    Of each language that is learned, the documents that come first by a hash of their id,
+    outside the held-out fold; texts are read whole.  ``ALL_DOCS`` rows at most.
     """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    usable = usable.where(fold() != 1).select("*", (F.length("text") > MOST_CHARS).alias("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)).alias("h"))
+    usable = usable.where(fold() != 1).select("*", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)).alias("h"))
     # a written table has a known size, so a small one is broadcast and no text is shuffled
-    counts = Scratch(docs.sparkSession, "languages").save(usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short")), "counts")
-    each = max(LEAST_DOCS, min(PER_LANGUAGE, ALL_DOCS // max(1, counts.count())))
+    counts = Scratch(docs.sparkSession, "languages").save(usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(ALL_DOCS // LEAST_DOCS), "counts")
+    each = min(PER_LANGUAGE, ALL_DOCS // max(1, counts.count()))
     # about three times as many as needed pass the first cut, so that no task ranks a whole language
-    some = lambda n: F.lit(3.0 * each) / F.greatest(n, F.lit(1)) * (1 << 30)
-    cut = counts.select("lang", some(F.col("short")).alias("most"), F.when(F.col("short") < each, some(F.col("n") - F.col("short"))).otherwise(0).alias("most_long"))
-    near = usable.join(cut, "lang").where("h < if(long, most_long, most)")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id", "text"))
-    return near.withColumn("k", rank).where(F.col("k") <= each).select(F.substring("text", 1, MOST_CHARS).alias("text"), "lang")
+    cut = counts.select("lang", (F.lit(3.0 * each) / F.col("n") * (1 << 30)).alias("most"))
+    near = usable.join(cut, "lang").where("h < most").select("lang", "h", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = near.mapInArrow(_featured, "lang string, h long, doc_id long, places array<int>, x array<float>")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "places", "x"))
+    return found.withColumn("k", rank).where(F.col("k") <= each).select("lang", "h", "doc_id", "places", "x")
 
 
 def train(spark: SparkSession, docs: DataFrame) -> Model:
-    """The machines of all languages in ``docs``, each fitted by a task of its own on the shared sample.
-
-    The sample holds at most ``max(ALL_DOCS, LEAST_DOCS * languages)`` documents.
-    """
-    rows = sorted((r.lang, r.text) for r in sample(docs).collect())
+    """The machines of the learned languages of ``docs``, each fitted by a task of its own on the shared sample."""
+    rows = sorted(sample(docs).collect(), key=lambda r: (r.lang, r.h, r.doc_id, r.places, r.x))
+    x = np.zeros((len(rows), FEATURES), dtype=np.float32)
+    for own, row in zip(x, rows):
+        own[row.places] = row.x
 
     def fitted(own: Sample) -> list[np.ndarray]:
         shared, names = spark.sparkContext.broadcast(own), own.machines()
@@ -220,7 +237,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         shared.unpersist()  # tens of megabytes that no later task needs
         return found
 
-    return Model.fit([(t, lang) for lang, t in rows], fitted)
+    return Model.fit(Sample.made(list(x), [r.lang for r in rows]), fitted)
 
 
 def _judged(spark: SparkSession, docs: DataFrame, model: Model | None, names: tuple[str, str]) -> DataFrame:
@@ -241,10 +258,12 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of every row, in one pass without a shuffle.
 
     ``lang_pred`` is a language of the sample, or ``und`` if the text is null or has no
-    letter.  The model is fitted on ``docs`` unless one is given; every labelled language
-    is learned, and without any labelled document every row is ``und``.  A row without a
-    ``doc_id`` is neither learned from nor held out.  Repeated rows are judged one by one;
-    further columns, whatever their names, are not read.
+    letter.  The model is fitted on ``docs`` unless one is given; the languages with the most
+    labelled documents are learned (150 at most), and without any labelled document every row
+    is ``und``.  Texts of any length are read whole.  Of equal votes the language with the
+    larger sum of margins wins, then the first by name.  A row without a ``doc_id`` is neither
+    learned from nor held out.  Repeated rows are judged one by one, and each is learned from
+    if its id is drawn; further columns, whatever their names, are not read.
     """
     shared = model or train(spark, docs)
     held = F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
