@@ -20,9 +20,10 @@ from lorespark.functions.names import spare
 ROUNDS = 8
 
 #: Patterns of each kind, tried in this order at a place of the text.  Each takes a bounded number of steps from a
-#: place, but for the name of an e-mail address, which is tried only where a run of its signs begins.
+#: place, but for the name of an e-mail address, which is tried only where a run of its signs begins, and a secret,
+#: which is tried only after its name.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?<=[A-Za-z0-9])@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,30}\.[A-Za-z]{2,63}"
-SECRET = r"(?<=(?i:token|secret|password|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\x22']?)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+SECRET = r"(?<=(?i:token|secret|password|api_key|apikey)\x20{0,2}[=:]\x20{0,2}[\x22']?)(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+.-])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9A-Za-z.-])(?:\([0-9]{3}\) |[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
@@ -30,6 +31,9 @@ SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9A-Za-z]|[.-][0-9])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, DATE, IP, SSN, PHONE, CARD))
 
+#: What a text with a value of any kind has: a digit, the sign of an address, or the name of a secret.
+MAY = r"[0-9@]|(?i:token|secret|password|api_key|apikey)\x20{0,2}[=:]"
+
 #: Characters that move, within letters of a case and digits; a secret's are hexadecimal.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 HEX = "0123456789abcdef"
@@ -49,11 +53,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _shifts(key: Column, turn: Column, radix: Column, other: Column, count: Column) -> Column:
     """``count`` numbers below 65536 that depend on the key, the turn, the format and the other half."""
     label = F.concat_ws("|", turn.cast("string"), F.array_join(radix.cast("array<string>"), ","), F.array_join(other.cast("array<string>"), ","))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / 32).cast("int")),
-        lambda b: F.sha2(F.concat_ws("\n", key, b.cast("string"), label, key).cast("binary"), 512),
+    # the label is as long as the value, so its digest stands for it in each block
+    blocks = let(
+        F.sha2(label.cast("binary"), 512),
+        lambda tag: F.transform(F.sequence(F.lit(0), F.floor((count - 1) / 32).cast("int")), lambda b: F.sha2(F.concat_ws("\n", key, b.cast("string"), tag, key).cast("binary"), 512)),
     )
-    return let(F.array_join(blocks, ""), lambda text: F.transform(F.sequence(F.lit(1), count), lambda i: F.conv(F.substr(text, 4 * i - 3, F.lit(4)), 16, 10).cast("int")))
+    numbers = F.transform(blocks, lambda text: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(text, 4 * i + 1, F.lit(4)), 16, 10).cast("int")))
+    return F.slice(F.flatten(numbers), F.lit(1), count)
 
 
 def _added(own: Column, radix: Column, shifts: Column) -> Column:
@@ -73,7 +79,8 @@ def feistel(values: Column, radix: Column, key: Column) -> Column:
     def turn(state: Column, k: Column) -> Column:
         # the halves change places after each turn
         own_radix = F.when(k % 2 == 1, left_radix).otherwise(right_radix)
-        added = let(_shifts(key, k, radix, state["other"], F.size(state["own"])), lambda s: _added(state["own"], own_radix, s))
+        shifts = _shifts(key, k, radix, state["other"], F.size(state["own"]))
+        added = let(own_radix, lambda r: let(shifts, lambda s: _added(state["own"], r, s)))
         return F.struct(state["other"].alias("own"), added.alias("other"))
 
     mixed = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["own"], s["other"]))
@@ -187,10 +194,12 @@ def pseudonym(found: Column, key: str) -> Column:
         keyed = F.concat_ws("|", F.lit(key), kind)
 
         def moved(x: Column) -> Column:
-            written = lambda new: _written(found, kind, x["moving"], x["numbers"]["r"], new)
-            return let(feistel(x["numbers"]["v"], x["numbers"]["r"], keyed), written)
+            written = lambda new: _written(found, kind, x["moving"], x["r"], new)
+            return let(feistel(x["v"], x["r"], keyed), written)
 
-        start = let(_moving(found, kind), lambda m: F.struct(m.alias("moving"), _numbers(found, kind, m).alias("numbers")))
+        # both lists are made once: a field of an array of structs is a new array wherever it is named
+        both = lambda m: let(_numbers(found, kind, m), lambda n: F.struct(m.alias("moving"), n["v"].alias("v"), n["r"].alias("r")))
+        start = let(_moving(found, kind), both)
         return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), let(start, moved)).alias("pseudonym"))
 
     return let(kind_of(found), whole)
@@ -208,7 +217,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found, gaps, new = spare(docs.columns, "_found", "_gaps", "_new")
     whole = F.col(text)
     none = F.array().cast("array<string>")
-    may = whole.rlike("[0-9@]")
+    may = whole.rlike(MAY)
     marked = docs.withColumns(
         {
             found: F.when(may, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(none),

@@ -12,6 +12,7 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 
 
 def places(key, label, count):
+    label = hashlib.sha512(label.encode()).hexdigest()
     out = "".join(hashlib.sha512("\n".join([key, str(b), label, key]).encode()).hexdigest() for b in range((count - 1) // 32 + 1))
     return [int(out[4 * i : 4 * i + 4], 16) for i in range(count)]
 
@@ -95,7 +96,7 @@ def test_columns_of_any_name_stay(spark):
 
 def test_long_runs_take_linear_time(spark):
     card = "4539578763621486"
-    runs = ["0a" * 500_000, "a.1-" * 250_000, "x@" + "a.1." * 250_000, "a@b" * 330_000, "1" * 1_000_000, "1.1.1.1." * 125_000, "token=" * 160_000, "+1 22 333 " * 5_000, "#" * 1_000_000]
+    runs = ["0a" * 500_000, "a.1-" * 250_000, "x@" + "a.1." * 250_000, "a@b" * 330_000, "1" * 1_000_000, "1.1.1.1." * 125_000, "token=" * 160_000, "secret=" + "0f" * 30_000 + " ", "+1 22 333 " * 5_000, "#" * 1_000_000]
     docs = spark.createDataFrame([(i, f"{r} {card} {r}") for i, r in enumerate(runs)], "doc_id long, text string").repartition(len(runs))
     assert docs.count() == len(runs)
     began = time.monotonic()
@@ -103,3 +104,14 @@ def test_long_runs_take_linear_time(spark):
     assert time.monotonic() - began < 30
     new = ps.pseudonymise(spark.createDataFrame([(card,)], "text string"), "k").first().text
     assert all(new in r.text and card not in r.text for r in got)
+
+
+def test_secrets_of_any_length_and_without_digits(spark):
+    secrets = ["ab01" * 35, "abcdef" * 10, "ABCDEF" * 10, "0f" * 2000]
+    left = ["abcdef" * 5, "abcdeg" * 10]
+    docs = spark.createDataFrame([(i, f"token={v} end") for i, v in enumerate(secrets + left)], "doc_id long, text string")
+    got = [r.text for r in ps.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+    for text, v in zip(got, secrets):
+        own = re.fullmatch("token=([0-9a-fA-F]+) end", text)[1]
+        assert len(own) == len(v) and own != v and own.lower() == shaped(v.lower(), "k|secret", (ps.HEX,))
+    assert got[len(secrets) :] == [f"token={v} end" for v in left]
