@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from functools import reduce
 from itertools import islice
@@ -12,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.names import spare
+from lorespark.operators.automata import Globs
 
 # Permission bits, and what ranks of rules mean.
 BITS = {"READ": 1, "WRITE": 2, "DELETE": 4, "CREATE": 8}
 ALL = 15
 INLINE_PRIORITY, GRANT_PRIORITY = 200, 250
-#: Globs that a task tries at once.
-MOST_GLOBS = 10_000
+#: Globs that a task holds at once.
+MOST_GLOBS = 200_000
 RULES = "rule_id long, pattern string, perms int, deny boolean, priority int, roles array<string>, users array<string>"
 
 
@@ -62,13 +62,12 @@ def roles_of(policy: DataFrame) -> DataFrame:
     return policy.select("role", F.explode("users").alias("user")).select("user", "role").distinct()
 
 
-def _fits(globs: list[tuple[int, str]]):
+def _fits(shared):
     """Numbers of the globs that each path fits, as the standard library's ``fnmatch`` reads them."""
 
     def run(batches):
-        tests = [(k, re.compile(fnmatch.translate(g.lower())).match) for k, g in globs]
         for batch in batches:
-            found = [[k for k, test in tests if test(p)] for p in batch.column("normal").to_pylist()]
+            found = [shared.value.fits(p) for p in batch.column("normal").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.list_(pa.int64()))], ["path", "fits"])
 
     return run
@@ -78,8 +77,9 @@ def matched(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """``path`` and ``pattern`` of every distinct path and pattern that fit, whatever the case and the kind of slash.
 
     Patterns without a sign of a glob, of which notes and grants give many, are joined by
-    equality.  Globs are a policy: they are tried in blocks of ``MOST_GLOBS``, each
-    distinct glob once on each distinct path.
+    equality.  Globs are a policy: an automaton of their plain parts walks each distinct
+    path once and names the few that are tried on it.  More than ``MOST_GLOBS`` are taken in
+    blocks.
     """
     asked = paths.select("path").distinct().where("path is not null").withColumn("normal", normal_path(F.col("path")))
     given = rules.select("pattern").distinct().where("pattern is not null")
@@ -88,7 +88,8 @@ def matched(paths: DataFrame, rules: DataFrame) -> DataFrame:
     stream = given.where(~is_exact(F.col("pattern"))).toLocalIterator()
     for block in iter(lambda: [r.pattern for r in islice(stream, MOST_GLOBS)], []):
         names = paths.sparkSession.createDataFrame(list(enumerate(block)), "fit long, pattern string")
-        fits = asked.mapInArrow(_fits(list(enumerate(block))), "path string, fits array<long>").select("path", F.explode("fits").alias("fit"))
+        shared = paths.sparkSession.sparkContext.broadcast(Globs([g.lower() for g in block]))
+        fits = asked.mapInArrow(_fits(shared), "path string, fits array<long>").select("path", F.explode("fits").alias("fit"))
         parts.append(fits.join(names, "fit").select("path", "pattern"))
     return reduce(DataFrame.union, parts)
 

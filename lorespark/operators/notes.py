@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text
+from lorespark.operators.automata import contained
 
 ENERGY = ("morning", "day", "evening")
 # First word of the file of a group.
@@ -180,13 +181,24 @@ def aliases(people: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """
     own = people.select("name", F.lower("name").alias("alias"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("pos"))
     single = people.where("not is_group")
-    part = single.select("name", F.explode(F.split(F.lower("name"), r"\s+")).alias("alias"), F.lit(2).alias("rank"), F.lit(0).cast("long").alias("pos"))
+    part = single.select("name", F.explode(F.split(F.lower("name"), r"\s+")).alias("alias"), F.lit(2).alias("rank"), F.lit(0).cast("long").alias("pos")).where("length(alias) >= 2")
     every = own.unionByName(part)
     if found is not None:
         every = every.unionByName(found.select("name", F.lower("alias").alias("alias"), F.lit(0).alias("rank"), (-F.col("pos")).cast("long").alias("pos")))
     return every.groupBy("alias").agg(F.min_by("name", F.struct("rank", "pos", "name")).alias("name"))
 
 
+def people_in(spark: SparkSession, texts: DataFrame, names: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """Who is named in free texts: ``key``, ``name``, the ``alias`` that was used, in lower case, and ``n``, how often.
+
+    ``names`` are those of ``aliases``.  An alias counts where it is not inside a longer
+    word, whatever its case; one inside a longer alias counts for both.
+    """
+    lowered = texts.select(F.col(key), F.lower(F.col(body)).alias(body))
+    found = contained(spark, lowered, names, whole=True, key=key, text=body, pattern="alias")
+    return found.join(names, found["pattern"] == names["alias"]).select(key, "name", "alias", "n")
+
+
 def mentioning(rows: DataFrame, person: str, names: DataFrame) -> DataFrame:
     """Tasks with the person that the alias means, among people or link targets."""
     wanted = names.where(F.col("alias") == person.lower()).select(F.lower("name").alias("_who"))

@@ -295,7 +295,7 @@ def concepts_listed(spark, sf_dir):
 
 @query("SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_partkey % 17 = 0")
 def selected_keys(spark, sf_dir):
-    wanted = spark.range(0, 100_000, 17).select(F.col("id").alias("p_partkey"))
+    wanted = table(spark, sf_dir, "part").where("p_partkey % 17 = 0").select("p_partkey")
     return graph.select_explicit(wanted, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
@@ -424,7 +424,7 @@ def expand_finalized(spark, sf_dir):
 def concept_added(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("word"), F.col("l_suppkey").cast("string").alias("article_id"))
     state = spark.createDataFrame([], "concept_group_id string, version int, is_active boolean, keyword_words array<string>, source_articles array<string>")
-    wanted = spark.range(0, 100_000, 31).select(_s("id").alias("word"))
+    wanted = table(spark, sf_dir, "part").where("p_partkey % 31 = 0").select(_s("p_partkey").alias("word"))
     return concepts.add_concept(state, "new", wanted, edges).select("concept_group_id", "version", F.size("keyword_words").cast("long").alias("words"), F.size("source_articles").cast("long").alias("articles"))
 
 
@@ -588,26 +588,49 @@ def articles_alike(spark, sf_dir):
     return TOOLS.get("similar_articles")({"articles": table(spark, sf_dir, "supplier").select(F.lit("x").alias("hidden"), _s("s_suppkey").alias("article_id"), F.col("s_name").alias("name")).drop("hidden")}, "7").select("article_id")
 
 
-_STEPS = """WITH a AS (SELECT n_nationkey AS id, n_name AS name, lower(trim(n_name)) AS nm, n_nationkey % 4 AS k FROM nation),
-q AS (SELECT DISTINCT CASE k WHEN 0 THEN ' ' || upper(name) || ' ' WHEN 1 THEN 'zq' || id WHEN 2 THEN name[2:] ELSE 'pay ' || name || ' now' END AS query FROM a),
+_STEPS = """WITH a AS (SELECT n_nationkey AS id, n_name AS name, lower(trim(n_name)) AS nm, n_nationkey % 5 AS k FROM nation),
+q AS (SELECT DISTINCT CASE k WHEN 0 THEN ' ' || upper(name) || ' ' WHEN 1 THEN 'zq' || id WHEN 2 THEN name[2:] WHEN 3 THEN 'pay ' || name || ' now' ELSE reverse(name) || '?' END AS query FROM a),
 n AS (SELECT query, lower(trim(query)) AS qn FROM q),
+v AS (SELECT nm, list_transform(range(64), lambda d: len(list_filter(string_split(nm, ''), lambda c: ascii(c) % 64 = d))::DOUBLE) AS x FROM (SELECT nm FROM a UNION SELECT qn FROM n)),
+l AS (SELECT query, id, round(list_cosine_similarity(qv.x, av.x), 6) AS sim FROM n JOIN v qv ON qv.nm = qn, a JOIN v av ON av.nm = a.nm),
 s AS (SELECT query, id, 1.0 AS confidence, 'synonym' AS how, 1 AS step, 0 AS o FROM n JOIN a ON qn = 'zq' || id AND k = 1
 UNION ALL SELECT query, id, 1.0, 'exact', 2, 0 FROM n JOIN a ON nm = qn
 UNION ALL SELECT query, id, CASE WHEN count(*) OVER (PARTITION BY query) = 1 THEN 0.8 ELSE 0.6 END, 'part', 3, len(name) FROM n JOIN a ON contains(nm, qn)
 UNION ALL SELECT query, id, 0.5, 'whole', 4, -len(name) FROM n JOIN a ON contains(qn, nm)
+UNION ALL SELECT query, id, sim, 'similar', 5, round(-sim * 1000000) FROM l WHERE sim >= 0.9
 UNION ALL SELECT query, (SELECT min(id) FROM a), 0.3, 'default', 6, 0 FROM n)
 SELECT query, id AS account_id, confidence, how FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY step, o, id) AS r FROM s) WHERE r = 1"""
 
 
 @query(_STEPS)
 def account_cascade_steps(spark, sf_dir):
-    """Phrases that every step but the likeness of names finds an account for."""
+    """Phrases for which each step finds an account, the likeness of names among them."""
     nations = table(spark, sf_dir, "nation")
-    k, name, ident = F.col("n_nationkey") % 4, F.col("n_name"), _s("n_nationkey")
-    phrase = F.when(k == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).when(k == 1, F.concat(F.lit("zq"), ident)).when(k == 2, F.substring(name, 2, 1000)).otherwise(F.concat(F.lit("pay "), name, F.lit(" now")))
+    k, name, ident = F.col("n_nationkey") % 5, F.col("n_name"), _s("n_nationkey")
+    phrase = F.when(k == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).when(k == 1, F.concat(F.lit("zq"), ident)).when(k == 2, F.substring(name, 2, 1000)).when(k == 3, F.concat(F.lit("pay "), name, F.lit(" now"))).otherwise(F.concat(F.reverse(name), F.lit("?")))
     synonyms = nations.where(k == 1).select(F.concat(F.lit("ZQ"), ident).alias("word"), name.alias("name"))
     accounts = nations.select(F.col("n_nationkey").alias("id"), name.alias("name"))
-    return finance.resolve_accounts(nations.select(phrase.alias("query")), accounts, synonyms, least=9.9).select("query", "account_id", "confidence", "how")
+    return finance.resolve_accounts(nations.select(phrase.alias("query")), accounts, synonyms, least=0.9).select("query", "account_id", "confidence", "how")
+
+
+#: The first two words of each test item, as names: the item's own is its person.
+_NAMED = """WITH p AS (SELECT DISTINCT lower(regexp_extract(text, '^\\S+\\s+\\S+')) AS name FROM benchmark WHERE regexp_matches(text, '^\\S+\\s+\\S+')),
+c AS (SELECT name, name AS alias, 1 AS rank FROM p UNION ALL SELECT name, unnest(string_split_regex(name, '\\s+')), 2 FROM p),
+r AS (SELECT alias, name, row_number() OVER (PARTITION BY alias ORDER BY rank, name) AS k FROM c WHERE len(alias) >= 2),
+d AS (SELECT doc_id, lower(text) AS t FROM documents),
+w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '[\\p{L}\\p{N}_]+'))) AS word FROM d),
+f AS (SELECT w.doc_id, name, alias FROM w JOIN r ON alias = word AND k = 1 WHERE regexp_full_match(alias, '[\\p{L}\\p{N}_]+')
+UNION SELECT doc_id, name, alias FROM d JOIN r ON k = 1 AND contains(t, alias) WHERE NOT regexp_full_match(alias, '[\\p{L}\\p{N}_]+')
+  AND regexp_matches(t, '(^|[^\\p{L}\\p{N}_])' || regexp_escape(alias) || '($|[^\\p{L}\\p{N}_])'))
+SELECT doc_id, name, alias FROM f"""
+
+
+@query(_NAMED)
+def people_in_texts(spark, sf_dir):
+    """Whom whole documents name, by full names and by parts of names that are free."""
+    names = F.lower(F.regexp_extract("text", r"^\S+\s+\S+", 0))
+    people = table(spark, sf_dir, "benchmark").select(names.alias("name"), F.lit(False).alias("is_group")).where("name <> ''").distinct()
+    return notes.people_in(spark, table(spark, sf_dir, "documents"), notes.aliases(people)).select("doc_id", "name", "alias")
 
 
 @query("WITH f AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS p FROM embeddings WHERE vec_id % 2 = 0), m AS (SELECT label, p, avg(x) AS x FROM f GROUP BY label, p), c AS (SELECT label, list(x ORDER BY p) AS v FROM m GROUP BY label), s AS (SELECT vec_id, c.label AS l, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, c WHERE vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, l) AS k FROM s) SELECT vec_id, CASE WHEN score >= 0.4 THEN l ELSE -1 END::INTEGER AS topic, score FROM r WHERE k = 1")
