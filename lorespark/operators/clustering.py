@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.operators import graph, retrieval
+from lorespark.operators.tables import saved
 
 
 class _Centroids:
@@ -199,14 +200,14 @@ def summarise_articles(tree: DataFrame, summarise=first_sentences, tokens: int =
 TREE = "article_id string, node_id string, level int, text string, embedding array<double>, children_ids array<string>"
 
 
-def summary_tree(leaves: DataFrame, embed, summarise=first_sentences, levels: int = 3, stop: int = 3, reduction: float = 0.5, budget: int = 1400) -> DataFrame:
-    """Levelled tree of summaries over each article's leaves (``article_id``, ``node_id``, ``text``, ``embedding``).
+#: Nodes of an article whose mixture is fitted in one group; more are first parted by nearness.
+MOST_NODES = 128
+#: Parts into which one pass cuts a group that is too large.
+PARTS = 64
 
-    A level's nodes are clustered, each cluster is summarised and embedded, and the
-    summaries are the next level, until ``stop`` nodes or ``levels`` levels.  ``embed``
-    maps a text to a vector and ``summarise`` texts and a budget to a text.  An article
-    is one group; articles run side by side.
-    """
+
+def _tree(embed, summarise, levels: int, stop: int, reduction: float, budget: int):
+    """The whole tree of an article that fits one group."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         article = frame["article_id"].iloc[0]
@@ -227,7 +228,98 @@ def summary_tree(leaves: DataFrame, embed, summarise=first_sentences, levels: in
             level = new
         return pd.DataFrame(rows, columns=["article_id", "node_id", "level", "text", "embedding", "children_ids"])
 
-    return leaves.select("article_id", "node_id", "text", "embedding").groupBy("article_id").applyInPandas(run, TREE)
+    return run
+
+
+def _level(embed, summarise, depth: int, reduction: float, budget: int):
+    """The summaries of one part of a level; a part of one node gives none."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        article, part = frame["article_id"].iloc[0], frame["part"].iloc[0]
+        frame = frame.sort_values("node_id", kind="stable")
+        texts, names = frame["text"].tolist(), frame["node_id"].tolist()
+        found = mixture_clusters(np.array(frame["embedding"].tolist(), dtype=np.float64), reduction) if len(frame) > 1 else []
+        rows = []
+        for k, members in enumerate(found):
+            text = summarise([texts[m] for m in members], budget)
+            rows.append((article, f"{article}_summary_L{depth}_{part}.{k:03d}", depth, text, list(map(float, embed(text))), [names[m] for m in members]))
+        return pd.DataFrame(rows, columns=["article_id", "node_id", "level", "text", "embedding", "children_ids"])
+
+    return run
+
+
+def _nearest_part(seeds: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return ((seeds**2).sum(1) - 2 * vectors @ seeds.T).argmin(1)
+
+
+def parted(spark: SparkSession, nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """``nodes`` with a ``part`` of at most ``most`` nodes of one article, near to each other.
+
+    A group that is too large is cut, a pass at a time, into up to ``PARTS`` parts about the
+    nodes that come first by a hash of their name; one that its vectors can't cut, since
+    they are alike, is cut by the hash alone.
+    """
+    key = ["article_id", "part"]
+    done, open_ = [], saved(spark, nodes.withColumn("part", F.lit("")))
+    while True:
+        sizes = saved(spark, open_.groupBy(*key).agg(F.count("*").alias("n"), F.min("embedding").alias("one"), F.max("embedding").alias("other")))
+        done.append(open_.join(sizes.where(F.col("n") <= most).select(key), key, "left_semi"))
+        large = sizes.where(F.col("n") > most)
+        if large.isEmpty():
+            break
+        cuts = F.least(F.lit(PARTS), F.ceil(F.lit(2.0) * F.col("n") / most)).cast("int")
+        big = open_.join(large.select(*key, "n", cuts.alias("cuts"), (F.col("one") == F.col("other")).alias("alike")), key)
+        # a class of the hash gives one seed: the least node of it
+        hashed = big.withColumn("h", F.pmod(F.xxhash64("node_id", "part"), F.col("cuts")))
+        seeds = hashed.groupBy(*key, "h").agg(F.min(F.struct("node_id", "embedding")).alias("s")).groupBy(*key).agg(F.sort_array(F.collect_list("s")).alias("seeds"))
+
+        def place(batches):
+            for batch in batches:
+                held: dict[tuple, np.ndarray] = {}
+                at = []
+                for row in batch.select(["article_id", "part", "embedding", "seeds", "alike", "h"]).to_pylist():
+                    name = (row["article_id"], row["part"])
+                    if name not in held:
+                        held[name] = np.array([x["embedding"] for x in row["seeds"]], dtype=np.float64)
+                    at.append(f"{row['part']}{'.' if row['part'] else ''}{row['h'] if row['alike'] else int(_nearest_part(held[name], np.array([row['embedding']], dtype=np.float64))[0])}")
+                keep = batch.select([c for c in batch.schema.names if c not in ("part", "seeds", "alike", "h", "n", "cuts")])
+                yield keep.append_column("part", pa.array(at, pa.string()))
+
+        schema = ", ".join(f"`{c}` {t}" for c, t in nodes.dtypes) + ", part string"
+        placed = saved(spark, hashed.join(seeds, key).select(*nodes.columns, "part", "seeds", "alike", "h").mapInArrow(place, schema))
+        open_ = placed
+    return reduce(DataFrame.unionByName, done)
+
+
+def summary_tree(leaves: DataFrame, embed, summarise=first_sentences, levels: int = 3, stop: int = 3, reduction: float = 0.5, budget: int = 1400, most: int = MOST_NODES) -> DataFrame:
+    """Levelled tree of summaries over each article's leaves (``article_id``, ``node_id``, ``text``, ``embedding``).
+
+    A level's nodes are clustered, each cluster is summarised and embedded, and the
+    summaries are the next level, until ``stop`` nodes or ``levels`` levels.  ``embed``
+    maps a text to a vector and ``summarise`` texts and a budget to a text.  An article of
+    up to ``most`` leaves is one group.  A larger one is built level by level, each level a
+    job: its nodes are parted by nearness into groups of that size, which are clustered side
+    by side, so that no task holds the article.
+    """
+    spark, columns = leaves.sparkSession, ["article_id", "node_id", "text", "embedding"]
+    own = leaves.select(columns)
+    sizes = own.groupBy("article_id").agg(F.count("*").alias("n"))
+    small = own.join(sizes.where(F.col("n") <= most).select("article_id"), "article_id", "left_semi")
+    out = small.groupBy("article_id").applyInPandas(_tree(embed, summarise, levels, stop, reduction, budget), TREE)
+    large = sizes.where(F.col("n") > most).select("article_id")
+    if large.isEmpty():
+        return out
+    level = saved(spark, own.join(large, "article_id", "left_semi").withColumn("embedding", F.col("embedding").cast("array<double>")))
+    out = out.unionByName(level.select("article_id", "node_id", F.lit(0).alias("level"), "text", "embedding", F.array().cast("array<string>").alias("children_ids")))
+    for depth in range(1, levels + 1):
+        going = level.groupBy("article_id").agg(F.count("*").alias("n")).where(F.col("n") > stop).select("article_id")
+        nodes = level.join(going, "article_id", "left_semi").select(columns)
+        made = parted(spark, nodes, most).groupBy("article_id", "part").applyInPandas(_level(embed, summarise, depth, reduction, budget), TREE)
+        new = saved(spark, made)
+        if new.isEmpty():
+            break
+        out, level = out.unionByName(new), new.select(columns)
+    return out
 
 
 def character_vector(text: str, dimensions: int = 64) -> list[float]:
