@@ -6,12 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text
 from lorespark.functions.names import spare
-from lorespark.operators import clustering, graph, keywords, retrieval
+from lorespark.operators import clustering, density, graph, keywords, projection, retrieval
+from lorespark.operators.tables import saved
 
 
 def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarity: float = 0.1, words: int = 3, features: int = 1 << 12) -> DataFrame:
@@ -19,17 +20,20 @@ def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarit
 
     Hashed word weights are clustered by cosine; a document that is less similar than
     ``least_similarity`` to its centre is an outlier, and so is one without words of any
-    weight, which takes no part in the clustering.
+    weight, which takes no part in the clustering.  Of fewer than three texts all are outliers.
     """
     from pyspark.ml.functions import vector_to_array
 
     rows = docs.select(by, F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    # too few texts make no topics: all are outliers
+    if rows.where(F.size("w") > 0).limit(3).count() < 3:
+        return rows.select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("label"))
     counted = HashingTF(inputCol="w", outputCol="tf", numFeatures=features).transform(rows)
     weighted = IDF(inputCol="tf", outputCol="idf").fit(counted).transform(counted)
     marked = Normalizer(inputCol="idf", outputCol="v").transform(weighted).select(by, "v", F.exists(vector_to_array("idf"), lambda x: x > 0).alias("_usable"))
     unit = marked.where("_usable").drop("_usable")
     if unit.limit(3).count() < 3:
-        raise ValueError("topics need three texts")
+        return rows.select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("label"))
     fitted = KMeans(k=topics, seed=42, featuresCol="v", predictionCol="topic", distanceMeasure="cosine", maxIter=10).fit(unit)
     centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in fitted.clusterCenters())) if topics * features <= 1 << 12 else None
     found = fitted.transform(unit)
@@ -50,6 +54,28 @@ def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarit
     return assigned.join(F.broadcast(labels(docs, assigned, by, words)), "topic", "left").select(by, "topic", "similarity", "label")
 
 
+def density_model(docs: DataFrame, least_size: int = 5, neighbours: int = 3, dimensions: int = 5, by: str = "doc_id", least_documents: int = 2, words: int = 3) -> DataFrame:
+    """``by``, ``topic`` (from 0 by size, -1 for outliers) and ``label`` of every document.
+
+    Weighted words and pairs of words are projected, and the projections are clustered by
+    density: their number is found, and documents in no dense place are outliers.  Of equal
+    sizes the topic with the smaller id comes first.  Fewer than three texts with a common
+    word, null and empty texts are outliers; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    points = saved(spark, projection.project(spark, docs, dimensions, by, least_documents))
+    every = docs.select(by).distinct()
+    if points.limit(3).count() < 3:
+        return every.select(by, F.lit(-1).alias("topic"), F.lit(None).cast("string").alias("label"))
+    found, _ = density.density_tree(spark, points, density.Settings(least_size, neighbours, 0.0), by)
+    found = saved(spark, found.where("not noise").select(by, "cluster"))
+    order = Window.orderBy(F.desc("n"), "cluster")  # a row a topic
+    numbers = found.groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", (F.row_number().over(order) - 1).cast("int").alias("topic"))
+    assigned = saved(spark, found.join(numbers, "cluster").select(by, "topic"))
+    out = every.join(assigned, by, "left").select(by, F.coalesce("topic", F.lit(-1)).alias("topic"))
+    return out.join(labels(docs, assigned, by, words), "topic", "left").select(by, "topic", "label")
+
+
 #: Words and pairs of words a label is chosen from.
 CANDIDATES = 20
 

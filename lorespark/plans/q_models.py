@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lorespark.functions import text, vectors
-from lorespark.operators import blocks, clustering, concepts, graph, keywords, notes, retrieval
+from lorespark.operators import blocks, clustering, concepts, graph, keywords, notes, retrieval, topics
 from lorespark.plans.registry import query, table
 from lorespark.sources import readers
 
@@ -133,3 +133,9 @@ def note_sections(spark, sf_dir):
     line = F.concat(F.lit("## "), "role", F.lit("\n- [ ] "), F.coalesce("text", F.lit("")), F.lit(" #t"), F.col("turn").cast("string"))
     made = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("note")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     return notes.tasks(notes.lines(made)).select("note", "pos", "text", "section", F.array_join("tags", ",").alias("tags"))
+
+
+@query()
+def topics_by_density(spark, sf_dir):
+    """Topics whose number is found, with outliers; a plain version is in the tests."""
+    return topics.density_model(table(spark, sf_dir, "documents"))
