@@ -226,7 +226,7 @@ def page_links(pages: DataFrame, by: str, source: str = "html") -> DataFrame:
 def assets(blocks: DataFrame) -> DataFrame:
     """Links and images of the blocks, with their place."""
     flat = blocks.select("article_id", F.col("id").alias("block_id"), F.explode("inlines").alias("x")).where("x.type in ('link', 'image')")
-    return flat.select("article_id", "block_id", F.col("x.type").alias("kind"), F.col("x.order").alias("order"), F.coalesce("x.href", "x.src").alias("target"), F.coalesce("x.text", "x.alt").alias("text"))
+    return flat.select("article_id", "block_id", F.col("x.type").alias("kind"), F.col("x.order").alias("order"), F.coalesce("x.href", "x.src").alias("target"), F.when(F.col("x.type") == "image", F.col("x.alt")).otherwise(F.col("x.text")).alias("text"))
 
 
 def text_range(blocks: DataFrame, start: str, end: str | None = None) -> DataFrame:
