@@ -47,10 +47,16 @@ def _delete_all() -> None:
         _TABLES.clear()
 
 
-def saved(spark: SparkSession, frame: DataFrame, *by: str) -> DataFrame:
-    """The frame written to the shared folder, to cut the lineage of a loop and to compute it once; in folders ``by`` columns."""
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     _TABLES[path] = spark
+    return path
+
+
+def saved(spark: SparkSession, frame: DataFrame, *by: str) -> DataFrame:
+    """The frame written to the shared folder, to cut the lineage of a loop and to compute it once; in folders ``by`` columns."""
+    path = folder(spark)
     frame.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out.table_path = path

@@ -5,11 +5,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from lorespark.functions import recurrence, text, vectors
-from lorespark.operators import acl, chunking, concepts, finance, graph, keywords, notes, retrieval, sessions, topics
+from lorespark.operators import acl, chunking, concepts, finance, graph, keywords, notes, retrieval, sessions, tables, topics
 from lorespark.operators.tables import shared_dir
 from lorespark.plans.q_graph import _TASKS, _tasks
 from lorespark.plans.registry import query, table
 from lorespark.sources import readers
+from lorespark.sources.keyed import KeyedTable
 
 
 def _pages(spark, sf_dir, *more):
@@ -613,6 +614,17 @@ def account_cascade_steps(spark, sf_dir):
     return finance.resolve_accounts(nations.select(phrase.alias("query")), accounts, synonyms, least=0.9).select("query", "account_id", "confidence", "how")
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name FROM customer WHERE c_custkey % 90 <> 1 UNION ALL SELECT c_custkey + 1000000000, c_name FROM customer WHERE c_custkey % 70 = 0")
+def keyed_upsert(spark, sf_dir):
+    """Customers kept by key: some renamed, some added, some deleted, each time in their buckets alone."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name")
+    kept = KeyedTable.create(spark, tables.folder(spark), rows, ["c_custkey"], 16)
+    kept.upsert(rows.where("c_custkey % 50 = 0").withColumn("c_name", F.concat(F.lit("new "), "c_name")))
+    kept.upsert(rows.where("c_custkey % 70 = 0").withColumn("c_custkey", F.col("c_custkey") + 1_000_000_000))
+    kept.delete(rows.where("c_custkey % 90 = 1"))
+    return kept.read()
+
+
 #: The first two words of each test item, as names: the item's own is its person.
 _NAMED = """WITH p AS (SELECT DISTINCT lower(regexp_extract(text, '^\\S+\\s+\\S+')) AS name FROM benchmark WHERE regexp_matches(text, '^\\S+\\s+\\S+')),
 c AS (SELECT name, name AS alias, 1 AS rank FROM p UNION ALL SELECT name, unnest(string_split_regex(name, '\\s+')), 2 FROM p),
