@@ -43,7 +43,7 @@ def _section(entries: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray, bytes
 
 def split_rule(rule: str) -> tuple[str, str]:
     host, slash, path = rule.partition("/")
-    return host.lower(), slash + path
+    return host.encode().translate(_LOWER).decode(), slash + path  # A-Z only, as hosts are
 
 
 def build(rules: Iterable[tuple[str, str]]) -> bytes:

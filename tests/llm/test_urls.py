@@ -34,3 +34,13 @@ def test_no_rules(tmp_path):
     path = tmp_path / "x.sda"
     path.write_bytes(urls.build([]))
     assert urls.match(urls.DigestArray(str(path)), ["http://a/b"]) == [("a", "/b", None, None)]
+
+
+def test_large_array_and_hosts_beyond_ascii(tmp_path):
+    """A hundred thousand rules, and upper-case letters that only Unicode lowers."""
+    rules = [(f"H{k}.example.net/p{k % 7}", "block" if k % 2 else "allow") for k in range(100_000)] + [("ÉCOLE.fr/", "block")]
+    path = tmp_path / "x.sda"
+    path.write_bytes(urls.build(rules))
+    asked = [f"http://www.h{k}.EXAMPLE.net/p{k % 7}/x" for k in range(0, 100_000, 997)] + ["http://ÉCOLE.FR/", "http://école.fr/", "http://h5.example.net/p6"]
+    got = urls.match(urls.DigestArray(str(path)), asked)
+    assert [g[3] for g in got] == ["block" if k % 2 else "allow" for k in range(0, 100_000, 997)] + ["block", None, None]
