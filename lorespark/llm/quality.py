@@ -1,14 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
 Counts that are always reported come first.  The rules are then ordered by what they
-reject for their cost, both measured on a bounded sample, and a document leaves the
-cascade at the first rule that rejects it.  A document is kept only if no rule rejects
-it, so the order decides the cost and never the verdict.
+reject for their cost, both estimated on a sample where it lies, and a document leaves
+the cascade at the first rule that rejects it.  A document is kept only if no rule rejects
+it, so the order decides the cost and never the verdict.  The unit of cost is a character
+that is read, so reruns have the same order.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,9 +25,8 @@ from lorespark.llm.common import slices
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Documents of the sample, about (twice as many at most), and the longest text in it; both bound what reaches the driver.
+#: Documents of the sample, about; they are chosen by a hash and read whole, and only sums of the rules leave the tasks.
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 50_000
 
 
 @dataclass(frozen=True)
@@ -43,8 +42,11 @@ class Facts:
 
 @dataclass(frozen=True)
 class Rule:
+    """``reads`` is what a verdict costs: the characters that the rule reads beside the base counts."""
+
     name: str
     rejects: Callable[[Facts], bool]
+    reads: Callable[[Facts], int] = lambda f: 1
 
 
 #: Kinds of characters.
@@ -80,10 +82,10 @@ def _lines(text: str) -> int:
 
 RULES = (
     Rule("symbols", lambda f: 10 * f.counts[SYMBOL] > len(f.words)),
-    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 4 * _lines(f.text)),
+    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 4 * _lines(f.text), lambda f: len(f.text)),
     Rule("shouting", lambda f: 10 * f.counts[UPPER] > 3 * (f.counts[LETTER] + f.counts[UPPER])),
-    Rule("loud_marks", lambda f: 10 * len(_LOUD.findall(f.text)) > len(f.words)),
-    Rule("few_letter_words", lambda f: 10 * _letter_words(f.kinds) < 7 * len(f.words)),
+    Rule("loud_marks", lambda f: 10 * len(_LOUD.findall(f.text)) > len(f.words), lambda f: len(f.text)),
+    Rule("few_letter_words", lambda f: 10 * _letter_words(f.kinds) < 7 * len(f.words), lambda f: 4 * len(f.kinds)),
     Rule("word_length", lambda f: not 2 * len(f.words) <= len(f.kinds) - f.counts[SEPARATOR] <= 14 * len(f.words)),
 )
 
@@ -128,18 +130,33 @@ def base(text: str | None) -> tuple[Facts, int, int, bool]:
     return Facts(text, words, kinds, counts, repeats), len(text) - counts[SEPARATOR], again, failed
 
 
-def ordered_rules(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[list[str], dict[str, dict[str, float]]]:
-    """Rule names by rejection per cost, and the estimates."""
-    facts = [f for f, _, _, failed in map(base, sample) if not failed]
-    stats = {}
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(f) for f in facts)
-        cost = max(time.perf_counter() - began, 1e-9) / max(1, len(facts))
-        # one imagined rejection keeps rules without any in order of their cost
-        stats[rule.name] = {"seconds": cost, "selectivity": (rejected + 1) / (len(facts) + 2)}
-    names = sorted(stats, key=lambda n: (-stats[n]["selectivity"] / stats[n]["seconds"], n))
-    return names, stats
+def estimates(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int, int]]:
+    """Of each rule: its name, the texts that reach it, those it rejects, and its cost over them."""
+    facts = [f for f, _, _, failed in map(base, texts) if not failed]
+    return [(r.name, len(facts), sum(bool(r.rejects(f)) for f in facts), sum(r.reads(f) for f in facts)) for r in rules]
+
+
+def ordered(found: list[tuple[str, int, int, int]]) -> tuple[list[str], dict[str, dict[str, float]]]:
+    """Rule names by rejection per cost, and what was estimated."""
+    # one imagined rejection keeps rules without any in order of their cost
+    stats = {name: {"cost": (cost + 1) / (n + 1), "selectivity": (rejected + 1) / (n + 2)} for name, n, rejected, cost in found}
+    return sorted(stats, key=lambda n: (-stats[n]["selectivity"] / stats[n]["cost"], n)), stats
+
+
+def _sampled(docs: DataFrame) -> list[tuple[str, int, int, int]]:
+    """The estimates over about ``SAMPLE_DOCS`` documents, added up over all tasks."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            columns = zip(*estimates(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rule", "n", "rejected", "cost"])
+
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(1 << 30))
+    chosen = docs.where(h < int(share * (1 << 30))).select(F.col("text").cast("string").alias("text"))
+    sums = chosen.mapInArrow(run, "rule string, n long, rejected long, cost long").groupBy("rule").agg(F.sum("n"), F.sum("rejected"), F.sum("cost"))
+    found = {r[0]: tuple(r) for r in sums.collect()}  # a row a rule
+    return [found.get(r.name, (r.name, 0, 0, 0)) for r in RULES]
 
 
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -148,13 +165,10 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Columns: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``kept`` and ``rejected_by`` (``base``, the rule
     that ended the cascade, or null).  A null or empty text has no words and fails the
-    base.  Repeated rows are judged one by one; further columns, whatever their names, are
+    base.  Texts of any length are read whole.  Repeated rows are judged one by one; further columns, whatever their names, are
     not read; an empty table gives none.
     """
-    fraction = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    short = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    sample = short.sample(fraction=fraction, seed=7).limit(2 * SAMPLE_DOCS)
-    names, _ = ordered_rules([r.text for r in sample.collect()])
+    names, _ = ordered(_sampled(docs))
 
     def run(batches):
         by_name = {r.name: r for r in RULES}

@@ -41,10 +41,16 @@ def test_repeated_words():
         assert quality.repeated_words(words) == len(want)
 
 
-def test_order_is_by_rejection_per_cost():
-    names, stats = quality.ordered_rules([JUNK, CLEAN] * 5)
-    ratios = [stats[n]["selectivity"] / stats[n]["seconds"] for n in names]
+def test_order_is_by_rejection_per_cost(spark):
+    names, stats = quality.ordered(quality.estimates([JUNK, CLEAN] * 5))
+    ratios = [stats[n]["selectivity"] / stats[n]["cost"] for n in names]
     assert ratios == sorted(ratios, reverse=True) and set(names) == {r.name for r in quality.RULES}
+    assert stats["few_letter_words"]["cost"] > stats["loud_marks"]["cost"] > stats["symbols"]["cost"]
+    # the sums of tasks are those of all texts, however they are dealt
+    docs = spark.createDataFrame([(d, t) for d, t in ROWS], "doc_id long, text string")
+    want = quality.estimates([t for _, t in ROWS])
+    assert quality._sampled(docs.repartition(4)) == want == quality._sampled(docs.repartition(1))
+    assert {r.rejected_by for r in quality.judge(spark, docs.repartition(4)).collect()} == {r.rejected_by for r in quality.judge(spark, docs).collect()}
 
 
 def test_empty_table(spark):
