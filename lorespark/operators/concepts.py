@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from lorespark.functions import models, text
 from lorespark.functions.names import spare
 from lorespark.operators import clustering, graph, keywords, retrieval
 
@@ -98,6 +100,75 @@ def expand(spark: SparkSession, words: DataFrame, concepts: DataFrame, direct: f
     return found.withColumn("concept_id", F.when(taken, F.col("best")))
 
 
+#: What a verifier is asked, and the shape of its answer.
+BELONGS = "Concept {concept} of {domain}: {about}\nWord {word}: {text}\nDoes the word belong to the concept? Answer in JSON with belongs, confidence and relationship."
+AGAIN = "Concept {concept}: {about}\nNew words:\n{words}\nWrite its description anew. Answer in JSON with description."
+
+
+def verified(candidates: DataFrame, model, batch: int = 8, least: float = 0.0) -> DataFrame:
+    """``candidates`` with a model's verdict: ``belongs``, ``confidence``, ``relationship``, and ``error`` where there is none.
+
+    Candidates have ``word``, ``description``, ``canonical_name``, ``domain`` and ``about``.
+    They are asked about in batches; where a batch fails its rows are asked one by one, and
+    the row that fails belongs to nothing and says why, as does one whose answer can't be
+    read.  A confidence below ``least`` is a no.  Those columns are replaced where they are.
+    """
+    prompt, answer = spare(candidates.columns, "_prompt", "_answer")
+    kept = candidates.select([c for c in candidates.columns if c not in ("belongs", "confidence", "relationship", "error")])
+    filled = text.fill(BELONGS, concept=F.col("canonical_name"), domain=F.col("domain"), about=F.col("about"), word=F.col("word"), text=F.col("description"))
+    asked = models.ask(kept.withColumn(prompt, filled), prompt, model, answer, batch)
+    v = F.try_parse_json(text.flat_json(F.col(answer)))
+    sure = F.coalesce(F.try_variant_get(v, "$.confidence", "double"), F.lit(0.0))
+    yes = F.coalesce(F.try_variant_get(v, "$.belongs", "boolean"), F.lit(False)) & (sure >= least)
+    unread = F.when(F.col(answer).isNotNull() & v.isNull(), F.lit("the answer has no JSON object"))
+    found = {"belongs": yes, "confidence": sure, "relationship": F.coalesce(F.try_variant_get(v, "$.relationship", "string"), F.lit("")), "error": F.coalesce(F.col(f"{answer}_error"), unread)}
+    return asked.withColumns(found).select(*kept.columns, *found)
+
+
+def expand_verified(spark: SparkSession, words: DataFrame, concepts: DataFrame, direct: float, candidate: float, model, batch: int = 8, least: float = 0.0) -> DataFrame:
+    """``expand`` with candidates decided by a model, and what it said of each; direct and unmatched words are not asked about."""
+    found = expand(spark, words, concepts, direct, candidate)
+    asked = found.where("kind = 'candidate'").join(words.select("word_id", "word", "description"), "word_id")
+    asked = asked.join(concepts.select(F.col("concept_id").cast("string").alias("best"), "canonical_name", "domain", F.col("description").alias("about")), "best")
+    told = verified(asked, model, batch, least).select("word_id", "belongs", "confidence", "relationship", "error")
+    joined = found.join(told, "word_id", "left")
+    return joined.withColumn("concept_id", F.when(F.col("kind") == "direct", F.col("best")).when(F.col("belongs"), F.col("best")))
+
+
+def redescribed(entries: DataFrame, model, by: str = "concept_id", tokens: int = 3000) -> DataFrame:
+    """``by``, ``description`` and ``error`` of each concept after its new words, a batch of a bounded size at a time.
+
+    ``entries`` has ``by``, ``canonical_name``, ``about`` (the description so far), ``word`` and
+    ``description``.  Each batch is asked about with the description that the one before gave;
+    a batch that fails leaves it as it is, and the first failure is reported.  A concept's
+    words are read in order as a stream, so its batches follow one another.
+    """
+    line = F.concat(F.lit("- "), F.coalesce("word", F.lit("")), F.lit(": "), F.coalesce("description", F.lit("")))
+    numbered = prompt_batches(entries.select(by, "canonical_name", "about", "word", line.alias("text")), [by], ["word", "text"], tokens)
+    parts = numbered.groupBy(by, "batch").agg(F.min("canonical_name").alias("name"), F.min("about").alias("about"), F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("words"))
+
+    def run(frames):
+        held, now, error = None, None, None
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                key = getattr(row, by)
+                if key != held:
+                    if held is not None:
+                        out.append((held, now, error))
+                    held, now, error = key, row.about, None
+                try:
+                    now = model([AGAIN.format(concept=row.name, about=now or "", words=row.words)])[0] or now
+                except Exception as e:  # the others go on with what there is
+                    error = error or str(e)[:300]
+            yield pd.DataFrame(out, columns=[by, "description", "error"])
+        if held is not None:
+            yield pd.DataFrame([(held, now, error)], columns=[by, "description", "error"])
+
+    ordered = parts.repartition(by).sortWithinPartitions(by, "batch")
+    return ordered.mapInPandas(run, StructType([entries.schema[by], StructField("description", StringType()), StructField("error", StringType())]))
+
+
 def chosen_version(expansion: DataFrame) -> DataFrame:
     """The version that was chosen, else the last one on offer."""
     return expansion.withColumn("chosen_version", F.coalesce("choice", F.array_max("versions")))

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lorespark.functions import recurrence, text
-from lorespark.operators import acl, finance, graph, notes
+from lorespark.operators import acl, finance, graph, notes, tables
+from lorespark.streaming import streams
 from lorespark.plans.registry import query, table
 
 _EDGES = "WITH e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem) "
@@ -238,6 +239,19 @@ def grants_active(spark, sf_dir):
     return acl.active_grants(acl.grant_states(log), now).where(F.col("requested_at") <= now).select("request_id", "expires_at")
 
 
+@query("SELECT event_id AS request_id, ts + to_minutes(value::INTEGER) AS expires_at FROM events WHERE event_type = 'signup' AND ts + to_minutes(value::INTEGER) >= TIMESTAMP '2024-01-20 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'")
+def grants_streamed(spark, sf_dir):
+    """The same grants from a stream of events: those that are approved, and that no timer has ended, at a moment."""
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    signups = table(spark, sf_dir, "events").where("event_type = 'signup'").where(F.col("ts") <= now)
+    kept = tables.saved(spark, signups.select(F.col("event_id").alias("request_id"), F.lit("approve").alias("event"), "ts", F.round("value").cast("long").alias("ttl_minutes")))
+    approved = spark.readStream.schema(kept.schema).parquet(kept.table_path)
+    changes = streams.run_now(spark, streams.timed_grants(approved), tables.folder(spark))
+    # the watermark is behind the last event, so grants that end after it have no change that says so
+    ends = changes.groupBy("request_id").agg(F.max("expires_at").cast("timestamp_ntz").alias("expires_at"), F.count_if(F.col("status") != "approved").alias("over"))
+    return ends.where((F.col("over") == 0) & (F.col("expires_at") >= now.cast("timestamp_ntz"))).select("request_id", "expires_at")
+
+
 # --- expenses -------------------------------------------------------------------------
 
 

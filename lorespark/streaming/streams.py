@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -57,3 +58,95 @@ def grant_changes(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Approvals, revocations and ends of grants (``request_id``, ``event``, ``ts``, ``ttl_minutes``), each once."""
     marked = stream.withWatermark("ts", late).groupBy("request_id")
     return marked.applyInPandasWithState(_grants, "request_id long, status string, at timestamp", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# --- grants with timers ---------------------------------------------------------------
+
+#: Where the state of timers is kept; the default store has none.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CHANGES = "request_id long, status string, at long, expires_at long"
+
+
+class GrantTimers(StatefulProcessor):
+    """The life of a grant: the first decision counts, a revocation after an approval ends it, and so does its timer.
+
+    Times are microseconds; those of timers are milliseconds.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        #: The decision, and the end; 0 for a grant without an end.
+        self.grant = handle.getValueState("grant", "status string, until long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for row in initialState.itertuples():
+            self._approve(0 if pd.isna(row.until) else int(row.until))
+
+    def _approve(self, until: int) -> None:
+        self.grant.update(("approved", until))
+        if until:
+            self.handle.registerTimer(_timer(until))
+
+    def handleInputRows(self, key, rows, timerValues):
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["us", "event"]).itertuples():
+            status, until = self.grant.get() if self.grant.exists() else (None, 0)
+            at = int(row.us)
+            if row.event == "approve" and status is None:
+                until = 0 if pd.isna(row.ttl_minutes) else at + int(row.ttl_minutes) * 60_000_000
+                self._approve(until)
+                out.append((key[0], "approved", at, until or None))
+            elif row.event == "deny" and status is None:
+                self.grant.update(("denied", 0))
+                out.append((key[0], "denied", at, None))
+            elif row.event == "revoke" and status == "approved":
+                self.grant.update(("revoked", 0))
+                if until:
+                    self.handle.deleteTimer(_timer(until))
+                out.append((key[0], "revoked", at, None))
+        yield _changes(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # the moment of the end is still inside: it has passed once the watermark is beyond it
+        until = self.grant.get()[1]
+        self.grant.update(("expired", 0))
+        yield _changes([(key[0], "expired", until, None)])
+
+    def close(self) -> None:
+        pass
+
+
+def _timer(until: int) -> int:
+    return -(-until // 1000)
+
+
+def _changes(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["request_id", "status", "at", "expires_at"])
+    return out.astype({"request_id": "int64", "at": "int64", "expires_at": "Int64"})
+
+
+def timed_grants(stream: DataFrame, initial: DataFrame | None = None, late: str = "10 minutes") -> DataFrame:
+    """``request_id``, ``status``, ``at`` and ``expires_at`` of decisions, revocations and ends of grants, each once, as the watermark passes them.
+
+    ``stream`` has ``request_id``, ``event`` (approve, deny, revoke), ``ts`` and
+    ``ttl_minutes`` (null: no end).  ``initial`` are grants that are already approved
+    (``request_id``, ``expires_at``), whose ends are seen too.  The query that reads this
+    needs ``ROCKS`` as its state store.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    held = None if initial is None else initial.select("request_id", us("expires_at").alias("until")).groupBy("request_id")
+    rows = stream.select("request_id", "event", F.col("ts").cast("timestamp").alias("ts"), us("ts").alias("us"), "ttl_minutes")
+    found = rows.withWatermark("ts", late).groupBy("request_id").transformWithStateInPandas(GrantTimers(), _CHANGES, "Append", "EventTime", initialState=held)
+    return found.select("request_id", "status", F.timestamp_micros("at").alias("at"), F.timestamp_micros("expires_at").alias("expires_at"))
+
+
+def run_now(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives of all that is there, written below a folder that all executors reach, and read."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, ROCKS)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
