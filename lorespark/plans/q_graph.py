@@ -84,12 +84,12 @@ def cluster_pair_relations(spark, sf_dir):
     return graph.cluster_relations(edges)
 
 
-@query("SELECT o_orderkey, l_linenumber, l_partkey, p_name FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
+@query("SELECT o_orderkey, l_linenumber, l_partkey, p_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
 def provenance_join(spark, sf_dir):
     """Chunks of edges: each order holds an array of its lines, which are looked up again."""
     lines = F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("chunks")
     held = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(lines)
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey").join(held, "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").join(held, "o_orderkey")
     flat = orders.select("o_orderkey", F.explode("chunks").alias("c")).select("o_orderkey", "c.l_linenumber", "c.l_partkey")
     return flat.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").select("o_orderkey", "l_linenumber", "l_partkey", "p_name")
 
@@ -188,13 +188,19 @@ for _name, _text, _step in (
     query(_sql, f"recurrence_{_name}")(_run)
 
 
-_PHRASES = {"вчера": "DATE '2026-03-21'", "3 дня назад": "DATE '2026-03-19'", "в четверг": "DATE '2026-03-19'", "на прошлой неделе": "DATE '2026-03-09'", "15.01.2026": "DATE '2026-01-15'", "неясно": "DATE '2026-03-22'"}
+#: Phrases of a date, in the language of the notes; the second counts days.
+_PHRASES = ["вчера", "дня назад", "в четверг", "на прошлой неделе", "15.01.2026", "неясно"]
 
 
-@query("SELECT phrase, day FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _PHRASES.items()) + ") v(phrase, day)")
+@query(
+    "SELECT o_orderkey, CASE k WHEN 0 THEN d - 1 WHEN 1 THEN d - n WHEN 2 THEN d - ((isodow(d) + 3) % 7)::INTEGER WHEN 3 THEN date_trunc('week', d)::DATE - 7 WHEN 4 THEN DATE '2026-01-15' ELSE d END AS day "
+    "FROM (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderkey % 6 AS k, (2 + o_orderkey % 3)::INTEGER AS n FROM orders)"
+)
 def relative_dates(spark, sf_dir):
-    rows = spark.createDataFrame([(k,) for k in _PHRASES], "phrase string")
-    return rows.select("phrase", text.relative_date(F.col("phrase"), F.lit("2026-03-22").cast("date")).alias("day"))
+    """What a phrase means on the day of each order."""
+    k = F.pmod("o_orderkey", F.lit(6)).cast("int")
+    said = F.concat(F.when(k == 1, F.concat((2 + F.col("o_orderkey") % 3).cast("string"), F.lit(" "))).otherwise(""), F.get(F.array(*map(F.lit, _PHRASES)), k))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.relative_date(said, F.col("o_orderdate").cast("date")).alias("day"))
 
 
 # --- permissions ----------------------------------------------------------------------

@@ -1,12 +1,10 @@
 """Queries of the smaller operators: rendering, note parts, permissions, graph joins, versions, readers."""
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from lorespark.functions import recurrence, text, vectors
 from lorespark.operators import acl, chunking, concepts, finance, graph, keywords, notes, retrieval, sessions, tables, topics
-from lorespark.operators.tables import shared_dir
 from lorespark.plans.q_graph import _TASKS, _tasks
 from lorespark.plans.registry import query, table
 from lorespark.sources import readers
@@ -250,9 +248,9 @@ def article_keywords(spark, sf_dir):
     return found.where("size(chunk_ids) = 0").select("article_id", "word", "confidence", "version")
 
 
-@query("SELECT p_partkey AS word, c AS confidence, coalesce(n, 0) AS n_edges FROM part LEFT JOIN (SELECT l_partkey, max(l_discount) AS c, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY l_partkey) ON l_partkey = p_partkey")
+@query("SELECT p_partkey AS word, c AS confidence, coalesce(n, 0) AS n_edges FROM part LEFT JOIN (SELECT l_partkey, max(l_discount) AS c, count(*) AS n FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey")
 def keyword_listing(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("word"), F.col("l_discount").alias("confidence"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("word"), F.col("l_discount").alias("confidence"))
     return keywords.listing(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("word")), edges)
 
 
@@ -276,11 +274,11 @@ def concept_members(spark, sf_dir):
     return concepts.inspect(held.join(rest, "concept_id").drop("n"), edges)
 
 
-@query("SELECT id, other, predicate, 'Concept ' || id AS id_name, CASE WHEN other % 2 = 0 THEN 'Concept ' || other ELSE ((10000000000 + other)::VARCHAR)[1:8] END AS other_name FROM (SELECT s AS id, t AS other, predicate FROM e UNION SELECT t, s, predicate FROM e) WHERE id % 10 = 0 AND id % 2 = 0".replace("FROM (SELECT", "FROM (WITH e AS (SELECT DISTINCT l_suppkey AS s, 1000 + l_partkey AS t, 'k' || l_linenumber AS predicate FROM lineitem WHERE l_returnflag = 'A') SELECT"))
+@query("SELECT id, other, predicate, 'Concept ' || id AS id_name, CASE WHEN other % 2 = 0 THEN 'Concept ' || other ELSE ((10000000000 + other)::VARCHAR)[1:8] END AS other_name FROM (SELECT s AS id, t AS other, predicate FROM e UNION SELECT t, s, predicate FROM e) WHERE id % 10 = 0 AND id % 2 = 0".replace("FROM (SELECT", "FROM (WITH e AS (SELECT DISTINCT l_suppkey AS s, 1000 + l_partkey AS t, 'k' || l_linenumber AS predicate FROM lineitem) SELECT"))
 def relations_of_concepts(spark, sf_dir):
     """Relations of found concepts either way, with the names of both ends; an unknown one shows the start of its id."""
     wide = lambda c: (F.lit(10_000_000_000) + c).cast("string")
-    edges = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(wide(F.col("l_suppkey")).alias("source_id"), wide(F.col("l_partkey") + 1000).alias("target_id"), F.concat(F.lit("k"), _s("l_linenumber")).alias("predicate"))
+    edges = table(spark, sf_dir, "lineitem").select(wide(F.col("l_suppkey")).alias("source_id"), wide(F.col("l_partkey") + 1000).alias("target_id"), F.concat(F.lit("k"), _s("l_linenumber")).alias("predicate"))
     ids = edges.select(F.col("source_id").alias("id")).union(edges.select("target_id")).distinct()
     n = F.col("id").cast("long") - 10_000_000_000
     names = ids.where(n % 2 == 0).select("id", F.concat(F.lit("Concept "), n.cast("string")).alias("name"))
@@ -500,13 +498,9 @@ def merged_segments(spark, sf_dir):
 def metadata_last_wins(spark, sf_dir):
     """Metadata written as CSV files, read again: of an id the last row of the last file holds, and a missing file is skipped."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.length("text").cast("string")).alias("said"))
-    turns = rows.select(F.max("turn")).first()[0] or 0
-    folder = f"{shared_dir(spark)}/metadata-{uuid.uuid4().hex}"
-    paths = []
-    for t in range(turns + 1):
-        paths.append(f"{folder}/{t:03d}")
-        rows.where(F.col("turn") == t).write.option("header", True).csv(paths[-1])
-    found = readers.metadata(spark, [*paths, f"{folder}/none"], "conv_id")
+    folder, turns = tables.folder(spark), rows.select("turn").distinct().orderBy("turn").collect()
+    rows.withColumn("file", F.col("turn")).write.partitionBy("file").option("header", True).csv(folder)  # all files in one job
+    found = readers.metadata(spark, [*(f"{folder}/file={r.turn}" for r in turns), f"{folder}/none"], "conv_id")
     return found.select(F.col("conv_id").cast("long").alias("conv_id"), "said", F.col("turn").cast("long").alias("turn"))
 
 
@@ -514,9 +508,8 @@ def metadata_last_wins(spark, sf_dir):
 def latest_versions(spark, sf_dir):
     """Versions of articles appended to a table, and the rows of the last of each."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("article_id"), "turn", "role")
-    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
-    for t in range((rows.select(F.max("turn")).first()[0] or 0) + 1):
-        readers.write_versions(rows.where(F.col("turn") == t).drop("turn"), path, f"{t:05d}")
+    path = tables.folder(spark)
+    readers.write_versions(rows.withColumn("turn", F.lpad(F.col("turn").cast("string"), 5, "0")).withColumnRenamed("turn", "version"), path)
     found = readers.latest(spark.read.schema("article_id long, role string, version string").parquet(path))
     return found.groupBy("article_id").agg(F.max(F.col("version").cast("int").cast("string")).alias("version"), F.count("*").alias("n"))
 

@@ -103,9 +103,9 @@ def upsert_vectors(state: DataFrame, delta: DataFrame, dimensions: int, key: str
     return state.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(state.columns))
 
 
-def write_versions(frame: DataFrame, path: str, version: str, by: str = "article_id") -> None:
-    """Appends a version of articles to a table partitioned by version."""
-    frame.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+def write_versions(frame: DataFrame, path: str, version: str | None = None) -> None:
+    """Appends a version of articles to a table partitioned by version; without one, the versions in the column of that name."""
+    (frame if version is None else frame.withColumn("version", F.lit(version))).write.mode("append").partitionBy("version").parquet(path)
 
 
 def latest(frame: DataFrame, by: str = "article_id", version: str = "version") -> DataFrame:
