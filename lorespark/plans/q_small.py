@@ -129,6 +129,35 @@ def note_appended(spark, sf_dir):
     return notes.append_to_section(marked, "head", ["- new"]).withColumn("text", F.replace("text", F.lit("# Инсайты"), F.lit("## Инсайты")))
 
 
+#: A note for each conversation: a section for each turn, of its whole text.
+_TALKS = "SELECT conv_id AS note, string_agg('## ' || role || ' ' || turn || chr(10) || {body}, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
+
+
+def _talks(spark, sf_dir):
+    turn = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    parts = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("note")).agg(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))).alias("p"))
+    return parts.select("note", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"))
+
+
+@query(_TALKS.format(body="CASE WHEN role = 'assistant' AND turn = 1 THEN '- first' || chr(10) || '- second' ELSE coalesce(text, '') END"))
+def section_set(spark, sf_dir):
+    """The first answer of each conversation's note replaced, its heading kept."""
+    return notes.set_section(notes.lines(_talks(spark, sf_dir)), "Assistant 1", ["- first", "- second"])
+
+
+@query("SELECT note::VARCHAR AS note, '---' || chr(10) || 'sleep-duration: \"7:30\"' || chr(10) || 'morning-energy: 4' || chr(10) || '---' || chr(10) || text AS text FROM (" + _TALKS.format(body="coalesce(text, '')") + ")")
+def measures_set(spark, sf_dir):
+    """Measures put before the text of each note."""
+    return notes.set_measures(_talks(spark, sf_dir), {"morning-energy": 4, "sleep-duration": "7:30"})
+
+
+@query("WITH n AS (" + _TALKS.format(body="coalesce(text, '')") + ") SELECT note, text FROM n WHERE note % 2 = 0 UNION ALL SELECT note, '# ' || note || chr(10) AS text FROM n WHERE note % 2 <> 0")
+def notes_ensured(spark, sf_dir):
+    """Every second note is there; the others are made from a template."""
+    talks = _talks(spark, sf_dir)
+    return notes.ensure_notes(talks.where("note % 2 = 0"), talks.select("note"), "# {{note}}\n")
+
+
 @query("SELECT page_id AS note, replace(replace(n, '{0}', page_id::VARCHAR), '{1}', (page_id % 9)::VARCHAR) AS text FROM pages, (SELECT '" + _NOTE.replace("- [ ] task", "- [x] task") + "' AS n)")
 def note_task_done(spark, sf_dir):
     return notes.change_first_task(notes.lines(_notes(spark, sf_dir)), "TASK", lambda c: F.replace(c, F.lit("[ ]"), F.lit("[x]")))
