@@ -543,6 +543,13 @@ def latest_versions(spark, sf_dir):
     return found.groupBy("article_id").agg(F.max(F.col("version").cast("int").cast("string")).alias("version"), F.count("*").alias("n"))
 
 
+@query("SELECT conv_id || ',' || turn || ',' || coalesce(role, 'None') || ',' || CASE WHEN turn > 1 THEN 'True' ELSE 'False' END || ',\"' || coalesce(text, 'None') || '\"' AS line FROM conversations")
+def plain_list(spark, sf_dir):
+    """Whole turns as lines between commas, nothing escaped."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", (F.col("turn") > 1).alias("late"), "text")
+    return readers.plain_lines(rows, ("text",))
+
+
 @query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings")
 def vectors_upserted(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("embedding"))

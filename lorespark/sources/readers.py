@@ -96,8 +96,14 @@ def metadata(spark: SparkSession, paths: list[str], ident: str = "id") -> DataFr
     return last_of(whole, ident, ["_file", "_row"]).drop("_file", "_row")
 
 
-def upsert_vectors(state: DataFrame, delta: DataFrame, dimensions: int, key: str = "node_id", vector: str = "embedding") -> DataFrame:
-    """Points with the delta's put over them by key; a vector of another size is an error."""
+def upsert_vectors(state: DataFrame, delta: DataFrame, dimensions: int, key: str = "node_id", vector: str = "embedding", recreate: bool = False) -> DataFrame:
+    """Points with the delta's put over them by key; a vector of the delta of another size is an error.
+
+    With ``recreate`` old points of another size go, as when an embedder is changed and the
+    collection is made anew; without it they stay until they are put over.
+    """
+    if recreate:
+        state = state.where(F.size(vector) == dimensions)
     right = F.when(F.size(vector) == dimensions, F.col(vector)).otherwise(F.raise_error(F.lit(f"a vector hasn't {dimensions} numbers")))
     fresh = delta.withColumn(vector, right)
     return state.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(state.columns))
@@ -120,6 +126,37 @@ def write_csv(frame: DataFrame, path: str) -> None:
     frame.select(*flat).write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
+def plain_lines(frame: DataFrame, quoted: tuple[str, ...] = ()) -> DataFrame:
+    """Each row as one ``line`` of values between commas, nothing escaped: the layout of task and wellness lists.
+
+    A null is ``None``, a truth value ``True`` or ``False``, a list is joined by semicolons, and the
+    columns ``quoted`` stand in quotes, whatever is in them.
+    """
+
+    def one(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        plain = F.initcap(c.cast("string")) if kind == "boolean" else F.array_join(c.cast("array<string>"), ";", "None") if kind.startswith("array") else c.cast("string")
+        plain = F.coalesce(plain, F.lit("None"))
+        return F.concat(F.lit('"'), plain, F.lit('"')) if name in quoted else plain
+
+    return frame.select(F.concat_ws(",", *(one(c, t) for c, t in frame.dtypes)).alias("line"))
+
+
+def write_plain_csv(frame: DataFrame, path: str, quoted: tuple[str, ...] = ()) -> None:
+    """Appends files of ``plain_lines`` below a header of the columns' names; they are read by people, not parsed."""
+    header = ",".join(frame.columns)
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            if batch.num_rows:
+                lines = batch.column("line")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([header], lines.type), lines]) if first else lines], ["line"])
+                first = False
+
+    plain_lines(frame, quoted).mapInArrow(run, "line string").write.mode("append").text(path)
+
+
 def to_json(frame: DataFrame) -> DataFrame:
     """Each row as one JSON text."""
     return frame.select(F.to_json(F.struct(*frame.columns)).alias("json"))

@@ -250,6 +250,15 @@ def test_sources(spark, tmp_path):
     assert readers.upsert_vectors(points, spark.createDataFrame([("a", [3.0, 4.0]), ("b", [5.0, 6.0])], points.schema), 2).count() == 2
     with pytest.raises(Exception, match="hasn't 3 numbers"):
         readers.upsert_vectors(points, points, 3).collect()
+    wide = spark.createDataFrame([("b", [5.0, 6.0, 7.0])], points.schema)
+    assert {r.node_id for r in readers.upsert_vectors(points, wide, 3, recreate=True).collect()} == {"b"}
+    assert {r.node_id for r in readers.upsert_vectors(points, wide, 3).collect()} == {"a", "b"}
+    assert {r.node_id for r in readers.upsert_vectors(points, points.limit(0), 2, recreate=True).collect()} == {"a"}
+    rows = [("2025-01-01", None, 'a "b", c', True, ["x", "y"], 7), ("2025-01-02", "7:30", None, None, [], None)]
+    readers.write_plain_csv(spark.createDataFrame(rows, "date string, duration string, text string, no_phone boolean, people array<string>, quality int").coalesce(1), str(tmp_path / "plain"), ("text", "people"))
+    (part,) = (tmp_path / "plain").glob("*.txt")
+    want = ["date,duration,text,no_phone,people,quality"] + [f'{d},{v},"{t}",{n},"{";".join(p)}",{q}' for d, v, t, n, p, q in rows]
+    assert part.read_bytes() == ("\n".join(want) + "\n").encode()
 
 
 def test_streams(spark, tmp_path):
