@@ -84,6 +84,20 @@ def _letters() -> np.ndarray:
     return _TABLE[0]
 
 
+def _codes(text: str):
+    """Letters of a text in lower case, by parts, as places in the table of letters."""
+    table = _letters()
+    for at in range(0, len(text), CHUNK):
+        codes = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        codes = np.minimum(codes, len(table) - 1)
+        yield codes[table[codes]]
+
+
+def alphabet(text: str) -> np.ndarray:
+    """The different letters of a text."""
+    return np.unique(np.concatenate([np.unique(c) for c in _codes(text)] or [np.zeros(0, dtype=np.uint32)]))
+
+
 def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 30, strength: float = 1e-4, seed: int = 7) -> np.ndarray:
     """Linear support vector machine for signs ``y`` by averaged stochastic subgradients; the last weight is the bias."""
     rng = np.random.default_rng(seed)
@@ -110,16 +124,19 @@ class Sample:
     x: np.ndarray
     langs: np.ndarray
     kin: np.ndarray
+    #: The letters of all of them, as places in the table of letters.
+    letters: np.ndarray
 
     @staticmethod
     def of(rows: list[tuple[str, str]]) -> Sample:
         rows = [(t, lang) for t, lang in rows if _LETTER.search(t)]
-        return Sample.made([features(t) for t, _ in rows], [lang for _, lang in rows])
+        return Sample.made([features(t) for t, _ in rows], [lang for _, lang in rows], [alphabet(t) for t, _ in rows])
 
     @staticmethod
-    def made(found: list[np.ndarray], langs: list[str]) -> Sample:
+    def made(found: list[np.ndarray], langs: list[str], letters: list[np.ndarray]) -> Sample:
         x = np.array(found, dtype=np.float32).reshape(len(found), FEATURES)
-        return Sample(x, np.array(langs, dtype=object), np.array([family_of(lang) for lang in langs], dtype=object))
+        known = np.unique(np.concatenate([np.asarray(a, dtype=np.int64) for a in letters] or [np.zeros(0, dtype=np.int64)]))
+        return Sample(x, np.array(langs, dtype=object), np.array([family_of(lang) for lang in langs], dtype=object), known)
 
     def languages(self) -> dict[str, list[str]]:
         return {f: sorted(set(self.langs[self.kin == f])) for f in sorted(set(self.kin))}
@@ -144,6 +161,8 @@ class Model:
     family_weights: np.ndarray
     languages: dict[str, list[str]]
     pair_weights: dict[str, np.ndarray]
+    #: Whether a letter was learned from, by its place in the table of letters.
+    known: np.ndarray
 
     @staticmethod
     def fit(rows: list[tuple[str, str]] | Sample, fitted=None) -> Model:
@@ -153,16 +172,22 @@ class Model:
         families = sorted(set(sample.kin))
         whole = [next(weights) for _ in families] if len(families) > 1 else [np.zeros(FEATURES + 1)] * len(families)
         pairs = {f: np.array([next(weights) for _ in combinations(own, 2)]).reshape(-1, FEATURES + 1) for f, own in sample.languages().items()}
-        return Model(families, np.array(whole).reshape(len(families), FEATURES + 1), sample.languages(), pairs)
+        known = np.zeros(len(_letters()), dtype=bool)
+        known[sample.letters] = True
+        return Model(families, np.array(whole).reshape(len(families), FEATURES + 1), sample.languages(), pairs, known)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score of a whole text; ``und`` and 0 without a letter, or without a model."""
+        """Language and score of a whole text; ``und`` and 0 without a letter, or without a model.
+
+        The score is what the machines are sure of, times the share of the text's letters
+        that were learned from: hashed runs don't tell an unknown alphabet from a known one.
+        """
         if not text or not self.families or not _LETTER.search(text):
             return UNKNOWN, 0.0
         x = np.append(features(text), 1.0)
         margins = self.family_weights @ x
         best = int(np.argmax(margins))
-        score = _logistic(margins[best]) if len(margins) > 1 else 1.0
+        score = self._familiar(text) * (_logistic(margins[best]) if len(margins) > 1 else 1.0)
         own = self.languages[self.families[best]]
         if len(own) == 1:
             return own[0], score
@@ -174,6 +199,12 @@ class Model:
         at = max(range(len(own)), key=lambda k: (votes[k], total[k], -k))
         return own[at], score * float(sure[at])
 
+    def _familiar(self, text: str) -> float:
+        known = total = 0
+        for codes in _codes(text):
+            known, total = known + int(self.known[codes].sum()), total + len(codes)
+        return known / total if total else 1.0
+
 
 def _logistic(margin: float) -> float:
     return float(1 / (1 + np.exp(-4 * np.clip(margin, -50, 50))))
@@ -193,11 +224,12 @@ def _featured(batches):
             found = [features(t).astype(np.float32) for t in part.column("text").to_pylist()]
             places = [np.flatnonzero(x).astype(np.int32) for x in found]
             columns = [pa.array(places, pa.list_(pa.int32())), pa.array([x[p] for x, p in zip(found, places)], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("lang", "h", "doc_id")] + columns, ["lang", "h", "doc_id", "places", "x"])
+            columns.append(pa.array([alphabet(t).astype(np.int32) for t in part.column("text").to_pylist()], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("lang", "h", "doc_id")] + columns, ["lang", "h", "doc_id", "places", "x", "letters"])
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """Features of the training sample: ``lang``, ``places`` and ``x``.
+    """Features of the training sample: ``lang``, ``places``, ``x`` and ``letters``.
 
     Of each language that is learned, the documents that come first by a hash of their id,
     outside the held-out fold; texts are read whole.  ``ALL_DOCS`` rows at most.
@@ -210,9 +242,9 @@ def sample(docs: DataFrame) -> DataFrame:
     # about three times as many as needed pass the first cut, so that no task ranks a whole language
     cut = counts.select("lang", (F.lit(3.0 * each) / F.col("n") * (1 << 30)).alias("most"))
     near = usable.join(cut, "lang").where("h < most").select("lang", "h", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = near.mapInArrow(_featured, "lang string, h long, doc_id long, places array<int>, x array<float>")
+    found = near.mapInArrow(_featured, "lang string, h long, doc_id long, places array<int>, x array<float>, letters array<int>")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "places", "x"))
-    return found.withColumn("k", rank).where(F.col("k") <= each).select("lang", "h", "doc_id", "places", "x")
+    return found.withColumn("k", rank).where(F.col("k") <= each).select("lang", "h", "doc_id", "places", "x", "letters")
 
 
 def train(spark: SparkSession, docs: DataFrame) -> Model:
@@ -237,7 +269,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         shared.unpersist()  # tens of megabytes that no later task needs
         return found
 
-    return Model.fit(Sample.made(list(x), [r.lang for r in rows]), fitted)
+    return Model.fit(Sample.made(list(x), [r.lang for r in rows], [r.letters for r in rows]), fitted)
 
 
 def _judged(spark: SparkSession, docs: DataFrame, model: Model | None, names: tuple[str, str]) -> DataFrame:

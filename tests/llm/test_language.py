@@ -125,3 +125,12 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = language.identify(spark, docs, model)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and sorted(r.lang_pred for r in got.where("doc_id = 1").collect()) == ["en", "en", "fr"]
     assert language.identify(spark, docs).count() == 4
+
+
+def test_unknown_alphabets_are_unsure(model):
+    """Letters that nothing was learned from make no text surer; a few of them cost little."""
+    for text in ("我们在这里写一些中文文本" * 5, "ж", "שלום", "ここ"):
+        assert model.predict(text)[1] == 0.0
+    sure = model.predict("the and of the")[1]
+    assert 0.7 * sure < model.predict("the and of the ж")[1] < sure
+    assert language.alphabet("Ab9 b-É").tolist() == sorted(map(ord, "abé"))
