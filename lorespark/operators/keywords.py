@@ -85,14 +85,8 @@ def diverse(vectors: np.ndarray, relevance: np.ndarray, most: int, diversity: fl
     return chosen
 
 
-def tfidf(tf: DataFrame, documents: int | Column, by: str = "doc_id") -> DataFrame:
-    """``score``: frequency times the logarithm of documents per document with the word."""
-    df = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    return tf.join(df, "word").withColumn("score", F.round(F.col("tf") * F.log((F.lit(documents) + 1) / (F.col("df") + 1)), 6))
-
-
 def top_tfidf(docs: DataFrame, most: int, by: str = "doc_id", body: str = "text", least: int = 4) -> DataFrame:
-    """The ``most`` words of the highest ``tfidf`` of every row: ``word``, ``tf``, ``score``, ``rank``; each row is a document of its own.
+    """The ``most`` words of the highest weight (count, and fewer rows with the word) of every row: ``word``, ``tf``, ``score``, ``rank``; each row is a document of its own.
 
     Only the number of rows of each word is shuffled.  The weights of up to ``MOST_WORDS``
     words are broadcast, and every row ranks its own words where it is; more weights are

@@ -190,16 +190,8 @@ def _products(points: DataFrame, make, schema: str, key: str, vector: str, block
     return spread.groupBy("x", "y").applyInArrow(product, schema)
 
 
-def distribution(frame: DataFrame, value: str = "score") -> DataFrame:
-    """Linear percentiles, extremes, mean and population deviation of a column."""
-    points = [5, 25, 50, 75, 90, 95, 99]
-    exact = [F.round(F.percentile(value, p / 100), DIGITS).alias(f"p{p}") for p in points]
-    rest = [(F.min, "lowest"), (F.max, "highest"), (F.mean, "mean"), (F.stddev_pop, "deviation")]
-    return frame.agg(F.count(value).alias("n"), *exact, *(F.round(f(value), DIGITS).alias(n) for f, n in rest))
-
-
 def counted_distribution(counts: DataFrame, value: str = "score", n: str = "n") -> DataFrame:
-    """``distribution`` of a column whose distinct values come with their counts."""
+    """Linear percentiles, extremes, mean and population deviation of a column whose distinct values come with their counts."""
     points = [5, 25, 50, 75, 90, 95, 99]
     all_, mean = F.sum(n), F.sum(F.col(value) * F.col(n)) / F.sum(n)
     square = F.sum(F.col(value) * F.col(value) * F.col(n)) / F.sum(n)

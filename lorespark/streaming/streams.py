@@ -25,12 +25,6 @@ def windowed_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 day
     return found.select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def user_sessions(stream: DataFrame, gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
-    """Runs of a user's events without a gap."""
-    found = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
-    return found.select("user_id", F.col("session_window.start").alias("start"), "n")
-
-
 def _grants(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     until = state.get[0] if state.exists else 0
     if state.hasTimedOut:
