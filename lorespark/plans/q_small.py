@@ -381,9 +381,10 @@ def cross_relations(spark, sf_dir):
 @query("WITH e AS (SELECT DISTINCT l_suppkey AS a, 10000 + l_partkey AS b, 'c' || l_suppkey % 7 AS ca, 'c' || l_partkey % 7 AS cb FROM lineitem) SELECT cluster, kind, count(*) AS n FROM (SELECT ca AS cluster, CASE WHEN ca = cb THEN 'intra' ELSE 'inter' END AS kind FROM e UNION ALL SELECT cb, 'inter' FROM e WHERE ca <> cb) GROUP BY ALL")
 def edges_of_clusters(spark, sf_dir):
     """Edges inside clusters once, and between two with both."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 10000).alias("b")).distinct()
-    of = lambda c, less: edges.select(F.col(c).alias("node"), F.concat(F.lit("c"), ((F.col(c) - less) % 7).cast("string")).alias("cluster"))
-    return graph.edges_of_clusters(graph.classify_edges(edges, of("a", 0).union(of("b", 10000)).distinct())).groupBy("cluster", "kind").agg(F.count("*").alias("n"))
+    # suppliers are even nodes and parts odd ones, so that no number of suppliers reaches a part
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+    of = lambda c: edges.select(F.col(c).alias("node"), F.concat(F.lit("c"), (F.shiftright(c, 1) % 7).cast("string")).alias("cluster"))
+    return graph.edges_of_clusters(graph.classify_edges(edges, of("a").union(of("b")).distinct())).groupBy("cluster", "kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s, t, p, least(c, 5) AS created_at, CASE WHEN t % 2 = 0 THEN 0.9 ELSE 0.1 END AS confidence FROM (SELECT DISTINCT l_suppkey AS s, l_linenumber AS t, 'is' AS p, CASE WHEN l_linenumber = 6 THEN 9 ELSE 5 END AS c FROM lineitem WHERE l_linenumber <> 6) UNION ALL SELECT DISTINCT l_suppkey, 6, 'is', 9, 0.9 FROM lineitem")
