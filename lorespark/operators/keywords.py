@@ -9,13 +9,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorespark.functions import text
 from lorespark.functions.names import spare
-from lorespark.operators.tables import drop, saved, spread
+from lorespark.operators.tables import saved, spread
 
 
-#: Words whose weights are broadcast; with more of them weights are joined.
-MOST_WORDS = 1_000_000
+#: Words whose weights are broadcast, those in the most documents; the weights of rarer ones lie between two bounds.
+MOST_WORDS = 300_000
+#: Bytes of text whose words are held at once.
+SLICE_BYTES = 8 << 20
+
+
+def _slices(batches):
+    """Parts of the batches with up to ``SLICE_BYTES`` of ``body``, or of one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def _word_lists(texts: pa.Array, least: int, grams: int) -> tuple[np.ndarray, pa.Array]:
@@ -51,7 +64,7 @@ def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             own = batch.column(by).dictionary_encode(null_encoding="encode")
             group, word, n = _counted(batch, own.indices.to_numpy().astype(np.int64), least, grams)
             yield pa.RecordBatch.from_arrays([own.dictionary.take(pa.array(group)), word, pa.array(n, pa.int64())], [by, "word", "tf"])
@@ -65,7 +78,7 @@ def document_counts(docs: DataFrame, body: str = "text", least: int = 4, grams:
     """``df`` of each ``word``: the number of rows that have it, counted within each batch before the shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             _, word, _ = _counted(batch, np.arange(batch.num_rows, dtype=np.int64), least, grams)
             counts = word.value_counts()
             yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "df"])
@@ -88,42 +101,56 @@ def diverse(vectors: np.ndarray, relevance: np.ndarray, most: int, diversity: fl
 def top_tfidf(docs: DataFrame, most: int, by: str = "doc_id", body: str = "text", least: int = 4) -> DataFrame:
     """The ``most`` words of the highest weight (count, and fewer rows with the word) of every row: ``word``, ``tf``, ``score``, ``rank``; each row is a document of its own.
 
-    Only the number of rows of each word is shuffled.  The weights of up to ``MOST_WORDS``
-    words are broadcast, and every row ranks its own words where it is; more weights are
-    joined with the words.
+    The weights of the ``MOST_WORDS`` commonest words are broadcast, and every row ranks its
+    own words where it is.  A rarer word is in at least one row and at most in as many as
+    the commonest of them, so its score has bounds; only words that may be among the first
+    by these are joined with their weights and ranked again.
     """
     spark, documents = docs.sparkSession, docs.count()
-    lists = _texts(docs, body, by)
-    df = document_counts(docs, body, least)
-    weights = saved(spark, df.select("word", F.log((F.lit(documents) + 1) / (F.col("df") + 1)).alias("idf")))
-    if weights.count() > MOST_WORDS:
-        numbered = lists.withColumn("row", F.monotonically_increasing_id())
-        long = F.filter(text.words(F.col("body")), lambda w: F.length(w) >= least)
-        rows = numbered.select("row", by, F.explode(long).alias("word")).groupBy("row", by, "word").agg(F.count("*").alias("tf"))
-        scored = rows.join(weights, "word").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
-        return top_words(scored, most, "row").select(by, "word", "tf", "score", "rank")
-    table = weights.toArrow()
-    drop(weights)
-    shared = spark.sparkContext.broadcast((table.column("word").combine_chunks(), table.column("idf").to_numpy()))
-
-    def ranked(batches):
-        known, idf = shared.value
-        for batch in batches:
+    lists = _texts(docs, body, by).withColumn("row", F.monotonically_increasing_id())
+    counts = saved(spark, document_counts(docs, body, least))
+    weight = lambda df: F.log((F.lit(documents) + 1) / (df + 1))
+    rarest = _rarest(counts)
+    table = counts.where(F.col("df") > rarest).select("word", weight(F.col("df")).alias("idf")).toArrow()
+    known = pa.concat_arrays([c.cast(pa.string()) for c in table.column("word").chunks]) if table.num_rows else pa.array([], pa.string())
+    shared = spark.sparkContext.broadcast((known, table.column("idf").to_numpy(), float(np.log((documents + 1) / 2)), float(np.log((documents + 1) / (max(1, rarest) + 1)))))
+
+    def chosen(batches):
+        names, idf, high, low = shared.value
+        for batch in _slices(batches):
             row, word, tf = _counted(batch, np.arange(batch.num_rows, dtype=np.int64), least)
+            if not len(word):
+                continue
             coded = word.dictionary_encode()
-            weight = idf[pc.index_in(coded.dictionary, value_set=known).to_numpy()][coded.indices.to_numpy()] if len(word) else np.zeros(0)
-            score = np.round(tf * weight, 6) + 0.0
-            place = np.empty(len(coded.dictionary), dtype=np.int64)
-            place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
-            order = np.lexsort((place[coded.indices.to_numpy()], -score, row))
-            start = np.searchsorted(row[order], row[order])
-            rank = np.arange(len(order)) - start + 1
-            kept, rank = order[rank <= most], rank[rank <= most]
-            at = pa.array(kept)
-            yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(row[kept])), word.take(at), pa.array(tf[kept], pa.int64()), pa.array(score[kept]), pa.array(rank, pa.int32())], [by, "word", "tf", "score", "rank"])
-
-    fields = [("word", T.StringType()), ("tf", T.LongType()), ("score", T.DoubleType()), ("rank", T.IntegerType())]
-    return lists.mapInArrow(ranked, T.StructType([docs.schema[by], *(T.StructField(n, t) for n, t in fields)]))
+            found = pc.index_in(coded.dictionary, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
+            own = idf[found] if len(idf) else np.zeros(len(found))
+            lowest, highest = tf * np.where(found < 0, low, own), tf * np.where(found < 0, high, own)
+            order = np.lexsort((-lowest, row))
+            place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            # the last of the first by their lower bounds; scores are rounded
+            bound = np.full(batch.num_rows, -np.inf)
+            last = order[place == most - 1]
+            bound[row[last]] = lowest[last]
+            at = pa.array(np.flatnonzero(highest >= bound[row] - 1e-5))
+            held = pa.array(row).take(at)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(held), batch.column(by).take(held), word.take(at), pa.array(tf, pa.int64()).take(at), pa.array(own, mask=found < 0).take(at)], ["row", by, "word", "tf", "idf"])
+
+    fields = [("word", T.StringType()), ("tf", T.LongType()), ("idf", T.DoubleType())]
+    likely = saved(spark, lists.mapInArrow(chosen, T.StructType([T.StructField("row", T.LongType()), docs.schema[by], *(T.StructField(n, t) for n, t in fields)])))
+    rare = likely.where("idf is null").drop("idf").join(counts.where(F.col("df") <= rarest), "word").withColumn("idf", weight(F.col("df"))).drop("df")
+    scored = likely.where("idf is not null").unionByName(rare).withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
+    return top_words(scored, most, "row").select(by, "word", "tf", "score", "rank")
+
+
+def _rarest(counts: DataFrame) -> int:
+    """The least ``df`` so that at most ``MOST_WORDS`` words are in more rows; 0 if there are no more words than that."""
+    above = 0
+    # there are no more different numbers than the root of twice the words of all rows
+    for r in counts.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.desc("df")).toLocalIterator():
+        above += r.n
+        if above > MOST_WORDS:
+            return r.df
+    return 0
 
 
 def top_words(scored: DataFrame, most: int, by: str = "doc_id", score: str = "score") -> DataFrame:

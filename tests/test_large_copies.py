@@ -3,8 +3,10 @@
 from datetime import datetime
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from lorespark.operators import keywords
 from lorespark.plans import load
 
 REGISTRY = load()
@@ -35,3 +37,24 @@ def test_many_suppliers_are_no_parts(spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/lineitem.parquet")
     got, want = both(spark, tmp_path, "edges_of_clusters")
     assert got == want and len(want) > 0
+
+
+def test_rare_words_are_ranked_by_their_weights(spark, tmp_path, monkeypatch):
+    """More words than are broadcast, and slices of few texts: the rows of the SQL."""
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(keywords, "MOST_WORDS", 200)
+    monkeypatch.setattr(keywords, "SLICE_BYTES", 5000)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name in ("keyword_tfidf_topn", "keyword_tf", "common_pairs", "ctfidf_by_source"):
+        want = con.sql(REGISTRY.ORACLE_SQL[name])
+        got = REGISTRY.QUERIES[name](spark, folder).select(want.columns)
+        plain = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+        assert plain(got.collect()) == plain(want.fetchall())
+
+
+def test_slices_are_bounded_by_their_text(monkeypatch):
+    monkeypatch.setattr(keywords, "SLICE_BYTES", 10)
+    batch = pa.record_batch({"body": ["abcd", "efgh", "ijkl", "", "m" * 50, "n", "o"]})
+    parts = list(keywords._slices([batch]))
+    assert [p.num_rows for p in parts] == [2, 2, 1, 2] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
