@@ -93,20 +93,35 @@ def _starts(x: np.ndarray, k: int, rng) -> np.ndarray:
     return labels
 
 
+#: Numbers of the differences from means that a fit holds at once.
+MIXTURE_NUMBERS = 1 << 15
+
+
 def fit_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Labels and Bayesian information criterion of a Gaussian mixture with full covariances."""
+    """Labels and Bayesian information criterion of a Gaussian mixture with full covariances.
+
+    Fewer points than places lie in a space of their own number: they are fitted there,
+    since across it every covariance is the ridge and every difference is 0.
+    """
     n, d = x.shape
     resp = np.zeros((n, k))
     resp[np.arange(n), _starts(x, k, np.random.default_rng(seed))] = 1.0
+    if n < d:
+        turned, scale, _ = np.linalg.svd(x, full_matrices=False)
+        x = turned * scale
+    own = x.shape[1]
+    across = 0.5 * (d - own) * np.log(ridge)
+    step = max(1, MIXTURE_NUMBERS // max(1, n * own))
     last = -np.inf
     for _ in range(rounds):
         weight = resp.sum(0) + 10 * np.finfo(float).eps
         means, log = (resp.T @ x) / weight[:, None], np.empty((n, k))
-        for c in range(k):
-            apart = x - means[c]
-            low = np.linalg.cholesky((resp[:, c, None] * apart).T @ apart / weight[c] + ridge * np.eye(d))
-            scaled = np.linalg.solve(low, apart.T)
-            log[:, c] = np.log(weight[c] / n) - 0.5 * (d * np.log(2 * np.pi) + (scaled**2).sum(0)) - np.log(np.diag(low)).sum()
+        for at in range(0, k, step):
+            c = slice(at, at + step)
+            apart = x - means[c, None]
+            low = np.linalg.cholesky((resp.T[c, :, None] * apart).transpose(0, 2, 1) @ apart / weight[c, None, None] + ridge * np.eye(own))
+            scaled = np.linalg.solve(low, apart.transpose(0, 2, 1))
+            log[:, c] = (np.log(weight[c] / n)[:, None] - 0.5 * (d * np.log(2 * np.pi) + (scaled**2).sum(1)) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)[:, None] - across).T
         top = log.max(1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(log - top).sum(1))
         resp = np.exp(log - total[:, None])
@@ -202,6 +217,8 @@ TREE = "article_id string, node_id string, level int, text string, embedding arr
 
 #: Nodes of an article whose mixture is fitted in one group; more are first parted by nearness.
 MOST_NODES = 128
+#: Tasks a core that fit mixtures.
+TASKS_PER_CORE = 4
 #: Parts into which one pass cuts a group that is too large.
 PARTS = 64
 
@@ -305,7 +322,9 @@ def summary_tree(leaves: DataFrame, embed, summarise=first_sentences, levels: in
     own = leaves.select(columns)
     sizes = own.groupBy("article_id").agg(F.count("*").alias("n"))
     small = own.join(sizes.where(F.col("n") <= most).select("article_id"), "article_id", "left_semi")
-    out = small.groupBy("article_id").applyInPandas(_tree(embed, summarise, levels, stop, reduction, budget), TREE)
+    # a fit costs far more than its bytes say, so the groups are dealt to a fixed number of tasks
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    out = small.repartition(tasks, "article_id").groupBy("article_id").applyInPandas(_tree(embed, summarise, levels, stop, reduction, budget), TREE)
     large = sizes.where(F.col("n") > most).select("article_id")
     if large.isEmpty():
         return out
@@ -314,7 +333,7 @@ def summary_tree(leaves: DataFrame, embed, summarise=first_sentences, levels: in
     for depth in range(1, levels + 1):
         going = level.groupBy("article_id").agg(F.count("*").alias("n")).where(F.col("n") > stop).select("article_id")
         nodes = level.join(going, "article_id", "left_semi").select(columns)
-        made = parted(spark, nodes, most).groupBy("article_id", "part").applyInPandas(_level(embed, summarise, depth, reduction, budget), TREE)
+        made = parted(spark, nodes, most).repartition(tasks, "article_id", "part").groupBy("article_id", "part").applyInPandas(_level(embed, summarise, depth, reduction, budget), TREE)
         new = saved(spark, made)
         if new.isEmpty():
             break

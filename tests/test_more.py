@@ -118,3 +118,19 @@ def test_labels_are_diverse(spark):
     # only what two documents share may label a topic
     assert {w for x in found[0] for w in x.split()} == {"green", "apple"} and {w for x in found[1] for w in x.split()} == {"steel", "bridge"}
     assert len(found[0]) == 3 and any(" " in x for x in found[0])
+
+
+def test_few_points_are_fitted_in_their_own_space():
+    """Fewer points than places: the criterion is that of the whole space, and no pass takes more than its share of numbers."""
+    x = np.random.default_rng(5).normal(size=(6, 9))
+    _, found = clustering.fit_mixture(x, 1, rounds=3)
+    cov = np.cov(x.T, bias=True) + 1e-6 * np.eye(9)
+    apart = x - x.mean(0)
+    log = -0.5 * (9 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + np.einsum("ni,ij,nj->n", apart, np.linalg.inv(cov), apart))
+    assert found == pytest.approx(-2 * log.sum() + 54 * np.log(6))
+
+
+def test_mixtures_are_dealt_to_all_cores(spark):
+    rows = [(f"a{i % 40}", f"n{i:04d}", f"Text {i}.", [float(i % 7), float(i % 3)]) for i in range(160)]
+    tree = clustering.summary_tree(spark.createDataFrame(rows, "article_id string, node_id string, text string, embedding array<double>"), lambda t: clustering.character_vector(t, 2))
+    assert len({r.p for r in tree.where("level = 0").select(F.spark_partition_id().alias("p")).distinct().collect()}) >= 8
