@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from lorespark.operators import graph
 from lorespark.operators.tables import drop, saved
-from lorespark.operators.vector_index import Cells, VectorIndex
+from lorespark.operators.vector_index import Cells, VectorIndex, arrays, least_score, near
 
 DIGITS = 6
 #: Nearest points that every point keeps, at least.
 LIST = 8
+#: Components of which a point is held by all tasks, so that each component knows an edge that leaves it.
+REPRESENTATIVES = 512
 #: Edges that are merged in one batch.
 BATCH_EDGES = 1_000_000
 #: Distances of 0 count as this one where a density is taken.
@@ -66,26 +68,43 @@ def core_distances(spark: SparkSession, points: DataFrame, neighbours: int = 1,
     return cores.select(F.col("id").alias(key), "core")
 
 
-def _lightest(points, asked):
+_EDGE = "comp long, other long, w double, lo long, hi long"
+
+
+def _lightest(points=None, asked=None):
     """The lightest edge from each query to a point of another component, within its radius."""
-    scores = np.round(asked["v"] @ points["v"].T, DIGITS) + 0.0
+    if points is None:
+        return None
+    i, j, scores = near(points, asked, least_score(asked))
+    apart = asked["label"][i] != points["label"][j]
+    i, j, scores = i[apart], j[apart], scores[apart]
     w = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * scores)), DIGITS)
-    w = np.maximum(np.maximum(w, asked["core"][:, None]), points["core"])
-    w[asked["label"][:, None] == points["label"]] = np.inf
-    least = w.min(axis=1)
+    w = np.maximum(np.maximum(w, asked["core"][i]), points["core"][j])
     # of equally light ones the edge with the smaller ends
-    i, j = np.nonzero((w == least[:, None]) & (least < np.inf)[:, None])
     low, high = np.minimum(asked["id"][i], points["id"][j]), np.maximum(asked["id"][i], points["id"][j])
-    order = np.lexsort((high, low, i))
-    i, j, low, high = i[order], j[order], low[order], high[order]
-    first = np.searchsorted(i, np.unique(i))
-    return pa.table({"comp": asked["label"][i[first]], "other": points["label"][j[first]], "w": w[i[first], j[first]], "lo": low[first], "hi": high[first]})
+    order = np.lexsort((high, low, w, i))
+    first = order[np.searchsorted(i[order], np.unique(i))]
+    return pa.table({"comp": asked["label"][i[first]], "other": points["label"][j[first]], "w": w[first], "lo": low[first], "hi": high[first]})
+
+
+def _to_some(spark: SparkSession, asked: DataFrame, some: pa.Table) -> DataFrame:
+    """The lightest edge from each point to one of ``some`` in another component: it bounds how far a component has to search."""
+    shared = spark.sparkContext.broadcast(some)
+
+    def run(batches):
+        points = arrays(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                yield from _lightest(points, arrays(pa.Table.from_batches([batch.slice(at, 1024)]))).combine_chunks().to_batches()
+
+    return asked.mapInArrow(run, _EDGE)
 
 
 def spanning_tree(spark: SparkSession, index: VectorIndex, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """Edges ``lo``, ``hi``, ``w`` of the minimum spanning tree of mutual reachability, and ``id``, ``core`` of the points.
 
-    Equally long edges are ordered by their ends, so that there is just one tree.
+    Equally long edges are ordered by their ends, so that there is just one tree.  A round
+    takes the lightest edge out of each component but the largest.
     """
     near, cores = _lists(spark, index, settings)
     core = lambda side: cores.select(F.col("id").alias(side), F.col("core").alias(f"core_{side}"))
@@ -93,27 +112,33 @@ def spanning_tree(spark: SparkSession, index: VectorIndex, settings: Settings =
     lists = saved(spark, heavy.select("a", "b", F.greatest("d", "core_a", "core_b").alias("w")))
     labels = saved(spark, cores.select("id", F.col("id").alias("label")))
     tree: list[DataFrame] = []
+    points = cores.count()
     edge = F.struct("w", "lo", "hi", "other")
     while True:
         mark = lambda side, label: labels.select(F.col("id").alias(side), F.col("label").alias(label))
         apart = lists.join(mark("a", "comp"), "a").join(mark("b", "other"), "b").where("comp <> other")
         lists_left = saved(spark, apart)  # edges inside a component are never asked for again
-        known = lists_left.select("comp", "w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "other")
-        best = saved(spark, known.groupBy("comp").agg(F.min(edge).alias("e")))
+        # the largest component waits: the others' lightest edges join it
+        largest = labels.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()
+        if largest is None or largest.n == points:
+            break
+        waits = F.col("label") == F.lit(largest.label)
+        members = saved(spark, index.members.join(labels, "id").join(cores, "id"))
+        fields = lambda radius: ["id", "v", radius.alias("radius"), "label", "core", F.lit(0).alias("near")]
+        some = members.where("id = label").orderBy(F.xxhash64("id"), "id").limit(REPRESENTATIVES).union(members.where(F.col("id") == F.lit(largest.label)))
+        reached = _to_some(spark, members.where(~waits).select(*fields(F.lit(None).cast("double"))), some.select(*fields(F.lit(None).cast("double"))).toArrow())
+        known = lists_left.where(F.col("comp") != F.lit(largest.label)).select("comp", "w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "other")
+        best = saved(spark, known.unionByName(reached.select(known.columns)).groupBy("comp").agg(F.min(edge).alias("e")))
         # points whose list may hide a lighter edge than their component has found
-        open_ = labels.join(cores, "id").join(best.select(F.col("comp").alias("label"), F.col("e.w").alias("most")), "label", "left")
-        open_ = open_.where(F.col("bound") <= F.coalesce("most", F.lit(float("inf")))).where(F.col("bound") < float("inf"))
+        open_ = members.where(~waits).join(best.select(F.col("comp").alias("label"), F.col("e.w").alias("most")), "label")
+        open_ = open_.where(F.col("bound") <= F.col("most"))
         wider = F.sqrt(F.col("most") * F.col("most") + 8e-6)  # scores are rounded
-        members = index.members.join(labels, "id").join(cores.select("id", "core"), "id")
-        asked = members.select("id", "v", "label", "core").join(open_.select("id", wider.alias("radius")), "id")
-        found = index.meet(index.probes(asked, Cells.open_within), _lightest, "comp long, other long, w double, lo long, hi long", members)
+        found = index.meet(open_.withColumn("radius", wider), Cells.open_within, lambda: _lightest, _EDGE, members)
         chosen = best.select("comp", "e").unionByName(found.select("comp", edge.alias("e"))).groupBy("comp").agg(F.min("e").alias("e"))
         round_ = saved(spark, chosen.select("comp", F.col("e.w").alias("w"), F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"), F.col("e.other").alias("other")))
-        drop(best, lists)
+        drop(best, lists, members)
         lists = lists_left.select("a", "b", "w")
         lists.table_path = lists_left.table_path
-        if round_.isEmpty():
-            break
         tree.append(round_)
         merged = graph.components(spark, labels.select(F.col("label").alias("node")).distinct(), round_.select(F.col("comp").alias("a"), F.col("other").alias("b")))
         after = saved(spark, labels.join(merged.select(F.col("node").alias("label"), "component"), "label").select("id", F.col("component").alias("label")))

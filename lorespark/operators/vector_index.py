@@ -7,9 +7,13 @@ centre unless ``low - r <= d <= high + r``.  Searches open just the cells that t
 leaves, so that their results are those of a scan.  Vectors are compared at length 1, where
 a cosine is a distance; vectors of length 0 have a cell of their own, which is always open.
 
-What every task holds is bounded: the centres, and one row for each of at most
-``MOST_LISTS * RINGS`` cells.  A cell of many points, or one that many queries open, is
-dealt to several tasks.
+Cells that are near to each other make a block.  A query goes once to each block in which
+it opens a cell, however many it opens there, and the task that holds the block opens them:
+what is shuffled is the queries times the blocks, not times the cells.
+
+What every task holds is bounded: the centres, one row for each of at most
+``MOST_LISTS * RINGS`` cells, and the points of a block.  A cell of many points makes
+several blocks, and a block that many queries reach is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +31,12 @@ from lorespark.operators.tables import drop, saved
 MOST_LISTS, RINGS = 4096, 16
 #: Points from which the centres are fitted, chosen by a hash of their key, and rounds of fitting.
 FIT_POINTS, FIT_ROUNDS = 16_384, 5
-#: Points of a cell that a task compares with a query, and queries that it compares with them, before the cell is dealt out.
-TASK_POINTS, TASK_QUERIES = 4096, 16_384
+#: Points of a block at most, and queries that one task compares with them.
+TASK_POINTS, TASK_QUERIES = 32_768, 65_536
+#: Blocks of an index whose points need no more, and points that a block should hold at least.
+BLOCKS, BLOCK_POINTS = 32, 512
+#: Queries that a task compares at once; the cells that any of them opens are opened to all of them.
+STEP = 256
 #: Points that a ring should hold at least.
 RING_POINTS = 64
 DIGITS = 6
@@ -72,11 +80,51 @@ def _usable(points: DataFrame, key: str, vector: str) -> DataFrame:
     return own.select(F.col(key).cast("long").alias("id"), vectors.unit(F.col(vector)).alias("v"))
 
 
+def _near_order(centres: np.ndarray, rows: np.ndarray | None = None) -> list[int]:
+    """The centres in an order that keeps near ones together: halves along the line between two far ones, again and again."""
+    rows = np.arange(len(centres)) if rows is None else rows
+    if len(rows) <= 2:
+        return rows.tolist()
+    own = centres[rows]
+    one = own[((own - own.mean(axis=0)) ** 2).sum(1).argmax()]
+    along = own @ (own[((own - one) ** 2).sum(1).argmax()] - one)
+    order, half = rows[np.argsort(along, kind="stable")], len(rows) // 2
+    return [*_near_order(centres, order[:half]), *_near_order(centres, order[half:])]
+
+
+def _blocks(n: list[int], most: int) -> list[tuple[int, int]]:
+    """First block and number of blocks of each cell of ``n`` points, in order; a block holds some ``most`` of them."""
+    out, block, used = [], 0, 0
+    for own in n:
+        if own > most:
+            block, used = block + (used > 0), 0
+            out.append((block, -(-own // most)))
+            block += out[-1][1]
+            continue
+        if used + own > most:
+            block, used = block + 1, 0
+        out.append((block, 1))
+        used += own
+    return out
+
+
 class Cells:
-    """What tasks hold of an index: centres, and list, least and greatest distance, number of points of each cell."""
+    """What tasks hold of an index: centres, and list, least and greatest distance, number of points, first block and number of blocks of each cell."""
 
-    def __init__(self, centres: np.ndarray, cells: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray):
+    def __init__(self, centres: np.ndarray, cells: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray, block: np.ndarray | None = None, parts: np.ndarray | None = None):
         self.centres, self.cells, self.lists, self.low, self.high, self.n = centres, cells, lists, low, high, n
+        self.block = np.zeros(len(cells), dtype=np.int32) if block is None else block
+        self.parts = np.ones(len(cells), dtype=np.int32) if parts is None else parts
+        #: Cell and block of each share of a cell that lies in one block.
+        self.shares = np.repeat(np.arange(len(cells)), self.parts)
+        self.in_block = np.concatenate([np.arange(b, b + p) for b, p in zip(self.block, self.parts)]) if len(cells) else np.zeros(0, dtype=np.int64)
+
+    def of(self, cells: np.ndarray) -> Cells:
+        """The same of some of the cells, and of their centres only."""
+        at = np.flatnonzero(np.isin(self.cells, cells))
+        used = np.unique(self.lists[at][self.lists[at] >= 0])
+        lists = np.where(self.lists[at] < 0, -1, np.searchsorted(used, self.lists[at]))
+        return Cells(self.centres[used], self.cells[at], lists, self.low[at], self.high[at], self.n[at])
 
     def open_within(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """Which cells may hold something within the radius of each row of ``x``."""
@@ -102,7 +150,7 @@ class Cells:
 
 
 class VectorIndex:
-    """Points in cells: ``members`` has ``id``, ``v`` (at length 1), ``list``, ``cell`` and ``part``, stored by list."""
+    """Points in cells: ``members`` has ``id``, ``v`` (at length 1), ``list``, ``cell`` and ``block``, stored by block."""
 
     def __init__(self, spark: SparkSession, members: DataFrame, held: Cells):
         self.spark, self.members, self.held = spark, members, held
@@ -140,97 +188,125 @@ class VectorIndex:
         step = F.greatest(F.lit(1), F.ceil(F.lit(RINGS * RING_POINTS) / F.col("size"))).cast("int")
         ring = F.when(F.col("size") < 2 * RING_POINTS, 0).otherwise(F.floor(F.size(F.filter("borders", lambda b: b < F.col("d"))) / step))
         ringed = placed.join(F.broadcast(borders), "list").select("id", "v", "list", "d", (F.col("list") * RINGS + ring).cast("int").alias("cell"))
-        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / TASK_POINTS)).cast("int")
         cells = saved(spark, ringed.groupBy("cell").agg(F.first("list").alias("list"), F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n")))
-        dealt = ringed.join(F.broadcast(cells.select("cell", "n")), "cell").select("id", "v", "list", "cell", part.alias("part"))
-        members = saved(spark, dealt.repartition("list", "cell", "part").sortWithinPartitions("list", "cell"), "list")
-        drop(placed)
-        found = sorted(cells.collect(), key=lambda r: r.cell)  # a bounded number, see above
-        held = Cells(centres, *(np.array([r[c] for r in found], dtype=t) for c, t in (("cell", np.int32), ("list", np.int32), ("low", float), ("high", float), ("n", np.int64))))
-        return VectorIndex(spark, members, held)
+        place_of = {c: k for k, c in enumerate(_near_order(centres))}
+        found = sorted(cells.collect(), key=lambda r: (place_of.get(r.list, -1), r.cell))  # a bounded number, see above
+        most = min(TASK_POINTS, max(BLOCK_POINTS, -(-sizes.n // BLOCKS)))
+        blocks = _blocks([r.n for r in found], most)
+        named = spark.createDataFrame([(r.cell, *b) for r, b in zip(found, blocks)], "cell int, block int, parts int")
+        dealt = ringed.join(F.broadcast(named), "cell").select("id", "v", "list", "cell", (F.col("block") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))
+        members = saved(spark, dealt.repartition("block").sortWithinPartitions("block", "cell"))
+        drop(placed, cells)
+        columns = [(np.int32, [r.cell for r in found]), (np.int32, [r.list for r in found]), (float, [r.low for r in found]), (float, [r.high for r in found]), (np.int64, [r.n for r in found]), (np.int32, [b[0] for b in blocks]), (np.int32, [b[1] for b in blocks])]
+        return VectorIndex(spark, members, Cells(centres, *(np.array(c, dtype=t) for t, c in columns)))
 
     # --- searches ---------------------------------------------------------------------
 
     def probes(self, queries: DataFrame, choose: Callable[[Cells, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
         """``queries`` (``id``, ``v`` at length 1, ``radius``, ``label``, ``core``) with the cells that ``choose`` opens, in a column ``cells``."""
+        return self._opened(queries, choose, lambda held, found: [held.cells[f] for f in found], "cells")
+
+    def _opened(self, queries: DataFrame, choose, name, column: str) -> DataFrame:
+        """``queries`` with ``near``, their nearest centre, and what ``name`` says of the cells that ``choose`` opens."""
         shared = self.spark.sparkContext.broadcast(self.held)
 
         def run(batches):
             for whole in batches:
-                for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
-                    radius = batch.column("radius").fill_null(_EVERYWHERE).to_numpy(zero_copy_only=False)
-                    found = choose(shared.value, matrix(batch.column("v")), radius)
-                    cells = pa.array([shared.value.cells[f] for f in found], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
+                for batch in (whole.slice(at, STEP) for at in range(0, whole.num_rows, STEP)):
+                    held, x = shared.value, matrix(batch.column("v"))
+                    found = pa.array(name(held, choose(held, x, _radius(batch.column("radius")))), pa.list_(pa.int32()))
+                    near = _distances(x, held.centres).argmin(1) if len(held.centres) else np.zeros(len(x), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), found], [*batch.schema.names, "near", column])
 
-        return queries.select(*_QUERY).mapInArrow(run, "id long, v array<double>, radius double, label long, core double, cells array<int>")
+        return queries.select(*_QUERY).mapInArrow(run, f"id long, v array<double>, radius double, label long, core double, near int, {column} array<int>")
 
-    def meet(self, probes: DataFrame, kernel, schema: str, members: DataFrame | None = None) -> DataFrame:
-        """What ``kernel(points, queries)`` gives for the points of each opened cell and the queries that opened it.
+    def meet(self, queries: DataFrame, choose, kernel, schema: str, members: DataFrame | None = None, onward: bool = False) -> DataFrame:
+        """What ``kernel()`` makes of the points of each block and the queries for which ``choose`` opens a cell there.
 
-        Both are dictionaries of arrays ``id``, ``v``, ``label`` and ``core`` (and ``radius`` for
-        queries).  ``members`` may be the index's own with columns ``label`` and ``core``.
+        It is called with points and queries, dictionaries of arrays ``id``, ``v``, ``label``,
+        ``core`` and ``near`` (``v`` in single precision; of queries also ``radius``), and once
+        without any when a task's queries have all come by.  ``members`` may be the index's own
+        with columns ``label`` and ``core``.  ``onward`` leaves out blocks before the query's ``label``.
         """
         members = self.members.select("*", F.lit(None).cast("long").alias("label"), F.lit(None).cast("double").alias("core")) if members is None else members
-        asked = probes.withColumn("cell", F.explode("cells")).drop("cells")
-        # a row for each cell: how many tasks hold its points, and into how many its queries are dealt
-        counts = asked.groupBy("cell").agg(F.count("*").alias("q"))
-        sizes = self.spark.createDataFrame([(int(c), int(-(-n // TASK_POINTS))) for c, n in zip(self.held.cells, self.held.n)], "cell int, parts int")
-        plan = F.broadcast(counts.join(sizes, "cell").select("cell", "parts", F.ceil(F.col("q") / TASK_QUERIES).cast("int").alias("slices")))
-        rows = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        own = members.join(plan, "cell").withColumn("slice", rows("slices")).select("cell", "part", "slice", F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("radius"), "label", "core")
-        theirs = asked.join(plan, "cell").withColumn("part", rows("parts"))
-        theirs = theirs.select("cell", "part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("kind"), *_QUERY)
-        keys = ["cell", "part", "slice"]
-        both = own.unionByName(theirs).repartition(*keys).sortWithinPartitions(*keys, "kind", "id")
-        return both.mapInArrow(_met(kernel), schema)
+        blocks = lambda held, found: [np.unique(held.in_block[f[held.shares]]) for f in found]
+        asked = self._opened(queries, choose, blocks, "blocks").withColumn("block", F.explode("blocks")).drop("blocks")
+        asked = asked.where("block >= label") if onward else asked
+        # a row a block: its first task, and how many tasks its queries are dealt to
+        plan, tasks = [], 0
+        for r in sorted(asked.groupBy("block").agg(F.count("*").alias("q")).collect(), key=lambda r: r.block):
+            plan.append((r.block, tasks, -(-r.q // TASK_QUERIES)))
+            tasks += plan[-1][2]
+        if not plan:
+            return self.spark.createDataFrame([], schema)
+        placed = F.broadcast(self.spark.createDataFrame(plan, "block int, first int, slices int"))
+        own = members.join(placed, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        own = own.select((F.col("first") + F.col("slice")).alias("task"), F.lit(0).alias("kind"), F.col("cell").alias("near"), "id", "v", F.lit(None).cast("double").alias("radius"), "label", "core")
+        theirs = asked.join(placed, "block").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+        theirs = theirs.select((F.col("first") + F.col("slice")).alias("task"), F.lit(1).alias("kind"), "near", *_QUERY)
+        both = own.unionByName(theirs).repartition(tasks, "task").sortWithinPartitions("task", "kind", "near", "id")
+        return both.mapInArrow(_met(kernel, choose, self.spark.sparkContext.broadcast(self.held)), schema)
 
     def within(self, queries: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """All points with a cosine of at least ``least``: ``query_id``, ``id``, ``score``."""
 
-        def kernel(points, asked):
-            scores = np.round(asked["v"] @ points["v"].T, DIGITS) + 0.0
-            i, j = np.nonzero(scores >= least)
-            return pa.table({"query_id": asked["id"][i], "id": points["id"][j], "score": scores[i, j]})
+        def kernel(points=None, asked=None):
+            if points is not None:
+                i, j, scores = near(points, asked, np.full(len(asked["id"]), least))
+                return pa.table({"query_id": asked["id"][i], "id": points["id"][j], "score": scores})
 
-        return self.meet(self._asked(queries, least, key, vector), kernel, "query_id long, id long, score double")
+        return self.meet(self._ranged(queries, least, key, vector), Cells.open_within, lambda: kernel, "query_id long, id long, score double")
 
-    def _asked(self, queries: DataFrame, least: float, key: str, vector: str) -> DataFrame:
+    def _ranged(self, queries: DataFrame, least: float, key: str, vector: str) -> DataFrame:
         radius = F.lit(float(reach(least))) if least > 0 else F.lit(None).cast("double")
-        return self.probes(_plain(_usable(queries, key, vector)).withColumn("radius", radius), Cells.open_within)
+        return _plain(_usable(queries, key, vector)).withColumn("radius", radius)
+
+    def _asked(self, queries: DataFrame, least: float, key: str, vector: str) -> DataFrame:
+        return self.probes(self._ranged(queries, least, key, vector), Cells.open_within)
 
-    def pairs(self, least: float) -> DataFrame:
-        """All pairs ``a < b`` of indexed points with a cosine of at least ``least``: ``a``, ``b``, ``score``."""
+    def pairs(self, least: float, make=None, schema: str = "a long, b long, score double") -> DataFrame:
+        """All pairs ``a < b`` of indexed points with a cosine of at least ``least``: ``a``, ``b``, ``score``; or what ``make()`` makes of a task's pairs.
 
-        def kernel(points, asked):
-            scores = np.round(asked["v"] @ points["v"].T, DIGITS) + 0.0
-            i, j = np.nonzero((scores >= least) & (asked["id"][:, None] < points["id"]))
-            return pa.table({"a": asked["id"][i], "b": points["id"][j], "score": scores[i, j]})
+        Each pair of blocks meets once.
+        """
+        make = make or (lambda: lambda a=None, b=None, score=None: None if a is None else pa.table({"a": a, "b": b, "score": score}))
+
+        def kernel():
+            of = make()
 
-        return self.meet(self._asked(self.members, least, "id", "v"), kernel, "a long, b long, score double")
+            def run(points=None, asked=None):
+                if points is None:
+                    return of()
+                i, j, scores = near(points, asked, np.full(len(asked["id"]), least))
+                keep = (asked["label"][i] != points["label"][j]) | (asked["id"][i] < points["id"][j])
+                a, b = asked["id"][i[keep]], points["id"][j[keep]]
+                return of(np.minimum(a, b), np.maximum(a, b), scores[keep])
+
+            return run
+
+        label = F.col("block").cast("long").alias("label")
+        members = self.members.select("id", "v", "cell", "block", label, F.lit(None).cast("double").alias("core"))
+        radius = F.lit(float(reach(least))) if least > 0 else F.lit(None).cast("double")
+        return self.meet(members.withColumn("radius", radius), Cells.open_within, kernel, schema, members, onward=True)
 
     def nearest(self, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = True) -> tuple[DataFrame, DataFrame]:
         """The ``k`` best points of each query (``query_id``, ``id``, ``score``, ``rank``), and the cells that each opened (``query_id``, ``opened``).
 
         The nearest cells give a first ``k``; the score of the last bounds how far a better
-        one can be, and the cells within that distance are opened too.  Scores are rounded
+        one can be, and the cells within that distance are searched.  Scores are rounded
         before ranking and ties go to the smaller key, as in a scan.
         """
         asked = saved(self.spark, _plain(_usable(queries, key, vector)))
-        first = saved(self.spark, self.probes(asked, lambda cells, x, _: cells.open_nearest(x, 2 * (k + 1))))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         ranked = lambda hits: hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        schema = "query_id long, id long, score double"
-        best = saved(self.spark, ranked(self.meet(first, _best(k, skip_self), schema)))
+        schema, best = "query_id long, id long, score double", _best(k, skip_self)
+        first = saved(self.spark, ranked(self.meet(asked, lambda cells, x, _: cells.open_nearest(x, 2 * (k + 1)), best, schema)))
         # not even a score of -1 is out of reach where there are fewer than k
         reached = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("score") - SLACK)))
-        limit = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), reached.alias("_radius"))
-        again = self.probes(asked.join(limit, "id", "left").withColumn("radius", F.col("_radius")).select(*_QUERY), Cells.open_within)
-        opened = first.select("id", F.col("cells").alias("before"))
-        rest = saved(self.spark, again.join(opened, "id").withColumn("cells", F.array_except("cells", "before")).drop("before"))
-        hits = ranked(best.drop("rank").unionByName(self.meet(rest, _best(k, skip_self), schema)))
-        count = first.select("id", F.size("cells").alias("n")).unionByName(rest.select("id", F.size("cells").alias("n")))
-        return hits, count.groupBy(F.col("id").alias("query_id")).agg(F.sum("n").alias("opened"))
+        limit = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), reached.alias("_radius"))
+        again = saved(self.spark, asked.join(limit, "id", "left").withColumn("radius", F.col("_radius")).select(*_QUERY))
+        hits = ranked(self.meet(again, Cells.open_within, best, schema))
+        return hits, self.probes(again, Cells.open_within).select(F.col("id").alias("query_id"), F.size("cells").alias("opened"))
 
 
 _QUERY = ["id", "v", "radius", "label", "core"]
@@ -241,57 +317,109 @@ def _plain(queries: DataFrame) -> DataFrame:
     return queries.select("id", "v", F.lit(None).cast("double").alias("radius"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("double").alias("core"))
 
 
-def _best(k: int, skip_self: bool):
-    """The ``k`` best points of each query, the smaller ids first among equal scores."""
+def _radius(column) -> np.ndarray:
+    return column.fill_null(_EVERYWHERE).to_numpy(zero_copy_only=False)
+
+
+def least_score(asked: dict) -> np.ndarray:
+    """The cosine at each query's radius."""
+    radius = asked["radius"]
+    return np.where(radius >= _EVERYWHERE, -np.inf, 1 - radius * radius / 2)
+
 
-    def kernel(points, asked):
+def near(points: dict, asked: dict, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, point and rounded cosine of all pairs with at least the query's ``least``.
+
+    Products in single precision say which pairs may have it, by more than their error;
+    only these are computed in double precision.
+    """
+    rough = asked["v32"] @ points["v32"].T
+    slack = (rough.shape[1] > 0) * (asked["v"].shape[1] + 16) * 1.2e-7 + 1e-6
+    i, j = np.nonzero(rough >= (least - slack)[:, None].astype(np.float32))
+    if len(i) > rough.size // 16:
         scores = np.round(asked["v"] @ points["v"].T, DIGITS) + 0.0
-        if skip_self:
-            scores[asked["id"][:, None] == points["id"]] = -np.inf
-        if scores.shape[1] > k:
-            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-            i, j = np.nonzero(scores >= least[:, None])
+        i, j = np.nonzero(scores >= least[:, None])
+        return i, j, scores[i, j]
+    parts = [np.einsum("ij,ij->i", asked["v"][i[at : at + 8192]], points["v"][j[at : at + 8192]]) for at in range(0, len(i), 8192)]
+    scores = np.round(np.concatenate(parts), DIGITS) + 0.0 if parts else np.zeros(0)
+    keep = scores >= least[i]
+    return i[keep], j[keep], scores[keep]
+
+
+def _best(k: int, skip_self: bool):
+    """The ``k`` best points of each query within its radius, the smaller ids first among equal scores."""
+
+    def kernel(points=None, asked=None):
+        if points is None:
+            return None
+        least = least_score(asked)
+        if np.isinf(least).any():  # the k-th score of those that are here
+            scores = np.round(asked["v"] @ points["v"].T, DIGITS) + 0.0
+            if skip_self:
+                scores[asked["id"][:, None] == points["id"]] = -np.inf
+            most = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+            i, j = np.nonzero((scores >= np.maximum(least, most)[:, None]) & (scores > -np.inf))
+            own = scores[i, j]
         else:
-            i, j = np.nonzero(scores > -np.inf)
-        own = scores[i, j]
+            i, j, own = near(points, asked, least)
+            if skip_self:
+                keep = asked["id"][i] != points["id"][j]
+                i, j, own = i[keep], j[keep], own[keep]
         order = np.lexsort((points["id"][j], -own, i))
         i, j, own = i[order], j[order], own[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = (place < k) & (own > -np.inf)
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
         return pa.table({"query_id": asked["id"][i[keep]], "id": points["id"][j[keep]], "score": own[keep]})
 
-    return kernel
+    return lambda: kernel
+
 
+def arrays(table: pa.Table) -> dict:
+    """The rows as arrays, the vectors in both precisions."""
+    out = {c: table.column(c).to_numpy() for c in ("id", "label", "core", "near")}
+    out |= {"radius": _radius(table.column("radius")), "v": matrix(table.column("v").combine_chunks())}
+    return out | {"v32": out["v"].astype(np.float32)}
 
-def _met(kernel):
-    """Holds the points of one part of a cell while its queries come by."""
 
-    def arrays(table: pa.Table, names) -> dict:
-        out = {"v": matrix(table.column("v").combine_chunks())}
-        for name in names:
-            out[name] = table.column(name).to_numpy()
-        return out
+def _met(kernel, choose, shared):
+    """Holds the points of a block while its queries come by."""
+
+    def opened(points: dict, cells: Cells, asked: dict) -> dict | None:
+        """The points of the cells that any of the queries opens."""
+        found = choose(cells, asked["v"], asked["radius"]).any(axis=0)
+        mask = np.isin(points["near"], cells.cells[found])
+        if not mask.any():
+            return None
+        return points if mask.mean() > 0.8 else {c: x[mask] for c, x in points.items()}
 
     def run(batches):
         held: list[pa.Table] = []
-        current, points = None, None
+        current, points, cells, of = None, None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             whole = pa.Table.from_batches([batch])
-            keys = np.stack([whole.column(c).to_numpy() for c in ("cell", "part", "slice", "kind")])
+            keys = np.stack([whole.column(c).to_numpy() for c in ("task", "kind")])
             cuts = [0, *(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist(), whole.num_rows]
             for a, b in zip(cuts, cuts[1:]):
-                own, rows = tuple(keys[:3, a].tolist()), whole.slice(a, b - a)
+                own, rows = int(keys[0, a]), whole.slice(a, b - a)
                 if own != current:
-                    current, points, held = own, None, []
-                if keys[3, a] == 0:
+                    yield from _batches(of()) if of else ()
+                    current, points, held, of = own, None, [], kernel()
+                if keys[1, a] == 0:
                     held.append(rows)
                 elif held:
-                    points = points or arrays(pa.concat_tables(held), ("id", "label", "core"))
-                    for at in range(0, rows.num_rows, 1024):
-                        found = kernel(points, arrays(rows.slice(at, 1024), ("id", "label", "core", "radius")))
-                        if found.num_rows:
-                            yield from found.combine_chunks().to_batches()
+                    if points is None:
+                        points = arrays(pa.concat_tables(held))
+                        cells = shared.value.of(np.unique(points["near"]))
+                    for at in range(0, rows.num_rows, STEP):
+                        asked = arrays(rows.slice(at, STEP))
+                        mine = opened(points, cells, asked)
+                        if mine is not None:
+                            yield from _batches(of(mine, asked))
+        yield from _batches(of()) if of else ()
 
     return run
+
+
+def _batches(found: pa.Table | None) -> list[pa.RecordBatch]:
+    return found.combine_chunks().to_batches() if found is not None and found.num_rows else []

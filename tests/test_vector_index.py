@@ -100,3 +100,18 @@ def test_bound_never_shuts_a_cell_with_a_hit():
     for c in range(5):
         assert not (apart[shut[:, c]][:, lists == c] <= radius[shut[:, c], None]).any()
     assert shut.any()
+
+
+def test_a_query_goes_once_to_a_block(spark):
+    """However many cells are open: blocks don't get more with the points, up to their bound."""
+    x = np.random.default_rng(5).normal(size=(3000, 8)).astype(np.float32)
+    index = VectorIndex.build(spark, frame(spark, x))
+    open_ = index._asked(index.members, 0.1, "id", "v").agg(F.avg(F.size("cells"))).first()[0]
+    met = index.meet(index._ranged(index.members, 0.1, "id", "v"), Cells.open_within, lambda: lambda points=None, asked=None: None if points is None else vector_index.pa.table({"id": asked["id"]}), "id long")
+    most = met.groupBy("id").count().agg(F.max("count"), F.count("*")).first()
+    assert most[0] <= vector_index.BLOCKS < open_ and most[1] == len(x)
+
+
+def test_blocks_hold_cells_in_order_and_share_large_ones():
+    assert vector_index._blocks([3, 4, 5, 25, 2, 2], 10) == [(0, 1), (0, 1), (1, 1), (2, 3), (5, 1), (5, 1)]
+    assert sorted(vector_index._near_order(np.random.default_rng(0).normal(size=(37, 4)))) == list(range(37)) and vector_index._near_order(np.zeros((5, 2))) is not None
