@@ -157,3 +157,17 @@ def test_few_points(spark, n):
     found, tree = density.density_tree(spark, points, Settings(2, 1, 0.0))
     assert sorted((r.vec_id, r.cluster, r.noise) for r in found.collect()) == [(i, i, True) for i in range(n)]
     assert tree.count() == (n == 2)
+
+
+def test_one_representative_and_one_task_change_nothing(spark, monkeypatch):
+    """Components learn of an edge that leaves them from points that all tasks hold; with one of these the tree is the same."""
+    from lorespark.operators import graph
+
+    monkeypatch.setattr(density, "REPRESENTATIVES", 1)
+    monkeypatch.setattr(density, "LIST", 2)
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", 4)
+    x = blobs(11, [9, 9], spread=0.01, noise=3)
+    x[2] = x[1]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    edges, _ = density.spanning_tree(spark, density.VectorIndex.build(spark, points), Settings(3, 1, 0.0))
+    assert sorted((r.lo, r.hi) for r in edges.collect()) == sorted((a, b) for _, a, b in span(weights(x, 1)[0]))
