@@ -69,7 +69,7 @@ def sweep(points: DataFrame, thresholds: list[float]) -> DataFrame:
 
 def neighbour_clusters(spark: SparkSession, points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Clusters of points joined by similarities of at least ``least``; others are alone."""
-    pairs = retrieval.similar_pairs(points, least, key, vector).select("a", "b")
+    pairs = retrieval.links(points, least, key, vector)
     found = graph.components(spark, points.select(F.col(key).cast("long").alias("node")), pairs)
     return found.select(F.col("node").alias(key), F.col("component").alias("cluster"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import vectors
+from lorespark.operators import graph
 from lorespark.operators.vector_index import VectorIndex
 
 #: Rows of a block of the all-pairs product; a task holds two blocks and their product.
@@ -120,7 +121,7 @@ def similar_pairs(points: DataFrame, least: float, key: str = "vec_id", vector:
     index that the threshold leaves open to them; fewer are multiplied block by block,
     which costs less than the index does.  The rows are the same; ``indexed`` chooses.
     """
-    if indexed or (indexed is None and usable(points, key, vector).limit(PRODUCT_BLOCKS * block + 1).count() > PRODUCT_BLOCKS * block):
+    if indexed or (indexed is None and _many(points, key, vector, block)):
         return VectorIndex.build(points.sparkSession, points, key, vector).pairs(least)
 
     def reached(a, b, scores, pairs):
@@ -130,6 +131,43 @@ def similar_pairs(points: DataFrame, least: float, key: str = "vec_id", vector:
     return _products(points, reached, "a long, b long, score double", key, vector, block)
 
 
+def _many(points: DataFrame, key: str, vector: str, block: int) -> bool:
+    return usable(points, key, vector).limit(PRODUCT_BLOCKS * block + 1).count() > PRODUCT_BLOCKS * block
+
+
+#: Links of a task from which it keeps only what connects the same points.
+MOST_LINKS = 1 << 20
+
+
+class _Links:
+    """What connects the points of the pairs that come by: each point and the least one of its component."""
+
+    def __init__(self):
+        self.held, self.n = [], 0
+
+    def __call__(self, a=None, b=None, score=None) -> pa.Table | None:
+        if a is not None:
+            self.held.append((a, b))
+            self.n += len(a)
+        if self.held and (a is None or self.n > MOST_LINKS):
+            points, first = graph.least_nodes(*(np.concatenate(x) for x in zip(*self.held)))
+            apart = points != first
+            # a task's links stay fewer than its points
+            self.held, self.n = [(first[apart], points[apart])], 0
+        return pa.table(dict(zip("ab", self.held[0]))) if a is None and self.held else None
+
+
+def links(points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, indexed: bool | None = None) -> DataFrame:
+    """Pairs ``a``, ``b`` that connect the same points as all pairs with a cosine of at least ``least``.
+
+    Of more points than are multiplied without an index, a task sends fewer links than it
+    has points, however many pairs it finds.
+    """
+    if indexed or (indexed is None and _many(points, key, vector, block)):
+        return VectorIndex.build(points.sparkSession, points, key, vector).pairs(least, _Links, "a long, b long")
+    return similar_pairs(points, least, key, vector, block, False).select("a", "b")
+
+
 def _pairs(a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": scores})
 

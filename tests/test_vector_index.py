@@ -115,3 +115,15 @@ def test_a_query_goes_once_to_a_block(spark):
 def test_blocks_hold_cells_in_order_and_share_large_ones():
     assert vector_index._blocks([3, 4, 5, 25, 2, 2], 10) == [(0, 1), (0, 1), (1, 1), (2, 3), (5, 1), (5, 1)]
     assert sorted(vector_index._near_order(np.random.default_rng(0).normal(size=(37, 4)))) == list(range(37)) and vector_index._near_order(np.zeros((5, 2))) is not None
+
+
+def test_links_connect_what_pairs_connect_and_are_few(spark, monkeypatch):
+    from lorespark.operators import graph, retrieval
+
+    monkeypatch.setattr(retrieval, "MOST_LINKS", 100)
+    x = clustered(each=30)
+    points = frame(spark, x)
+    pairs = [(r.a, r.b) for r in similar_pairs(points, 0.9, indexed=False).collect()]
+    found = [(r.a, r.b) for r in retrieval.links(points, 0.9, indexed=True).collect()]
+    least = lambda edges: dict(zip(*(v.tolist() for v in graph.least_nodes(*np.array(edges).T))))
+    assert least(found) == least(pairs) and len(found) < len(x) < len(pairs) / 5
