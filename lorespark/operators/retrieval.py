@@ -11,13 +11,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lorespark.functions import vectors
 from lorespark.operators import graph
 from lorespark.operators.vector_index import VectorIndex
 
-#: Rows of a block of the all-pairs product; a task holds two blocks and their product.
+#: Rows of a tile of the all-pairs product, and blocks of tiles; a group has two blocks, and holds the product of two tiles at a time.
 BLOCK = 1024
+BLOCKS = 16
+#: Points of a block at most; more points make more blocks.
+MOST_BLOCK = 65_536
+TASKS_PER_CORE = 4
 #: Blocks of points up to which all pairs are multiplied without an index.
 PRODUCT_BLOCKS = 16
 #: Query vectors or classes that are held by every task at once; more are taken in blocks.
@@ -124,9 +130,11 @@ def similar_pairs(points: DataFrame, least: float, key: str = "vec_id", vector:
     if indexed or (indexed is None and _many(points, key, vector, block)):
         return VectorIndex.build(points.sparkSession, points, key, vector).pairs(least)
 
-    def reached(a, b, scores, pairs):
-        i, j = np.nonzero((scores >= least) & pairs)
-        return _pairs(a[i], b[j], scores[i, j])
+    def reached(tiles):
+        for a, b, scores, pairs in tiles:
+            scores = np.round(scores, DIGITS) + 0.0
+            i, j = np.nonzero((scores >= least) & pairs)
+            yield _pairs(a[i], b[j], scores[i, j])
 
     return _products(points, reached, "a long, b long, score double", key, vector, block)
 
@@ -175,15 +183,25 @@ def _pairs(a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> pa.Table:
 def first_pairs(points: DataFrame, most: int, near: float | None = None, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """The ``most`` pairs with the highest cosines, or with those nearest to ``near``: each pair of blocks sends its own first ones."""
 
-    def first(a, b, scores, pairs):
-        i, j = np.nonzero(pairs)
-        scores = scores[i, j]
-        far = -scores if near is None else np.round(np.abs(scores - near), DIGITS)
-        if len(far) > most:
-            taken = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1])
-            i, j, scores, far = i[taken], j[taken], scores[taken], far[taken]
-        order = np.lexsort((np.maximum(a[i], b[j]), np.minimum(a[i], b[j]), far))[:most]
-        return _pairs(a[i[order]], b[j[order]], scores[order])
+    def far_from(scores):
+        return -scores if near is None else np.round(np.abs(scores - near), DIGITS)
+
+    def first(tiles):
+        held, worst = _pairs(*(np.zeros(0, t) for t in (np.int64, np.int64, float))), np.inf
+        for a, b, scores, pairs in tiles:
+            # what is clearly behind the last one held needs no rounding
+            i, j = np.nonzero(((-scores if near is None else np.abs(scores - near)) <= worst + 2e-6) & pairs)
+            own = np.round(scores[i, j], DIGITS) + 0.0
+            far = far_from(own)
+            if len(far) > most:
+                taken = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1])
+                i, j, own = i[taken], j[taken], own[taken]
+            if len(own):
+                both = pa.concat_tables([held, _pairs(a[i], b[j], own)])
+                far = far_from(both.column("score").to_numpy())
+                order = np.lexsort((both.column("b").to_numpy(), both.column("a").to_numpy(), far))[:most]
+                held, worst = both.take(order), far[order[-1]] if len(order) == most else np.inf
+        yield held
 
     found = _products(points, first, "a long, b long, score double", key, vector, block)
     far = F.desc("score") if near is None else F.round(F.abs(F.col("score") - near), DIGITS)
@@ -193,24 +211,30 @@ def first_pairs(points: DataFrame, most: int, near: float | None = None, key: st
 def score_counts(points: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """How many of all pairs have each rounded cosine: ``score``, ``n``; at most two million rows, however many pairs."""
 
-    def count(a, b, scores, pairs):
-        values, n = np.unique(scores[pairs], return_counts=True)
-        return pa.table({"score": values, "n": n.astype(np.int64)})
+    def count(tiles):
+        scale = 10**DIGITS
+        n = np.zeros(2 * scale + 1, dtype=np.int64)
+        for _, _, scores, pairs in tiles:
+            own = scores if pairs is True else scores[pairs]
+            n += np.bincount((np.rint(own * scale).astype(np.int64) + scale).ravel(), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.table({"score": (at - scale) / scale, "n": n[at]})
 
     return _products(points, count, "score double, n long", key, vector, block).groupBy("score").agg(F.sum("n").alias("n"))
 
 
 def _products(points: DataFrame, make, schema: str, key: str, vector: str, block: int) -> DataFrame:
-    """What ``make`` takes of each pair of blocks: ids of both sides, their scores, and which of these are pairs of different points.
+    """What ``make`` yields of the tiles of each pair of blocks: ids of both sides, their cosines, and which of these are pairs of different points, or true.
 
-    A blocked matrix product: each pair of blocks is one group, of two bounded blocks.
-    The number of pairs grows with the square of the points, as the operation asks for;
-    restrict ``points`` to a candidate set for large collections.
+    A blocked matrix product: each pair of blocks is one group, of two bounded blocks, which
+    are multiplied tile by tile.  There are ``BLOCKS`` blocks or more, so a point is sent that
+    often.  The number of pairs grows with the square of the points, as the operation asks
+    for; restrict ``points`` to a candidate set for large collections.
     """
     points = usable(points, key, vector)
     count = points.count()
-    blocks = max(1, -(-count // block))
-    rows = points.select(F.col(key).cast("long").alias("id"), vectors.doubles(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    blocks = max(1, -(-count // max(block, min(MOST_BLOCK, -(-count // BLOCKS)))))
+    rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
     spread = rows.withColumn("pair", F.explode(others)).select("pair.x", "pair.y", "b", "id", "v")
 
@@ -221,11 +245,19 @@ def _products(points: DataFrame, make, schema: str, key: str, vector: str, block
         m = _unit(_matrix(table.column("v").chunk(0))[order])
         x, y = key_[0].as_py(), key_[1].as_py()
         left, right = np.flatnonzero(b == x), np.flatnonzero(b == y)
-        scores = np.round(m[left] @ m[right].T, DIGITS) + 0.0
-        pairs = ids[left][:, None] < ids[right] if x == y else np.ones(scores.shape, dtype=bool)
-        return make(ids[left], ids[right], scores, pairs)
 
-    return spread.groupBy("x", "y").applyInArrow(product, schema)
+        def tiles():
+            for p in range(0, len(left), block):
+                for q in range(p if x == y else 0, len(right), block):
+                    i, j = left[p : p + block], right[q : q + block]
+                    yield ids[i], ids[j], m[i] @ m[j].T, ids[i][:, None] < ids[j] if x == y else True
+
+        return pa.concat_tables([pa.table(schema=made, data={c: [] for c in made.names}), *(t.cast(made) for t in make(tiles()))])
+
+    made = to_arrow_schema(StructType.fromDDL(schema))
+    # a group's work is the square of its bytes, so their number says how many tasks there are
+    tasks = min(blocks * (blocks + 1) // 2, TASKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism)
+    return spread.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(product, schema)
 
 
 def counted_distribution(counts: DataFrame, value: str = "score", n: str = "n") -> DataFrame:

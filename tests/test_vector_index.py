@@ -127,3 +127,21 @@ def test_links_connect_what_pairs_connect_and_are_few(spark, monkeypatch):
     found = [(r.a, r.b) for r in retrieval.links(points, 0.9, indexed=True).collect()]
     least = lambda edges: dict(zip(*(v.tolist() for v in graph.least_nodes(*np.array(edges).T))))
     assert least(found) == least(pairs) and len(found) < len(x) < len(pairs) / 5
+
+
+def test_all_pairs_meet_in_few_blocks(spark):
+    """Tiles don't say how often a point is sent: counts and first pairs are those of a scan, from a bounded number of blocks."""
+    from lorespark.operators import retrieval
+
+    x = clustered(each=30)
+    points, (i, j) = frame(spark, x), np.triu_indices(len(x), 1)
+    scores = cosines(x)[i, j]
+    counted = {r.score: r.n for r in retrieval.score_counts(points, block=8).collect()}
+    values, n = np.unique(scores, return_counts=True)
+    assert sum(counted.values()) == len(scores) and sum(counted.get(v, 0) != m for v, m in zip(values, n)) <= 4  # roundings of the last digit
+    for near in (None, 0.3):
+        far = -scores if near is None else np.round(np.abs(scores - near), 6)
+        want = [(i[k], j[k]) for k in np.lexsort((j, i, far))[:10]]
+        assert [(r.a, r.b) for r in retrieval.first_pairs(points, 10, near, block=8).collect()] == want
+    groups = retrieval._products(points, lambda tiles: [retrieval.pa.table({"n": [sum(1 for _ in tiles)]})], "n long", "vec_id", "embedding", 8)
+    assert groups.count() <= retrieval.BLOCKS * (retrieval.BLOCKS + 1) // 2
