@@ -44,29 +44,36 @@ def _word_lists(texts: pa.Array, least: int, grams: int) -> tuple[np.ndarray, pa
     return rows.astype(np.int64), flat
 
 
-def _counted(batch: pa.RecordBatch, groups: np.ndarray, least: int, grams: int = 1) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Group, word and number of each distinct pair in a batch with a column ``body``; ``groups`` numbers the rows."""
+def _counted(batch: pa.RecordBatch, groups: np.ndarray, least: int, grams: int = 1, among: pa.Array | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Group, word and number of each distinct pair in a batch with a column ``body``, of the words ``among`` if they are given; ``groups`` numbers the rows."""
     rows, flat = _word_lists(batch.column("body"), least, grams)
-    coded = flat.dictionary_encode()
-    k = max(1, len(coded.dictionary))
-    pairs, counts = np.unique(groups[rows] * k + coded.indices.to_numpy(), return_counts=True)
-    return pairs // k, coded.dictionary.cast(pa.string()).take(pa.array(pairs % k)), counts
+    if among is None:
+        coded = flat.dictionary_encode()
+        names, at = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
+    else:
+        names, at = among, pc.index_in(flat, value_set=among.cast(flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+        rows, at = rows[at >= 0], at[at >= 0]
+    k = max(1, len(names))
+    pairs, counts = np.unique(groups[rows] * k + at, return_counts=True)
+    return pairs // k, names.take(pa.array(pairs % k)), counts
 
 
 def _texts(docs: DataFrame, body: str, *by: str) -> DataFrame:
     return spread(docs.select(*by, F.col(body).cast("string").alias("body")).where("body is not null"))
 
 
-def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int = 4, grams: int = 1) -> DataFrame:
+def mentions(docs: DataFrame, by: str = "doc_id", body: str = "text", least: int = 4, grams: int = 1, among: pa.Array | None = None) -> DataFrame:
     """Words of at least ``least`` characters in each document with how often they are there (``word``, ``tf``).
 
-    Words are counted within each batch of rows before they are shuffled.
+    Words are counted within each batch of rows before they are shuffled; with ``among``, a
+    bounded number of words, only those are.
     """
+    shared = None if among is None else docs.sparkSession.sparkContext.broadcast(among)
 
     def run(batches):
         for batch in _slices(batches):
             own = batch.column(by).dictionary_encode(null_encoding="encode")
-            group, word, n = _counted(batch, own.indices.to_numpy().astype(np.int64), least, grams)
+            group, word, n = _counted(batch, own.indices.to_numpy().astype(np.int64), least, grams, shared and shared.value)
             yield pa.RecordBatch.from_arrays([own.dictionary.take(pa.array(group)), word, pa.array(n, pa.int64())], [by, "word", "tf"])
 
     lists = _texts(docs, body, by)

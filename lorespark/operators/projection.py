@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorespark.functions import vectors
 from lorespark.operators import keywords
 from lorespark.operators.tables import saved
 
@@ -31,10 +32,13 @@ def weighted(spark: SparkSession, docs: DataFrame, by: str = "doc_id", least_doc
     n = docs.count()
     place = (F.row_number().over(Window.orderBy(F.desc("df"), "word")) - 1).cast("int")  # a bounded number of rows
     terms = saved(spark, counts.select("word", place.alias("place"), F.log(1 + n / F.col("df")).alias("weight")))
-    found = keywords.mentions(docs, by, grams=grams).join(F.broadcast(terms), "word").select(by, "place", (F.col("tf") * F.col("weight")).alias("x"))
+    known = terms.select("word").toArrow().column("word").combine_chunks().cast(pa.string())  # up to ``most``
+    found = keywords.mentions(docs, by, grams=grams, among=known).join(F.broadcast(terms), "word").select(by, "place", (F.col("tf") * F.col("weight")).alias("x"))
     rows = found.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("t"))
     size = F.sqrt(F.aggregate("t", F.lit(0.0), lambda s, t: s + t["x"] * t["x"]))
-    rows = rows.withColumn("size", size).select(by, F.transform("t", lambda t: t["place"]).alias("places"), F.transform("t", lambda t: t["x"] / F.col("size")).alias("x"))
+    # a column of the size would be put into the lambda, and computed again for each term
+    x = vectors.let(size, lambda n: F.transform("t", lambda t: t["x"] / n))
+    rows = rows.select(by, F.transform("t", lambda t: t["place"]).alias("places"), x.alias("x"))
     return saved(spark, rows), terms
 
 

@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from lorespark.operators import keywords
+from lorespark.operators import keywords, projection
 from lorespark.plans import load
 
 REGISTRY = load()
@@ -58,3 +58,16 @@ def test_slices_are_bounded_by_their_text(monkeypatch):
     batch = pa.record_batch({"body": ["abcd", "efgh", "ijkl", "", "m" * 50, "n", "o"]})
     parts = list(keywords._slices([batch]))
     assert [p.num_rows for p in parts] == [2, 2, 1, 2] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+
+
+def test_only_known_terms_are_shuffled_and_a_size_is_taken_once(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = pa.array(["nobody has this", *sorted(r.word for r in keywords.document_counts(docs, grams=2).orderBy("df", "word").limit(50).collect())])
+    want = keywords.mentions(docs, grams=2).where(keywords.F.col("word").isin(known.to_pylist()))
+    assert sorted(map(tuple, keywords.mentions(docs, grams=2, among=known).collect())) == sorted(map(tuple, want.collect())) != []
+    plans = []
+    kept = projection.saved
+    monkeypatch.setattr(projection, "saved", lambda s, frame: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or kept(s, frame))
+    projection.weighted(spark, docs)
+    # the size is the argument of a lambda; inside one it would be taken for each term
+    assert "sqrt(" in plans[-1].lower() and "/ sqrt(" not in plans[-1].lower()
