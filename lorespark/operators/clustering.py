@@ -14,36 +14,71 @@ from lorespark.operators import graph, retrieval
 from lorespark.operators.tables import saved
 
 
+#: Similarities that a block of points has with all centroids, at most, and points of a block.
+GREEDY_SCORES, GREEDY_BLOCK = 1 << 25, 256
+
+
 class _Centroids:
     """Running means of greedy clusters, with room to grow."""
 
     def __init__(self, least: float, size: int):
         self.least, self.n = least, 0
         self.means, self.lengths, self.counts = np.zeros((64, size)), np.zeros(64), np.zeros(64, dtype=np.int64)
-
-    def place(self, v: np.ndarray) -> int:
-        """The most similar running mean of at least ``least``, the first of equals, or else a new cluster."""
-        n = self.n
-        if n:
-            size = self.lengths[:n] * np.linalg.norm(v)
-            scores = np.divide(self.means[:n] @ v, size, out=np.zeros(n), where=size > 0)
-            best = int((scores >= scores.max() - 1e-9).argmax())
-            if scores[best] >= self.least:
+        #: The means at length 1 in single precision, and twice what similarities of these are off.
+        self.units, self.margin = np.zeros((64, size), dtype=np.float32), 1e-6 + size * 4e-7
+
+    def _moved(self, c: int) -> int:
+        self.lengths[c] = np.linalg.norm(self.means[c])
+        self.units[c] = self.means[c] / self.lengths[c] if self.lengths[c] > 0 else 0
+        return c
+
+    def _put(self, v: np.ndarray, length: float, near: np.ndarray) -> int:
+        """The most similar running mean of at least ``least``, the first of equals, or else a new cluster; ``near`` are all that can be it, in their order."""
+        if len(near):
+            size = self.lengths[near] * length
+            scores = np.divide(self.means[near] @ v, size, out=np.zeros(len(near)), where=size > 0)
+            k = int((scores >= scores.max() - 1e-9).argmax())
+            if scores[k] >= self.least:
+                best = int(near[k])
                 self.counts[best] += 1
                 self.means[best] += (v - self.means[best]) / self.counts[best]
-                self.lengths[best] = np.linalg.norm(self.means[best])
-                return best
+                return self._moved(best)
+        n = self.n
         if n == len(self.means):
-            self.means, self.lengths, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.means, self.lengths, self.counts))
-        self.means[n], self.lengths[n], self.counts[n], self.n = v, np.linalg.norm(v), 1, n + 1
-        return n
+            self.means, self.lengths, self.counts, self.units = (np.concatenate([x, np.zeros_like(x)]) for x in (self.means, self.lengths, self.counts, self.units))
+        self.means[n], self.counts[n], self.n = v, 1, n + 1
+        return self._moved(n)
+
+    def place(self, vectors: np.ndarray) -> list[int]:
+        """Clusters of points, one after another.
+
+        A block of points is multiplied with all centroids in single precision, and then
+        with each that a point of the block moves or makes.  Only centroids within the
+        error of a point's best are compared in double precision.
+        """
+        out: list[int] = []
+        while len(out) < len(vectors):
+            block = vectors[len(out) : len(out) + min(GREEDY_BLOCK, max(16, GREEDY_SCORES // max(1, self.n)))]
+            lengths = np.linalg.norm(block, axis=1)
+            unit = np.divide(block, lengths[:, None], out=np.zeros_like(block), where=lengths[:, None] > 0).astype(np.float32)
+            scores = np.empty((len(block), self.n + len(block)), dtype=np.float32)
+            np.matmul(unit, self.units[: self.n].T, out=scores[:, : self.n])
+            for k, v in enumerate(block):
+                row = scores[k, : self.n]
+                top = row.max(initial=-2)
+                near = np.flatnonzero(row >= top - self.margin) if top >= self.least - self.margin else row[:0].astype(np.int64)
+                c = self._put(v, lengths[k], near)
+                scores[k + 1 :, c] = unit[k + 1 :] @ self.units[c]
+                out.append(c)
+        return out
 
 
 def greedy(points: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", order: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Greedy centroid clusters of all points, in the order of ``order`` in lower case and then of the key; null vectors are skipped.
 
     Every point is compared with all centroids so far, so the method is one sequential
-    pass: a single task reads the sorted points by batch and holds the centroids only.
+    pass: a single task reads the sorted points by batch and holds the centroids and a
+    block's similarities to them only.
     The columns ``keep`` are carried along.
     """
 
@@ -53,7 +88,7 @@ def greedy(points: DataFrame, least: float, key: str = "vec_id", vector: str = "
             vectors = np.array(frame[vector].tolist(), dtype=np.float64)
             if len(vectors):
                 found = found or _Centroids(least, vectors.shape[1])
-                yield frame[[*keep, key]].assign(cluster=[found.place(v) for v in vectors])
+                yield frame[[*keep, key]].assign(cluster=found.place(vectors))
 
     kinds = dict(points.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, key]) + ", cluster long"
@@ -62,8 +97,9 @@ def greedy(points: DataFrame, least: float, key: str = "vec_id", vector: str = "
 
 
 def sweep(points: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Number and sizes of the greedy clusters at each threshold."""
-    sizes = [greedy(points, t).groupBy("cluster").agg(F.count("*").alias("n")).agg(F.lit(t).alias("threshold"), F.count("*").alias("clusters"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singles")) for t in thresholds]
+    """Number and sizes of the greedy clusters at each threshold, a task for each pass."""
+    # without the shuffle the union of single partitions would put all passes into one task
+    sizes = [greedy(points, t).repartition("cluster").groupBy("cluster").agg(F.count("*").alias("n")).agg(F.lit(t).alias("threshold"), F.count("*").alias("clusters"), F.round(F.avg("n"), 6).alias("mean_size"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singles")) for t in thresholds]
     return reduce(DataFrame.union, sizes)
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lorespark.operators import finance, retrieval
+from lorespark.operators import clustering, finance, retrieval
 from lorespark.plans import load, q_models
 
 SF = "/root/testdata/sf0.001"
@@ -143,6 +143,18 @@ def test_greedy_clusters_cross_labels(spark):
         assert (r.clusters, r.largest, r.singles) == (len(sizes), max(sizes), sizes.count(1))
 
 
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.9, 1.0])
+def test_greedy_blocks_place_as_one_point_after_another(monkeypatch, least):
+    monkeypatch.setattr(clustering, "GREEDY_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 6))
+    vectors[[4, 90]] = 0
+    vectors[100:150] = vectors[100:150].repeat(5, axis=0)[:50]  # runs of equal vectors
+    vectors[200:220] = vectors[50:70]
+    found = clustering._Centroids(least, 6).place(vectors)
+    assert [[i for i, c in enumerate(found) if c == k] for k in range(max(found) + 1)] == _greedy(vectors, least)
+
+
 def test_concepts_cross_first_letters(spark):
     first = {}
     for r in sorted(q_models._members(spark, SF).collect(), key=lambda r: r.pos):
