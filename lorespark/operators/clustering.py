@@ -27,13 +27,23 @@ class _Centroids:
         #: The means at length 1 in single precision, and twice what similarities of these are off.
         self.units, self.margin = np.zeros((64, size), dtype=np.float32), 1e-6 + size * 4e-7
 
-    def _moved(self, c: int) -> int:
+    def _again(self, c: int, v: np.ndarray, length: float, least: float) -> bool:
+        """Puts an equal of the point before into its cluster, if the mean has come nearer, so that no other can be better."""
+        if not self.lengths[c] * length > 0 or self.means[c] @ v / (self.lengths[c] * length) < least:
+            return False
+        self.counts[c] += 1
+        self.means[c] += (v - self.means[c]) / self.counts[c]
         self.lengths[c] = np.linalg.norm(self.means[c])
+        return True
+
+    def _moved(self, c: int) -> None:
         self.units[c] = self.means[c] / self.lengths[c] if self.lengths[c] > 0 else 0
-        return c
 
-    def _put(self, v: np.ndarray, length: float, near: np.ndarray) -> int:
-        """The most similar running mean of at least ``least``, the first of equals, or else a new cluster; ``near`` are all that can be it, in their order."""
+    def _put(self, v: np.ndarray, length: float, near: np.ndarray) -> tuple[int, float]:
+        """The most similar running mean of at least ``least``, the first of equals, or else a new cluster; ``near`` are all that can be it, in their order.
+
+        Also the similarity from which an equal of the point is sure to follow it.
+        """
         if len(near):
             size = self.lengths[near] * length
             scores = np.divide(self.means[near] @ v, size, out=np.zeros(len(near)), where=size > 0)
@@ -42,34 +52,44 @@ class _Centroids:
                 best = int(near[k])
                 self.counts[best] += 1
                 self.means[best] += (v - self.means[best]) / self.counts[best]
-                return self._moved(best)
+                self.lengths[best] = np.linalg.norm(self.means[best])
+                return best, float(scores[k])
         n = self.n
         if n == len(self.means):
             self.means, self.lengths, self.counts, self.units = (np.concatenate([x, np.zeros_like(x)]) for x in (self.means, self.lengths, self.counts, self.units))
-        self.means[n], self.counts[n], self.n = v, 1, n + 1
-        return self._moved(n)
+        self.means[n], self.lengths[n], self.counts[n], self.n = v, length, 1, n + 1
+        return n, self.least + 1e-9
 
     def place(self, vectors: np.ndarray) -> list[int]:
         """Clusters of points, one after another.
 
         A block of points is multiplied with all centroids in single precision, and then
         with each that a point of the block moves or makes.  Only centroids within the
-        error of a point's best are compared in double precision.
+        error of a point's best are compared in double precision.  A run of equal points is
+        compared once.
         """
         out: list[int] = []
         while len(out) < len(vectors):
             block = vectors[len(out) : len(out) + min(GREEDY_BLOCK, max(16, GREEDY_SCORES // max(1, self.n)))]
             lengths = np.linalg.norm(block, axis=1)
             unit = np.divide(block, lengths[:, None], out=np.zeros_like(block), where=lengths[:, None] > 0).astype(np.float32)
+            equal = [*(block[1:] == block[:-1]).all(1).tolist(), False]
             scores = np.empty((len(block), self.n + len(block)), dtype=np.float32)
             np.matmul(unit, self.units[: self.n].T, out=scores[:, : self.n])
-            for k, v in enumerate(block):
+            k = 0
+            while k < len(block):
+                v = block[k]
                 row = scores[k, : self.n]
                 top = row.max(initial=-2)
                 near = np.flatnonzero(row >= top - self.margin) if top >= self.least - self.margin else row[:0].astype(np.int64)
-                c = self._put(v, lengths[k], near)
-                scores[k + 1 :, c] = unit[k + 1 :] @ self.units[c]
+                c, least = self._put(v, lengths[k], near)
                 out.append(c)
+                while equal[k] and self._again(c, v, lengths[k], least):
+                    k += 1
+                    out.append(c)
+                self._moved(c)
+                k += 1
+                scores[k:, c] = unit[k:] @ self.units[c]
         return out
 
 

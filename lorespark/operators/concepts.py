@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lorespark.functions import models, text
 from lorespark.functions.names import spare
 from lorespark.operators import clustering, graph, keywords, retrieval
+from lorespark.operators.tables import saved
 
 #: Prompts that describing and verifying take, in keywords of a batch.
 BATCH = 3
@@ -45,7 +46,8 @@ def build(members: DataFrame, edges: DataFrame, least: float) -> tuple[DataFrame
     """
     rows = members.withColumn("_id", F.concat_ws("\x1f", F.lower("word"), "article_id"))
     first = rows.groupBy("_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "_id"]), "pos").alias("r"), F.max("confidence").alias("_c")).select("_id", "r.*", "_c").withColumn("confidence", F.col("_c")).drop("_c")
-    placed = first.join(clustering.greedy(first, least, "_id", "embedding", "word"), "_id")
+    # read several times, and the pass should run once
+    placed = saved(members.sparkSession, first.join(clustering.greedy(first, least, "_id", "embedding", "word"), "_id"))
     # a word in several clusters goes with the last of them
     of_word = placed.groupBy(F.col("word").alias("node")).agg(F.max("cluster").alias("cluster"))
     ends = graph.classify_edges(edges.withColumnsRenamed({"subject": "a", "object": "b"}), of_word)
