@@ -13,6 +13,8 @@ from lorespark.operators.tables import spread
 
 INLINE = "struct<type:string,order:int,text:string,href:string,src:string,alt:string,marks:array<string>>"
 BLOCKS = f"article_id string, pos int, id string, type string, level int, text string, code string, lang string, inlines array<{INLINE}>"
+#: Characters of articles whose blocks are held at once, or one article.
+SLICE_CHARACTERS = 1 << 20
 _MARKS = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code"}
 _SKIP = ("script", "style", "head", "noscript", "template")
 
@@ -205,12 +207,17 @@ def html_blocks(pages: DataFrame, source: str = "html", markdown: bool = False)
     """Blocks of each article (``article_id`` and a column of HTML or Markdown); empty ones are skipped."""
 
     def run(frames):
+        columns = ["article_id", "pos", "id", "type", "level", "text", "code", "lang", "inlines"]
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for article, body in zip(frame["article_id"], frame["body"]):
                 for b in read_html(markdown_to_html(body) if markdown else body):
                     rows.append((article, b["pos"], b["id"], b["type"], b["level"], b["text"], b["code"], b["lang"], b["inlines"]))
-            yield pd.DataFrame(rows, columns=["article_id", "pos", "id", "type", "level", "text", "code", "lang", "inlines"])
+                held += len(body)
+                if held >= SLICE_CHARACTERS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     chosen = pages.select(F.regexp_replace(F.col("article_id").cast("string"), "/", "_").alias("article_id"), F.col(source).alias("body")).where("body is not null and trim(body) <> ''")
     return spread(chosen).mapInPandas(run, BLOCKS)

@@ -3,10 +3,11 @@
 from datetime import datetime
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 import pytest
 
-from lorespark.operators import keywords, projection
+from lorespark.operators import blocks, keywords, projection
 from lorespark.plans import load
 
 REGISTRY = load()
@@ -71,3 +72,13 @@ def test_only_known_terms_are_shuffled_and_a_size_is_taken_once(spark, monkeypat
     projection.weighted(spark, docs)
     # the size is the argument of a lambda; inside one it would be taken for each term
     assert "sqrt(" in plans[-1].lower() and "/ sqrt(" not in plans[-1].lower()
+
+
+def test_blocks_of_a_batch_are_given_in_slices(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda self, run, schema: held.append(run) or self)
+    monkeypatch.setattr(blocks, "SLICE_CHARACTERS", 100)
+    blocks.html_blocks(spark.createDataFrame([("a", "x")], "article_id string, html string"))
+    batch = pd.DataFrame([(str(k), "<p>" + "w" * 40 + "</p>" * 2) for k in range(9)], columns=["article_id", "body"])
+    frames = list(held[0](iter([batch])))
+    assert max(map(len, frames)) == 2 and [a for f in frames for a in f["article_id"]] == list(batch["article_id"])
