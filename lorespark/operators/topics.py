@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -22,32 +24,25 @@ def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarit
     ``least_similarity`` to its centre is an outlier, and so is one without words of any
     weight, which takes no part in the clustering.  Of fewer than three texts all are outliers.
     """
-    from pyspark.ml.functions import vector_to_array
-
     rows = docs.select(by, F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
     # too few texts make no topics: all are outliers
     if rows.where(F.size("w") > 0).limit(3).count() < 3:
         return rows.select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("label"))
     counted = HashingTF(inputCol="w", outputCol="tf", numFeatures=features).transform(rows)
     weighted = IDF(inputCol="tf", outputCol="idf").fit(counted).transform(counted)
-    marked = Normalizer(inputCol="idf", outputCol="v").transform(weighted).select(by, "v", F.exists(vector_to_array("idf"), lambda x: x > 0).alias("_usable"))
+    marked = Normalizer(inputCol="idf", outputCol="v").transform(weighted).select(by, "v", F.exists(F.unwrap_udt("idf")["values"], lambda x: x > 0).alias("_usable"))
     unit = marked.where("_usable").drop("_usable")
     if unit.limit(3).count() < 3:
         return rows.select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("label"))
     fitted = KMeans(k=topics, seed=42, featuresCol="v", predictionCol="topic", distanceMeasure="cosine", maxIter=10).fit(unit)
-    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in fitted.clusterCenters())) if topics * features <= 1 << 12 else None
-    found = fitted.transform(unit)
-    if centres is None:  # a table of centres is joined: small, and bounded by topics and features
-        spark = docs.sparkSession
-        table = F.broadcast(spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(fitted.clusterCenters())], "topic int, c array<double>"))
-        found = found.join(table, "topic")
-        centre = F.col("c")
-    else:
-        centre = F.get(centres, F.col("topic"))
-    v = vector_to_array("v")
-    dot = F.aggregate(F.zip_with(v, centre, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    size = F.sqrt(F.aggregate(centre, F.lit(0.0), lambda s, x: s + x * x))
-    scored = found.withColumn("similarity", F.round(F.when(size == 0, 0.0).otherwise(dot / size), 6))
+    # a table of centres is joined: small, and bounded by topics and features
+    centres = [[float(x) for x in c] for c in fitted.clusterCenters()]
+    table = F.broadcast(docs.sparkSession.createDataFrame([(k, c, math.sqrt(sum(x * x for x in c))) for k, c in enumerate(centres)], "topic int, c array<double>, size double"))
+    found = fitted.transform(unit).join(table, "topic")
+    # only the words that a document has: the others add 0
+    v = F.unwrap_udt("v")
+    dot = F.aggregate(F.zip_with(v["indices"], v["values"], lambda i, x: x * F.get("c", i)), F.lit(0.0), lambda s, x: s + x)
+    scored = found.withColumn("similarity", F.round(F.when(F.col("size") == 0, 0.0).otherwise(dot / F.col("size")), 6))
     topic = F.when(F.col("similarity") >= least_similarity, F.col("topic")).otherwise(-1)
     without = marked.where("not _usable").select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"))
     assigned = scored.select(by, topic.alias("topic"), "similarity").union(without)

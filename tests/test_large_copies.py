@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from lorespark.operators import blocks, keywords, projection
+from lorespark.operators import blocks, keywords, projection, topics
 from lorespark.plans import load
 
 REGISTRY = load()
@@ -82,3 +82,13 @@ def test_blocks_of_a_batch_are_given_in_slices(spark, monkeypatch):
     batch = pd.DataFrame([(str(k), "<p>" + "w" * 40 + "</p>" * 2) for k in range(9)], columns=["article_id", "body"])
     frames = list(held[0](iter([batch])))
     assert max(map(len, frames)) == 2 and [a for f in frames for a in f["article_id"]] == list(batch["article_id"])
+
+
+def test_topics_take_no_dense_vectors(spark, monkeypatch):
+    def dense(*_):
+        raise AssertionError("a number for each feature, whatever the text")
+
+    monkeypatch.setattr("pyspark.ml.functions.vector_to_array", dense)
+    docs = spark.createDataFrame([(k, ["apple pears fruits", "engine wheels motors", "violin piano concert"][k % 3]) for k in range(9)], "doc_id long, text string")
+    got = {r.doc_id: r for r in topics.model(docs, topics=3).collect()}
+    assert len(got) == 9 and all(got[k].similarity == 1.0 and got[k].topic == got[k % 3].topic for k in range(9))
