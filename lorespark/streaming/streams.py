@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -58,6 +58,7 @@ def grant_changes(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 #: Where the state of timers is kept; the default store has none.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGE = Row("request_id", "status", "at", "expires_at")
 _CHANGES = "request_id long, status string, at long, expires_at long"
 
 
@@ -73,8 +74,7 @@ class GrantTimers(StatefulProcessor):
         self.grant = handle.getValueState("grant", "status string, until long")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for row in initialState.itertuples():
-            self._approve(0 if pd.isna(row.until) else int(row.until))
+        self._approve(initialState.until or 0)
 
     def _approve(self, until: int) -> None:
         self.grant.update(("approved", until))
@@ -82,29 +82,28 @@ class GrantTimers(StatefulProcessor):
             self.handle.registerTimer(_timer(until))
 
     def handleInputRows(self, key, rows, timerValues):
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["us", "event"]).itertuples():
-            status, until = self.grant.get() if self.grant.exists() else (None, 0)
-            at = int(row.us)
+        status, until = self.grant.get() or (None, 0)
+        for row in sorted(rows, key=lambda r: (r.us, r.event)):
             if row.event == "approve" and status is None:
-                until = 0 if pd.isna(row.ttl_minutes) else at + int(row.ttl_minutes) * 60_000_000
+                status, until = "approved", 0 if row.ttl_minutes is None else row.us + row.ttl_minutes * 60_000_000
                 self._approve(until)
-                out.append((key[0], "approved", at, until or None))
+                yield CHANGE(key[0], status, row.us, until or None)
             elif row.event == "deny" and status is None:
-                self.grant.update(("denied", 0))
-                out.append((key[0], "denied", at, None))
+                status = "denied"
+                self.grant.update((status, 0))
+                yield CHANGE(key[0], status, row.us, None)
             elif row.event == "revoke" and status == "approved":
-                self.grant.update(("revoked", 0))
+                status = "revoked"
+                self.grant.update((status, 0))
                 if until:
                     self.handle.deleteTimer(_timer(until))
-                out.append((key[0], "revoked", at, None))
-        yield _changes(out)
+                yield CHANGE(key[0], status, row.us, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         # the moment of the end is still inside: it has passed once the watermark is beyond it
         until = self.grant.get()[1]
         self.grant.update(("expired", 0))
-        yield _changes([(key[0], "expired", until, None)])
+        yield CHANGE(key[0], "expired", until, None)
 
     def close(self) -> None:
         pass
@@ -114,11 +113,6 @@ def _timer(until: int) -> int:
     return -(-until // 1000)
 
 
-def _changes(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["request_id", "status", "at", "expires_at"])
-    return out.astype({"request_id": "int64", "at": "int64", "expires_at": "Int64"})
-
-
 def timed_grants(stream: DataFrame, initial: DataFrame | None = None, late: str = "10 minutes") -> DataFrame:
     """``request_id``, ``status``, ``at`` and ``expires_at`` of decisions, revocations and ends of grants, each once, as the watermark passes them.
 
@@ -130,7 +124,7 @@ def timed_grants(stream: DataFrame, initial: DataFrame | None = None, late: str
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     held = None if initial is None else initial.select("request_id", us("expires_at").alias("until")).groupBy("request_id")
     rows = stream.select("request_id", "event", F.col("ts").cast("timestamp").alias("ts"), us("ts").alias("us"), "ttl_minutes")
-    found = rows.withWatermark("ts", late).groupBy("request_id").transformWithStateInPandas(GrantTimers(), _CHANGES, "Append", "EventTime", initialState=held)
+    found = rows.withWatermark("ts", late).groupBy("request_id").transformWithState(GrantTimers(), _CHANGES, "Append", "EventTime", initialState=held)
     return found.select("request_id", "status", F.timestamp_micros("at").alias("at"), F.timestamp_micros("expires_at").alias("expires_at"))
 
 

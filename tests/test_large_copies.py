@@ -33,6 +33,17 @@ def test_half_minutes_go_to_the_even_number(spark, tmp_path, name):
     assert got == want and [r[0] for r in want] == [1, 2, 3, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize("name", ["grants_active", "grants_streamed"])
+def test_each_signup_is_a_grant_though_ids_repeat(spark, tmp_path, name):
+    at = datetime(2024, 1, 19, 23, 30)
+    rows = [(1, at, 1, "signup", 40.0, ""), (1, at, 2, "signup", 40.0, ""), (1, at, 1, "signup", 10.0, ""), (1, at, 1, "signup", 50.0, ""), (None, at, 1, "signup", 60.0, ""), (2, at, 1, "view", 60.0, "")]
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    found = [REGISTRY.QUERIES[name](spark, str(tmp_path)).collect(), duckdb.sql(REGISTRY.ORACLE_SQL[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()]
+    got, want = (sorted(map(tuple, rows), key=str) for rows in found)
+    assert got == want and [r[0] for r in want] == [1, 1, 1, None]
+
+
 def test_many_suppliers_are_no_parts(spark, tmp_path):
     frame = spark.createDataFrame([(10001, 1), (10002, 2), (3, 2), (1, 5)], "l_suppkey long, l_partkey long")
     frame.write.parquet(f"{tmp_path}/lineitem.parquet")
