@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,13 +130,19 @@ def neighbour_clusters(spark: SparkSession, points: DataFrame, least: float, key
     return found.select(F.col("node").alias(key), F.col("component").alias("cluster"))
 
 
-def _starts(x: np.ndarray, k: int, rng) -> np.ndarray:
-    """Labels of k-means from spread starts."""
-    means = x[[rng.integers(len(x))]]
-    far = ((x - means[0]) ** 2).sum(1)
-    while len(means) < k:
-        means = np.vstack([means, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
-        far = np.minimum(far, ((x - means[-1]) ** 2).sum(1))
+def _spread(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """Places of ``k`` starts of k-means that are far from each other; fewer starts are the first of them."""
+    chosen = [int(rng.integers(len(x)))]
+    far = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        upto = np.cumsum(far / far.sum()) if far.sum() > 0 else None
+        chosen.append(int(rng.integers(len(x)) if upto is None else np.searchsorted(upto / upto[-1], rng.random(), side="right")))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return np.array(chosen)
+
+
+def _settled(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Labels of k-means from these means."""
     labels = None
     for _ in range(20):
         # squared distances by the product, so that no array holds points, means and places at once
@@ -144,59 +150,119 @@ def _starts(x: np.ndarray, k: int, rng) -> np.ndarray:
         if labels is not None and (near == labels).all():
             break
         labels = near
-        for c in np.unique(labels):
-            means[c] = x[labels == c].mean(0)
+        sums, n = np.zeros_like(means), np.bincount(labels, minlength=len(means))
+        np.add.at(sums, labels, x)
+        means = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], means)
     return labels
 
 
 #: Numbers of the differences from means that a fit holds at once.
 MIXTURE_NUMBERS = 1 << 15
+#: A point with less than this share of a component's weight is lost in the rounding of its covariance, even beside the ridge.
+LEAST_SHARE = 1e-25
 
 
-def fit_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Labels and Bayesian information criterion of a Gaussian mixture with full covariances.
-
-    Fewer points than places lie in a space of their own number: they are fitted there,
-    since across it every covariance is the ridge and every difference is 0.
-    """
-    n, d = x.shape
-    resp = np.zeros((n, k))
-    resp[np.arange(n), _starts(x, k, np.random.default_rng(seed))] = 1.0
-    if n < d:
-        turned, scale, _ = np.linalg.svd(x, full_matrices=False)
-        x = turned * scale
-    own = x.shape[1]
+def _full(x: np.ndarray, resp: np.ndarray, weight: np.ndarray, ridge: float, d: int) -> np.ndarray:
+    """Half the squared distance of each point from each component, and half the logarithm of its determinant, by whole covariances; ``x`` may leave out places where all is 0."""
+    (n, own), k = x.shape, resp.shape[1]
+    means, out = (resp.T @ x) / weight[:, None], np.empty((n, k))
     across = 0.5 * (d - own) * np.log(ridge)
     step = max(1, MIXTURE_NUMBERS // max(1, n * own))
-    last = -np.inf
+    for at in range(0, k, step):
+        c = slice(at, at + step)
+        apart = x - means[c, None]
+        low = np.linalg.cholesky((resp.T[c, :, None] * apart).transpose(0, 2, 1) @ apart / weight[c, None, None] + ridge * np.eye(own))
+        scaled = np.linalg.solve(low, apart.transpose(0, 2, 1))
+        out[:, c] = (0.5 * (scaled**2).sum(1) + np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)[:, None] + across).T
+    return out
+
+
+def _thin(x: np.ndarray, resp: np.ndarray, weight: np.ndarray, held: np.ndarray, ridge: float) -> np.ndarray:
+    """The same of components of few points: across the space of the ``held`` points their covariance is the ridge."""
+    n, d = x.shape
+    means = (resp.T @ x) / weight[:, None]
+    out = np.maximum(0.0, (x**2).sum(1)[:, None] - 2 * x @ means.T + (means**2).sum(1)) / (2 * ridge) + 0.5 * d * np.log(ridge)
+    points = held.sum(0)
+    width, least = 2, 1  # a single point is its own mean
+    while (points > least).any():
+        if len(points) * points.max() * max(n, d) <= MIXTURE_NUMBERS:
+            width = int(points.max())
+        some = np.flatnonzero((points > least) & (points <= width))
+        step = max(1, MIXTURE_NUMBERS // (width * max(n, d)))
+        for at in range(0, len(some), step):
+            c = some[at : at + step]
+            rows = np.argsort(~held[:, c], axis=0, kind="stable")[:width].T
+            share = np.where(held[rows, c[:, None]], resp[rows, c[:, None]], 0.0) / weight[c, None]
+            b = np.sqrt(share)[:, :, None] * (x[rows] - means[c, None])
+            wide, turned = np.linalg.eigh(b @ b.transpose(0, 2, 1))
+            # along a place of less than this the ridge is all there is
+            real = wide > 1e-9 * ridge
+            wide = np.where(real, wide, 1.0)
+            along = turned.transpose(0, 2, 1) @ (b @ x.T - (b @ means[c, :, None]))
+            less = np.where(real, (1 / ridge - 1 / (wide + ridge)) / wide, 0.0)
+            out[:, c] += 0.5 * (np.where(real, np.log1p(wide / ridge), 0.0).sum(1)[:, None] - (along**2 * less[:, :, None]).sum(1)).T
+        width, least = 2 * width, width
+    return out
+
+
+def _fits(x: np.ndarray, sizes: list[int], starts: np.ndarray, rounds: int = 100, ridge: float = 1e-6) -> list[tuple[np.ndarray, float]]:
+    """``fit_mixture`` for several numbers of components; a round takes the components of all that go on at once."""
+    n, d = x.shape
+    resp, last = [], [-np.inf] * len(sizes)
+    for k in sizes:
+        resp.append(np.zeros((n, k)))
+        resp[-1][np.arange(n), _settled(x, x[starts[:k]])] = 1.0
+    turned, going = None, list(range(len(sizes)))
     for _ in range(rounds):
-        weight = resp.sum(0) + 10 * np.finfo(float).eps
-        means, log = (resp.T @ x) / weight[:, None], np.empty((n, k))
-        for at in range(0, k, step):
-            c = slice(at, at + step)
-            apart = x - means[c, None]
-            low = np.linalg.cholesky((resp.T[c, :, None] * apart).transpose(0, 2, 1) @ apart / weight[c, None, None] + ridge * np.eye(own))
-            scaled = np.linalg.solve(low, apart.transpose(0, 2, 1))
-            log[:, c] = (np.log(weight[c] / n)[:, None] - 0.5 * (d * np.log(2 * np.pi) + (scaled**2).sum(1)) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)[:, None] - across).T
-        top = log.max(1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(log - top).sum(1))
-        resp = np.exp(log - total[:, None])
-        mean, before, last = total.mean(), last, total.mean()
-        if abs(mean - before) < 1e-3:
+        every = np.hstack([resp[f] for f in going])
+        weight = every.sum(0) + 10 * np.finfo(float).eps
+        held = every > LEAST_SHARE * weight
+        many = 2 * held.sum(0) > d
+        if many.any():
+            if turned is None:  # fewer points than places lie in a space of their own number
+                turned = x if n >= d else (lambda u, s, _: u * s)(*np.linalg.svd(x, full_matrices=False))
+            apart = np.empty(every.shape)
+            apart[:, many] = _full(turned, every[:, many], weight[many], ridge, d)
+            apart[:, ~many] = _thin(x, every[:, ~many], weight[~many], held[:, ~many], ridge)
+        else:
+            apart = _thin(x, every, weight, held, ridge)
+        every = np.log(weight / n) - 0.5 * d * np.log(2 * np.pi) - apart
+        at, on = 0, []
+        for f in going:
+            log, at = every[:, at : at + sizes[f]], at + sizes[f]
+            top = log.max(1, keepdims=True)
+            total = top[:, 0] + np.log(np.exp(log - top).sum(1))
+            resp[f] = np.exp(log - total[:, None])
+            mean, before, last[f] = total.mean(), last[f], total.mean()
+            if abs(mean - before) >= 1e-3:
+                on.append(f)
+        going = on
+        if not going:
             break
-    numbers = k * d * (d + 1) / 2 + k * d + k - 1
-    return resp.argmax(1), float(-2 * n * last + numbers * np.log(n))
+    numbers = [k * d * (d + 1) / 2 + k * d + k - 1 for k in sizes]
+    return [(r.argmax(1), float(-2 * n * l + m * np.log(n))) for r, l, m in zip(resp, last, numbers)]
+
+
+def fit_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Labels and Bayesian information criterion of a Gaussian mixture with full covariances.
+
+    Components of fewer points than half the places are fitted in the space of their points,
+    since across it their covariance is the ridge.
+    """
+    return _fits(x, [k], _spread(x, k, np.random.default_rng(seed)), rounds, ridge)[0]
 
 
 def mixture_clusters(x: np.ndarray, reduction: float = 0.5) -> list[list[int]]:
     """Clusters of two or more of the mixture with the lowest criterion, near half as many as points."""
     n = len(x)
     target = max(2, int(n * reduction))
-    tried = [(fit_mixture(x, k), k) for k in range(max(2, target - 2), min(target + 2, n - 1) + 1)]
-    if not tried:
+    sizes = list(range(max(2, target - 2), min(target + 2, n - 1) + 1))
+    if not sizes:
         return []
-    labels = min(tried, key=lambda t: (t[0][1], t[1]))[0][0]
-    found = [np.flatnonzero(labels == c).tolist() for c in sorted(set(labels))]
+    # the starts of fewer components are the first of those of more
+    tried = _fits(x, sizes, _spread(x, sizes[-1], np.random.default_rng(42)))
+    labels = min(zip(tried, sizes), key=lambda t: (t[0][1], t[1]))[0][0]
+    found = [np.flatnonzero(labels == c).tolist() for c in sorted(set(labels.tolist()))]
     return [c for c in found if len(c) >= 2]
 
 
@@ -273,33 +339,58 @@ TREE = "article_id string, node_id string, level int, text string, embedding arr
 
 #: Nodes of an article whose mixture is fitted in one group; more are first parted by nearness.
 MOST_NODES = 128
+#: Nodes that one task holds: the tree of an article of so many leaves is built there, and so are the last cuts of a larger one.
+HELD_NODES = 2048
 #: Tasks a core that fit mixtures.
 TASKS_PER_CORE = 4
 #: Parts into which one pass cuts a group that is too large.
 PARTS = 64
 
 
-def _tree(embed, summarise, levels: int, stop: int, reduction: float, budget: int):
-    """The whole tree of an article that fits one group."""
+def _vectors(column) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _tree_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.string())]
+    names = ["article_id", "node_id", "level", "text", "embedding", "children_ids"]
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+
+def _summaries(embed, summarise, prefix: str, article: str, depth: int, names: list[str], texts: list[str], vectors: np.ndarray, reduction: float, budget: int) -> list[tuple]:
+    """The nodes over the clusters of one group."""
+    rows = []
+    for k, members in enumerate(mixture_clusters(vectors, reduction) if len(names) > 1 else []):
+        text = summarise([texts[m] for m in members], budget)
+        rows.append((article, f"{prefix}{k:03d}", depth, text, list(map(float, embed(text))), [names[m] for m in members]))
+    return rows
+
+
+def _tree(embed, summarise, levels: int, stop: int, reduction: float, budget: int, most: int):
+    """The whole tree of an article that one task holds."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        article = frame["article_id"].iloc[0]
-        frame = frame.sort_values("node_id", kind="stable")
-        rows = [(article, r.node_id, 0, r.text, list(map(float, r.embedding)), []) for r in frame.itertuples()]
-        level = list(rows)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_id")
+        article, names, texts = table.column("article_id")[0].as_py(), table.column("node_id").to_pylist(), table.column("text").to_pylist()
+        vectors, parted_ = _vectors(table.column("embedding")), len(names) > most
+        rows = [(article, name, 0, text, v, []) for name, text, v in zip(names, texts, vectors)]
         for depth in range(1, levels + 1):
-            if len(level) <= stop:
+            if len(names) <= stop:
                 break
-            clusters = mixture_clusters(np.array([r[4] for r in level], dtype=np.float64), reduction)
-            if not clusters:
+            if parted_:
+                new, parts = [], cut(names, vectors, most)
+                for part in sorted(set(parts)):
+                    own = [m for m, p in enumerate(parts) if p == part]
+                    new += _summaries(embed, summarise, f"{article}_summary_L{depth}_{part}.", article, depth, [names[m] for m in own], [texts[m] for m in own], vectors[own], reduction, budget)
+                new.sort(key=lambda r: r[1])
+            else:
+                new = _summaries(embed, summarise, f"{article}_summary_L{depth}_", article, depth, names, texts, vectors, reduction, budget)
+            if not new:
                 break
-            new = []
-            for k, members in enumerate(clusters):
-                text = summarise([level[m][3] for m in members], budget)
-                new.append((article, f"{article}_summary_L{depth}_{k:03d}", depth, text, list(map(float, embed(text))), [level[m][1] for m in members]))
             rows += new
-            level = new
-        return pd.DataFrame(rows, columns=["article_id", "node_id", "level", "text", "embedding", "children_ids"])
+            names, texts, vectors = [r[1] for r in new], [r[3] for r in new], np.array([r[4] for r in new], dtype=np.float64)
+        return _tree_table(rows)
 
     return run
 
@@ -307,16 +398,10 @@ def _tree(embed, summarise, levels: int, stop: int, reduction: float, budget: in
 def _level(embed, summarise, depth: int, reduction: float, budget: int):
     """The summaries of one part of a level; a part of one node gives none."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        article, part = frame["article_id"].iloc[0], frame["part"].iloc[0]
-        frame = frame.sort_values("node_id", kind="stable")
-        texts, names = frame["text"].tolist(), frame["node_id"].tolist()
-        found = mixture_clusters(np.array(frame["embedding"].tolist(), dtype=np.float64), reduction) if len(frame) > 1 else []
-        rows = []
-        for k, members in enumerate(found):
-            text = summarise([texts[m] for m in members], budget)
-            rows.append((article, f"{article}_summary_L{depth}_{part}.{k:03d}", depth, text, list(map(float, embed(text))), [names[m] for m in members]))
-        return pd.DataFrame(rows, columns=["article_id", "node_id", "level", "text", "embedding", "children_ids"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_id")
+        article, part = (table.column(c)[0].as_py() for c in ("article_id", "part"))
+        return _tree_table(_summaries(embed, summarise, f"{article}_summary_L{depth}_{part}.", article, depth, table.column("node_id").to_pylist(), table.column("text").to_pylist(), _vectors(table.column("embedding")), reduction, budget))
 
     return run
 
@@ -325,71 +410,119 @@ def _nearest_part(seeds: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return ((seeds**2).sum(1) - 2 * vectors @ seeds.T).argmin(1)
 
 
-def parted(spark: SparkSession, nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
+def _class(part: str, name: str, cuts: int) -> int:
+    """A hash of a node's name, another one in each part."""
+    return int(hashlib.md5(f"{part}|{name}".encode()).hexdigest()[:15], 16) % cuts
+
+
+def _inner(part: str, number) -> str:
+    return f"{part}{'.' if part else ''}{number}"
+
+
+def cut(names: list[str], vectors: np.ndarray, most: int, part: str = "", whole: bool = False) -> list[str]:
+    """The part of each node, as ``parted`` has them; names are in order, and ``whole`` says that the pass before left all in one part."""
+    out, todo = [part] * len(names), [(part, np.arange(len(names)), whole)]
+    while todo:
+        part, at, whole = todo.pop()
+        if len(at) <= most:
+            continue
+        cuts = min(PARTS, -(-2 * len(at) // most))
+        _, first = np.unique(vectors[at], axis=0, return_index=True)
+        if whole or len(first) == 1:
+            to = np.array([_class(part, names[m], cuts) for m in at])
+        else:
+            seeds: dict[int, int] = {}
+            for m in np.sort(first):  # the least node of each vector
+                seeds.setdefault(_class(part, names[at[m]], cuts), m)
+            to = _nearest_part(vectors[at[sorted(seeds.values())]], vectors[at])
+        for number in np.unique(to):
+            own, inner = at[to == number], _inner(part, number)
+            for m in own:
+                out[m] = inner
+            todo.append((inner, own, len(own) == len(at)))
+    return out
+
+
+def parted(spark: SparkSession, nodes: DataFrame, most: int = MOST_NODES, held: int = HELD_NODES) -> DataFrame:
     """``nodes`` with a ``part`` of at most ``most`` nodes of one article, near to each other.
 
-    A group that is too large is cut, a pass at a time, into up to ``PARTS`` parts about the
-    nodes that come first by a hash of their name; one that its vectors can't cut, since
-    they are alike, is cut by the hash alone.
+    A group that is too large is cut, a pass at a time, into up to ``PARTS`` parts.  A hash
+    of a vector's least node gives classes, the first of each class is a seed, and nodes go
+    to the nearest seed, so that equal vectors stay together.  A group that its vectors
+    can't cut, since they are alike or the pass before left it whole, is cut by a hash of
+    its nodes.  Groups of up to ``held`` nodes are cut to the end in one task.
     """
     key = ["article_id", "part"]
-    done, open_ = [], saved(spark, nodes.withColumn("part", F.lit("")))
+    done, open_ = [], nodes.withColumns({"part": F.lit(""), "before": F.lit(None).cast("long")})
+    hashed = lambda cuts: F.pmod(F.conv(F.substring(F.md5(F.concat("part", F.lit("|"), "node_id").cast("binary")), 1, 15), 16, 10).cast("long"), cuts)
+    names, columns = nodes.columns, [c for c in nodes.columns if c != "article_id"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in nodes.dtypes) + ", part string"
     while True:
-        sizes = saved(spark, open_.groupBy(*key).agg(F.count("*").alias("n"), F.min("embedding").alias("one"), F.max("embedding").alias("other")))
-        done.append(open_.join(sizes.where(F.col("n") <= most).select(key), key, "left_semi"))
-        large = sizes.where(F.col("n") > most)
-        if large.isEmpty():
+        sizes = saved(spark, open_.groupBy(*key).agg(F.count("*").alias("n"), F.max("before").alias("before"), F.min("embedding").alias("one"), F.max("embedding").alias("other")))
+        large = sizes.where(F.col("n") > max(most, held))
+        last = large.isEmpty()
+        done.append(open_ if last else open_.join(sizes.where(F.col("n") <= max(most, held)).select(key), key, "left_semi"))
+        if last:
             break
         cuts = F.least(F.lit(PARTS), F.ceil(F.lit(2.0) * F.col("n") / most)).cast("int")
-        big = open_.join(large.select(*key, "n", cuts.alias("cuts"), (F.col("one") == F.col("other")).alias("alike")), key)
-        # a class of the hash gives one seed: the least node of it
-        hashed = big.withColumn("h", F.pmod(F.xxhash64("node_id", "part"), F.col("cuts")))
-        seeds = hashed.groupBy(*key, "h").agg(F.min(F.struct("node_id", "embedding")).alias("s")).groupBy(*key).agg(F.sort_array(F.collect_list("s")).alias("seeds"))
+        alike = (F.col("one") == F.col("other")) | (F.coalesce(F.col("before") == F.col("n"), F.lit(False)))
+        big = saved(spark, open_.drop("before").join(large.select(*key, "n", cuts.alias("cuts"), alike.alias("alike")), key))
+        firsts = big.where("not alike").groupBy(*key, "embedding", "cuts").agg(F.min("node_id").alias("node_id"))
+        classes = firsts.groupBy(*key, hashed(F.col("cuts")).alias("h")).agg(F.min(F.struct("node_id", "embedding")).alias("s"))
+        seeds = classes.groupBy(*key).agg(F.sort_array(F.collect_list("s")).alias("seeds"))
 
         def place(batches):
             for batch in batches:
-                held: dict[tuple, np.ndarray] = {}
+                seeds_of: dict[tuple, np.ndarray] = {}
                 at = []
-                for row in batch.select(["article_id", "part", "embedding", "seeds", "alike", "h"]).to_pylist():
+                for row in batch.select(["article_id", "part", "node_id", "embedding", "seeds", "alike", "cuts"]).to_pylist():
                     name = (row["article_id"], row["part"])
-                    if name not in held:
-                        held[name] = np.array([x["embedding"] for x in row["seeds"]], dtype=np.float64)
-                    at.append(f"{row['part']}{'.' if row['part'] else ''}{row['h'] if row['alike'] else int(_nearest_part(held[name], np.array([row['embedding']], dtype=np.float64))[0])}")
-                keep = batch.select([c for c in batch.schema.names if c not in ("part", "seeds", "alike", "h", "n", "cuts")])
-                yield keep.append_column("part", pa.array(at, pa.string()))
+                    if not row["alike"] and name not in seeds_of:
+                        seeds_of[name] = np.array([x["embedding"] for x in row["seeds"]], dtype=np.float64)
+                    at.append(_inner(row["part"], _class(row["part"], row["node_id"], row["cuts"]) if row["alike"] else _nearest_part(seeds_of[name], np.array([row["embedding"]], dtype=np.float64))[0]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(at, pa.string()), batch.column("n")], [*names, "part", "before"])
+
+        open_ = saved(spark, big.join(seeds, key, "left").mapInArrow(place, schema + ", before long"))
+
+    def rest(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_id")
+        before = table.column("before")[0].as_py()
+        parts = cut(table.column("node_id").to_pylist(), _vectors(table.column("embedding")), most, table.column("part")[0].as_py(), before == len(table))
+        return table.drop_columns(["part", "before"]).append_column("part", pa.array(parts, pa.string()))
 
-        schema = ", ".join(f"`{c}` {t}" for c, t in nodes.dtypes) + ", part string"
-        placed = saved(spark, hashed.join(seeds, key).select(*nodes.columns, "part", "seeds", "alike", "h").mapInArrow(place, schema))
-        open_ = placed
-    return reduce(DataFrame.unionByName, done)
+    left = reduce(DataFrame.unionByName, done).select("article_id", *columns, "part", "before")
+    return left.groupBy(*key).applyInArrow(rest, ", ".join(["`article_id` " + dict(nodes.dtypes)["article_id"], *(f"`{c}` {dict(nodes.dtypes)[c]}" for c in columns), "part string"]))
 
 
-def summary_tree(leaves: DataFrame, embed, summarise=first_sentences, levels: int = 3, stop: int = 3, reduction: float = 0.5, budget: int = 1400, most: int = MOST_NODES) -> DataFrame:
+def summary_tree(leaves: DataFrame, embed, summarise=first_sentences, levels: int = 3, stop: int = 3, reduction: float = 0.5, budget: int = 1400, most: int = MOST_NODES, held: int = HELD_NODES) -> DataFrame:
     """Levelled tree of summaries over each article's leaves (``article_id``, ``node_id``, ``text``, ``embedding``).
 
     A level's nodes are clustered, each cluster is summarised and embedded, and the
     summaries are the next level, until ``stop`` nodes or ``levels`` levels.  ``embed``
-    maps a text to a vector and ``summarise`` texts and a budget to a text.  An article of
-    up to ``most`` leaves is one group.  A larger one is built level by level, each level a
-    job: its nodes are parted by nearness into groups of that size, which are clustered side
-    by side, so that no task holds the article.
+    maps a text to a vector and ``summarise`` texts and a budget to a text.  A level of an
+    article of more than ``most`` leaves is parted by nearness into groups of that size,
+    which are clustered by themselves.  An article of up to ``held`` leaves is built in one
+    task; a larger one level by level, each level a job with its groups side by side, so
+    that no task holds the article.
     """
     spark, columns = leaves.sparkSession, ["article_id", "node_id", "text", "embedding"]
-    own = leaves.select(columns)
+    # what makes the leaves is read once
+    own = saved(spark, leaves.select(columns).withColumn("embedding", F.col("embedding").cast("array<double>")))
     sizes = own.groupBy("article_id").agg(F.count("*").alias("n"))
-    small = own.join(sizes.where(F.col("n") <= most).select("article_id"), "article_id", "left_semi")
+    large = sizes.where(F.col("n") > max(most, held)).select("article_id")
+    split = not large.isEmpty()
+    small = own.join(large, "article_id", "left_anti") if split else own
     # a fit costs far more than its bytes say, so the groups are dealt to a fixed number of tasks
     tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    out = small.repartition(tasks, "article_id").groupBy("article_id").applyInPandas(_tree(embed, summarise, levels, stop, reduction, budget), TREE)
-    large = sizes.where(F.col("n") > most).select("article_id")
-    if large.isEmpty():
+    out = small.repartition(tasks, "article_id").groupBy("article_id").applyInArrow(_tree(embed, summarise, levels, stop, reduction, budget, most), TREE)
+    if not split:
         return out
-    level = saved(spark, own.join(large, "article_id", "left_semi").withColumn("embedding", F.col("embedding").cast("array<double>")))
+    level = saved(spark, own.join(large, "article_id", "left_semi"))
     out = out.unionByName(level.select("article_id", "node_id", F.lit(0).alias("level"), "text", "embedding", F.array().cast("array<string>").alias("children_ids")))
     for depth in range(1, levels + 1):
         going = level.groupBy("article_id").agg(F.count("*").alias("n")).where(F.col("n") > stop).select("article_id")
         nodes = level.join(going, "article_id", "left_semi").select(columns)
-        made = parted(spark, nodes, most).repartition(tasks, "article_id", "part").groupBy("article_id", "part").applyInPandas(_level(embed, summarise, depth, reduction, budget), TREE)
+        made = parted(spark, nodes, most, held).repartition(tasks, "article_id", "part").groupBy("article_id", "part").applyInArrow(_level(embed, summarise, depth, reduction, budget), TREE)
         new = saved(spark, made)
         if new.isEmpty():
             break

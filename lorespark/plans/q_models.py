@@ -12,7 +12,7 @@ from lorespark.sources import readers
 def summary_tree(spark, sf_dir):
     """Trees over the paragraphs of pages, an article for each page."""
     rows = blocks.html_blocks(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("article_id"), "html")).where("type = 'paragraph'")
-    leaves = rows.select("article_id", F.format_string("%s_chunk_%03d", "article_id", "pos").alias("node_id"), "text", vectors.character_embedding(F.col("text")).alias("embedding"))
+    leaves = rows.select("article_id", F.format_string("%s_chunk_%03d", "article_id", "pos").alias("node_id"), "text", vectors.counted_characters(F.col("text")).alias("embedding"))
     return clustering.summary_tree(leaves, clustering.character_vector)
 
 
