@@ -93,6 +93,53 @@ def document_counts(docs: DataFrame, body: str = "text", least: int = 4, grams:
     return _texts(docs, body).mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
 
+#: Counts that a task holds before it adds up those of the same word and class.
+MOST_COUNTS = 1 << 21
+
+
+def counts_by_class(docs: DataFrame, classes: str, body: str = "text", least: int = 4, grams: int = 1) -> DataFrame:
+    """``word``, ``topic``, ``tf``, ``df``: how often each word is in rows of each class, and in how many rows, in one pass.
+
+    The column ``classes`` lists a row's classes, numbers from 0 on; ``df`` counts a row once, at its first
+    class or, without one, at -1.  Sums of a task are parts: a word and class may have several rows.
+    """
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["word", "topic"]).aggregate([("tf", "sum"), ("df", "sum")]).select(["word", "topic", "tf_sum", "df_sum"]).rename_columns(["word", "topic", "tf", "df"])
+
+    def run(batches):
+        parts, n = [], 0
+        for batch in _slices(batches):
+            lists = batch.column(classes).fill_null([])
+            row, word, tf = _counted(batch, np.arange(batch.num_rows, dtype=np.int64), least, grams)
+            coded = word.dictionary_encode()
+            at, names = coded.indices.to_numpy(), coded.dictionary
+            # the classes of each row, one after another; -1 where there are none
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.full(int(np.maximum(size, 1).sum()), -1, dtype=np.int64)
+            begin = np.cumsum(np.maximum(size, 1)) - np.maximum(size, 1)
+            own[np.repeat(size > 0, np.maximum(size, 1))] = lists.flatten().to_numpy(zero_copy_only=False)
+            times = np.maximum(size, 1)[row]
+            first = np.cumsum(times) - times
+            k = np.repeat(np.arange(len(row)), times)
+            step = np.arange(len(k)) - first[k]
+            kind = own[begin[row[k]] + step]
+            key, inverse = np.unique(at[k].astype(np.int64) * (1 << 32) + kind + 1, return_inverse=True)
+            sums = [np.bincount(inverse, weights=w, minlength=len(key)).astype(np.int64) for w in (np.where(kind < 0, 0, tf[k]), step == 0)]
+            parts.append(pa.table({"word": names.take(pa.array(key >> 32)), "topic": pa.array((key & 0xFFFFFFFF) - 1, pa.int32()), "tf": sums[0], "df": sums[1]}))
+            n += len(key)
+            if n > MOST_COUNTS:
+                parts = [summed(parts)]
+                n = parts[0].num_rows
+                if n > MOST_COUNTS // 2:
+                    yield from parts[0].combine_chunks().to_batches()
+                    parts, n = [], 0
+        if parts:
+            yield from summed(parts).combine_chunks().to_batches()
+
+    return _texts(docs, body, classes).mapInArrow(run, "word string, topic int, tf long, df long")
+
+
 def diverse(vectors: np.ndarray, relevance: np.ndarray, most: int, diversity: float) -> list[int]:
     """Places of the first candidate and of those that follow by maximal marginal relevance."""
     size = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -169,8 +216,13 @@ def top_words(scored: DataFrame, most: int, by: str = "doc_id", score: str = "sc
 def class_tfidf(tf: DataFrame, by: str) -> DataFrame:
     """Class-based weight: ``tf * ln(1 + A / f)`` with A the mean number of words of a class and f the word's total."""
     total = tf.groupBy("word").agg(F.sum("tf").alias("f"))
-    mean = tf.groupBy(by).agg(F.sum("tf").alias("n")).agg(F.avg("n").alias("a"))
-    return tf.join(total, "word").join(F.broadcast(mean)).withColumn("score", F.round(F.col("tf") * F.log(1 + F.col("a") / F.col("f")), 6)).drop("a")
+    return class_scores(tf.join(total, "word"), tf.groupBy(by).agg(F.sum("tf").alias("n")))
+
+
+def class_scores(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The class-based weight of counts ``tf`` with the word's total ``f``; ``sizes`` has the number of words ``n`` of each class."""
+    mean = sizes.agg(F.avg("n").alias("a"))
+    return counted.join(F.broadcast(mean)).withColumn("score", F.round(F.col("tf") * F.log(1 + F.col("a") / F.col("f")), 6)).drop("a")
 
 
 def refine(raw: DataFrame, refined: DataFrame) -> DataFrame:

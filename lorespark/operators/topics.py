@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text
 from lorespark.functions.names import spare
 from lorespark.operators import clustering, density, graph, keywords, projection, retrieval
-from lorespark.operators.tables import saved
+from lorespark.operators.tables import saved, spread
 
 
 def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarity: float = 0.1, words: int = 3, features: int = 1 << 12) -> DataFrame:
@@ -24,20 +24,23 @@ def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarit
     ``least_similarity`` to its centre is an outlier, and so is one without words of any
     weight, which takes no part in the clustering.  Of fewer than three texts all are outliers.
     """
-    rows = docs.select(by, F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    spark = docs.sparkSession
+    rows = spread(docs.select(by, "text")).select(by, F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    # texts are cut into words once, for all that follows
+    counted = saved(spark, HashingTF(inputCol="w", outputCol="tf", numFeatures=features).transform(rows).drop("w"))
+    none = counted.select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("label"))
     # too few texts make no topics: all are outliers
-    if rows.where(F.size("w") > 0).limit(3).count() < 3:
-        return rows.select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("label"))
-    counted = HashingTF(inputCol="w", outputCol="tf", numFeatures=features).transform(rows)
+    if counted.where(F.size(F.unwrap_udt("tf")["indices"]) > 0).limit(3).count() < 3:
+        return none
     weighted = IDF(inputCol="tf", outputCol="idf").fit(counted).transform(counted)
     marked = Normalizer(inputCol="idf", outputCol="v").transform(weighted).select(by, "v", F.exists(F.unwrap_udt("idf")["values"], lambda x: x > 0).alias("_usable"))
     unit = marked.where("_usable").drop("_usable")
     if unit.limit(3).count() < 3:
-        return rows.select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("label"))
+        return none
     fitted = KMeans(k=topics, seed=42, featuresCol="v", predictionCol="topic", distanceMeasure="cosine", maxIter=10).fit(unit)
     # a table of centres is joined: small, and bounded by topics and features
     centres = [[float(x) for x in c] for c in fitted.clusterCenters()]
-    table = F.broadcast(docs.sparkSession.createDataFrame([(k, c, math.sqrt(sum(x * x for x in c))) for k, c in enumerate(centres)], "topic int, c array<double>, size double"))
+    table = F.broadcast(spark.createDataFrame([(k, c, math.sqrt(sum(x * x for x in c))) for k, c in enumerate(centres)], "topic int, c array<double>, size double"))
     found = fitted.transform(unit).join(table, "topic")
     # only the words that a document has: the others add 0
     v = F.unwrap_udt("v")
@@ -45,7 +48,7 @@ def model(docs: DataFrame, topics: int = 10, by: str = "doc_id", least_similarit
     scored = found.withColumn("similarity", F.round(F.when(F.col("size") == 0, 0.0).otherwise(dot / F.col("size")), 6))
     topic = F.when(F.col("similarity") >= least_similarity, F.col("topic")).otherwise(-1)
     without = marked.where("not _usable").select(by, F.lit(-1).alias("topic"), F.lit(0.0).alias("similarity"))
-    assigned = scored.select(by, topic.alias("topic"), "similarity").union(without)
+    assigned = saved(spark, scored.select(by, topic.alias("topic"), "similarity").union(without))
     return assigned.join(F.broadcast(labels(docs, assigned, by, words)), "topic", "left").select(by, "topic", "similarity", "label")
 
 
@@ -83,10 +86,16 @@ def labels(docs: DataFrame, assigned: DataFrame, by: str = "doc_id", words: int
     the ones before (maximal marginal relevance).  ``embed`` maps a text to a vector.
     """
     embed = embed or clustering.character_vector
-    members = docs.select(by, "text").join(assigned.where("topic >= 0").select(by, "topic"), by)
-    common = keywords.document_counts(docs, grams=2).where(F.col("df") >= least_documents).select("word")
-    counted = keywords.mentions(members, "topic", grams=2).join(common, "word", "left_semi")
-    best = keywords.top_words(keywords.class_tfidf(counted, "topic"), CANDIDATES, "topic")
+    # an id that repeats gives its rows every topic it has
+    topics = assigned.where("topic >= 0").groupBy(by).agg(F.collect_list(F.col("topic").cast("int")).alias("topics"))
+    counts = keywords.counts_by_class(docs.select(by, "text").join(topics, by, "left"), "topics", grams=2)
+    # one shuffle by word, which is what all sums need
+    words_ = counts.repartition("word").groupBy("word", "topic").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    own = Window.partitionBy("word")
+    words_ = words_.withColumns({"df": F.sum("df").over(own), "f": F.sum(F.when(F.col("topic") >= 0, F.col("tf"))).over(own)})
+    each = saved(docs.sparkSession, words_.where((F.col("df") >= least_documents) & (F.col("topic") >= 0)).select("word", "topic", "tf", "f"))
+    scored = keywords.class_scores(each, each.groupBy("topic").agg(F.sum("tf").alias("n")))
+    best = keywords.top_words(scored, CANDIDATES, "topic")
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("rank").to_pylist()
