@@ -71,19 +71,29 @@ def core_distances(spark: SparkSession, points: DataFrame, neighbours: int = 1,
 _EDGE = "comp long, other long, w double, lo long, hi long"
 
 
+def _least(i: np.ndarray, *rest: np.ndarray, by: np.ndarray | None = None):
+    """Of the entries of each query, which lie together, those with the least ``by``, or the least of the last array, which is then left out."""
+    *rest, last = rest if by is None else (*rest, by)
+    if not len(i):
+        return (i, *rest)
+    begin = np.flatnonzero(np.diff(i, prepend=-1))
+    keep = last == np.repeat(np.minimum.reduceat(last, begin), np.diff(np.append(begin, len(i))))
+    return tuple(x[keep] for x in (i, *rest))
+
+
 def _lightest(points=None, asked=None):
     """The lightest edge from each query to a point of another component, within its radius."""
     if points is None:
         return None
-    i, j, scores = near(points, asked, least_score(asked))
-    apart = asked["label"][i] != points["label"][j]
-    i, j, scores = i[apart], j[apart], scores[apart]
+    i, j, scores = near(points, asked, least_score(asked), apart=True)
     w = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * scores)), DIGITS)
     w = np.maximum(np.maximum(w, asked["core"][i]), points["core"][j])
+    i, j, w = _least(i, j, w, w)
     # of equally light ones the edge with the smaller ends
     low, high = np.minimum(asked["id"][i], points["id"][j]), np.maximum(asked["id"][i], points["id"][j])
-    order = np.lexsort((high, low, w, i))
-    first = order[np.searchsorted(i[order], np.unique(i))]
+    i, j, w, low, high = _least(i, j, w, low, high, by=low)
+    i, j, w, low, high = _least(i, j, w, low, high, by=high)
+    first = np.flatnonzero(np.diff(i, prepend=-1))
     return pa.table({"comp": asked["label"][i[first]], "other": points["label"][j[first]], "w": w[first], "lo": low[first], "hi": high[first]})
 
 
@@ -133,7 +143,9 @@ def spanning_tree(spark: SparkSession, index: VectorIndex, settings: Settings =
         open_ = members.where(~waits).join(best.select(F.col("comp").alias("label"), F.col("e.w").alias("most")), "label")
         open_ = open_.where(F.col("bound") <= F.col("most"))
         wider = F.sqrt(F.col("most") * F.col("most") + 8e-6)  # scores are rounded
-        found = index.meet(open_.withColumn("radius", wider), Cells.open_within, lambda: _lightest, _EDGE, members)
+        # cells with one label alone are shut to queries of that label: inside a large component nothing is compared
+        one = {r.cell: r.label for r in members.groupBy("cell").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").collect()}
+        found = index.meet(open_.withColumn("radius", wider), Cells.open_within, lambda: _lightest, _EDGE, members, held=index.held.labelled(one))
         chosen = best.select("comp", "e").unionByName(found.select("comp", edge.alias("e"))).groupBy("comp").agg(F.min("e").alias("e"))
         round_ = saved(spark, chosen.select("comp", F.col("e.w").alias("w"), F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"), F.col("e.other").alias("other")))
         drop(best, lists, members)
@@ -289,13 +301,52 @@ def _topmost(spark: SparkSession, clusters: DataFrame, marked: DataFrame) -> Dat
     return now.where("mark is not null").select("cluster", F.col("mark").alias("top"))
 
 
+#: Clusters among which one task selects.
+ONE_TASK_CLUSTERS = 1 << 20
+
+
+def _selected(epsilon: float):
+    """``selected`` for a tree that one task holds: a cluster's number is below its parent's, so that numbers go from the top down."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("cluster", "descending")])
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("cluster", "parent", "w", "flag"))))
+        roots = {c for c, parent, _, _ in rows if parent is None}
+        stable: dict[int, int] = {}
+        to: dict[int, int] = {}
+        kept: set[int] = set()
+        for c, parent, w, flag in rows:
+            if parent in stable:
+                stable[c] = stable[parent]
+            elif flag:
+                stable[c] = c
+            if parent is not None:
+                to[c] = c if w > epsilon or parent in roots else to[parent]
+                if stable.get(c) == c:
+                    kept.add(c if w >= epsilon else to[c])
+        top: dict[int, int] = {}
+        for c, parent, _, _ in rows:
+            if parent in top:
+                top[c] = top[parent]
+            elif c in kept:
+                top[c] = c
+        yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array(list(top.values()), pa.int64())], ["cluster", "top"])
+
+    return run
+
+
 def selected(spark: SparkSession, clusters: DataFrame, epsilon: float) -> DataFrame:
     """``cluster`` and ``top``, the selected cluster that it belongs to; clusters in none are missing.
 
     The most stable clusters are selected.  One that parts from its parent at less than
     ``epsilon`` gives way to its lowest ancestor that parts at more, or to the highest below
-    the root.
+    the root.  Up to ``ONE_TASK_CLUSTERS`` take one task, more take rounds.
     """
+    if clusters.count() <= ONE_TASK_CLUSTERS:
+        return saved(spark, clusters.select("cluster", "parent", "w", "flag").coalesce(1).mapInArrow(_selected(epsilon), "cluster long, top long"))
     stable = _topmost(spark, clusters, clusters.where("flag"))
     chosen = stable.where("cluster = top").select("cluster")
     roots = clusters.where("parent is null").select(F.col("cluster").alias("root"))

@@ -11,6 +11,9 @@ Cells that are near to each other make a block.  A query goes once to each block
 it opens a cell, however many it opens there, and the task that holds the block opens them:
 what is shuffled is the queries times the blocks, not times the cells.
 
+Vectors of up to ``LOW_DIMENSIONS`` numbers have boxes for cells, halves of halves along the
+widest side: there a box says far more than a distance from a centre, and a cell is a block.
+
 What every task holds is bounded: the centres, one row for each of at most
 ``MOST_LISTS * RINGS`` cells, and the points of a block.  A cell of many points makes
 several blocks, and a block that many queries reach is dealt to several tasks.
@@ -18,6 +21,7 @@ several blocks, and a block that many queries reach is dealt to several tasks.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 import numpy as np
@@ -39,6 +43,8 @@ BLOCKS, BLOCK_POINTS = 32, 512
 STEP = 256
 #: Points that a ring should hold at least.
 RING_POINTS = 64
+#: Numbers of vectors whose cells are boxes, and points of a box.
+LOW_DIMENSIONS, BOX_POINTS = 6, 4096
 DIGITS = 6
 #: Scores are rounded, so distances are taken a little longer than they say.
 SLACK = 2e-6
@@ -118,18 +124,38 @@ class Cells:
         #: Cell and block of each share of a cell that lies in one block.
         self.shares = np.repeat(np.arange(len(cells)), self.parts)
         self.in_block = np.concatenate([np.arange(b, b + p) for b, p in zip(self.block, self.parts)]) if len(cells) else np.zeros(0, dtype=np.int64)
+        #: The label that all points of a cell have, and which cells have one.
+        self.only: tuple[np.ndarray, np.ndarray] | None = None
+
+    def labelled(self, only: dict[int, int]) -> Cells:
+        """The same with the label of each cell whose points have only one: queries of that label don't open it."""
+        out = copy.copy(self)
+        out.only = np.array([only.get(int(c), 0) for c in self.cells], dtype=np.int64), np.array([int(c) in only for c in self.cells], dtype=bool)
+        return out
+
+    def foreign(self, found: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Which of the cells ``found`` may hold a point that doesn't have the query's label."""
+        return found if self.only is None else found & ~(self.only[1] & (self.only[0] == label[:, None]))
 
     def of(self, cells: np.ndarray) -> Cells:
         """The same of some of the cells, and of their centres only."""
         at = np.flatnonzero(np.isin(self.cells, cells))
         used = np.unique(self.lists[at][self.lists[at] >= 0])
         lists = np.where(self.lists[at] < 0, -1, np.searchsorted(used, self.lists[at]))
-        return Cells(self.centres[used], self.cells[at], lists, self.low[at], self.high[at], self.n[at])
+        out = type(self)(self.centres[used], self.cells[at], lists, self.low[at], self.high[at], self.n[at])
+        out.only = None if self.only is None else (self.only[0][at], self.only[1][at])
+        return out
+
+    def _gaps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least possible distance of each row from what each cell holds, and its distance from the cell's centre."""
+        own = np.zeros((len(x), len(self.cells))) if not len(self.centres) else _distances(x, self.centres)[:, np.maximum(self.lists, 0)]
+        return np.maximum(0.0, np.maximum(own - self.high, self.low - own)), own
 
     def open_within(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """Which cells may hold something within the radius of each row of ``x``."""
-        if not len(self.cells):
-            return np.zeros((len(x), 0), dtype=bool)
+        return self._within(x, radius) if len(self.cells) else np.zeros((len(x), 0), dtype=bool)
+
+    def _within(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
         zero = self.lists < 0
         own = np.zeros((len(x), len(self.cells))) if not len(self.centres) else _distances(x, self.centres)[:, np.maximum(self.lists, 0)]
         found = (own - radius[:, None] <= self.high + 1e-7) & (own + radius[:, None] >= self.low - 1e-7)
@@ -140,8 +166,7 @@ class Cells:
         """The cells nearest to each row of ``x`` by their least possible distance, until they hold ``least`` points."""
         if not len(self.cells):
             return np.zeros((len(x), 0), dtype=bool)
-        own = np.zeros((len(x), len(self.cells))) if not len(self.centres) else _distances(x, self.centres)[:, np.maximum(self.lists, 0)]
-        gap = np.maximum(0.0, np.maximum(own - self.high, self.low - own))
+        gap, own = self._gaps(x)
         order = np.lexsort((own, gap), axis=1)
         before = np.cumsum(self.n[order], axis=1) - self.n[order]
         found = np.zeros(own.shape, dtype=bool)
@@ -149,6 +174,51 @@ class Cells:
         return found | (self.lists < 0) | ~x.any(axis=1)[:, None]
 
 
+class Boxes(Cells):
+    """Cells that are boxes: ``low`` and ``high`` have a row of the least and greatest numbers for each, ``centres`` are their middles."""
+
+    def _gaps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        square = np.zeros((len(x), len(self.cells)))
+        for k in range(x.shape[1]):
+            square += np.maximum(0.0, np.maximum(self.low[:, k] - x[:, k, None], x[:, k, None] - self.high[:, k])) ** 2
+        own = np.zeros(square.shape) if not len(self.centres) else _distances(x, self.centres)[:, np.maximum(self.lists, 0)]
+        return np.sqrt(square), own
+
+    def _within(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        return (self._gaps(x)[0] <= radius[:, None] + 1e-7) | (self.lists < 0) | ~x.any(axis=1)[:, None]
+
+
+class Halves:
+    """Halves of halves of a sample along the widest side; ``of`` gives the leaf of each row."""
+
+    def __init__(self, x: np.ndarray, leaves: int):
+        self.axis, self.border, self.inner, self.leaves = [], [], [], 0
+        self._cut(x, leaves)
+
+    def _cut(self, x: np.ndarray, leaves: int) -> int:
+        node = len(self.axis)
+        self.axis.append(-1), self.border.append(0.0), self.inner.append((self.leaves, self.leaves))
+        side = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(1)
+        axis = int(side.argmax())
+        values = np.unique(x[:, axis]) if leaves > 1 and side[axis] > 0 else []
+        if len(values) < 2:
+            self.leaves += 1
+            return node
+        border = min(float(np.quantile(x[:, axis], 1 - leaves // 2 / leaves)), float(values[-2]))  # something lies beyond it
+        self.axis[node], self.border[node] = axis, border
+        own = x[:, axis] <= border
+        self.inner[node] = (self._cut(x[own], leaves - leaves // 2), self._cut(x[~own], leaves // 2))
+        return node
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        axis, border, inner = np.array(self.axis), np.array(self.border), np.array(self.inner)
+        node = np.zeros(len(x), dtype=np.int64)
+        while (axis[node] >= 0).any():
+            left = x[np.arange(len(x)), np.maximum(axis[node], 0)] <= border[node]
+            node = np.where(axis[node] < 0, node, inner[node, np.where(left, 0, 1)])
+        return inner[node, 0]
+
+
 class VectorIndex:
     """Points in cells: ``members`` has ``id``, ``v`` (at length 1), ``list``, ``cell`` and ``block``, stored by block."""
 
@@ -165,8 +235,10 @@ class VectorIndex:
         sizes = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
         if sizes.least != sizes.most:
             raise ValueError(f"vectors of different lengths: {[sizes.least, sizes.most]}")
-        lists = min(MOST_LISTS, lists or max(1, round(sizes.n**0.5)))
+        given, lists = lists, min(MOST_LISTS, lists or max(1, round(sizes.n**0.5)))
         sample = rows.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(FIT_POINTS).select("v").toArrow()
+        if given is None and sizes.most is not None and 0 < sizes.most <= LOW_DIMENSIONS:
+            return VectorIndex._boxed(spark, rows, matrix(sample.column("v").combine_chunks()), sizes.n, sizes.most)
         centres = _fit(matrix(sample.column("v").combine_chunks()), lists)
         shared = spark.sparkContext.broadcast(centres)
 
@@ -200,38 +272,70 @@ class VectorIndex:
         columns = [(np.int32, [r.cell for r in found]), (np.int32, [r.list for r in found]), (float, [r.low for r in found]), (float, [r.high for r in found]), (np.int64, [r.n for r in found]), (np.int32, [b[0] for b in blocks]), (np.int32, [b[1] for b in blocks])]
         return VectorIndex(spark, members, Cells(centres, *(np.array(c, dtype=t) for t, c in columns)))
 
+    @staticmethod
+    def _boxed(spark: SparkSession, rows: DataFrame, sample: np.ndarray, n: int, dimensions: int) -> VectorIndex:
+        """The index with boxes: borders come from the sample, and their sides from all points."""
+        most = min(BOX_POINTS, max(BLOCK_POINTS, -(-n // BLOCKS)))
+        shared = spark.sparkContext.broadcast(Halves(sample.reshape(-1, dimensions), min(MOST_LISTS, -(-n // most))))
+
+        def place(batches):
+            for batch in batches:
+                x = matrix(batch.column("v")).reshape(batch.num_rows, -1)
+                cell = np.where(x.any(axis=1), shared.value.of(x), -1) if len(x) else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], ["id", "v", "cell"])
+
+        placed = saved(spark, rows.mapInArrow(place, "id long, v array<double>, cell int"))
+        sides = [f(F.get("v", k)).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(dimensions)]
+        found = placed.groupBy("cell").agg(F.count("*").alias("n"), *sides).orderBy("cell").collect()  # at most ``MOST_LISTS`` and one
+        # neighbours in the order of the halves are near; a box of equal points may need several blocks
+        first, blocks = 0, []
+        for r in found:
+            blocks.append((first, max(1, -(-r.n // TASK_POINTS))))
+            first += blocks[-1][1]
+        named = spark.createDataFrame([(r.cell, *b) for r, b in zip(found, blocks)], "cell int, block int, parts int")
+        dealt = placed.join(F.broadcast(named), "cell").select("id", "v", F.col("cell").alias("list"), "cell", (F.col("block") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))
+        members = saved(spark, dealt.repartition("block").sortWithinPartitions("block", "cell"))
+        drop(placed)
+        low, high = (np.array([[r[f"{name}{k}"] for k in range(dimensions)] for r in found], dtype=float).reshape(-1, dimensions) for name in ("low", "high"))
+        cells = np.array([r.cell for r in found], dtype=np.int32)
+        return VectorIndex(spark, members, Boxes((low + high) / 2, cells, np.where(cells < 0, -1, np.arange(len(cells))), low, high, np.array([r.n for r in found], dtype=np.int64), np.array([b[0] for b in blocks], dtype=np.int32), np.array([b[1] for b in blocks], dtype=np.int32)))
+
     # --- searches ---------------------------------------------------------------------
 
     def probes(self, queries: DataFrame, choose: Callable[[Cells, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
         """``queries`` (``id``, ``v`` at length 1, ``radius``, ``label``, ``core``) with the cells that ``choose`` opens, in a column ``cells``."""
         return self._opened(queries, choose, lambda held, found: [held.cells[f] for f in found], "cells")
 
-    def _opened(self, queries: DataFrame, choose, name, column: str) -> DataFrame:
+    def _opened(self, queries: DataFrame, choose, name, column: str, held: Cells | None = None) -> DataFrame:
         """``queries`` with ``near``, their nearest centre, and what ``name`` says of the cells that ``choose`` opens."""
-        shared = self.spark.sparkContext.broadcast(self.held)
+        shared = self.spark.sparkContext.broadcast(held or self.held)
 
         def run(batches):
             for whole in batches:
                 for batch in (whole.slice(at, STEP) for at in range(0, whole.num_rows, STEP)):
                     held, x = shared.value, matrix(batch.column("v"))
-                    found = pa.array(name(held, choose(held, x, _radius(batch.column("radius")))), pa.list_(pa.int32()))
+                    opened = choose(held, x, _radius(batch.column("radius")))
+                    found = pa.array(name(held, held.foreign(opened, batch.column("label").to_numpy(zero_copy_only=False))), pa.list_(pa.int32()))
                     near = _distances(x, held.centres).argmin(1) if len(held.centres) else np.zeros(len(x), dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), found], [*batch.schema.names, "near", column])
 
         return queries.select(*_QUERY).mapInArrow(run, f"id long, v array<double>, radius double, label long, core double, near int, {column} array<int>")
 
-    def meet(self, queries: DataFrame, choose, kernel, schema: str, members: DataFrame | None = None, onward: bool = False) -> DataFrame:
+    def meet(self, queries: DataFrame, choose, kernel, schema: str, members: DataFrame | None = None, onward: bool = False, held: Cells | None = None) -> DataFrame:
         """What ``kernel()`` makes of the points of each block and the queries for which ``choose`` opens a cell there.
 
         It is called with points and queries, dictionaries of arrays ``id``, ``v``, ``label``,
         ``core`` and ``near`` (``v`` in single precision; of queries also ``radius``), and once
         without any when a task's queries have all come by.  ``members`` may be the index's own
         with columns ``label`` and ``core``.  ``onward`` leaves out blocks before the query's ``label``.
+        ``held`` may be the index's own cells with labels.
         """
         members = self.members.select("*", F.lit(None).cast("long").alias("label"), F.lit(None).cast("double").alias("core")) if members is None else members
         blocks = lambda held, found: [np.unique(held.in_block[f[held.shares]]) for f in found]
-        asked = self._opened(queries, choose, blocks, "blocks").withColumn("block", F.explode("blocks")).drop("blocks")
+        asked = self._opened(queries, choose, blocks, "blocks", held).withColumn("block", F.explode("blocks")).drop("blocks")
         asked = asked.where("block >= label") if onward else asked
+        # short vectors are written sooner than they are looked up again
+        asked = saved(self.spark, asked) if isinstance(self.held, Boxes) else asked
         # a row a block: its first task, and how many tasks its queries are dealt to
         plan, tasks = [], 0
         for r in sorted(asked.groupBy("block").agg(F.count("*").alias("q")).collect(), key=lambda r: r.block):
@@ -245,7 +349,7 @@ class VectorIndex:
         theirs = asked.join(placed, "block").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
         theirs = theirs.select((F.col("first") + F.col("slice")).alias("task"), F.lit(1).alias("kind"), "near", *_QUERY)
         both = own.unionByName(theirs).repartition(tasks, "task").sortWithinPartitions("task", "kind", "near", "id")
-        return both.mapInArrow(_met(kernel, choose, self.spark.sparkContext.broadcast(self.held)), schema)
+        return both.mapInArrow(_met(kernel, choose, self.spark.sparkContext.broadcast(held or self.held)), schema)
 
     def within(self, queries: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """All points with a cosine of at least ``least``: ``query_id``, ``id``, ``score``."""
@@ -327,18 +431,21 @@ def least_score(asked: dict) -> np.ndarray:
     return np.where(radius >= _EVERYWHERE, -np.inf, 1 - radius * radius / 2)
 
 
-def near(points: dict, asked: dict, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, point and rounded cosine of all pairs with at least the query's ``least``.
+def near(points: dict, asked: dict, least: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, point and rounded cosine of all pairs with at least the query's ``least``, of different labels only if ``apart``.
 
     Products in single precision say which pairs may have it, by more than their error;
     only these are computed in double precision.
     """
     rough = asked["v32"] @ points["v32"].T
     slack = (rough.shape[1] > 0) * (asked["v"].shape[1] + 16) * 1.2e-7 + 1e-6
-    i, j = np.nonzero(rough >= (least - slack)[:, None].astype(np.float32))
+    likely = rough >= (least - slack)[:, None].astype(np.float32)
+    if apart:
+        likely &= asked["label"][:, None] != points["label"]
+    i, j = np.nonzero(likely)
     if len(i) > rough.size // 16:
         scores = np.round(asked["v"] @ points["v"].T, DIGITS) + 0.0
-        i, j = np.nonzero(scores >= least[:, None])
+        i, j = np.nonzero(likely & (scores >= least[:, None]))
         return i, j, scores[i, j]
     parts = [np.einsum("ij,ij->i", asked["v"][i[at : at + 8192]], points["v"][j[at : at + 8192]]) for at in range(0, len(i), 8192)]
     scores = np.round(np.concatenate(parts), DIGITS) + 0.0 if parts else np.zeros(0)
@@ -365,6 +472,20 @@ def _best(k: int, skip_self: bool):
             if skip_self:
                 keep = asked["id"][i] != points["id"][j]
                 i, j, own = i[keep], j[keep], own[keep]
+        if len(i) > 16 * k * max(1, len(asked["id"])):  # many are as near: only the best of each query are put in order
+            rank = np.empty(len(points["id"]), dtype=np.int64)
+            rank[np.argsort(points["id"], kind="stable")] = np.arange(len(rank))
+            most = np.iinfo(np.int64).max
+            place = np.full((len(asked["id"]), len(rank)), most)
+            place[i, j] = (np.rint((2 - own) * 10**DIGITS).astype(np.int64) << 32) | rank[j]
+            score = np.empty(place.shape)
+            score[i, j] = own
+            j = np.argpartition(place, min(k, len(rank)) - 1, axis=1)[:, :k]
+            i = np.repeat(np.arange(len(j)), j.shape[1])
+            j = j.ravel()
+            real = place[i, j] < most
+            i, j = i[real], j[real]
+            own = score[i, j]
         order = np.lexsort((points["id"][j], -own, i))
         i, j, own = i[order], j[order], own[order]
         keep = np.arange(len(i)) - np.searchsorted(i, i) < k
@@ -385,7 +506,7 @@ def _met(kernel, choose, shared):
 
     def opened(points: dict, cells: Cells, asked: dict) -> dict | None:
         """The points of the cells that any of the queries opens."""
-        found = choose(cells, asked["v"], asked["radius"]).any(axis=0)
+        found = cells.foreign(choose(cells, asked["v"], asked["radius"]), asked["label"]).any(axis=0)
         mask = np.isin(points["near"], cells.cells[found])
         if not mask.any():
             return None
